@@ -10,9 +10,11 @@ Signatures over fewer than ``TINY`` features would be frequent. A set leaves the
 ``slack`` of its groups have one: then one of the ``slack + 1`` agreeing groups has none, so no pair
 is lost unless both sets have more, and such sets keep all their signatures.
 
-Equal sets are one node. Nodes that share a signature are candidates, in two steps so that a large
-group of near copies gives about one pair a node: first each node against the least node of the
-bucket it shares most often; then, of each bucket, all pairs that are still in different components.
+Equal sets are one node. Nodes that share a signature are candidates, in steps, so that a large group
+of near copies gives a few pairs a node: for a few rounds each node against the first node of its
+buckets that is still in another component (the one it meets so most often, in an order that changes each
+round); at last, of each bucket, all pairs that are still in different components. Buckets
+with the same members count once.
 A pair whose size or parity sketch (a lower bound of the Hamming distance) rules the link out is not
 verified; all others are, on their whole sets.
 """
@@ -31,7 +33,8 @@ from ragloom.llm import textkit as K
 from ragloom.llm.scratch import Scratch, bloom, bloom_has, components
 
 TINY = 3
-SKETCH_WORDS = 8
+SKETCH_WORDS = 16
+HUB_ROUNDS = 4
 
 
 @lru_cache(maxsize=8)
@@ -181,6 +184,28 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return whole.filter(_linked(num, den, F.size(F.array_intersect("a_h", "b_h")))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _open_buckets(shared: DataFrame, comp: DataFrame) -> DataFrame:
+    """(sig, fp, comp) of the buckets whose nodes are in different components, one bucket of those with the same members."""
+    placed = shared.select("sig", "fp").join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", F.coalesce("comp", "fp").alias("comp"))
+    members = placed.groupBy("sig").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"),
+        F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"),
+    ).filter("lo != hi")
+    return placed.join(members.groupBy("k", "x", "y").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi")
+
+
+def _hub_pairs(open_: DataFrame, turn: int) -> DataFrame:
+    """(a, b), a < b: each node with the first node of another component in a bucket, the one it meets so most often; the order is by a hash that differs each turn."""
+    order = F.xxhash64("fp", F.lit(turn))
+    head = open_.groupBy("sig").agg(F.min(F.struct(order.alias("order"), "fp", "comp")).alias("head"))
+    seen = open_.join(head, "sig")
+    other = seen.filter(F.col("comp") != F.col("head.comp")).groupBy("sig").agg(F.min_by("fp", order).alias("other"))
+    hub = F.when(F.col("comp") != F.col("head.comp"), F.col("head.fp")).otherwise(F.col("other"))
+    met = seen.join(other, "sig").select("fp", hub.alias("hub")).groupBy("fp", "hub").count()
+    best = met.groupBy("fp").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
+    return best.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
+
+
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
     """(id, n_shingles, component_id) of every row: documents with Jaccard similarity of at least num/den on word shingles are linked.
 
@@ -207,21 +232,23 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = scratch.save(
         known.mapInArrow(_wanted_sets(shingle, bloom(rep.join(nodes, "fp").select("rep"))), _SETS).join(nodes, "fp", "left_semi").dropDuplicates(["fp"])
     )
-    often = shared.filter("fp != least").groupBy("fp", "least").count()
-    first = often.groupBy("fp").agg(F.max_by("least", F.struct("count", "least")).alias("least"))
-    edges = scratch.save(_verified(first.select(F.col("least").alias("a"), F.col("fp").alias("b")), sets, num, den))
-    comp = components(scratch, edges)
-
-    placed = shared.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", F.coalesce("comp", "fp").alias("comp"))
-    mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("sig")
-    open_ = scratch.save(placed.join(mixed, "sig", "left_semi").join(sets.drop("h"), "fp"))
+    edges, comp = None, nodes.select(F.col("fp").alias("node"), F.col("fp").alias("comp"))
+    open_ = shared
+    for turn in range(HUB_ROUNDS):
+        open_ = scratch.save(_open_buckets(open_, comp))
+        late = scratch.save(_verified(_hub_pairs(open_, turn), sets, num, den))
+        if not late.limit(1).count():
+            break
+        edges = late if edges is None else edges.unionByName(late)
+        comp = components(scratch, edges)
+    open_ = scratch.save(_open_buckets(open_, comp).join(sets.drop("h"), "fp"))
     cols = ["comp", "n", *(f"p{i}" for i in range(SKETCH_WORDS))]
     a = open_.select("sig", F.col("fp").alias("a"), *(F.col(c).alias(f"a_{c}") for c in cols))
     b = open_.select("sig", F.col("fp").alias("b"), *(F.col(c).alias(f"b_{c}") for c in cols))
     more = a.join(b, (a.sig == b.sig) & (F.col("a_comp") < F.col("b_comp")) & _possible(num, den)).select("a", "b").distinct()
     late = scratch.save(_verified(more, sets, num, den))
     if late.limit(1).count():
-        comp = components(scratch, edges.unionByName(late))
+        comp = components(scratch, late if edges is None else edges.unionByName(late))
     scratch.drop(sets, open_, shared)
 
     member = rep.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
