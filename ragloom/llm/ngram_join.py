@@ -34,7 +34,7 @@ from ragloom.llm.scratch import Scratch, bloom, bloom_has, components
 
 TINY = 3
 SKETCH_WORDS = 16
-HUB_ROUNDS = 4
+HUB_ROUNDS = 2
 
 
 @lru_cache(maxsize=8)
@@ -206,6 +206,14 @@ def _hub_pairs(open_: DataFrame, turn: int) -> DataFrame:
     return best.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
 
 
+def _merged(scratch: Scratch, comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp (node, comp) after links (u, v): only links between different components go on, one of each pair of them."""
+    u, v = (comp.select(F.col("node").alias(end), F.col("comp").alias(f"c{end}")) for end in "uv")
+    across = links.join(u, "u").join(v, "v").select(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).distinct()
+    up = components(scratch, across).select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+    return scratch.save(comp.join(up, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")))
+
+
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
     """(id, n_shingles, component_id) of every row: documents with Jaccard similarity of at least num/den on word shingles are linked.
 
@@ -232,15 +240,14 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = scratch.save(
         known.mapInArrow(_wanted_sets(shingle, bloom(rep.join(nodes, "fp").select("rep"))), _SETS).join(nodes, "fp", "left_semi").dropDuplicates(["fp"])
     )
-    edges, comp = None, nodes.select(F.col("fp").alias("node"), F.col("fp").alias("comp"))
+    comp = nodes.select(F.col("fp").alias("node"), F.col("fp").alias("comp"))
     open_ = shared
     for turn in range(HUB_ROUNDS):
         open_ = scratch.save(_open_buckets(open_, comp))
         late = scratch.save(_verified(_hub_pairs(open_, turn), sets, num, den))
         if not late.limit(1).count():
             break
-        edges = late if edges is None else edges.unionByName(late)
-        comp = components(scratch, edges)
+        comp = _merged(scratch, comp, late)
     open_ = scratch.save(_open_buckets(open_, comp).join(sets.drop("h"), "fp"))
     cols = ["comp", "n", *(f"p{i}" for i in range(SKETCH_WORDS))]
     a = open_.select("sig", F.col("fp").alias("a"), *(F.col(c).alias(f"a_{c}") for c in cols))
@@ -248,7 +255,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = a.join(b, (a.sig == b.sig) & (F.col("a_comp") < F.col("b_comp")) & _possible(num, den)).select("a", "b").distinct()
     late = scratch.save(_verified(more, sets, num, den))
     if late.limit(1).count():
-        comp = components(scratch, late if edges is None else edges.unionByName(late))
+        comp = _merged(scratch, comp, late)
     scratch.drop(sets, open_, shared)
 
     member = rep.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
