@@ -236,7 +236,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     scratch.free_shuffles()
     rep = ident.filter("id is not null and n > 0").groupBy("fp").agg(F.min("id").alias("rep"))
-    nodes = shared.select("fp").distinct()
+    nodes = scratch.save(shared.select("fp").distinct())
     sets = scratch.save(
         known.mapInArrow(_wanted_sets(shingle, bloom(rep.join(nodes, "fp").select("rep"))), _SETS).join(nodes, "fp", "left_semi").dropDuplicates(["fp"])
     )
