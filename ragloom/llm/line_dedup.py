@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.llm import textkit as K
-from ragloom.llm.scratch import Scratch, bloom, bloom_has, components  # noqa: F401
+from ragloom.llm.scratch import Scratch, bloom, bloom_has
 
 BUCKETS, BLOCKS = 1 << 20, 64
-KEEP, RUN, LINES = 4, 1 << 15, 1 << 14
+KEEP, RUN, LINES, CHUNK = 4, 1 << 14, 1 << 14, 1 << 20
 _U = np.uint64
 
 
@@ -146,41 +146,39 @@ def _may_match(na, nb, ia, ib, sketch, num: int, den: int):
 def _partners(num: int, den: int):
     """Over rows sorted by token and first occurrence: (x, y) for the KEEP earliest possible partners y of x, and (x, null) where there are more or might be."""
 
-    def of_run(fp, sketch, n, at):
-        """Pairs of one run by position."""
-        out_x, out_y, more = [], [], []
-        for i in range(1, len(fp)):
-            a = min(i, RUN)
-            if i > RUN:
-                more.append(i)
-            y = np.flatnonzero(_may_match(n[i], n[:a], at[i], at[:a], sketch[:a] ^ sketch[i], num, den) & (fp[:a] != fp[i]))
-            if len(y):
-                if len(y) > KEEP:
-                    more.append(i)
-                out_x.extend([i] * min(len(y), KEEP))
-                out_y.extend(y[:KEEP].tolist())
-        return out_x, out_y, more
-
     def done(cols, end):
         """Pairs of the runs in rows [0, end)."""
         token, fp, sketch, n, at = (c[:end] for c in cols)
+        n, at = n.astype(np.int64), at.astype(np.int64)
         edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if end else np.zeros(0, np.int64)
         size = np.diff(np.append(edge, end))
-        xs, ys, more = [], [], []
-        place = np.arange(end) - np.repeat(edge, size)
-        short = np.repeat(size <= KEEP + 1, size)
-        for d in range(1, KEEP + 1):
-            i = np.flatnonzero(short & (place >= d))
-            hit = i[_may_match(n[i], n[i - d], at[i], at[i - d], sketch[i] ^ sketch[i - d], num, den) & (fp[i] != fp[i - d])]
-            xs.append(fp[hit])
-            ys.append(fp[hit - d])
-        for e, s in zip(edge[size > KEEP + 1].tolist(), size[size > KEEP + 1].tolist(), strict=True):
-            x, y, m = of_run(*(c[e : e + s] for c in (fp, sketch, n, at)))
-            xs.append(fp[e + np.array(x, np.int64)])
-            ys.append(fp[e + np.array(y, np.int64)])
-            more.append(fp[e + np.array(m, np.int64)])
-        xs, ys, more = (np.concatenate([*v, np.zeros(0, np.int64)]) for v in (xs, ys, more))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([xs, more])), pa.concat_arrays([pa.array(ys), pa.nulls(len(more), pa.int64())])], ["x", "y"])
+        run, place = np.repeat(np.arange(len(edge)), size), np.arange(end) - np.repeat(edge, size)
+        more = [fp[place >= RUN]]
+        rows = np.flatnonzero((place < RUN) & np.repeat(size > 1, size))
+        # by size within a run, so that those of a fitting size are neighbours
+        rows = rows[np.lexsort((n[rows], run[rows]))]
+        key = run[rows] * (1 << 32) + n[rows]
+        low = np.searchsorted(key, run[rows] * (1 << 32) + -(-n[rows] * num // den))
+        width = np.arange(len(rows)) - low
+        total, begin, xs, ys = np.cumsum(width), 0, [], []
+        while begin < len(rows):
+            stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + CHUNK, side="right")))
+            i = np.repeat(np.arange(begin, stop), width[begin:stop])
+            j = np.arange(len(i)) - np.repeat(np.cumsum(width[begin:stop]) - width[begin:stop], width[begin:stop]) + low[i]
+            i, j = rows[i], rows[j]
+            ok = np.bitwise_count((sketch[i] ^ sketch[j]).view(np.uint64)) * (den + num) <= (n[i] + n[j]) * (den - num)
+            i, j = i[ok], j[ok]
+            ok = _may_match(n[i], n[j], at[i], at[j], sketch[i] ^ sketch[j], num, den) & (fp[i] != fp[j])
+            xs.append(np.maximum(i[ok], j[ok]))
+            ys.append(np.minimum(i[ok], j[ok]))
+            begin = stop
+        x, y = (np.concatenate([*v, np.zeros(0, np.int64)]).astype(np.int64) for v in (xs, ys))
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        nth = np.arange(len(x)) - np.searchsorted(x, x)
+        more.append(np.unique(fp[x[nth >= KEEP]]))
+        x, y, more = fp[x[nth < KEEP]], fp[y[nth < KEEP]], np.concatenate(more)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, more])), pa.concat_arrays([pa.array(y), pa.nulls(len(more), pa.int64())])], ["x", "y"])
 
     def run(batches):
         cols, skipped = None, np.zeros(0, np.int64)
@@ -278,6 +276,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     scratch = Scratch(docs.sparkSession)
     gone = scratch.save(removed_lines(docs, scratch, id_col, text_col, similarity))
+    scratch.keep_only(gone)
     gone = gone.select(F.col("doc").alias("_doc"), F.col("lines").alias("_lines"))
     parts = F.split(F.col(text_col), "\n")
     kept = F.filter(parts, lambda x, i: ~F.array_contains("_lines", i))

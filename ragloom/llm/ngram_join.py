@@ -109,14 +109,19 @@ def _signatures(sh: np.ndarray, row: np.ndarray, first: np.ndarray, num: int, de
     return (np.concatenate(out), np.concatenate(owner)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+SKETCH = [f"p{i}" for i in range(SKETCH_WORDS)]
+
+
 def _ident(n: int):
     def run(batches):
         for b in batches:
-            fp, size = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            fp, size, sketch = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, SKETCH_WORDS), np.int64)
             for w in K.words(b.column(1)):
                 sh, _, first = _sets(w, n)
                 fp[w.lo : w.hi], size[w.lo : w.hi] = _fingerprints(sh, first), np.diff(first)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array(size)], ["id", "fp", "n"])
+                for k, (a, z) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                    sketch[w.lo + k] = K.parity(sh[a:z], SKETCH_WORDS * 64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array(size), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)], ["id", "fp", "n", *SKETCH])
 
     return run
 
@@ -142,19 +147,14 @@ def _signed(n: int, num: int, den: int):
     return run
 
 
-_SETS = "fp bigint, n bigint, h array<bigint>, " + ", ".join(f"p{i} bigint" for i in range(SKETCH_WORDS))
-
-
 def _wanted_sets(n: int, wanted):
     def run(batches):
         for b in batches:
             b = pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["id", "text"]).filter(pa.array(bloom_has(wanted.value, b.column(0).to_numpy(zero_copy_only=False))))
             for w in K.words(b.column(1)):
                 sh, _, first = _sets(w, n)
-                fp, size = _fingerprints(sh, first), np.diff(first)
-                sketch = np.array([K.parity(sh[a:z], SKETCH_WORDS * 64) for a, z in zip(first[:-1], first[1:], strict=True)], np.int64).reshape(-1, SKETCH_WORDS)
                 h = pa.LargeListArray.from_arrays(pa.array(first, pa.int64()), pa.array(sh.view(np.int64))).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(size), h, *(pa.array(sketch[:, i]) for i in range(SKETCH_WORDS))], ["fp", "n", "h", *(f"p{i}" for i in range(SKETCH_WORDS))])
+                yield pa.RecordBatch.from_arrays([pa.array(_fingerprints(sh, first)), h], ["fp", "h"])
 
     return run
 
@@ -176,14 +176,18 @@ def _side(sets: DataFrame, key: str, *columns: str) -> DataFrame:
     return sets.select(F.col("fp").alias(key), *(F.col(c).alias(f"{key}_{c}") for c in columns))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Of pairs (a, b), those that link, as edges."""
-    sketch = ["n", *(f"p{i}" for i in range(SKETCH_WORDS))]
-    maybe = pairs.join(_side(sets, "a", *sketch), "a").join(_side(sets, "b", *sketch), "b").filter(_possible(num, den)).select("a", "b")
-    whole = maybe.join(_side(sets, "a", "n", "h"), "a").join(_side(sets, "b", "n", "h"), "b")
+    maybe = pairs.join(_side(sketches, "a", "n", *SKETCH), "a").join(_side(sketches, "b", "n", *SKETCH), "b").filter(_possible(num, den)).select("a", "b", "a_n", "b_n")
+    whole = maybe.join(_side(sets, "a", "h"), "a").join(_side(sets, "b", "h"), "b")
     return whole.filter(_linked(num, den, F.size(F.array_intersect("a_h", "b_h")))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _paired(rows: DataFrame, end: str, *columns: str) -> DataFrame:
+    """Rows of buckets as one end of pairs; an end keeps its own name for the bucket so that it can meet itself."""
+    return rows.select(F.col("sig").alias(f"{end}_sig"), F.col("fp").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in columns))
+
+
 def _open_buckets(shared: DataFrame, comp: DataFrame) -> DataFrame:
     """(sig, fp, comp) of the buckets whose nodes are in different components, one bucket of those with the same members."""
     placed = shared.select("sig", "fp").join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", F.coalesce("comp", "fp").alias("comp"))
@@ -225,42 +229,44 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     num, den = similarity
     scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ident = scratch.save(texts.mapInArrow(_ident(shingle), "id bigint, fp bigint, n bigint"))
+    ident = scratch.save(texts.mapInArrow(_ident(shingle), "id bigint, fp bigint, n bigint, " + ", ".join(f"{p} bigint" for p in SKETCH)))
     known = texts.filter("id is not null and text is not null")
 
     signed = known.mapInArrow(_signed(shingle, num, den), "sig bigint, fp bigint")
     by_sig = Window.partitionBy("sig")
-    shared = scratch.save(
+    met = scratch.save(
         signed.withColumns({"least": F.min("fp").over(by_sig), "most": F.max("fp").over(by_sig)})
-        .filter("least != most").select("sig", "fp", "least").dropDuplicates(["sig", "fp"])
+        .filter("least != most").select("sig", "fp").dropDuplicates(["sig", "fp"])
     )
     scratch.free_shuffles()
-    rep = ident.filter("id is not null and n > 0").groupBy("fp").agg(F.min("id").alias("rep"))
+    rep = ident.filter("id is not null and n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"), *(F.first(p).alias(p) for p in SKETCH))
+    # nodes that no other node of a bucket can link with go before whole sets are read
+    drawn = met.join(rep.drop("rep"), "fp")
+    a, b = _paired(drawn, "a", "n", *SKETCH), _paired(drawn, "b", "n", *SKETCH)
+    shared = scratch.save(a.join(b, (F.col("a_sig") == F.col("b_sig")) & (F.col("a") != F.col("b")) & _possible(num, den), "left_semi").select(F.col("a_sig").alias("sig"), F.col("a").alias("fp")))
     nodes = scratch.save(shared.select("fp").distinct())
-    sets = scratch.save(
-        known.mapInArrow(_wanted_sets(shingle, bloom(rep.join(nodes, "fp").select("rep"))), _SETS).join(nodes, "fp", "left_semi").dropDuplicates(["fp"])
-    )
+    sketches = scratch.save(rep.join(nodes, "fp", "left_semi"))
+    sets = scratch.save(known.mapInArrow(_wanted_sets(shingle, bloom(sketches.select("rep"))), "fp bigint, h array<bigint>").join(nodes, "fp", "left_semi").dropDuplicates(["fp"]))
+    scratch.drop(met)
     comp = nodes.select(F.col("fp").alias("node"), F.col("fp").alias("comp"))
     open_ = shared
     for turn in range(HUB_ROUNDS):
         open_ = scratch.save(_open_buckets(open_, comp))
-        late = scratch.save(_verified(_hub_pairs(open_, turn), sets, num, den))
+        late = scratch.save(_verified(_hub_pairs(open_, turn), sketches, sets, num, den))
         if not late.limit(1).count():
             break
         comp = _merged(scratch, comp, late)
-    open_ = scratch.save(_open_buckets(open_, comp).join(sets.drop("h"), "fp"))
-    cols = ["comp", "n", *(f"p{i}" for i in range(SKETCH_WORDS))]
-    a = open_.select("sig", F.col("fp").alias("a"), *(F.col(c).alias(f"a_{c}") for c in cols))
-    b = open_.select("sig", F.col("fp").alias("b"), *(F.col(c).alias(f"b_{c}") for c in cols))
-    more = a.join(b, (a.sig == b.sig) & (F.col("a_comp") < F.col("b_comp")) & _possible(num, den)).select("a", "b").distinct()
-    late = scratch.save(_verified(more, sets, num, den))
+    open_ = scratch.save(_open_buckets(open_, comp).join(sketches, "fp"))
+    a, b = _paired(open_, "a", "comp", "n", *SKETCH), _paired(open_, "b", "comp", "n", *SKETCH)
+    more = a.join(b, (F.col("a_sig") == F.col("b_sig")) & (F.col("a_comp") < F.col("b_comp")) & _possible(num, den)).select("a", "b").distinct()
+    late = scratch.save(_verified(more, sketches, sets, num, den))
     if late.limit(1).count():
         comp = _merged(scratch, comp, late)
-    scratch.drop(sets, open_, shared)
 
     member = rep.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     least = member.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = scratch.save(member.join(least, "comp").select("fp", "component_id"))
+    scratch.keep_only(ident, named)
     return ident.join(named, "fp", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("id")).alias("component_id"),

@@ -49,6 +49,17 @@ class Scratch:
                 path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
                 path.getFileSystem(conf).delete(path, True)
 
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete all saved tables but these, which the result still reads."""
+        kept = {f.rsplit("/", 2)[-2] for t in tables for f in t.inputFiles()[:1]}
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for k in range(1, self.saved + 1):
+            if str(k) not in kept:
+                fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{k}"), True)
+        self.free_shuffles()
+
     def free_shuffles(self) -> None:
         """Let Spark's cleaner delete shuffle files of plans that are no longer referenced."""
         self.spark.sparkContext._jvm.System.gc()
