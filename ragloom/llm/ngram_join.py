@@ -147,6 +147,11 @@ def _signed(n: int, num: int, den: int):
     return run
 
 
+def _wide_bits(n: int) -> int:
+    """Parities of a wide sketch: a power of two, four for each element; that of sets that may link differs by one step at most."""
+    return 1 << max(10, (4 * n - 1).bit_length())
+
+
 def _wanted_sets(n: int, wanted):
     def run(batches):
         for b in batches:
@@ -154,7 +159,8 @@ def _wanted_sets(n: int, wanted):
             for w in K.words(b.column(1)):
                 sh, _, first = _sets(w, n)
                 h = pa.LargeListArray.from_arrays(pa.array(first, pa.int64()), pa.array(sh.view(np.int64))).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(_fingerprints(sh, first)), h], ["fp", "h"])
+                wide = pa.array([K.parity(sh[a:z], _wide_bits(int(z - a))) for a, z in zip(first[:-1], first[1:], strict=True)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(_fingerprints(sh, first)), wide, h], ["fp", "wide", "h"])
 
     return run
 
@@ -176,13 +182,32 @@ def _side(sets: DataFrame, key: str, *columns: str) -> DataFrame:
     return sets.select(F.col("fp").alias(key), *(F.col(c).alias(f"{key}_{c}") for c in columns))
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs (a, b), those that link, as edges."""
+def _wide_difference(a: Column, b: Column) -> Column:
+    """Differing parities of two wide sketches, the wider folded to the other's width."""
+    fold = lambda x: F.zip_with(F.slice(x, F.lit(1), (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))
+    x, y = F.when(F.size(a) > F.size(b), fold(a)).otherwise(a), F.when(F.size(b) > F.size(a), fold(b)).otherwise(b)
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
+
+
+def _near(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b), those that both sketches leave possible, with a_n, b_n and the differing parities."""
     maybe = pairs.join(_side(sketches, "a", "n", *SKETCH), "a").join(_side(sketches, "b", "n", *SKETCH), "b").filter(_possible(num, den)).select("a", "b", "a_n", "b_n")
-    whole = maybe.join(_side(sets, "a", "h"), "a").join(_side(sets, "b", "h"), "b")
+    wide = maybe.join(_side(sets, "a", "wide"), "a").join(_side(sets, "b", "wide"), "b").withColumn("differ", _wide_difference(F.col("a_wide"), F.col("b_wide")))
+    return wide.filter(F.col("differ") * (den + num) <= (F.col("a_n") + F.col("b_n")) * (den - num)).select("a", "b", "a_n", "b_n", "differ")
+
+
+def _verified(near: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b, a_n, b_n), those that link by their whole sets, as edges."""
+    whole = near.select("a", "b", "a_n", "b_n").join(_side(sets, "a", "h"), "a").join(_side(sets, "b", "h"), "b")
     return whole.filter(_linked(num, den, F.size(F.array_intersect("a_h", "b_h")))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _across(near: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components, with a_comp and b_comp."""
+    a, b = (comp.select(F.col("node").alias(end), F.col("comp").alias(f"{end}_comp")) for end in "ab")
+    return near.join(a, "a").join(b, "b").filter("a_comp != b_comp")
+
+
 def _paired(rows: DataFrame, end: str, *columns: str) -> DataFrame:
     """Rows of buckets as one end of pairs; an end keeps its own name for the bucket so that it can meet itself."""
     return rows.select(F.col("sig").alias(f"{end}_sig"), F.col("fp").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in columns))
@@ -246,20 +271,28 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = scratch.save(a.join(b, (F.col("a_sig") == F.col("b_sig")) & (F.col("a") != F.col("b")) & _possible(num, den), "left_semi").select(F.col("a_sig").alias("sig"), F.col("a").alias("fp")))
     nodes = scratch.save(shared.select("fp").distinct())
     sketches = scratch.save(rep.join(nodes, "fp", "left_semi"))
-    sets = scratch.save(known.mapInArrow(_wanted_sets(shingle, bloom(sketches.select("rep"))), "fp bigint, h array<bigint>").join(nodes, "fp", "left_semi").dropDuplicates(["fp"]))
+    sets = scratch.save(known.mapInArrow(_wanted_sets(shingle, bloom(sketches.select("rep"))), "fp bigint, wide array<bigint>, h array<bigint>").join(nodes, "fp", "left_semi").dropDuplicates(["fp"]))
     scratch.drop(met)
     comp = nodes.select(F.col("fp").alias("node"), F.col("fp").alias("comp"))
     open_ = shared
     for turn in range(HUB_ROUNDS):
         open_ = scratch.save(_open_buckets(open_, comp))
-        late = scratch.save(_verified(_hub_pairs(open_, turn), sketches, sets, num, den))
+        late = scratch.save(_verified(_near(_hub_pairs(open_, turn), sketches, sets, num, den), sets, num, den))
         if not late.limit(1).count():
             break
         comp = _merged(scratch, comp, late)
     open_ = scratch.save(_open_buckets(open_, comp).join(sketches, "fp"))
     a, b = _paired(open_, "a", "comp", "n", *SKETCH), _paired(open_, "b", "comp", "n", *SKETCH)
     more = a.join(b, (F.col("a_sig") == F.col("b_sig")) & (F.col("a_comp") < F.col("b_comp")) & _possible(num, den)).select("a", "b").distinct()
-    late = scratch.save(_verified(more, sketches, sets, num, den))
+    near = scratch.save(_near(more, sketches, sets, num, den))
+    # of two components the likeliest pair first; the others only if it does not join them
+    pair = _across(near, comp).groupBy(F.least("a_comp", "b_comp").alias("c"), F.greatest("a_comp", "b_comp").alias("d")).agg(F.min_by(F.struct("a", "b", "a_n", "b_n"), F.struct("differ", "a", "b")).alias("p"))
+    late = scratch.save(_verified(pair.select("p.*"), sets, num, den))
+    if late.limit(1).count():
+        comp = _merged(scratch, comp, late)
+        late = scratch.save(_verified(_across(near, comp), sets, num, den))
+    else:
+        late = scratch.save(_verified(near, sets, num, den))
     if late.limit(1).count():
         comp = _merged(scratch, comp, late)
 
