@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm import exact_search, host_rules, html_content, language_id, line_dedup, ngram_join, packing, quality, url_filter
+from ragloom.llm import exact_search, host_rules, html_content, language_id, line_dedup, ngram_join, packing, quality, sentencepiece_scan, url_filter
 from ragloom.session import ship
 
 
@@ -23,6 +23,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(_read(spark, sf_dir, "pages"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = sentencepiece_scan.encoded(_read(spark, sf_dir, "documents"))
+    return parts.select(F.col("id").alias("doc_id"), "part", F.size("ids").cast("bigint").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_content.extracted(_read(spark, sf_dir, "pages"))
 
@@ -64,7 +69,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filter, op3_html_extraction, op4_ngram_join, op5_packing, op6_language_id, op7_line_dedup, op8_host_rules, op9_exact_search, op10_quality_classifier)
+    for f in (op1_url_filter, op2_sentencepiece, op3_html_extraction, op4_ngram_join, op5_packing, op6_language_id, op7_line_dedup, op8_host_rules, op9_exact_search, op10_quality_classifier)
 }
 
 ORACLES: dict[str, str] = {
