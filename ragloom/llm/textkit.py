@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Words above this length are hashed by xxhash; the rule depends on the word alone.
 LONG_WORD = 1 << 14
 
@@ -130,6 +130,7 @@ def words(texts: pa.Array, lower: bool = True, limit: int = SLICE_BYTES) -> Iter
         start, end = at[0::2], at[1::2]
         h = _hash_words(_LOWER[own] if lower else own, start, end)
         yield Words(lo, hi, own, edge, start, end, h, np.searchsorted(start, edge), valid[lo:hi])
+    pa.default_memory_pool().release_unused()
 
 
 def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
