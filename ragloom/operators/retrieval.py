@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ragloom.functions.text import once
 from ragloom.plans.pipeline import ranked
 
 #: Between words: anything but letters and digits.
@@ -82,10 +83,10 @@ def with_texts(results: DataFrame, documents: DataFrame, *fields: str) -> DataFr
 def hashed_vectors(df: DataFrame, text: str, out: str, size: int = 64) -> DataFrame:
     """A deterministic encoder: counts of terms by hash, scaled to length 1; zeros for a text without terms."""
     at = F.transform(terms(text), lambda t: F.pmod(F.xxhash64(t), F.lit(size)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter("_at", lambda x: x == i)).cast("double"))
-    df = df.withColumn("_at", at).withColumn("_counts", counts)
-    norm = F.sqrt(F.aggregate("_counts", F.lit(0.0), lambda s, x: s + x * x))
-    return df.withColumn(out, F.transform("_counts", lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)))).drop("_at", "_counts")
+    count = lambda at: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double"))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    unit = lambda v, n: F.transform(v, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)))
+    return df.withColumn(out, once(lambda v: once(unit, v, norm(v)), once(count, at)))
 
 
 def bare_queries(df: DataFrame) -> DataFrame:

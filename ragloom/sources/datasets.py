@@ -19,9 +19,10 @@ class RAGDataset(Protocol):
 
 def _json(spark: SparkSession, path: str, schema: str, bad_share: float = 0.1) -> DataFrame:
     """JSON lines (also .gz and .bz2); lines that are no JSON are left out, and an error if they are above ``bad_share`` of a file's lines."""
-    rows = spark.read.schema(schema + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).withColumn("_file", F.col("_metadata.file_path"))
-    counts = rows.groupBy("_file").agg((F.count("_bad") / F.count("*")).alias("share"))
-    share = counts.agg(F.coalesce(F.max("share"), F.lit(0.0)).alias("share")).scalar()
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    lines = spark.read.text(path).filter(F.trim("value") != "").withColumn("_file", F.col("_metadata.file_path"))
+    rows = lines.select("_file", F.from_json("value", schema + ", _bad string", options).alias("_r")).select("_file", "_r.*")
+    share = rows.groupBy("_file").agg((F.count("_bad") / F.count("*")).alias("share")).agg(F.coalesce(F.max("share"), F.lit(0.0)).alias("share")).scalar()
     return rows.filter(F.col("_bad").isNull() & F.assert_true(share <= bad_share, F.lit("too many malformed lines")).isNull()).drop("_bad", "_file")
 
 
