@@ -7,7 +7,7 @@ total order whatever collides. With a similarity of at least t, two lines of siz
 the first n - ceil(t n) + 1 tokens of each, so each class puts its row in the buckets of these tokens.
 
 A bucket is read in order of first occurrence. A class is compared with the earlier ones there by
-the length filter, the positional filter and a 64-bit parity sketch (a lower bound of the symmetric
+the length filter, the positional filter and a 128-bit parity sketch (a lower bound of the symmetric
 difference); its ``KEEP`` earliest partners left over go on, and whether there are more, or earlier
 ones than the ``RUN`` rows that a task holds. All partners are verified on whole sets. Classes with more
 that no partner removed are joined with every row of their buckets and verified likewise, so
@@ -100,7 +100,7 @@ def _rarity(survey: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-_ROWS = "token bigint, doc bigint, line int, fp bigint, sketch bigint, n int, at int"
+_ROWS = "token bigint, doc bigint, line int, fp bigint, sketch bigint, sketch2 bigint, n int, at int"
 
 
 def _prefixes(order, num: int, den: int):
@@ -119,8 +119,9 @@ def _prefixes(order, num: int, den: int):
                     if f not in done:
                         done.add(f)
                         keep[k] = True
-                bit = _U(1) << (K.mix(t & _U((1 << 44) - 1)) & _U(63))
-                sketch = np.bitwise_xor.reduceat(bit, first[:-1]).view(np.int64)
+                spread = K.mix(t & _U((1 << 44) - 1))
+                bit, upper = _U(1) << (spread & _U(63)), (spread & _U(64)) > 0
+                sketch, sketch2 = (np.bitwise_xor.reduceat(np.where(half, bit, _U(0)), first[:-1]).view(np.int64) for half in (~upper, upper))
                 length = np.where(keep, n - -(-num * n // den) + 1, 0)
                 own = np.repeat(np.arange(len(n)), length)
                 at = np.arange(len(own)) - np.repeat(np.cumsum(length) - length, length)
@@ -128,19 +129,18 @@ def _prefixes(order, num: int, den: int):
                 some = (token >> _U(44)) > 0  # a word that occurs once is in no other line
                 own, at, token = own[some], at[some], token[some]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(token.view(np.int64)), by_id.column(0).take(pa.array(row[own] + w.lo)), *(pa.array(a) for a in (no[own].astype(np.int32), fp[own], sketch[own], n[own].astype(np.int32), at.astype(np.int32)))],
-                    ["token", "doc", "line", "fp", "sketch", "n", "at"],
+                    [pa.array(token.view(np.int64)), by_id.column(0).take(pa.array(row[own] + w.lo)), *(pa.array(a) for a in (no[own].astype(np.int32), fp[own], sketch[own], sketch2[own], n[own].astype(np.int32), at.astype(np.int32)))],
+                    ["token", "doc", "line", "fp", "sketch", "sketch2", "n", "at"],
                 )
 
     return run
 
 
-def _may_match(na, nb, ia, ib, sketch, num: int, den: int):
-    """Length, positional and sketch filters on arrays of pairs."""
+def _may_match(na, nb, ia, ib, num: int, den: int):
+    """Length and positional filters on arrays of pairs."""
     total = na + nb
     need = -(-num * total // (den + num))
-    ok = (np.minimum(na, nb) * den >= np.maximum(na, nb) * num) & (1 + np.minimum(na - ia, nb - ib) - 1 >= need)
-    return ok & (np.bitwise_count(sketch.view(np.uint64)) * (den + num) <= total * (den - num))
+    return (np.minimum(na, nb) * den >= np.maximum(na, nb) * num) & (np.minimum(na - ia, nb - ib) >= need)
 
 
 def _partners(num: int, den: int):
@@ -148,7 +148,7 @@ def _partners(num: int, den: int):
 
     def done(cols, end):
         """Pairs of the runs in rows [0, end)."""
-        token, fp, sketch, n, at = (c[:end] for c in cols)
+        token, fp, sketch, sketch2, n, at = (c[:end] for c in cols)
         n, at = n.astype(np.int64), at.astype(np.int64)
         edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if end else np.zeros(0, np.int64)
         size = np.diff(np.append(edge, end))
@@ -166,9 +166,10 @@ def _partners(num: int, den: int):
             i = np.repeat(np.arange(begin, stop), width[begin:stop])
             j = np.arange(len(i)) - np.repeat(np.cumsum(width[begin:stop]) - width[begin:stop], width[begin:stop]) + low[i]
             i, j = rows[i], rows[j]
-            ok = np.bitwise_count((sketch[i] ^ sketch[j]).view(np.uint64)) * (den + num) <= (n[i] + n[j]) * (den - num)
+            differ = sum(np.bitwise_count((x[i] ^ x[j]).view(np.uint64)).astype(np.int64) for x in (sketch, sketch2))
+            ok = differ * (den + num) <= (n[i] + n[j]) * (den - num)
             i, j = i[ok], j[ok]
-            ok = _may_match(n[i], n[j], at[i], at[j], sketch[i] ^ sketch[j], num, den) & (fp[i] != fp[j])
+            ok = _may_match(n[i], n[j], at[i], at[j], num, den) & (fp[i] != fp[j])
             xs.append(np.maximum(i[ok], j[ok]))
             ys.append(np.minimum(i[ok], j[ok]))
             begin = stop
@@ -183,7 +184,7 @@ def _partners(num: int, den: int):
     def run(batches):
         cols, skipped = None, np.zeros(0, np.int64)
         for b in batches:
-            new = [b.column(i).to_numpy(zero_copy_only=False) for i in (0, 3, 4, 5, 6)]
+            new = [b.column(i).to_numpy(zero_copy_only=False) for i in (0, 3, 4, 5, 6, 7)]
             cols = new if cols is None else [np.concatenate([c, x]) for c, x in zip(cols, new, strict=True)]
             if len(cols[0]) < 1 << 16:
                 continue
@@ -249,7 +250,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     later = verified(pairs.filter("y is not null"))
     left = scratch.save(pairs.filter("y is null").select(F.col("x").alias("fp")).join(later, "fp", "left_anti"))
     if left.limit(1).count():
-        cols = ("doc", "line", "fp", "sketch", "n", "at")
+        cols = ("doc", "line", "fp", "sketch", "sketch2", "n", "at")
         x = rows.join(left, "fp", "left_semi").select("token", *(F.col(c).alias(f"x_{c}") for c in cols))
         y = rows.select("token", *(F.col(c).alias(f"y_{c}") for c in cols))
         total = F.col("x_n") + F.col("y_n")
@@ -257,7 +258,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
             (F.col("x_fp") != F.col("y_fp"))
             & (F.least("x_n", "y_n") * den >= F.greatest("x_n", "y_n") * num)
             & ((F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))) * (den + num) >= total * num)
-            & (F.bit_count(F.col("x_sketch").bitwiseXOR(F.col("y_sketch"))) * (den + num) <= total * (den - num))
+            & ((F.bit_count(F.col("x_sketch").bitwiseXOR(F.col("y_sketch"))) + F.bit_count(F.col("x_sketch2").bitwiseXOR(F.col("y_sketch2")))) * (den + num) <= total * (den - num))
         )
         more = x.join(y, "token").filter(possible).select(F.col("x_fp").alias("x"), F.col("y_fp").alias("y")).distinct()
         later = later.unionByName(verified(scratch.save(more))).distinct()
