@@ -178,12 +178,6 @@ def test_streams(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("answers").trigger(availableNow=True).start()
     assert q.awaitTermination(60)
     assert spark.table("answers").filter("qanswer = 'resp:who'").count() == 2
-    turns = spark.createDataFrame([("1", "hm"), ("1", "<answer>x</answer>"), ("2", "hm")], "qid string, text string")
-    turns.write.parquet(str(tmp_path / "turns"))
-    live = streams.agent_turns(spark.readStream.schema("qid string, text string").parquet(str(tmp_path / "turns")), max_turn=5)
-    q = live.writeStream.format("memory").queryName("ended").outputMode("append").trigger(availableNow=True).start()
-    assert q.awaitTermination(60)
-    assert [(r["qid"], r["qanswer"]) for r in spark.table("ended").collect()] == [("1", "x")]
 
 
 def test_catalogue_imports():
