@@ -13,6 +13,8 @@ and last part of a chunk depend on its states. Texts up to ``CHUNK`` characters
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
 from functools import lru_cache
 
 import pandas as pd
@@ -24,9 +26,23 @@ from ragloom.llm.scratch import Scratch
 
 CHUNK, CACHE = 1 << 14, 1 << 18
 SPACE = "▁"
+_PARTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+class WordIds(dict):
+    """Ids by word, at most ``CACHE`` of them."""
+
+    def __init__(self, ids_of):
+        self.ids_of = ids_of
+
+    def __missing__(self, word: str) -> list[int]:
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = ids = self.ids_of(word)
+        return ids
+
+
 class PieceModel:
     """Pieces, ranks and byte pieces of a SentencePiece byte-pair model file."""
 
@@ -42,17 +58,23 @@ class PieceModel:
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in special}
         self.rank = {p: -sp.get_score(i) for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
+        self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         self.words_apart = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.fits = lru_cache(CACHE)(self._fits)
         self.word = lru_cache(CACHE)(self._word)
+        self.word_ids = WordIds(lambda word: self.to_ids(self._word(word)))
 
     def _merged(self, text: str) -> list[str]:
-        parts = list(text)
-        while len(parts) > 1:
-            rank, at = min((self.rank.get(a + b, float("inf")), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == float("inf"):
-                break
+        parts, none = list(text), float("inf")
+        ranks = [self.rank.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (low := min(ranks)) < none:
+            at = ranks.index(low)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = self.rank.get(parts[at - 1] + parts[at], none)
+            if at < len(ranks):
+                ranks[at] = self.rank.get(parts[at] + parts[at + 1], none)
         return parts
 
     def _fits(self, left: str, right: str) -> bool:
@@ -66,6 +88,8 @@ class PieceModel:
             for _, before in last.get(i, ()):
                 for j in range(i + 1, min(len(text), i + self.longest) + 1):
                     p = text[i:j]
+                    if j > i + 1 and p not in self.starts:
+                        break
                     # from one piece on, at most one piece ends at a place
                     if j not in last and (j == i + 1 or p in self.ids) and self.fits(before, p):
                         last.setdefault(j, []).append((i, p))
@@ -124,7 +148,7 @@ class PieceModel:
         tail = self.path(self.reached(text, cuts[-1], "", end), cuts[-1], leave[0], leave[1] or None) if leave[0] > cuts[-1] else []
         return [*head, *body, *(tail or [])]
 
-    def to_ids(self, pieces: list[str]) -> list[int]:
+    def to_ids(self, pieces: Iterable[str]) -> list[int]:
         """Ids; a character without a piece is its bytes, or the unknown id without byte pieces."""
         out: list[int] = []
         for p in pieces:
@@ -136,8 +160,10 @@ class PieceModel:
         if not text:
             return []
         text = SPACE + text.replace(" ", SPACE)
-        cuts = self.cuts(text, 0, len(text) - 1)
-        return self.to_ids([p for a, z in zip([0, *cuts], [*cuts, len(text)], strict=True) for p in self.word(text[a:z])])
+        out: list[int] = []
+        for word in _PARTS.findall(text) if self.words_apart else [text]:
+            out += self.word_ids[word]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids of one whole encoding."""
