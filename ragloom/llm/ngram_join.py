@@ -6,9 +6,10 @@ similarity. It deals the feature domain to ``groups`` parts, each of three sub-p
 signatures are, for each group, the three choices of two sub-parts. Two sets with at most k
 differences have at most one in ``slack + 1`` groups at least, and share a signature there.
 
-Signatures over fewer than ``TINY`` features would be frequent. A set leaves them out only if at most
-``slack`` of its groups have one: then one of the ``slack + 1`` agreeing groups has none, so no pair
-is lost unless both sets have more, and such sets keep all their signatures.
+Signatures over few features would be frequent. A set leaves out those over fewer than t, the largest t
+up to ``TINY`` for which at most ``slack`` of its groups have one. Of two linked sets, let t be the larger of their two:
+one of the ``slack + 1`` agreeing groups has no signature under t in its set, so the one that they share there
+has t features or more and both keep it.
 
 Equal sets are one node. Nodes that share a signature are candidates, in steps, so that a large group
 of near copies gives a few pairs a node: for a few rounds each node against the first node of its
@@ -40,14 +41,16 @@ HUB_ROUNDS = 2
 @lru_cache(maxsize=8)
 def instances(num: int, den: int, largest: int) -> list[tuple[int, int, int, int]]:
     """(low, high, groups, slack) of each instance: two sets with 0 < num/den * larger <= smaller share one that holds both sizes."""
+    # at a low similarity groups hold few features: narrower bands and more slack keep tiny signatures out
+    power, part = (3, 16) if 10 * num >= 9 * den else (2, 8)
     out, low = [], 1
     while low <= largest:
-        high = max(low, low * den**3 // num**3)
+        high = max(low, low * den**power // num**power)
         while -(-num * (high + 1) // den) <= low:
             high += 1
         k = 2 * high * (den - num) // (den + num)
         groups = -(-(k + 1) // 2) if k else 0
-        slack = groups // 16
+        slack = groups // part
         out.append((low, high, groups + slack, slack))
         low = -(-num * (high + 1) // den)
     return out
@@ -101,9 +104,10 @@ def _signatures(sh: np.ndarray, row: np.ndarray, first: np.ndarray, num: int, de
         with_two = counts.sum(1, keepdims=True) - counts
         tag = (inst[g_row].astype(np.uint64) << np.uint64(40)) + (g_no.astype(np.uint64) << np.uint64(2))
         sig = K.mix(sums.sum(1, keepdims=True, dtype=np.uint64) - sums + K.mix(tag[:, None] + np.arange(3, dtype=np.uint64)))
-        tiny = with_two < TINY
-        bad = np.bincount(g_row[tiny.any(1)], minlength=len(size))
-        keep = ~tiny | (bad > slack)[g_row][:, None]
+        fewest, least = with_two.min(1), np.zeros(len(size), np.int64)
+        for t in range(1, TINY + 1):
+            least[np.bincount(g_row[fewest < t], minlength=len(size)) <= slack] = t
+        keep = with_two >= least[g_row][:, None]
         out.append(sig[keep].view(np.int64))
         owner.append(np.broadcast_to(g_row[:, None], keep.shape)[keep])
     return (np.concatenate(out), np.concatenate(owner)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
