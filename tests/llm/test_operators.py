@@ -201,3 +201,13 @@ def test_sentencepiece_equals_the_library(spark):
     assert got == {i: sp.encode(t or "") for i, t in enumerate(texts)}
     m = sentencepiece_scan.model_of(sentencepiece_scan.DEFAULT_MODEL)
     assert all(m.decode(got[i]) == (t or "") for i, t in enumerate(texts))
+
+
+ARTICLE = '<article class="post"><h1>A title</h1><p>The text of the article is here, and it is long enough.</p>{}</article><footer class="footer">me</footer>'
+MAIN_TEXT = "A title\nThe text of the article is here, and it is long enough."
+
+
+@pytest.mark.parametrize("before", [f'<img src="data:image/png;base64,{"A" * 150000}" alt="x">', f"<img src='{'A' * 150000}' alt='>'>", "<p title=it's>Hm.</p>", '<img src="a"">'])
+def test_html_attribute_values_have_no_bound(before):
+    page = html_content.Page('<html><body><nav class="menu"><ul><li><a href="/">Menu</a></li></ul></nav>' + before + ARTICLE.format('<p class="last">It\'s "over".</p>'))
+    assert [t for t in page.text if t][-4:] == [*MAIN_TEXT.split("\n"), 'It\'s "over".', "me"]
