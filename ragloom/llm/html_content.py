@@ -28,8 +28,12 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>\s++|/(?!>
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _MARK = re.compile(r"\bdata-(main|noise)\b")
 _NAME = re.compile(r"[a-z]+")
-#: Elements whose text is never shown or no text, by the HTML standard.
-_SKIPPED = frozenset("script style noscript template iframe object svg math canvas audio video textarea select title".split())
+#: Elements whose source is text up to their end tag, which is never shown.
+_RAW = frozenset("script style noscript iframe textarea title".split())
+#: Elements whose content is not shown, if they are closed.
+_HIDDEN = frozenset("template object svg canvas audio video select annotation annotation-xml".split())
+_FOREIGN = frozenset("svg math".split())
+_HTML_IN_FOREIGN = frozenset("foreignobject annotation-xml".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "html head body address article aside blockquote button center details dialog dd div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr "
@@ -52,26 +56,19 @@ class Page:
         self.parent, self.features, self.text, self.label = [-1], [("t:root",)], [None], [0]
         self._stack, self._open = [("root", 0)], {"root": 1}
         self._run, self._linked, self._in_link = [], 0, 0
-        at, end, low = 0, len(source), None
-        while at < end:
-            m = _TOKEN.search(source, at)
-            self._add(source[at : m.start() if m else end])
-            if not m:
-                break
-            at = m.end()
-            name = m[2]
+        at = 0
+        for start, stop, closes, name, attributes in _tags(source):
+            if start < at:
+                continue
+            self._add(source[at:start])
+            at = stop
             if name is None:
                 continue
-            name = name.lower()
-            if m[1]:
+            if closes:
                 self._close(name)
-            elif name in _SKIPPED:
-                low = low or source.lower()
-                low = low if len(low) == end else _ascii_lower(source)
-                stop = low.find("</" + name, at)
-                at = end if stop < 0 else stop
-            else:
-                self._begin(name, m[3], marks)
+            elif name not in _HIDDEN and name not in _RAW:
+                self._begin(name, attributes, marks)
+        self._add(source[at:])
         self._flush()
 
     def _add(self, text: str) -> None:
@@ -149,6 +146,62 @@ class Page:
         del self._stack[k:]
 
 
+def _tags(source: str) -> list[tuple[int, int, bool, str | None, str]]:
+    """(start, stop, whether it closes, name, attributes) of the tags of a page; name is None for comments and the like.
+
+    stop of an element that is not shown is where its content ends: at the end tag that nests with it, for svg and math also at
+    a tag of HTML that ends them. One that is empty or never closed stops at its start tag. Raw text without an end tag goes on to the end.
+    """
+    out: list[tuple[int, int, bool, str | None, str]] = []
+    opened: dict[str, list[int]] = {}
+    at, end, low = 0, len(source), None
+
+    def hide(k: int, stop: int) -> None:
+        out[k] = (out[k][0], stop, *out[k][2:])
+
+    while m := _TOKEN.search(source, at):
+        at = m.end()
+        if m[2] is None:
+            out.append((m.start(), at, False, None, ""))
+            continue
+        name, closes = m[2].lower(), bool(m[1])
+        if name in _BLOCK and (opened.get("svg") or opened.get("math")) and not any(map(opened.get, _HTML_IN_FOREIGN)):
+            for f in _FOREIGN:
+                for k in opened.pop(f, ()):
+                    if f in _HIDDEN:
+                        hide(k, m.start())
+        foreign = bool(opened.get("svg") or opened.get("math"))
+        out.append((m.start(), at, closes, name, m[3]))
+        if closes:
+            if opened.get(name):
+                k = opened[name].pop()
+                if name in _HIDDEN:
+                    hide(k, m.start())
+                if name in _FOREIGN:
+                    opened.pop("foreignobject", None)
+        elif name in _HIDDEN or name in _FOREIGN or name in _HTML_IN_FOREIGN:
+            if not m[4]:
+                opened.setdefault(name, []).append(len(out) - 1)
+        elif name in _RAW and not (foreign and m[4]):
+            low = low or source.lower()
+            low = low if len(low) == end else _ascii_lower(source)
+            stop = _end_tag(low, name, at)
+            if foreign:
+                ends = [x for x in (stop, *(_end_tag(low, f, at) for f in _FOREIGN if opened.get(f))) if x >= 0]
+                stop = min(ends, default=at)
+            at = end if stop < 0 else stop
+            hide(len(out) - 1, at)
+    return out
+
+
+def _end_tag(low: str, name: str, at: int) -> int:
+    """Where the next end tag of the name begins, or -1."""
+    stop = low.find("</" + name, at)
+    while stop >= 0 and (after := low[stop + 2 + len(name) : stop + 3 + len(name)]) and after not in " \t\n\f\r/>":
+        stop = low.find("</" + name, stop + 2)
+    return stop
+
+
 def _ascii_lower(text: str) -> str:
     return text.translate({c: c + 32 for c in range(65, 91)})
 

@@ -211,3 +211,22 @@ MAIN_TEXT = "A title\nThe text of the article is here, and it is long enough."
 def test_html_attribute_values_have_no_bound(before):
     page = html_content.Page('<html><body><nav class="menu"><ul><li><a href="/">Menu</a></li></ul></nav>' + before + ARTICLE.format('<p class="last">It\'s "over".</p>'))
     assert [t for t in page.text if t][-4:] == [*MAIN_TEXT.split("\n"), 'It\'s "over".', "me"]
+
+
+@pytest.mark.parametrize(
+    ("before", "inside"),
+    [
+        ('<svg class="icon"/>', ""), ('<svg class="icon"/>', '<svg viewBox="0 0 1 1"><title>Icon</title></svg>'), ("<math/>", ""), ("", "<svg/><video src=a />"), ('<div><video src="a"></div>', ""), ("<audio src=a>", "<audio src=b>No sound</audio>"),
+        ("<object data=a>", ""), ("<div><svg><path d='M0'></div>", "<svg><path/></svg>"), ("<svg><title/><style/><path/></svg>", ""), ("<svg><title>Icon</svg>", ""), ("<svg><svg>a</svg>b</svg>", ""), ("<svg><foreignObject><p>Hm.</p></foreignObject></svg>", ""),
+        ("<template><script>'</template>'</script><p>Hm.</p></template>", ""), ("<svg><path><script>if (a<b) '<p>'</script>", ""), ("<script>'</scripts>'</script>", ""),
+    ],
+)
+def test_html_elements_that_are_not_shown(before, inside):
+    page = html_content.Page('<html><body><nav class="menu"><ul><li><a href="/">Menu</a></li></ul></nav>' + before + ARTICLE.format(inside))
+    assert [t for t in page.text if t] == ["Menu", *MAIN_TEXT.split("\n"), "me"]
+
+
+def test_html_formulas_are_text():
+    page = html_content.Page("<p>So <math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>\\x</annotation></semantics></math> here.</p>")
+    assert [t for t in page.text if t] == ["So x=1 here."]
+    assert [t for t in html_content.Page("<p>One</p><title>two<p>three</p>").text if t] == ["One"]
