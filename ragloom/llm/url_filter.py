@@ -7,8 +7,11 @@ down to a uniform one. A URL's score is the mean over its characters of the log-
 the accepted model less that under the rejected one, so length does not count. URLs that score below
 a threshold are rejected; the threshold is calibrated on labelled URLs that the models did not see.
 
-Counts are summed into arrays of ``BUCKETS`` hashed n-grams for each order and class, which bounds the
-model at any input size. Labels are weak ones: a URL whose host has one of ``REJECT_TERMS`` is a
+Counts are exact: a written table has each n-gram of ORDER + 1 characters of the URLs, with its counts in
+both classes, and grows with the input; the counts of shorter n-grams and of contexts are sums of its rows.
+All that a URL's character adds to its score depends on its n-gram, so URLs' n-grams are joined to a table
+of these terms. N-grams with more than one in ``HOT`` of all characters are dealt to ``SALTS`` parts.
+Labels are weak ones: a URL whose host has one of ``REJECT_TERMS`` is a
 rejected example, any other URL with a host is an accepted one. Every labelled URL is counted, those
 whose hash is 0 modulo 5 for the calibration and the others for the models.
 """
@@ -20,7 +23,8 @@ from pyspark.sql import functions as F
 
 from ragloom.llm.scratch import Scratch
 
-ORDER, BUCKETS, STRENGTH, ALPHABET = 3, 1 << 14, 4.0, 64.0
+ORDER, STRENGTH, ALPHABET = 3, 4.0, 64.0
+HOT, SALTS = 100, 64
 BINS, SPAN = 400, 4.0
 #: Words of hosts that serve as examples of what to reject.
 REJECT_TERMS = ("spam", "casino", "pills", "bets", "ads", "porn", "xxx", "viagra", "poker", "track")
@@ -60,52 +64,43 @@ def _grams(text: Column) -> Column:
     return F.get(F.transform(F.array(chars), windows), 0)
 
 
-def _place(gram: Column, n: int, offset: int) -> Column:
-    """Bucket of the n characters that end ``offset`` before the end of a window."""
-    return F.pmod(F.xxhash64(F.lit(n), F.substring(gram, ORDER + 2 - n - offset, n)), F.lit(BUCKETS)).cast("int")
-
-
-def _model(examples: DataFrame) -> DataFrame:
-    """One row: for each class (1 accepted, 0 rejected) arrays g{class}{n} of the counts of n-grams and c{class}{n} of contexts of n characters, by bucket; examples has (key, good)."""
-    spots = examples.select("good", F.explode(_grams(F.col("key"))).alias("w"))
-    kinds = [(f"g{n}", _place(F.col("w"), n, 0)) for n in range(1, ORDER + 2)] + [(f"c{n}", _place(F.col("w"), n, 1)) for n in range(ORDER + 1)]
-    rows = spots.select("good", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), at.alias("at")) for k, at in kinds))).alias("x"))
-    sums = rows.groupBy("good", F.col("x.kind").alias("kind"), F.col("x.at").alias("at")).agg(F.count("*").cast("double").alias("n"))
-    zeros = examples.sparkSession.range(BUCKETS).select(
-        F.explode(F.array(F.lit(True), F.lit(False))).alias("good"), F.col("id").cast("int").alias("at")
-    ).select("good", F.explode(F.array(*(F.lit(k) for k, _ in kinds))).alias("kind"), "at", F.lit(0.0).alias("n"))
-    # each array has BUCKETS entries, whatever the input
-    arrays = (
-        sums.unionByName(zeros).groupBy("good", "kind", "at").agg(F.sum("n").alias("n"))
-        .groupBy("good", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "n"))), lambda x: x["n"]).alias("counts"))
-    )
-    wanted = [(f"{k[0]}{int(good)}{k[1:]}", k, good) for k, _ in kinds for good in (True, False)]
-    return arrays.groupBy().agg(*(F.max(F.when((F.col("kind") == k) & (F.col("good") == good), F.col("counts"))).alias(name) for name, k, good in wanted))
-
+def _model(urls: DataFrame) -> DataFrame:
+    """(gram, n, term) of each n-gram of ORDER + 1 characters of the keys: how often it is there and the log of its last character's probability under the accepted model less that under the rejected one.
 
-def _scored(urls: DataFrame, model: DataFrame) -> DataFrame:
-    """urls with ``score``: the mean log-likelihood difference over the characters of ``key``, its end included. Rows that repeat come back as often.
-
-    Characters are summed on the task that reads the URL; what is shuffled is a row a URL.
+    urls has (key, good, held); models count the rows where good is not null and held is false.
     """
-    m, gram = model.select(F.struct("*")).scalar(), F.col("_w")
+    learnt = ~F.coalesce("held", F.lit(True))
+    spots = urls.select((learnt & F.col("good")).alias("a"), (learnt & ~F.col("good")).alias("b"), F.explode(_grams(F.col("key"))).alias("gram"))
+    grams = Scratch(urls.sparkSession).save(spots.groupBy("gram").agg(F.count("*").alias("n"), F.count_if("a").alias("g1"), F.count_if("b").alias("g0")))
+    # counts of the last n characters, for n from ORDER + 1 down
+    counts = {ORDER + 1: grams.select("gram", "g1", "g0")}
+    for n in range(ORDER, 0, -1):
+        counts[n] = counts[n + 1].groupBy(F.substring("gram", 2, n).alias("gram")).agg(F.sum("g1").alias("g1"), F.sum("g0").alias("g0"))
+    table = counts[1].crossJoin(F.broadcast(counts[1].agg(F.sum("g1").alias("c1"), F.sum("g0").alias("c0"))))
+    for n in range(1, ORDER + 2):
+        if n > 1:
+            context = counts[n].groupBy(F.substring("gram", 1, n - 1).alias("context")).agg(F.sum("g1").alias("c1"), F.sum("g0").alias("c0"))
+            shorter = table.select(F.col("gram").alias("suffix"), "p1", "p0")
+            table = counts[n].withColumn("context", F.substring("gram", 1, n - 1)).withColumn("suffix", F.substring("gram", 2, n - 1)).join(context, "context").join(shorter, "suffix")
+        p1, p0 = (F.col(f"p{k}") if n > 1 else F.lit(1.0 / ALPHABET) for k in (1, 0))
+        table = table.select("gram", *(((F.col(f"g{k}") + p * STRENGTH) / (F.col(f"c{k}") + STRENGTH)).alias(f"p{k}") for k, p in ((1, p1), (0, p0))))
+    return grams.select("gram", "n").join(table.select("gram", F.log(F.col("p1") / F.col("p0")).alias("term")), "gram")
 
-    def probability(good: int) -> Column:
-        p = F.lit(1.0 / ALPHABET)
-        for n in range(ORDER + 1):
-            p = (F.get(m[f"g{good}{n + 1}"], _place(gram, n + 1, 0)) + p * STRENGTH) / (F.get(m[f"c{good}{n}"], _place(gram, n, 1)) + STRENGTH)
-        return p
 
-    spots = urls.withColumn("_w", F.explode(_grams(F.col("key"))))
-    sums = spots.groupBy(*urls.columns).agg(F.avg(F.log(probability(1) / probability(0))).alias("score"), F.count("*").alias("_n"))
-    times = F.col("_n").cast("bigint").cast("int") / (F.char_length("key") + 1)
-    return sums.withColumn("_n", F.explode(F.sequence(F.lit(1), F.round(times).cast("int")))).drop("_n")
+def _scored(urls: DataFrame, model: DataFrame) -> DataFrame:
+    """(row, score) of urls (row, key): the mean term over the characters of ``key``, its end included. row names a row of the table."""
+    # more than one in HOT each, so there are fewer than HOT of them
+    hot = model.crossJoin(F.broadcast(model.agg(F.sum("n").alias("total")))).filter(F.col("n") * HOT > F.col("total")).select("gram", F.lit(SALTS).alias("salts"))
+    terms = model.select("gram", "term").join(F.broadcast(hot), "gram", "left").select("gram", "term", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    spots = urls.select("row", F.posexplode(_grams(F.col("key"))).alias("at", "gram")).join(F.broadcast(hot), "gram", "left")
+    salted = spots.select("row", "gram", F.coalesce(F.pmod(F.col("row") + F.col("at"), F.col("salts")), F.lit(0)).cast("int").alias("salt"))
+    return salted.join(terms, ["gram", "salt"]).groupBy("row").agg(F.avg("term").alias("score"))
 
 
 def examples(urls: DataFrame, terms=REJECT_TERMS) -> DataFrame:
-    """(key, good, held) of the URLs with a host; a host is rejected if a part of it between dots and hyphens is one of ``terms``."""
-    bad = F.arrays_overlap(F.split("host", r"[.\-]"), F.array(*map(F.lit, terms)))
-    return urls.filter("host != ''").select("key", (~bad).alias("good"), (F.pmod(F.xxhash64("key"), F.lit(5)) == 0).alias("held"))
+    """urls with good and held, which are null for URLs without host; a host is rejected if a part of it between dots and hyphens is one of ``terms``."""
+    bad, told = F.arrays_overlap(F.split("host", r"[.\-]"), F.array(*map(F.lit, terms))), F.col("host") != ""
+    return urls.withColumn("good", F.when(told, ~bad)).withColumn("held", F.when(told, F.pmod(F.xxhash64("key"), F.lit(5)) == 0))
 
 
 def threshold(scored: DataFrame) -> DataFrame:
@@ -134,11 +129,12 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rule
     scratch = Scratch(pages.sparkSession)
     host, path = host_and_path(F.col(url_col).cast("string"))
     urls = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path")).withColumn("key", F.concat("host", "path"))
-    labelled = examples(urls, terms)
-    model = scratch.save(_model(labelled.filter("not held").select("key", "good")))
-    cut = scratch.save(threshold(_scored(labelled.filter("held").select("key", "good"), model)))
+    rows = scratch.save(examples(urls, terms).withColumn("row", F.monotonically_increasing_id()))
+    model = scratch.save(_model(rows))
+    scored = scratch.save(_scored(rows, model))
+    cut = scratch.save(threshold(rows.filter("held").join(scored, "row").select("good", "score")))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     score = F.when(F.col("host") != "", F.col("score"))
-    out = _scored(urls, model).select(F.col("_id").alias(id_col), "host", "path", rule.alias("rule"), verdict.alias("ruled"), score.alias("score"))
+    out = rows.join(scored, "row", "left").select(F.col("_id").alias(id_col), "host", "path", rule.alias("rule"), verdict.alias("ruled"), score.alias("score"))
     by_model = F.when(F.coalesce(F.col("score") < cut.scalar(), F.lit(False)), "block").otherwise("allow")
     return out.select(id_col, "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"), "score")

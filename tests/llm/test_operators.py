@@ -230,3 +230,27 @@ def test_html_formulas_are_text():
     page = html_content.Page("<p>So <math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>\\x</annotation></semantics></math> here.</p>")
     assert [t for t in page.text if t] == ["So x=1 here."]
     assert [t for t in html_content.Page("<p>One</p><title>two<p>three</p>").text if t] == ["One"]
+
+
+def test_url_model_counts_are_exact(spark):
+    urls = [f"http://h{i}.example.org/{chr(0x4E00 + 7 * i)}{chr(0x5E00 + 11 * i)}/{i * 7919}" for i in range(1500)] + [f"http://casino-{i}.example.org/{chr(0x6E00 + 3 * i)}/{i}" for i in range(500)]
+    rows = url_filter.examples(spark.createDataFrame([(u.split("/")[2], "/" + u.split("/", 3)[3], u.split("//")[1]) for u in urls], "host string, path string, key string"))
+    counts = {k: Counter() for k in (True, False)}
+    seen, examples = set(), rows.collect()
+    for r in examples:
+        key = "^^^" + r["key"] + "\n"
+        for i in range(3, len(key)):
+            seen.add(key[i - 3 : i + 1])
+            for n in range(4) if not r["held"] else ():
+                counts[r["good"]][(key[i - n : i], key[i])] += 1
+                counts[r["good"]][key[i - n : i]] += 1
+
+    def p(good, gram):
+        out = 1 / 64
+        for n in range(4):
+            out = (counts[good][(gram[3 - n : 3], gram[3])] + 4 * out) / (counts[good][gram[3 - n : 3]] + 4)
+        return out
+
+    got = {r["gram"]: r["term"] for r in url_filter._model(rows).collect()}
+    assert got.keys() == seen and len(seen) > 8000
+    assert all(abs(got[g] - np.log(p(True, g) / p(False, g))) < 1e-9 for g in seen)
