@@ -6,20 +6,23 @@ and an incompatible pair minus infinity, and the best path in max-plus algebra i
 
 A state at a chunk's border is the piece that ends at or reaches over it. A chunk's transfer matrix says which
 state at its end each state at its start leads to (the entries that are not minus infinity); matrices of a
-document's chunks are multiplied in order, the path is chosen from the end, and each chunk is then
+document's chunks are applied in order to one set of states, on one task a document, the path is chosen from the end, and each chunk is then
 backtraced for itself between its two states. No piece reaches over the start of a word, so only the first
 and last part of a chunk depend on its states. Texts up to ``CHUNK`` characters are one chunk.
 """
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Iterable
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragloom.llm.scratch import Scratch
@@ -55,6 +58,7 @@ class PieceModel:
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in special if sp.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = sp.unk_id()
+        self.raw = pa.array([bytes([self.byte_of[i]]) if i in self.byte_of else p.encode() for i, p in enumerate(self.pieces)], pa.binary())
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in special}
         self.rank = {p: -sp.get_score(i) for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
@@ -178,7 +182,9 @@ def model_of(path: str) -> PieceModel:
 
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL, chunk: int = CHUNK) -> DataFrame:
-    """(id, part, ids array<int>): the piece ids of every whole text in parts by number; a text up to ``chunk`` characters is part 0.
+    """(id, row, part, ids array<int>): the piece ids of every whole text in parts by number; a text up to ``chunk`` characters is part 0.
+
+    row names the text that a part is of, and is null for texts of one part.
 
     Null and empty texts have part 0 with no ids. Repeated rows come back as often. A text with a space mark of its own is encoded
     as if it were a space. The model file must be at that path on the executors.
@@ -192,7 +198,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([0] * b.num_rows, pa.int32()), pa.array([m.encode(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["id", "part", "ids"])
 
-    out = short.mapInArrow(whole, f"id {kind}, part int, ids array<int>")
+    out = short.mapInArrow(whole, f"id {kind}, part int, ids array<int>").select("id", F.lit(None).cast("bigint").alias("row"), "part", "ids")
     scratch = Scratch(docs.sparkSession)
     longest = model_of(model).longest
     marked = rows.filter(F.char_length("text") > chunk).select("id", F.monotonically_increasing_id().alias("row"), F.concat(F.lit(SPACE), F.replace("text", F.lit(" "), F.lit(SPACE))).alias("t"))
@@ -232,7 +238,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
         return pd.DataFrame(rows, columns=["row", "part", "a", "p", "b", "q"])
 
     chosen = table.groupBy("row").applyInPandas(states, "row bigint, part int, a int, p string, b int, q string")
-    both = parts.join(chosen, ["row", "part"]).select("id", "part", "t", "start", "length", "a", "p", "b", "q")
+    both = parts.join(chosen, ["row", "part"]).select("id", "row", "part", "t", "start", "length", "a", "p", "b", "q")
 
     def backtraced(batches):
         m = model_of(model)
@@ -241,9 +247,50 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
                 m.to_ids(m.between(r["t"], (r["start"] + r["a"], r["p"]), r["start"] + r["length"], (r["start"] + r["length"] + r["b"], r["q"])))
                 for r in b.select(["t", "start", "length", "a", "p", "b", "q"]).to_pylist()
             ]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("part"), pa.array(ids, pa.list_(pa.int32()))], ["id", "part", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), b.column("part"), pa.array(ids, pa.list_(pa.int32()))], ["id", "row", "part", "ids"])
+
+    return out.unionByName(both.mapInArrow(backtraced, f"id {kind}, row bigint, part int, ids array<int>"))
+
+
+def decoded(parts: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
+    """(id, row, part, ids, text) of parts (id, row, part, ids), which are read twice: the texts of a row's parts, joined by number, are the text of all its ids.
+
+    A part is decoded for itself. Bytes that end a part amid a character go to the next part with ids, and only a row's first part
+    with ids loses a leading space. A part with a null row is a whole text.
+    """
+    kind = dict(parts.dtypes)["id"]
+    parts = parts.select("id", "row", "part", "ids")
+    order = Window.partitionBy("row").orderBy("part")
+    # a character has four bytes, so three before a part decide on what it begins with
+    tails = parts.filter("row is not null and size(ids) > 0").select("row", "part", F.slice("ids", F.greatest(F.size("ids") - 2, F.lit(1)), 3).alias("tail"))
+    borders = tails.select("row", "part", F.flatten(F.collect_list("tail").over(order.rowsBetween(-3, -1))).alias("before"), F.lead("part").over(order).isNull().alias("ends"))
+    single = parts.filter("row is null").withColumn("before", F.array().cast("array<int>")).withColumn("ends", F.lit(True))
+    linked = parts.filter("row is not null").join(borders, ["row", "part"], "left").select("id", "row", "part", "ids", "before", "ends")
+
+    def run(batches):
+        m = model_of(model)
+        for b in batches:
+            raw, before = (_joined(b.column(c), m.raw) for c in ("ids", "before"))
+            text = [_text(x, y, z) for x, y, z in zip(raw, before, b.column("ends").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "row", "part", "ids")), pa.array(text, pa.string())], ["id", "row", "part", "ids", "text"])
+
+    return single.unionByName(linked).mapInArrow(run, f"id {kind}, row bigint, part int, ids array<int>, text string")
+
+
+def _joined(ids: pa.Array, raw: pa.Array) -> list[bytes]:
+    """The bytes of each list of ids; none for a null."""
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, raw.take(pc.list_flatten(ids))), b"").to_pylist()
+
 
-    return out.unionByName(both.mapInArrow(backtraced, f"id {kind}, part int, ids array<int>"))
+def _text(raw: bytes, before: bytes, ends: bool | None) -> str:
+    """Text of a part's bytes after the last bytes before it; what is amid a character at the end is left to the next part."""
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    if before:
+        decoder.decode(before[max(0, len(before) - 3) :])
+    text = decoder.decode(raw, bool(ends)).replace(SPACE, " ")
+    return text[1:] if not before and text.startswith(" ") else text
 
 
 def _same(entry: tuple[int, str], state: tuple[int, str]) -> bool:

@@ -254,3 +254,31 @@ def test_url_model_counts_are_exact(spark):
     got = {r["gram"]: r["term"] for r in url_filter._model(rows).collect()}
     assert got.keys() == seen and len(seen) > 8000
     assert all(abs(got[g] - np.log(p(True, g) / p(False, g))) < 1e-9 for g in seen)
+
+
+def test_sentencepiece_decodes_parts(spark, tmp_path):
+    from ragloom.llm import queries
+
+    m, rng = sentencepiece_scan.model_of(sentencepiece_scan.DEFAULT_MODEL), random.Random(8)
+    texts = ["", None, " a  b ", "é日本\U0001f600 x", "".join(rng.choice("ab \U0001f600அ") for _ in range(300)), "the cat " * 60, "the cat " * 60]
+    rows = []
+    for k, text in enumerate(texts):  # cut anywhere, amid characters too, some parts empty
+        ids, part = m.encode(text or ""), 0
+        while ids or part == 0:
+            n = rng.choice([0, 1, 1, 2, 5])
+            rows.append((7, k, part, ids[:n]))
+            ids, part = ids[n:], part + 1
+    rows += [(8, None, 0, m.encode(t or "")) for t in texts] + [(9, 100, 0, [m.bytes[0xF0], m.bytes[0x9F]]), (9, 100, 1, [m.bytes[0x41], m.bytes[0xE0]])]
+    got, single = {}, []
+    for r in sorted(sentencepiece_scan.decoded(spark.createDataFrame(rows, "id bigint, row bigint, part int, ids array<int>")).collect(), key=lambda r: r["part"]):
+        if r["row"] is None:
+            single.append(r["text"])
+        else:
+            got[r["row"]] = got.get(r["row"], "") + r["text"]
+    assert got == {**{k: t or "" for k, t in enumerate(texts)}, 100: "�A�"} and sorted(single) == sorted(t or "" for t in texts)
+    docs = documents(spark, [*texts, "word é " * 5000])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op2_sentencepiece(spark, str(tmp_path)).collect()
+    want = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    assert all(r["text_hash"] == want[r["doc_id"]] for r in rows if r["doc_id"] < len(texts))
+    assert sum(r["n_chars"] for r in rows if r["doc_id"] == len(texts)) == 35000
