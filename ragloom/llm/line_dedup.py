@@ -4,29 +4,47 @@ A line is the set of its words (A-Z lower-cased). Lines with equal sets are one
 first occurrence in the order of document id and line number. Tokens are ordered by rarity: the
 counts of all words of all documents, in ``BUCKETS`` hashed counters, then the hash, which is one
 total order whatever collides. With a similarity of at least t, two lines of sizes a and b share one of
-the first n - ceil(t n) + 1 tokens of each, so each class puts its row in the buckets of these tokens.
-
-A bucket is read in order of first occurrence. A class is compared with the earlier ones there by
-the length filter, the positional filter and a 128-bit parity sketch (a lower bound of the symmetric
-difference); its ``KEEP`` earliest partners left over go on, and whether there are more, or earlier
-ones than the ``RUN`` rows that a task holds. All partners are verified on whole sets. Classes with more
-that no partner removed are joined with every row of their buckets and verified likewise, so
-nothing is lost to either bound, and thousands of near copies give a few pairs each.
+the first n - ceil(t n) + 1 tokens of each, so each class goes to the buckets of these tokens.
+
+A task reads texts, keeps one line of each class of a batch and sends its bucket rows as packed arrays, one for each of
+many parts of the token domain. In a bucket, each class is compared with the earlier ones by the length filter, the
+positional filter and a 128-bit parity sketch (a lower bound of the symmetric difference); its ``keep`` earliest
+partners left over go on, and whether there are more. In a bucket of over ``run`` classes the ``hubs`` earliest are the
+partners of all others, which count as having more. Partners are verified on whole sets. Classes with more
+that no partner removed are joined with all earlier rows of their buckets, split by a second common token,
+and verified likewise: nothing is lost to the bounds, and thousands of near copies give a few pairs each.
 """
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.llm import textkit as K
-from ragloom.llm.scratch import Scratch, bloom, bloom_has
+from ragloom.llm.scratch import KeySet, Scratch
 
 BUCKETS, BLOCKS = 1 << 20, 64
-KEEP, RUN, LINES, CHUNK = 4, 1 << 14, 1 << 14, 1 << 20
+LINES, CHUNK = 1 << 12, 1 << 20
+#: Packed rows that a task gathers before it sends them.
+GATHER = 1 << 18
+#: Bytes of bucket rows that a partition is to hold, and parts of the token domain for each partition.
+PART_BYTES, PARTS = 32 << 20, 8
 _U = np.uint64
+_HASH = _U((1 << 44) - 1)
+
+
+class Limits(NamedTuple):
+    """What a task holds of buckets; results do not depend on it."""
+
+    keep: int = 8  # earliest partners of a class in a bucket
+    run: int = 1 << 14  # classes of a bucket that are compared with each other
+    hubs: int = 1 << 8  # earliest classes of larger buckets, which all others are compared with
+    held: int = 1 << 22  # rows before larger buckets are thinned
 
 
 def _lines(w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -40,18 +58,18 @@ def _lines(w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _token_sets(word: np.ndarray, line: np.ndarray, order: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct tokens by line, and where each line's begin. With ``order`` (6-bit rarity by bucket) a token is rarity and 44 bits of hash, ascending; else the hash, in no useful order."""
+    """Distinct tokens by line, and where each line's begin. With ``order`` (8-bit rarity by bucket) a token is rarity and 44 bits of hash, ascending; else the hash, in no useful order."""
     n_lines = int(line[-1]) + 1 if len(line) else 0
     if order is None:
         at = np.lexsort((word, line))
         t, ln = word[at], line[at]
     else:
-        t = (order[(word >> _U(44)).astype(np.int64)].astype(np.uint64) << _U(44)) | (word & _U((1 << 44) - 1))
+        t = (order[(word >> _U(44)).astype(np.int64)].astype(np.uint64) << _U(44)) | (word & _HASH)
         cuts = np.searchsorted(line, np.arange(0, n_lines + LINES, LINES))
-        parts = [np.sort(((line[a:z] & (LINES - 1)).astype(np.uint64) << _U(50)) | t[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+        parts = [np.sort(((line[a:z] & (LINES - 1)).astype(np.uint64) << _U(52)) | t[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
         keys = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         base = np.repeat(np.arange(len(parts)) * LINES, [len(p) for p in parts]) if parts else np.zeros(0, np.int64)
-        t, ln = keys & _U((1 << 50) - 1), (keys >> _U(50)).astype(np.int64) + base
+        t, ln = keys & _U((1 << 52) - 1), (keys >> _U(52)).astype(np.int64) + base
     new = np.ones(len(t), bool)
     new[1:] = (t[1:] != t[:-1]) | (ln[1:] != ln[:-1])
     t, ln = t[new], ln[new]
@@ -60,78 +78,128 @@ def _token_sets(word: np.ndarray, line: np.ndarray, order: np.ndarray | None) ->
 
 def _fingerprints(t: np.ndarray, first: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(t) + 1, np.uint64)
-    np.cumsum(K.mix((t & _U((1 << 44) - 1)) ^ _U(0x5DEECE66D1CE4E5B)), out=sums[1:])
+    np.cumsum(K.mix((t & _HASH) ^ _U(0x5DEECE66D1CE4E5B)), out=sums[1:])
     return K.mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64)
 
 
-_SEEN = "doc bigint, line int, fp bigint, block int, counts binary"
-
-
-def _survey(batches):
-    """Each line with words and its class; at the end the task's word counts."""
-    counts, flat = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.uint8)
+def _count(batches):
+    """The task's word counts."""
+    counts = np.zeros(BUCKETS, np.int64)
     for b in batches:
         for w in K.words(b.column(1)):
             counts += np.bincount((w.hash >> _U(44)).astype(np.int64), minlength=BUCKETS)
-            line, row, no = _lines(w)
-            fp = _fingerprints(*_token_sets(w.hash, line, flat))
-            none = pa.nulls(len(fp))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + w.lo)), pa.array(no, pa.int32()), pa.array(fp), none.cast(pa.int32()), none.cast(pa.binary())], ["doc", "line", "fp", "block", "counts"])
-    parts = counts.astype(np.uint32).reshape(BLOCKS, -1)
-    parts = [(k, p.tobytes()) for k, p in enumerate(parts) if p.any()]
-    none = pa.nulls(len(parts))
-    yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), pa.array([k for k, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], ["doc", "line", "fp", "block", "counts"])
+    parts = [(k, p.tobytes()) for k, p in enumerate(counts.astype(np.uint32).reshape(BLOCKS, -1)) if p.any()]
+    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], ["block", "counts"])
 
 
-def _rarity(survey: DataFrame) -> np.ndarray:
-    """Six-bit rarity by bucket: four steps for each doubling of the count, 0 for a count of at most one."""
+def _rarity(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """Eight-bit rarity by bucket, six steps for each doubling of the count, 0 for a count of at most one; and the number of words."""
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 sums[k] = sums.get(k, 0) + np.frombuffer(v.as_buffer(), np.uint32).astype(np.int64)
-        step = [np.minimum(63, np.floor(4 * np.log2(np.maximum(s, 1)))).astype(np.uint8).tobytes() for s in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(step, pa.binary())], ["block", "steps"])
+        step = [np.minimum(255, np.floor(6 * np.log2(np.maximum(s, 1)))).astype(np.uint8).tobytes() for s in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(step, pa.binary()), pa.array([int(s.sum()) for s in sums.values()], pa.int64())], ["block", "steps", "n"])
 
-    out = np.zeros((BLOCKS, BUCKETS // BLOCKS), np.uint8)
-    for r in survey.filter("block is not null").select("block", "counts").repartition("block").mapInArrow(add, "block int, steps binary").collect():
+    out, n = np.zeros((BLOCKS, BUCKETS // BLOCKS), np.uint8), 0
+    for r in texts.mapInArrow(_count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, steps binary, n bigint").collect():
         out[r["block"]] = np.frombuffer(r["steps"], np.uint8)
-    return out.reshape(-1)
-
-
-_ROWS = "token bigint, doc bigint, line int, fp bigint, sketch bigint, sketch2 bigint, n int, at int"
+        n += r["n"]
+    return out.reshape(-1), n
+
+
+def _classes(b: pa.RecordBatch, order: np.ndarray):
+    """Of a batch of (id, text): its lines (doc, no, class), tokens by line, where each line's begin, and for each line the line that is the first of its class here."""
+    tokens, sizes, docs, numbers = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    ids = b.column(0).to_numpy(zero_copy_only=False)
+    for w in K.words(b.column(1)):
+        line, row, no = _lines(w)
+        t, first = _token_sets(w.hash, line, order)
+        tokens.append(t)
+        sizes.append(np.diff(first))
+        docs.append(ids[row + w.lo])
+        numbers.append(no)
+    t, n, doc, no = (np.concatenate(x) for x in (tokens, sizes, docs, numbers))
+    first = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+    fp = _fingerprints(t, first)
+    by_place = np.lexsort((no, doc))
+    _, head, which = np.unique(fp[by_place], return_index=True, return_inverse=True)
+    heads = np.zeros(len(fp), np.int64)
+    heads[by_place] = by_place[head][which]
+    return doc, no, fp, t, first, heads
+
+
+def _bucket_rows(fp, t, first, heads, num: int, den: int):
+    """Own line, position, token, sizes and sketches of the bucket rows of a batch."""
+    n = np.diff(first)
+    lines = np.unique(heads)
+    lines = lines[den * n[lines] >= num * (n[lines] + 1)]  # a smaller set matches none but its equals
+    if not len(lines):
+        return None
+    spread = K.mix(t & _HASH)
+    bit, upper = _U(1) << (spread & _U(63)), (spread & _U(64)) > 0
+    sketches = [np.bitwise_xor.reduceat(np.where(half, bit, _U(0)), first[:-1]) for half in (~upper, upper)]
+    length = n[lines] - -(-num * n[lines] // den) + 1
+    own = np.repeat(lines, length)
+    at = np.arange(len(own)) - np.repeat(np.cumsum(length) - length, length)
+    token = t[first[own] + at]
+    some = (token >> _U(44)) > 0  # a word that occurs once is in no other line
+    return own[some], at[some], token[some], n, sketches
+
+
+_FIELDS = ((np.uint64, 8), (np.int64, 8), (np.uint64, 8), (np.uint64, 8), (np.int64, 8), (np.int32, 4), (np.int32, 4), (np.int32, 4))  # token, class, sketches, doc, line, size, position
+_CLASS = ((np.int64, 8), (np.int64, 8), (np.int32, 4))  # class, doc, line
+ROWS, CLASSES, REMOVED = 0, 1, 2
+_PACKED = "part int, kind int, packed binary"
+
+
+def _pack(kind: int, cols: list[np.ndarray], parts: int) -> pa.RecordBatch:
+    """Rows dealt to parts by their first column, column by column for each part."""
+    part = (K.mix(cols[0].view(np.uint64)) % _U(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part, cols = part[order], [c[order] for c in cols]
+    edge = np.flatnonzero(np.diff(part, prepend=-1))
+    ends = np.append(edge[1:], len(part))[: len(edge)]
+    packed = [b"".join(c[a:z].tobytes() for c in cols) for a, z in zip(edge.tolist(), ends.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(part[edge].astype(np.int32)), pa.array(np.full(len(edge), kind, np.int32)), pa.array(packed, pa.binary())], ["part", "kind", "packed"])
+
+
+def _unpack(blob: pa.Scalar, fields) -> list[np.ndarray]:
+    raw = blob.as_buffer()
+    n, out, at = raw.size // sum(w for _, w in fields), [], 0
+    for kind, width in fields:
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * width
+    return out
+
+
+def _dealt(order, num: int, den: int, parts: int):
+    def run(batches):
+        held: dict[int, list[list[np.ndarray]]] = {ROWS: [], CLASSES: [], REMOVED: []}
+        count = 0
 
+        def flush():
+            for kind, rows in held.items():
+                if rows:
+                    yield _pack(kind, [np.concatenate(c) for c in zip(*rows, strict=True)], parts)
+                    rows.clear()
 
-def _prefixes(order, num: int, den: int):
-    def run(batches):
         for b in batches:
-            done: set[int] = set()  # equal lines of a batch, the first of them in the batch's order of ids
-            by_id = b.take(pa.array(np.argsort(b.column(0).to_numpy(zero_copy_only=False), kind="stable")))
-            for w in K.words(by_id.column(1)):
-                line, row, no = _lines(w)
-                t, first = _token_sets(w.hash, line, order.value)
-                if not len(t):
-                    continue
-                fp, n = _fingerprints(t, first), np.diff(first)
-                keep = np.zeros(len(fp), bool)
-                for k, f in enumerate(fp.tolist()):
-                    if f not in done:
-                        done.add(f)
-                        keep[k] = True
-                spread = K.mix(t & _U((1 << 44) - 1))
-                bit, upper = _U(1) << (spread & _U(63)), (spread & _U(64)) > 0
-                sketch, sketch2 = (np.bitwise_xor.reduceat(np.where(half, bit, _U(0)), first[:-1]).view(np.int64) for half in (~upper, upper))
-                length = np.where(keep, n - -(-num * n // den) + 1, 0)
-                own = np.repeat(np.arange(len(n)), length)
-                at = np.arange(len(own)) - np.repeat(np.cumsum(length) - length, length)
-                token = t[first[:-1][own] + at]
-                some = (token >> _U(44)) > 0  # a word that occurs once is in no other line
-                own, at, token = own[some], at[some], token[some]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(token.view(np.int64)), by_id.column(0).take(pa.array(row[own] + w.lo)), *(pa.array(a) for a in (no[own].astype(np.int32), fp[own], sketch[own], sketch2[own], n[own].astype(np.int32), at.astype(np.int32)))],
-                    ["token", "doc", "line", "fp", "sketch", "sketch2", "n", "at"],
-                )
+            doc, no, fp, t, first, heads = _classes(b, order.value)
+            line, own = no.astype(np.int32), np.unique(heads)
+            held[CLASSES].append([fp[own], doc[own], line[own]])
+            later = (doc > doc[heads]) | ((doc == doc[heads]) & (no > no[heads]))
+            held[REMOVED].append([fp[later] + doc[later], doc[later], line[later]])
+            if (rows := _bucket_rows(fp, t, first, heads, num, den)) is not None:
+                own, at, token, n, sketches = rows
+                held[ROWS].append([token, fp[own], sketches[0][own], sketches[1][own], doc[own], line[own], n[own].astype(np.int32), at.astype(np.int32)])
+                count += len(own)
+            if count > GATHER or len(held[CLASSES]) >= 64:
+                yield from flush()
+                count = 0
+        yield from flush()
 
     return run
 
@@ -143,76 +211,197 @@ def _may_match(na, nb, ia, ib, num: int, den: int):
     return (np.minimum(na, nb) * den >= np.maximum(na, nb) * num) & (np.minimum(na - ia, nb - ib) >= need)
 
 
-def _partners(num: int, den: int):
-    """Over rows sorted by token and first occurrence: (x, y) for the KEEP earliest possible partners y of x, and (x, null) where there are more or might be."""
-
-    def done(cols, end):
-        """Pairs of the runs in rows [0, end)."""
-        token, fp, sketch, sketch2, n, at = (c[:end] for c in cols)
-        n, at = n.astype(np.int64), at.astype(np.int64)
-        edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if end else np.zeros(0, np.int64)
-        size = np.diff(np.append(edge, end))
-        run, place = np.repeat(np.arange(len(edge)), size), np.arange(end) - np.repeat(edge, size)
-        more = [fp[place >= RUN]]
-        rows = np.flatnonzero((place < RUN) & np.repeat(size > 1, size))
-        # by size within a run, so that those of a fitting size are neighbours
-        rows = rows[np.lexsort((n[rows], run[rows]))]
-        key = run[rows] * (1 << 32) + n[rows]
-        low = np.searchsorted(key, run[rows] * (1 << 32) + -(-n[rows] * num // den))
-        width = np.arange(len(rows)) - low
-        total, begin, xs, ys = np.cumsum(width), 0, [], []
-        while begin < len(rows):
+_FOUND = "x bigint, y bigint, xd bigint, xl int, yd bigint, token bigint"
+
+
+def _found(x, y, xd, xl, yd, token) -> pa.RecordBatch:
+    """A batch of _FOUND; None is a column of nulls."""
+    n = len(xd)
+    col = lambda v, kind: pa.nulls(n, kind) if v is None else pa.array(v, kind)
+    return pa.RecordBatch.from_arrays([col(x, pa.int64()), col(y, pa.int64()), col(xd, pa.int64()), col(xl, pa.int32()), col(yd, pa.int64()), col(token, pa.int64())], ["x", "y", "xd", "xl", "yd", "token"])
+
+
+def _least_places(key: np.ndarray, doc: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the first place of each different key, and whether a row is later than its key's first place."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    if new.all():
+        return np.sort(order), np.zeros(len(key), bool)
+    order = np.lexsort((line, doc, key))
+    k = key[order]
+    new[1:] = k[1:] != k[:-1]
+    heads = order[new]
+    head = np.empty(len(key), np.int64)
+    head[order] = heads[np.cumsum(new) - 1]
+    return np.sort(heads), (doc > doc[head]) | ((doc == doc[head]) & (line > line[head]))
+
+
+class _Buckets:
+    """The bucket rows that a task holds, and what it finds in them."""
+
+    def __init__(self, num: int, den: int, limits: Limits):
+        self.num, self.den, self.limits, self.blobs, self.held, self.most = num, den, limits, [], 0, limits.held
+        self.hot = np.zeros(0, np.uint64)
+
+    def add(self, blob: pa.Scalar):
+        self.blobs.append(_unpack(blob, _FIELDS))
+        self.held += len(self.blobs[-1][0])
+        if self.held > self.most:
+            yield from self.thin()
+            self.most = max(self.most, 2 * self.held)
+
+    def rows(self) -> list[np.ndarray]:
+        """One row of each class and bucket, its first place, by bucket and size."""
+        cols = [np.concatenate(c) for c in zip(*self.blobs, strict=True)]
+        token, fp, _, _, doc, line, n, _ = cols
+        heads, _ = _least_places(K.mix(token) + fp.view(np.uint64), doc, line)
+        heads = heads[np.lexsort((n[heads], token[heads]))]
+        return [c[heads] for c in cols]
+
+    def thin(self):
+        """Compare the rows of hot buckets with the earliest ones and keep only these."""
+        cols = self.rows()
+        token, fp, s1, s2, doc, line, n, at = cols
+        edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+        size = np.diff(np.append(edge, len(token)))
+        hot = (size > self.limits.run) | np.isin(token[edge], self.hot)
+        self.hot = token[edge[hot]]
+        keep = np.repeat(~hot, size)
+        for a, k in zip(edge[hot].tolist(), size[hot].tolist(), strict=True):
+            run = np.arange(a, a + k)
+            run = run[np.lexsort((line[run], doc[run]))]
+            hubs, rest = run[: self.limits.hubs], run[self.limits.hubs :]
+            keep[hubs] = True
+            step = max(1, CHUNK // len(hubs))
+            for begin in range(0, len(rest), step):
+                some = rest[begin : begin + step]
+                yield from self.pairs(cols, np.repeat(some, len(hubs)), np.tile(hubs, len(some)))
+            if len(rest):
+                yield _found(fp[rest], None, doc[rest], line[rest], None, token[rest].view(np.int64))
+        self.blobs = [[c[keep] for c in cols]]
+        self.held = int(keep.sum())
+
+    def filtered(self, cols, i, j):
+        """Of pairs of rows of one bucket, those that may match, the later row first."""
+        _, fp, s1, s2, doc, line, n, at = cols
+        differ = np.bitwise_count(s1[i] ^ s1[j]).astype(np.int64) + np.bitwise_count(s2[i] ^ s2[j])
+        ok = differ * (self.den + self.num) <= (n[i].astype(np.int64) + n[j]) * (self.den - self.num)
+        i, j = i[ok], j[ok]
+        ok = _may_match(*(x.astype(np.int64) for x in (n[i], n[j], at[i], at[j])), self.num, self.den) & ((doc[i] != doc[j]) | (line[i] != line[j])) & (fp[i] != fp[j])
+        i, j = i[ok], j[ok]
+        swap = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & (line[i] < line[j]))
+        return np.where(swap, j, i), np.where(swap, i, j)
+
+    def pairs(self, cols, *ij):
+        """The earliest partners of each row, and rows that have more."""
+        x, y = self.filtered(cols, *ij) if len(ij) == 2 else ij[0]
+        token, fp, _, _, doc, line, _, _ = cols
+        order = np.lexsort((line[y], doc[y], x))
+        x, y = x[order], y[order]
+        nth = np.arange(len(x)) - np.searchsorted(x, x)
+        more = np.unique(x[nth >= self.limits.keep])
+        x, y = x[nth < self.limits.keep], y[nth < self.limits.keep]
+        if len(x):
+            yield _found(fp[x], fp[y], doc[x], line[x], doc[y], None)
+        if len(more):
+            yield _found(fp[more], None, doc[more], line[more], None, token[more].view(np.int64))
+
+    def end(self):
+        if not self.blobs:
+            return
+        yield from self.thin()
+        cols = self.blobs[0]
+        token, n = cols[0], cols[6].astype(np.int64)
+        run = np.cumsum(np.concatenate([[0], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+        key = run * (1 << 32) + n
+        width = np.arange(len(token)) - np.searchsorted(key, run * (1 << 32) + -(-n * self.num // self.den))
+        total, begin, xs, ys = np.cumsum(width), 0, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while begin < len(token):
             stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + CHUNK, side="right")))
             i = np.repeat(np.arange(begin, stop), width[begin:stop])
-            j = np.arange(len(i)) - np.repeat(np.cumsum(width[begin:stop]) - width[begin:stop], width[begin:stop]) + low[i]
-            i, j = rows[i], rows[j]
-            differ = sum(np.bitwise_count((x[i] ^ x[j]).view(np.uint64)).astype(np.int64) for x in (sketch, sketch2))
-            ok = differ * (den + num) <= (n[i] + n[j]) * (den - num)
-            i, j = i[ok], j[ok]
-            ok = _may_match(n[i], n[j], at[i], at[j], num, den) & (fp[i] != fp[j])
-            xs.append(np.maximum(i[ok], j[ok]))
-            ys.append(np.minimum(i[ok], j[ok]))
+            j = np.arange(len(i)) - np.repeat(np.cumsum(width[begin:stop]) - width[begin:stop], width[begin:stop]) + i - np.repeat(width[begin:stop], width[begin:stop])
+            x, y = self.filtered(cols, i, j)
+            xs.append(x)
+            ys.append(y)
             begin = stop
-        x, y = (np.concatenate([*v, np.zeros(0, np.int64)]).astype(np.int64) for v in (xs, ys))
-        order = np.lexsort((y, x))
-        x, y = x[order], y[order]
-        nth = np.arange(len(x)) - np.searchsorted(x, x)
-        more.append(np.unique(fp[x[nth >= KEEP]]))
-        x, y, more = fp[x[nth < KEEP]], fp[y[nth < KEEP]], np.concatenate(more)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, more])), pa.concat_arrays([pa.array(y), pa.nulls(len(more), pa.int64())])], ["x", "y"])
+        yield from self.pairs(cols, (np.concatenate(xs), np.concatenate(ys)))
+
+
+def _partners(num: int, den: int, limits: Limits):
+    """Over packed rows: pairs of classes (x, y) with y earlier, (x, token) where a bucket has more, and places (xd, xl) that an equal line precedes."""
+
+    def run(batches):
+        buckets, classes, held = _Buckets(num, den, limits), [], 0
+
+        def least():
+            cols = [np.concatenate(c) for c in zip(*classes, strict=True)]
+            heads, later = _least_places(*cols)
+            yield _found(None, None, cols[1][later], cols[2][later], None, None)
+            classes[:] = [[c[heads] for c in cols]]
+
+        limit = limits.held
+        for b in batches:
+            for kind, blob in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                if kind == ROWS:
+                    yield from buckets.add(blob)
+                elif kind == REMOVED:
+                    _, doc, line = _unpack(blob, _CLASS)
+                    yield _found(None, None, doc, line, None, None)
+                else:
+                    classes.append(_unpack(blob, _CLASS))
+                    held += len(classes[-1][0])
+                    if held > limit:
+                        yield from least()
+                        held = len(classes[0][0])
+                        limit = max(limit, 2 * held)
+        if classes:
+            yield from least()
+        yield from buckets.end()
+
+    return run
+
+
+def _split_rows(order, num: int, den: int, tokens):
+    """Rows of the buckets of some tokens, by the token and each later one of the prefix that holds two common tokens."""
 
     def run(batches):
-        cols, skipped = None, np.zeros(0, np.int64)
         for b in batches:
-            new = [b.column(i).to_numpy(zero_copy_only=False) for i in (0, 3, 4, 5, 6, 7)]
-            cols = new if cols is None else [np.concatenate([c, x]) for c, x in zip(cols, new, strict=True)]
-            if len(cols[0]) < 1 << 16:
+            doc, no, fp, t, first, heads = _classes(b, order.value)
+            rows = _bucket_rows(fp, t, first, heads, num, den)
+            if rows is None:
                 continue
-            end = int(np.searchsorted(cols[0], cols[0][-1]))
-            if end:
-                yield done(cols, end)
-                cols = [c[end:] for c in cols]
-            elif len(cols[0]) > 4 * RUN:
-                # a run beyond what a task holds: its later rows are left to the full join
-                skipped = cols[1][RUN:]
-                yield pa.RecordBatch.from_arrays([pa.array(skipped), pa.nulls(len(skipped), pa.int64())], ["x", "y"])
-                cols = [c[:RUN] for c in cols]
-        if cols is not None:
-            yield done(cols, len(cols[0]))
+            own, at, token, n, sketches = rows
+            mine = tokens.has(token.view(np.int64))
+            own, at, token = own[mine], at[mine], token[mine]
+            least = -(-num * n[own] // den)
+            later = np.maximum(np.minimum(n[own], n[own] - least + 2) - at - 1, 0)
+            more = np.repeat(np.arange(len(own)), later)
+            second = t[first[own[more]] + at[more] + 1 + np.arange(len(more)) - np.repeat(np.cumsum(later) - later, later)]
+            alone = np.flatnonzero(least < 2)
+            key = np.concatenate([K.mix(token[more] ^ K.mix(second)), K.mix(token[alone])])
+            at_row = np.concatenate([more, alone])
+            k = own[at_row]
+            cols = (key.view(np.int64), token[at_row].view(np.int64), doc[k], no[k].astype(np.int32), fp[k], sketches[0][k].view(np.int64), sketches[1][k].view(np.int64), n[k].astype(np.int32), at[at_row].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "token", "doc", "line", "fp", "s1", "s2", "n", "at"])
 
     return run
 
 
-def _wanted_sets(wanted_docs, wanted_lines):
+_SPLIT = "key bigint, token bigint, doc bigint, line int, fp bigint, s1 bigint, s2 bigint, n int, at int"
+
+
+def _wanted_sets(order, wanted_docs, wanted_lines):
     def run(batches):
         for b in batches:
-            b = pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["id", "text"]).filter(pa.array(bloom_has(wanted_docs.value, b.column(0).to_numpy(zero_copy_only=False))))
+            b = pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["id", "text"]).filter(pa.array(wanted_docs.has(b.column(0).to_numpy(zero_copy_only=False))))
             for w in K.words(b.column(1)):
                 line, _, _ = _lines(w)
                 if not len(line):
                     continue
-                fp = _fingerprints(*_token_sets(w.hash, line, np.zeros(BUCKETS, np.uint8)))
-                keep = bloom_has(wanted_lines.value, fp)
+                fp = _fingerprints(*_token_sets(w.hash, line, order.value))
+                keep = wanted_lines.has(fp)
                 at = keep[line]
                 number = np.cumsum(keep) - 1
                 t, first = _token_sets(w.hash[at], number[line[at]], None)
@@ -222,68 +411,73 @@ def _wanted_sets(wanted_docs, wanted_lines):
     return run
 
 
-def removed_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = (8, 10)) -> DataFrame:
+def removed_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = (8, 10), limits: Limits = Limits()) -> DataFrame:
     """(doc, lines array<int>): the numbers, from 0, of the lines to remove in each document that has any."""
     num, den = similarity
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
-    survey = scratch.save(texts.mapInArrow(_survey, _SEEN))
-    order = docs.sparkSession.sparkContext.broadcast(_rarity(survey))
-    lines = survey.filter("block is null").select("doc", "line", "fp")
-    first = scratch.save(lines.groupBy("fp").agg(F.min(F.struct("doc", "line")).alias("first")))
-
-    rows = texts.mapInArrow(_prefixes(order, num, den), _ROWS)
-    sorted_rows = rows.repartition("token").sortWithinPartitions("token", "doc", "line")
-    pairs = scratch.save(sorted_rows.mapInArrow(_partners(num, den), "x bigint, y bigint").distinct())
+    rarity, n_words = _rarity(texts)
+    order = spark.sparkContext.broadcast(rarity)
+    per_row = sum(w for _, w in _FIELDS)
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_words * (den - num) / den * per_row / PART_BYTES))
+    packed = texts.mapInArrow(_dealt(order, num, den, PARTS * partitions), _PACKED)
+    found = scratch.save(packed.repartition(partitions, "part").mapInArrow(_partners(num, den, limits), _FOUND))
     scratch.free_shuffles()
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs, the later classes of those that match."""
+        """Of pairs, the later classes of those that match and their first places."""
         used = pairs.select(F.explode(F.array("x", "y")).alias("fp")).distinct()
-        home = first.join(used, "fp", "left_semi").select(F.col("first.doc").alias("doc")).distinct()
-        sets = scratch.save(texts.mapInArrow(_wanted_sets(bloom(home), bloom(used)), "fp bigint, h array<bigint>").dropDuplicates(["fp"]).join(first, "fp"))
-        whole = pairs.join(sets.select(F.col("fp").alias("x"), F.col("h").alias("xh"), F.col("first").alias("xf")), "x").join(
-            sets.select(F.col("fp").alias("y"), F.col("h").alias("yh"), F.col("first").alias("yf")), "y")
+        home = pairs.select(F.explode(F.array("xd", "yd")).alias("id")).distinct()
+        wanted, lines = KeySet(home), KeySet(used)
+        sets = scratch.save(wanted.narrowed(texts, "id").mapInArrow(_wanted_sets(order, wanted, lines), "fp bigint, h array<bigint>").dropDuplicates(["fp"]))
+        whole = pairs.join(sets.select(F.col("fp").alias("x"), F.col("h").alias("xh")), "x").join(sets.select(F.col("fp").alias("y"), F.col("h").alias("yh")), "y")
         inter = F.size(F.array_intersect("xh", "yh"))
         hits = whole.filter(den * inter >= num * (F.size("xh") + F.size("yh") - inter))
-        return scratch.save(hits.select(F.when(F.col("xf") > F.col("yf"), F.col("x")).otherwise(F.col("y")).alias("fp")).distinct())
+        return scratch.save(hits.select(F.col("x").alias("fp"), "xd", "xl").distinct())
 
-    later = verified(pairs.filter("y is not null"))
-    left = scratch.save(pairs.filter("y is null").select(F.col("x").alias("fp")).join(later, "fp", "left_anti"))
+    later = verified(found.filter("y is not null").select("x", "y", "xd", "xl", "yd").distinct())
+    left = scratch.save(found.filter("token is not null").select(F.col("x").alias("fp"), "token").distinct().join(later, "fp", "left_anti"))
     if left.limit(1).count():
-        cols = ("doc", "line", "fp", "sketch", "sketch2", "n", "at")
-        x = rows.join(left, "fp", "left_semi").select("token", *(F.col(c).alias(f"x_{c}") for c in cols))
-        y = rows.select("token", *(F.col(c).alias(f"y_{c}") for c in cols))
+        rows = texts.mapInArrow(_split_rows(order, num, den, KeySet(left.select("token").distinct())), _SPLIT)
+        first = rows.groupBy("key", "token", "fp").agg(F.min(F.struct("doc", "line")).alias("place"), *(F.first(c).alias(c) for c in ("s1", "s2", "n", "at")))
+        rows = scratch.save(first)
+        cols = ("fp", "place", "s1", "s2", "n", "at")
+        x = rows.join(left, ["fp", "token"], "left_semi").select("key", *(F.col(c).alias(f"x_{c}") for c in cols))
+        y = rows.select("key", *(F.col(c).alias(f"y_{c}") for c in cols))
         total = F.col("x_n") + F.col("y_n")
         possible = (
-            (F.col("x_fp") != F.col("y_fp"))
+            (F.col("x_place") > F.col("y_place"))
             & (F.least("x_n", "y_n") * den >= F.greatest("x_n", "y_n") * num)
             & ((F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))) * (den + num) >= total * num)
-            & ((F.bit_count(F.col("x_sketch").bitwiseXOR(F.col("y_sketch"))) + F.bit_count(F.col("x_sketch2").bitwiseXOR(F.col("y_sketch2")))) * (den + num) <= total * (den - num))
+            & ((F.bit_count(F.col("x_s1").bitwiseXOR(F.col("y_s1"))) + F.bit_count(F.col("x_s2").bitwiseXOR(F.col("y_s2")))) * (den + num) <= total * (den - num))
         )
-        more = x.join(y, "token").filter(possible).select(F.col("x_fp").alias("x"), F.col("y_fp").alias("y")).distinct()
-        later = later.unionByName(verified(scratch.save(more))).distinct()
-    near = later.withColumn("near", F.lit(True))
-    gone = lines.join(first, "fp").join(near, "fp", "left").filter((F.struct("doc", "line") > F.col("first")) | F.col("near"))
-    return gone.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+        more = x.join(y, "key").filter(possible).select(F.col("x_fp").alias("x"), F.col("y_fp").alias("y"), F.col("x_place.doc").alias("xd"), F.col("x_place.line").alias("xl"), F.col("y_place.doc").alias("yd"))
+        later = later.unionByName(verified(scratch.save(more.distinct())))
+    gone = found.filter("x is null").select("xd", "xl").unionByName(later.select("xd", "xl"))
+    return gone.groupBy(F.col("xd").alias("doc")).agg(F.array_sort(F.collect_set("xl")).alias("lines"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = (8, 10)) -> DataFrame:
-    """docs with the text of each row without its removed lines, and first the columns ``_n_lines`` and ``_n_removed``.
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = (8, 10), counts: tuple[str, str] = ("_n_lines", "_n_removed"), limits: Limits = Limits()) -> DataFrame:
+    """docs with the text of each row without its removed lines, and first the two columns ``counts``: lines, and lines removed.
 
     A line (between line feeds) is removed if an earlier line of the same or another document, by id and line number, has a
     Jaccard similarity of word sets of at least num/den with it, removed or not. Lines without words stay. A document that
     loses all lines stays with an empty text; a null text or id comes back as it is. Rows that repeat an id count as the same place, so
-    the one does not remove the other's lines; each row loses the lines found for its id.
+    the one does not remove the other's lines; each row loses the lines found for its id. Other columns pass through under any name, but a column named as
+    one of ``counts`` is replaced.
     """
     scratch = Scratch(docs.sparkSession)
-    gone = scratch.save(removed_lines(docs, scratch, id_col, text_col, similarity))
+    gone = scratch.save(removed_lines(docs, scratch, id_col, text_col, similarity, limits))
     scratch.keep_only(gone)
-    gone = gone.select(F.col("doc").alias("_doc"), F.col("lines").alias("_lines"))
+    free = "_" * (1 + max((len(c) for c in docs.columns), default=0))  # longer than any name of docs
+    doc, lines, key, none = (f"{free}{c}" for c in ("doc", "lines", "key", "none"))
+    # rows without an id match nothing; they go to many tasks, not to one
+    sides = docs.withColumns({key: F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(text_col)), none: F.col(id_col).isNull()})
+    out = sides.join(gone.select(F.col("doc").alias(doc), F.col("lines").alias(lines)), (F.col(key) == F.col(doc)) & ~F.col(none), "left")
     parts = F.split(F.col(text_col), "\n")
-    kept = F.filter(parts, lambda x, i: ~F.array_contains("_lines", i))
-    text = F.when(F.col("_lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    out = docs.join(gone, F.col(id_col) == F.col("_doc"), "left")
+    kept = F.filter(parts, lambda x, i: ~F.array_contains(lines, i))
+    text = F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return out.select(
-        F.coalesce(F.size(parts), F.lit(0)).alias("_n_lines"), F.coalesce(F.size("_lines"), F.lit(0)).alias("_n_removed"),
-        *(text.alias(c) if c == text_col else F.col(c) for c in docs.columns),
+        F.coalesce(F.size(parts), F.lit(0)).alias(counts[0]), F.coalesce(F.size(lines), F.lit(0)).alias(counts[1]),
+        *(text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in counts),
     )

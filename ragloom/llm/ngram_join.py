@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ragloom.llm import textkit as K
-from ragloom.llm.scratch import Scratch, bloom, bloom_has, components
+from ragloom.llm.scratch import KeySet, Scratch, components
 
 TINY = 3
 SKETCH_WORDS = 16
@@ -159,7 +159,7 @@ def _wide_bits(n: int) -> int:
 def _wanted_sets(n: int, wanted):
     def run(batches):
         for b in batches:
-            b = pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["id", "text"]).filter(pa.array(bloom_has(wanted.value, b.column(0).to_numpy(zero_copy_only=False))))
+            b = pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["id", "text"]).filter(pa.array(wanted.has(b.column(0).to_numpy(zero_copy_only=False))))
             for w in K.words(b.column(1)):
                 sh, _, first = _sets(w, n)
                 h = pa.LargeListArray.from_arrays(pa.array(first, pa.int64()), pa.array(sh.view(np.int64))).cast(pa.list_(pa.int64()))
@@ -275,7 +275,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = scratch.save(a.join(b, (F.col("a_sig") == F.col("b_sig")) & (F.col("a") != F.col("b")) & _possible(num, den), "left_semi").select(F.col("a_sig").alias("sig"), F.col("a").alias("fp")))
     nodes = scratch.save(shared.select("fp").distinct())
     sketches = scratch.save(rep.join(nodes, "fp", "left_semi"))
-    sets = scratch.save(known.mapInArrow(_wanted_sets(shingle, bloom(sketches.select("rep"))), "fp bigint, wide array<bigint>, h array<bigint>").join(nodes, "fp", "left_semi").dropDuplicates(["fp"]))
+    wanted = KeySet(sketches.select("rep"))
+    sets = scratch.save(wanted.narrowed(known, "id").mapInArrow(_wanted_sets(shingle, wanted), "fp bigint, wide array<bigint>, h array<bigint>").join(nodes, "fp", "left_semi").dropDuplicates(["fp"]))
     scratch.drop(met)
     comp = nodes.select(F.col("fp").alias("node"), F.col("fp").alias("comp"))
     open_ = shared

@@ -1,4 +1,4 @@
-"""Written tables that cut lineage, connected components and bounded Bloom filters."""
+"""Written tables that cut lineage, connected components and sets of keys."""
 
 from __future__ import annotations
 
@@ -91,36 +91,56 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
             return labels
 
 
-#: Bits of a Bloom filter; the broadcast stays below this many bits at any input size.
-BLOOM_BITS = 1 << 23
+#: Bits of the largest broadcast bitmap; beyond ``MOST_KEYS`` keys it would let too much pass, and tables are narrowed by a join.
+BITMAP_BITS = 1 << 26
+MOST_KEYS = BITMAP_BITS // 8
 
 
-def _places(h: np.ndarray) -> list[np.ndarray]:
+def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
     from ragloom.llm.textkit import mix
 
     a = mix(h.view(np.uint64))
-    return [(a % np.uint64(BLOOM_BITS)).astype(np.int64), ((a >> np.uint64(32)) % np.uint64(BLOOM_BITS)).astype(np.int64)]
+    return [(a % np.uint64(bits)).astype(np.int64), ((a >> np.uint64(32)) % np.uint64(bits)).astype(np.int64)]
 
 
-def bloom(keys: DataFrame):
-    """A broadcast bitmap of at most ``BLOOM_BITS`` bits that has every value of one bigint column, and perhaps others."""
-    name = keys.columns[0]
-
-    def places(batches):
-        for b in batches:
-            at = np.unique(np.concatenate(_places(b.column(0).to_numpy(zero_copy_only=False))))
-            word, bit = at >> 6, np.uint64(1) << (at & 63).astype(np.uint64)
-            edge = np.flatnonzero(np.diff(word, prepend=-1)) if len(word) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(word[edge]), pa.array(np.bitwise_or.reduceat(bit, edge).view(np.int64) if len(edge) else np.zeros(0, np.int64))], ["word", "bits"])
-
-    rows = keys.filter(F.col(name).isNotNull()).mapInArrow(places, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    table = np.zeros(BLOOM_BITS // 64, np.uint64)
-    table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
-    return keys.sparkSession.sparkContext.broadcast(table)
+class KeySet:
+    """The values of one bigint column as a broadcast bitmap of at most ``BITMAP_BITS`` bits, eight or more for each; ``has`` may be true of a few others.
 
+    Over ``MOST_KEYS`` keys there is no bitmap: ``has`` is true of all, and ``narrowed`` is a semi join.
+    """
 
-def bloom_has(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    found = np.ones(len(keys), bool)
-    for at in _places(keys):
-        found &= (table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
-    return found
+    def __init__(self, keys: DataFrame):
+        name = keys.columns[0]
+        keys = keys.filter(F.col(name).isNotNull())
+        n = keys.count()
+        self.keys, self.table = keys, None
+        if n > MOST_KEYS:
+            return
+        bits = self.bits = 1 << max(10, (8 * n).bit_length())
+
+        def places(batches):
+            for b in batches:
+                at = np.unique(np.concatenate(_places(b.column(0).to_numpy(zero_copy_only=False), bits)))
+                word, bit = at >> 6, np.uint64(1) << (at & 63).astype(np.uint64)
+                edge = np.flatnonzero(np.diff(word, prepend=-1)) if len(word) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(word[edge]), pa.array(np.bitwise_or.reduceat(bit, edge).view(np.int64) if len(edge) else np.zeros(0, np.int64))], ["word", "bits"])
+
+        rows = keys.mapInArrow(places, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+        table = np.zeros(bits // 64, np.uint64)
+        table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+        self.table = keys.sparkSession.sparkContext.broadcast(table)
+
+    def __getstate__(self):
+        return {"table": self.table, "bits": getattr(self, "bits", 0)}
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        found = np.ones(len(keys), bool)
+        if self.table is not None:
+            table = self.table.value
+            for at in _places(keys, self.bits):
+                found &= (table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
+        return found
+
+    def narrowed(self, df: DataFrame, column: str) -> DataFrame:
+        """df itself if there is a bitmap, else its rows whose value of the column is a key."""
+        return df if self.table is not None else df.join(self.keys.withColumnRenamed(self.keys.columns[0], column), column, "left_semi")

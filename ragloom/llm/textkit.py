@@ -126,7 +126,8 @@ def words(texts: pa.Array, lower: bool = True, limit: int = SLICE_BYTES) -> Iter
         cut = cut[inside[cut] & inside[cut + 1]] if len(cut) else cut
         at = np.flatnonzero(change)
         if len(cut):
-            at = np.sort(np.concatenate([at, cut, cut]))
+            twice = np.repeat(cut, 2)
+            at = np.insert(at, np.searchsorted(at, twice), twice)
         start, end = at[0::2], at[1::2]
         h = _hash_words(_LOWER[own] if lower else own, start, end)
         yield Words(lo, hi, own, edge, start, end, h, np.searchsorted(start, edge), valid[lo:hi])

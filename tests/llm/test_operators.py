@@ -54,24 +54,50 @@ def test_ngram_join_edges(spark):
     assert sorted(map(tuple, ngram_join.link_components(df).collect()), key=str) == [(3, 2, 3), (3, 2, 3), (4, 0, 4), (None, 2, None)]
 
 
-@pytest.mark.parametrize("limits", [(4, 1 << 14), (1, 3)])
-def test_line_dedup_against_brute_force(spark, corpus, limits, monkeypatch):
-    monkeypatch.setattr(line_dedup, "KEEP", limits[0])
-    monkeypatch.setattr(line_dedup, "RUN", limits[1])
-    seen, want = [], {}
-    for i, t in enumerate(corpus):
-        kept = []
-        for line in (t or "").split("\n"):
-            s = set(words(line))
-            if not s or not any(10 * len(s & o) >= 8 * len(s | o) for o in seen):
-                kept.append(line)
-            if s:
-                seen.append(s)
-        want[i] = None if t is None else "\n".join(kept)
-    assert {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(documents(spark, corpus)).collect()} == want
+def lines_left(rows, num=8):
+    """Of (id, text), the text without lines that an earlier place has a near-equal line of; by brute force."""
+    places = [((i, no), set(words(line))) for i, t in rows if i is not None for no, line in enumerate((t or "").split("\n"))]
+    gone = {p for p, s in places if s and any(q < p and o and 10 * len(s & o) >= num * len(s | o) for q, o in places)}
+    return [(i, t if t is None or i is None else "\n".join(x for no, x in enumerate(t.split("\n")) if (i, no) not in gone)) for i, t in rows]
+
+
+LIMITS = [line_dedup.Limits(), line_dedup.Limits(keep=1, run=3, hubs=1, held=40)]
+
+
+@pytest.mark.parametrize("limits", LIMITS)
+@pytest.mark.parametrize("num", [5, 8, 9])
+def test_line_dedup_against_brute_force(spark, corpus, limits, num):
+    rows = list(enumerate(corpus))
+    out = line_dedup.deduplicated(documents(spark, corpus), similarity=(num, 10), limits=limits)
+    assert sorted((r["doc_id"], r["text"]) for r in out.filter("text is not null").collect()) == sorted((i, t) for i, t in lines_left(rows, num) if t is not None)
     assert line_dedup.deduplicated(documents(spark, []).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limits", LIMITS)
+def test_line_dedup_of_hot_lines(spark, limits):
+    rng = random.Random(3)
+    base = [f"hot{i}" for i in range(25)]
+    texts = []
+    for k in range(150):
+        near = list(base)
+        for _ in range(rng.randint(0, 6)):
+            near[rng.randrange(25)] = f"odd{rng.randrange(60)}"
+        texts.append("\n".join(["the one very common line", " ".join(near), " ".join(rng.choice(base) for _ in range(6))]))
+    rng.shuffle(texts)
+    got = line_dedup.deduplicated(documents(spark, texts).repartition(5), limits=limits)
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == lines_left(list(enumerate(texts)))
+
+
+def test_line_dedup_edges(spark):
+    same = "a b c d e f\nq r s t u v"
+    rows = [(None, same), (None, same), (3, same), (3, same), (3, "z z2 z3 z4 z5\na b c d e f"), (7, "a b c d e f g"), (8, None), (9, "")]
+    df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], "doc_id bigint, text string, _doc string, _lines int, _n_lines int")
+    out = line_dedup.deduplicated(df)
+    assert out.columns == ["_n_lines", "_n_removed", "doc_id", "text", "_doc", "_lines"]
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert got == sorted(lines_left(rows), key=str)
+
+
 def test_quality_rules(spark, corpus):
     rows = {r["doc_id"]: r for r in host_rules.judged(documents(spark, [*corpus, "é# é# é#\n\né#\né#"])).collect()}
     for i, t in enumerate([*corpus, "é# é# é#\n\né#\né#"]):
