@@ -156,13 +156,14 @@ _PACKED = "part int, kind int, packed binary"
 
 
 def _pack(kind: int, cols: list[np.ndarray], parts: int) -> pa.RecordBatch:
-    """Rows dealt to parts by their first column, column by column for each part."""
+    """Rows dealt to parts by their first column; for each part column by column, and by bytes of the same place, so that bytes that are all zero compress."""
     part = (K.mix(cols[0].view(np.uint64)) % _U(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     part, cols = part[order], [c[order] for c in cols]
     edge = np.flatnonzero(np.diff(part, prepend=-1))
     ends = np.append(edge[1:], len(part))[: len(edge)]
-    packed = [b"".join(c[a:z].tobytes() for c in cols) for a, z in zip(edge.tolist(), ends.tolist(), strict=True)]
+    places = lambda c: np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes()
+    packed = [b"".join(places(c[a:z]) for c in cols) for a, z in zip(edge.tolist(), ends.tolist(), strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(part[edge].astype(np.int32)), pa.array(np.full(len(edge), kind, np.int32)), pa.array(packed, pa.binary())], ["part", "kind", "packed"])
 
 
@@ -170,7 +171,7 @@ def _unpack(blob: pa.Scalar, fields) -> list[np.ndarray]:
     raw = blob.as_buffer()
     n, out, at = raw.size // sum(w for _, w in fields), [], 0
     for kind, width in fields:
-        out.append(np.frombuffer(raw, kind, n, at))
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(kind).reshape(n))
         at += n * width
     return out
 
@@ -438,7 +439,8 @@ def removed_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     later = verified(found.filter("y is not null").select("x", "y", "xd", "xl", "yd").distinct())
     left = scratch.save(found.filter("token is not null").select(F.col("x").alias("fp"), "token").distinct().join(later, "fp", "left_anti"))
     if left.limit(1).count():
-        rows = texts.mapInArrow(_split_rows(order, num, den, KeySet(left.select("token").distinct())), _SPLIT)
+        tokens = left.select("token").distinct()
+        rows = texts.mapInArrow(_split_rows(order, num, den, KeySet(tokens)), _SPLIT).join(tokens, "token", "left_semi")
         first = rows.groupBy("key", "token", "fp").agg(F.min(F.struct("doc", "line")).alias("place"), *(F.first(c).alias(c) for c in ("s1", "s2", "n", "at")))
         rows = scratch.save(first)
         cols = ("fp", "place", "s1", "s2", "n", "at")

@@ -93,7 +93,7 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
 
 #: Bits of the largest broadcast bitmap; beyond ``MOST_KEYS`` keys it would let too much pass, and tables are narrowed by a join.
 BITMAP_BITS = 1 << 26
-MOST_KEYS = BITMAP_BITS // 8
+MOST_KEYS = BITMAP_BITS // 16
 
 
 def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -104,7 +104,7 @@ def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 class KeySet:
-    """The values of one bigint column as a broadcast bitmap of at most ``BITMAP_BITS`` bits, eight or more for each; ``has`` may be true of a few others.
+    """The values of one bigint column as a broadcast bitmap of at most ``BITMAP_BITS`` bits, 16 or more for each; ``has`` may be true of a few others.
 
     Over ``MOST_KEYS`` keys there is no bitmap: ``has`` is true of all, and ``narrowed`` is a semi join.
     """
@@ -116,7 +116,7 @@ class KeySet:
         self.keys, self.table = keys, None
         if n > MOST_KEYS:
             return
-        bits = self.bits = 1 << max(10, (8 * n).bit_length())
+        bits = self.bits = 1 << max(20, (16 * n - 1).bit_length())
 
         def places(batches):
             for b in batches:
