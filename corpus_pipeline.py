@@ -38,14 +38,16 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles at a similarity of 0.8, the one with the least id; one row of each id. Rows without an id stay."""
+    """Of each group of texts linked by five-word shingles at a similarity of 0.8, the one with the least id; one of rows with equal id and text.
+
+    Texts that share an id and are not linked all stay, as do rows without an id and texts without words.
+    """
     ship(spark)
-    docs = docs.select(*COLUMNS)
-    linked = ngram_join.link_components(docs, shingle=5, similarity=(8, 10))
-    least = Scratch(spark).save(linked.filter("doc_id = component_id").select("doc_id").distinct())
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64("source", "lang", "n_chars")))
-    kept = docs.join(least, "doc_id", "left_semi").withColumn("_nth", nth).filter("_nth = 1").select(*COLUMNS)
-    return kept.unionByName(docs.filter("doc_id is null"))
+    docs = docs.select(*COLUMNS).withColumn("key", ngram_join.text_key())
+    kept = ngram_join.representatives(docs, shingle=5, similarity=(8, 10))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("source", "lang", "n_chars"))
+    one = docs.join(kept, ["doc_id", "key"], "left_semi").withColumn("nth", nth).filter("nth = 1").select(*COLUMNS)
+    return one.unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +64,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: The first two stages are fitted models, so SQL can't express the rows; tests hold each stage against brute force.
+#: The first two stages are fitted models, so SQL can't express the rows; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 

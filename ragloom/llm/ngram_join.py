@@ -125,7 +125,7 @@ def _ident(n: int):
                 fp[w.lo : w.hi], size[w.lo : w.hi] = _fingerprints(sh, first), np.diff(first)
                 for k, (a, z) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
                     sketch[w.lo + k] = K.parity(sh[a:z], SKETCH_WORDS * 64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array(size), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)], ["id", "fp", "n", *SKETCH])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp), pa.array(size), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)], ["id", "key", "fp", "n", *SKETCH])
 
     return run
 
@@ -247,18 +247,18 @@ def _merged(scratch: Scratch, comp: DataFrame, links: DataFrame) -> DataFrame:
     return scratch.save(comp.join(up, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")))
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
-    """(id, n_shingles, component_id) of every row: documents with Jaccard similarity of at least num/den on word shingles are linked.
+def text_key(text_col: str = "text") -> Column:
+    """What tells rows of one id apart."""
+    return F.xxhash64(F.col(text_col).cast("string"))
 
-    A text of fewer than ``shingle`` words is one shingle of all of them; a null or empty text has none
-    and is alone. component_id is the least id that links reach, the row's own included; a null id
-    takes no part in links and has a null component. Repeated rows all come back. Other columns are not read.
-    Words are lower-cased A-Z only.
-    """
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: tuple[int, int]) -> tuple[Scratch, DataFrame, DataFrame]:
+    """Scratch, (id, key, fp, n, ...) of every row, and (fp, comp) of every set of a row with an id: its component by sets."""
     num, den = similarity
     scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ident = scratch.save(texts.mapInArrow(_ident(shingle), "id bigint, fp bigint, n bigint, " + ", ".join(f"{p} bigint" for p in SKETCH)))
+    keyed = texts.withColumn("key", text_key())
+    ident = scratch.save(keyed.mapInArrow(_ident(shingle), "id bigint, key bigint, fp bigint, n bigint, " + ", ".join(f"{p} bigint" for p in SKETCH)))
     known = texts.filter("id is not null and text is not null")
 
     signed = known.mapInArrow(_signed(shingle, num, den), "sig bigint, fp bigint")
@@ -301,7 +301,19 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if late.limit(1).count():
         comp = _merged(scratch, comp, late)
 
-    member = rep.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    member = rep.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("comp", "fp").alias("comp"))
+    return scratch, ident, member
+
+
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
+    """(id, n_shingles, component_id) of every row: documents with Jaccard similarity of at least num/den on word shingles are linked.
+
+    A text of fewer than ``shingle`` words is one shingle of all of them; a null or empty text has none
+    and is alone. component_id is the least id that links reach, the row's own included; a null id
+    takes no part in links and has a null component. Repeated rows all come back. Other columns are not read.
+    Words are lower-cased A-Z only.
+    """
+    scratch, ident, member = _joined(docs, id_col, text_col, shingle, similarity)
     least = member.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = scratch.save(member.join(least, "comp").select("fp", "component_id"))
     scratch.keep_only(ident, named)
@@ -309,3 +321,17 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
     )
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
+    """(id, key), distinct, of the rows to keep, with key as of ``text_key``: of each group of linked texts the least, and every text without words.
+
+    Links are as of ``link_components``, but between texts: of texts that share an id, those that are not linked all stay. Rows without an id are not in the result.
+    """
+    scratch, ident, member = _joined(docs, id_col, text_col, shingle, similarity)
+    rows = ident.filter("id is not null").select("id", "key", "fp", "n")
+    first = rows.filter("n > 0").groupBy("fp").agg(F.min(F.struct("id", "key")).alias("row"))
+    kept = first.join(member, "fp").groupBy("comp").agg(F.min("row").alias("row")).select("row.*")
+    out = scratch.save(kept.unionByName(rows.filter("n = 0").select("id", "key").distinct()))
+    scratch.keep_only(out)
+    return out.withColumnRenamed("id", id_col)
