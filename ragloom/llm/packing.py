@@ -1,6 +1,6 @@
 """Best-fit packing of texts into sequences of several permitted lengths.
 
-Texts are dealt by the hash of their id to shards of about ``SHARD`` rows, and each shard is packed for
+Texts are dealt by the hash of their id and place in the table to shards of about ``SHARD`` rows, and each shard is packed for
 itself, which costs at most a few part-filled bins a shard. A text longer than the largest length is cut
 into pieces of that length and a rest. Pieces go, the longest first, to the open bin with the least
 room that holds them. If there is none, a bin of the length with the least cost for each token it is
@@ -93,7 +93,7 @@ def packed(sized: DataFrame, lengths: Sequence[int] = LENGTHS, cost: Callable[[i
     """
     most = max(lengths)
     shards = max(1, math.ceil(sized.count() / shard))
-    dealt = sized.select("id", "n", F.pmod(F.xxhash64("id", "n"), F.lit(shards)).alias("shard"))
+    dealt = sized.select("id", "n", F.pmod(F.xxhash64("id", "n", F.monotonically_increasing_id()), F.lit(shards)).alias("shard"))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["n", "id"], ascending=[False, True], kind="stable")
