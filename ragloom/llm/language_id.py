@@ -15,10 +15,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.llm import textkit as K
+from ragloom.llm.scratch import least_hashes
 
 BUCKETS = 1 << 16
 SAMPLE = 6000
@@ -140,8 +141,11 @@ class LanguageModel:
         return pa.array(names[best], pa.string()), score
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn_from: Column | None = None, sample: int = SAMPLE) -> LanguageModel:
-    """A model from the rows of ``docs`` that ``learn_from`` admits and whose language is not null. Without any, every prediction is ``und``."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn_from: Column | None = None, sample: int = SAMPLE, most_languages: int = 256) -> LanguageModel:
+    """A model from the rows of ``docs`` that ``learn_from`` admits and whose language is not null. Without any, every prediction is ``und``.
+
+    The ``most_languages`` languages with most rows are learned. Of rows that repeat an id and a language one is in the sample.
+    """
     known = docs.filter(learn_from) if learn_from is not None else docs
     known = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
 
@@ -159,13 +163,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     df[counted["bucket"].to_numpy(np.int64)] = counted["df"].to_numpy(np.float64)
     idf = np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1
 
-    per_lang = known.filter("id is not null").select("id", "lang").distinct()
-    langs = sorted(r["lang"] for r in per_lang.select("lang").distinct().collect())
+    named = known.filter("id is not null")
+    counts = {r["lang"]: r["count"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
+    langs = sorted(counts)
     if not langs:
         return LanguageModel([], idf, np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = per_lang.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= max(1, sample // len(langs))).select("id", "lang")
-    texts = known.join(F.broadcast(chosen), ["id", "lang"]).select("id", "text", "lang")
+    chosen = least_hashes(named, "lang", counts, max(1, sample // len(langs)))
+    texts = known.join(F.broadcast(chosen), ["id", "lang"])
+    # one row of a repeated id, so that the fitting task holds no more than the sample
+    texts = texts.groupBy("id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("id", "text", "lang")
     number = {name: k for k, name in enumerate(langs)}
 
     def features(batches):

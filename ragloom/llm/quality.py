@@ -16,10 +16,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.llm import textkit as K
+from ragloom.llm.scratch import least_hashes
 
 BUCKETS = 1 << 17
 SAMPLE = 8000
@@ -144,7 +145,7 @@ def _features(batches):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn_from=None, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """The model: log-odds weight of each bucket, and the bias. Rows with a null id or label are left out; an id with several labels counts as its least.
+    """The model: log-odds weight of each bucket, and the bias. Rows with a null id or label are left out; an id with several labels counts as its least, one with several texts as the text of the least hash.
 
     ``learn_from``: a condition on the id column. Without rows of both classes the weights are 0 and the score is the
     share of label 1, or 1 without any labelled row.
@@ -156,9 +157,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len(by_class) < 2:
         share = by_class.get(1, 0) / total if total else 1.0
         return np.zeros(BUCKETS), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
-    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    chosen = marked.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= sample // 2).select("id", "y")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "y")
+    chosen = least_hashes(marked, "y", by_class, sample // 2)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    # one row of a repeated id, so that the fitting task holds no more than the sample
+    texts = texts.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("id", "text", "y")
     rows = texts.mapInArrow(_features, "id bigint, y int, at array<int>")
     share = by_class[1] / total
 

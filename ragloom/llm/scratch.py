@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -65,6 +66,31 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def least_hashes(rows: DataFrame, by: str, counts: dict, k: int) -> DataFrame:
+    """Distinct rows (id, by) with, for each value of ``by``, the k least hashes of the id; ``counts`` has the rows of each value that is wanted.
+
+    A cut of the hash by the counts leaves about 4 k ids a value, so that no task sees all rows of a value. Where ids repeat more than
+    four times on average there may be fewer than k.
+    """
+    least = -(1 << 63)
+    cuts = [(v, least + min((1 << 64) - 1, (4 * k << 64) // n)) for v, n in counts.items()]
+    h = F.xxhash64("id")
+    wanted = functools.reduce(lambda a, b: a | b, ((F.col(by) == v) & (h <= cut) for v, cut in cuts))
+    order = Window.partitionBy(by).orderBy(h, "id")
+    return rows.select("id", by).filter(wanted).distinct().withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k).select("id", by)
+
+
+#: Rows and values of a table that may be broadcast: 16 MB or so.
+SMALL = 1 << 20
+
+
+def if_small(table: DataFrame, size: Column | None = None) -> DataFrame:
+    """A written table with a hint to broadcast it if it has at most ``SMALL`` rows and values by ``size``, counted here; else as it is."""
+    values = F.lit(0) if size is None else F.coalesce(F.sum(size), F.lit(0))
+    n, more = table.agg(F.count("*"), values).first()
+    return F.broadcast(table) if max(n, more) <= SMALL else table
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, comp) for the ends of edges (u, v): comp is the smallest node that links reach.
 
