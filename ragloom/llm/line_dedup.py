@@ -9,9 +9,9 @@ the first n - ceil(t n) + 1 tokens of each, so each class goes to the buckets of
 A task reads texts, keeps one line of each class of a batch and sends its bucket rows as packed arrays, one for each of
 many parts of the token domain. In a bucket, each class is compared with the earlier ones by the length filter, the
 positional filter and a 128-bit parity sketch (a lower bound of the symmetric difference); its ``keep`` earliest
-partners left over go on, and whether there are more. In a bucket of over ``run`` classes the ``hubs`` earliest are the
-partners of all others, which count as having more. Partners are verified on whole sets. Classes with more
-that no partner removed are joined with all earlier rows of their buckets, split by a second common token,
+partners left over go on, and whether there are more. The rows of a bucket of over ``run`` classes are made again as a
+table dealt by class, where each meets the ``hubs`` earliest ones only, and counts as having more. Partners are verified on whole
+sets. Classes with more that no partner removed are joined with all earlier rows of their buckets, split by a second common token,
 and verified likewise: nothing is lost to the bounds, and thousands of near copies give a few pairs each.
 """
 
@@ -22,11 +22,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragloom.llm import textkit as K
-from ragloom.llm.scratch import KeySet, Scratch
+from ragloom.llm.scratch import KeySet, Scratch, if_small
 
 BUCKETS, BLOCKS = 1 << 20, 64
 LINES, CHUNK = 1 << 12, 1 << 20
@@ -42,9 +42,9 @@ class Limits(NamedTuple):
     """What a task holds of buckets; results do not depend on it."""
 
     keep: int = 8  # earliest partners of a class in a bucket
-    run: int = 1 << 14  # classes of a bucket that are compared with each other
-    hubs: int = 1 << 8  # earliest classes of larger buckets, which all others are compared with
-    held: int = 1 << 22  # rows before larger buckets are thinned
+    run: int = 1 << 14  # classes of a bucket that are compared with each other in one task
+    hubs: int = 1 << 6  # earliest classes of larger buckets, which all others are compared with
+    held: int = 1 << 22  # rows before larger buckets are left to the table
 
 
 def _lines(w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -262,25 +262,16 @@ class _Buckets:
         return [c[heads] for c in cols]
 
     def thin(self):
-        """Compare the rows of hot buckets with the earliest ones and keep only these."""
+        """One row of each class and bucket; buckets beyond the limit go, their tokens are told."""
         cols = self.rows()
-        token, fp, s1, s2, doc, line, n, at = cols
+        token = cols[0]
         edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
         size = np.diff(np.append(edge, len(token)))
         hot = (size > self.limits.run) | np.isin(token[edge], self.hot)
-        self.hot = token[edge[hot]]
+        self.hot = np.union1d(self.hot, token[edge[hot]])
+        if hot.any():
+            yield _found(None, None, np.zeros(hot.sum(), np.int64), None, None, token[edge[hot]].view(np.int64))
         keep = np.repeat(~hot, size)
-        for a, k in zip(edge[hot].tolist(), size[hot].tolist(), strict=True):
-            run = np.arange(a, a + k)
-            run = run[np.lexsort((line[run], doc[run]))]
-            hubs, rest = run[: self.limits.hubs], run[self.limits.hubs :]
-            keep[hubs] = True
-            step = max(1, CHUNK // len(hubs))
-            for begin in range(0, len(rest), step):
-                some = rest[begin : begin + step]
-                yield from self.pairs(cols, np.repeat(some, len(hubs)), np.tile(hubs, len(some)))
-            if len(rest):
-                yield _found(fp[rest], None, doc[rest], line[rest], None, token[rest].view(np.int64))
         self.blobs = [[c[keep] for c in cols]]
         self.held = int(keep.sum())
 
@@ -295,9 +286,8 @@ class _Buckets:
         swap = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & (line[i] < line[j]))
         return np.where(swap, j, i), np.where(swap, i, j)
 
-    def pairs(self, cols, *ij):
+    def pairs(self, cols, x, y):
         """The earliest partners of each row, and rows that have more."""
-        x, y = self.filtered(cols, *ij) if len(ij) == 2 else ij[0]
         token, fp, _, _, doc, line, _, _ = cols
         order = np.lexsort((line[y], doc[y], x))
         x, y = x[order], y[order]
@@ -327,11 +317,11 @@ class _Buckets:
             xs.append(x)
             ys.append(y)
             begin = stop
-        yield from self.pairs(cols, (np.concatenate(xs), np.concatenate(ys)))
+        yield from self.pairs(cols, np.concatenate(xs), np.concatenate(ys))
 
 
 def _partners(num: int, den: int, limits: Limits):
-    """Over packed rows: pairs of classes (x, y) with y earlier, (x, token) where a bucket has more, and places (xd, xl) that an equal line precedes."""
+    """Over packed rows: pairs of classes (x, y) with y earlier, (x, token) where a bucket has more, (token) of buckets left out, and places (xd, xl) that an equal line precedes."""
 
     def run(batches):
         buckets, classes, held = _Buckets(num, den, limits), [], 0
@@ -364,8 +354,8 @@ def _partners(num: int, den: int, limits: Limits):
     return run
 
 
-def _split_rows(order, num: int, den: int, tokens):
-    """Rows of the buckets of some tokens, by the token and each later one of the prefix that holds two common tokens."""
+def _rows_again(order, num: int, den: int, tokens, split: bool):
+    """Rows of the buckets of some tokens; with ``split`` by the token and each later one of the prefix that holds two common tokens."""
 
     def run(batches):
         for b in batches:
@@ -376,21 +366,22 @@ def _split_rows(order, num: int, den: int, tokens):
             own, at, token, n, sketches = rows
             mine = tokens.has(token.view(np.int64))
             own, at, token = own[mine], at[mine], token[mine]
-            least = -(-num * n[own] // den)
-            later = np.maximum(np.minimum(n[own], n[own] - least + 2) - at - 1, 0)
-            more = np.repeat(np.arange(len(own)), later)
-            second = t[first[own[more]] + at[more] + 1 + np.arange(len(more)) - np.repeat(np.cumsum(later) - later, later)]
-            alone = np.flatnonzero(least < 2)
-            key = np.concatenate([K.mix(token[more] ^ K.mix(second)), K.mix(token[alone])])
-            at_row = np.concatenate([more, alone])
-            k = own[at_row]
-            cols = (key.view(np.int64), token[at_row].view(np.int64), doc[k], no[k].astype(np.int32), fp[k], sketches[0][k].view(np.int64), sketches[1][k].view(np.int64), n[k].astype(np.int32), at[at_row].astype(np.int32))
+            key, row = token, np.arange(len(own))
+            if split:
+                least = -(-num * n[own] // den)
+                later = np.maximum(np.minimum(n[own], n[own] - least + 2) - at - 1, 0)
+                more = np.repeat(row, later)
+                second = t[first[own[more]] + at[more] + 1 + np.arange(len(more)) - np.repeat(np.cumsum(later) - later, later)]
+                alone = np.flatnonzero(least < 2)
+                key, row = np.concatenate([K.mix(token[more] ^ K.mix(second)), K.mix(token[alone])]), np.concatenate([more, alone])
+            k = own[row]
+            cols = (key.view(np.int64), token[row].view(np.int64), doc[k], no[k].astype(np.int32), fp[k], sketches[0][k].view(np.int64), sketches[1][k].view(np.int64), n[k].astype(np.int32), at[row].astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "token", "doc", "line", "fp", "s1", "s2", "n", "at"])
 
     return run
 
 
-_SPLIT = "key bigint, token bigint, doc bigint, line int, fp bigint, s1 bigint, s2 bigint, n int, at int"
+_AGAIN = "key bigint, token bigint, doc bigint, line int, fp bigint, s1 bigint, s2 bigint, n int, at int"
 
 
 def _wanted_sets(order, wanted_docs, wanted_lines):
@@ -425,27 +416,28 @@ def removed_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     found = scratch.save(packed.repartition(partitions, "part").mapInArrow(_partners(num, den, limits), _FOUND))
     scratch.free_shuffles()
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs, the later classes of those that match and their first places."""
+    def sets_of(pairs: DataFrame) -> DataFrame:
         used = pairs.select(F.explode(F.array("x", "y")).alias("fp")).distinct()
         home = pairs.select(F.explode(F.array("xd", "yd")).alias("id")).distinct()
         wanted, lines = KeySet(home), KeySet(used)
-        sets = scratch.save(wanted.narrowed(texts, "id").mapInArrow(_wanted_sets(order, wanted, lines), "fp bigint, h array<bigint>").dropDuplicates(["fp"]))
+        return scratch.save(wanted.narrowed(texts, "id").mapInArrow(_wanted_sets(order, wanted, lines), "fp bigint, h array<bigint>").dropDuplicates(["fp"]))
+
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Of pairs, the later classes of those that match and their first places."""
         whole = pairs.join(sets.select(F.col("fp").alias("x"), F.col("h").alias("xh")), "x").join(sets.select(F.col("fp").alias("y"), F.col("h").alias("yh")), "y")
         inter = F.size(F.array_intersect("xh", "yh"))
         hits = whole.filter(den * inter >= num * (F.size("xh") + F.size("yh") - inter))
         return scratch.save(hits.select(F.col("x").alias("fp"), "xd", "xl").distinct())
 
-    later = verified(found.filter("y is not null").select("x", "y", "xd", "xl", "yd").distinct())
-    left = scratch.save(found.filter("token is not null").select(F.col("x").alias("fp"), "token").distinct().join(later, "fp", "left_anti"))
-    if left.limit(1).count():
-        tokens = left.select("token").distinct()
-        rows = texts.mapInArrow(_split_rows(order, num, den, KeySet(tokens)), _SPLIT).join(tokens, "token", "left_semi")
-        first = rows.groupBy("key", "token", "fp").agg(F.min(F.struct("doc", "line")).alias("place"), *(F.first(c).alias(c) for c in ("s1", "s2", "n", "at")))
-        rows = scratch.save(first)
+    def again(tokens: DataFrame, split: bool) -> DataFrame:
+        """One row, with its first place, of each class and bucket of the tokens."""
+        made = texts.mapInArrow(_rows_again(order, num, den, KeySet(tokens), split), _AGAIN).join(tokens, "token", "left_semi")
+        return scratch.save(made.groupBy("key", "token", "fp").agg(F.min(F.struct("doc", "line")).alias("place"), *(F.first(c).alias(c) for c in ("s1", "s2", "n", "at"))))
+
+    def candidates(x: DataFrame, y: DataFrame) -> DataFrame:
+        """Pairs of a row of x and an earlier one of y in one bucket that the filters leave."""
         cols = ("fp", "place", "s1", "s2", "n", "at")
-        x = rows.join(left, ["fp", "token"], "left_semi").select("key", *(F.col(c).alias(f"x_{c}") for c in cols))
-        y = rows.select("key", *(F.col(c).alias(f"y_{c}") for c in cols))
+        x, y = (rows.select("key", *(F.col(c).alias(f"{end}_{c}") for c in cols)) for end, rows in (("x", x), ("y", y)))
         total = F.col("x_n") + F.col("y_n")
         possible = (
             (F.col("x_place") > F.col("y_place"))
@@ -453,9 +445,33 @@ def removed_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
             & ((F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))) * (den + num) >= total * num)
             & ((F.bit_count(F.col("x_s1").bitwiseXOR(F.col("y_s1"))) + F.bit_count(F.col("x_s2").bitwiseXOR(F.col("y_s2")))) * (den + num) <= total * (den - num))
         )
-        more = x.join(y, "key").filter(possible).select(F.col("x_fp").alias("x"), F.col("y_fp").alias("y"), F.col("x_place.doc").alias("xd"), F.col("x_place.line").alias("xl"), F.col("y_place.doc").alias("yd"))
-        later = later.unionByName(verified(scratch.save(more.distinct())))
-    gone = found.filter("x is null").select("xd", "xl").unionByName(later.select("xd", "xl"))
+        return x.join(y, "key").filter(possible).select(F.col("x_fp").alias("x"), F.col("y_fp").alias("y"), F.col("x_place.doc").alias("xd"), F.col("x_place.line").alias("xl"), F.col("y_place.doc").alias("yd"))
+
+    near = found.filter("y is not null").select("x", "y", "xd", "xl", "yd")
+    more = found.filter("x is not null and token is not null").select(F.col("x").alias("fp"), "token")
+    hot = scratch.save(found.filter("x is null and token is not null").select("token").distinct())
+    if hot.limit(1).count():
+        rows = again(hot, False)
+        salt = F.pmod(F.xxhash64("fp"), F.lit(64))
+        hubs = rows
+        for by in (("token", salt), ("token",)):
+            hubs = hubs.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("place"))).filter(F.col("nth") <= limits.hubs).drop("nth")
+        nth = F.row_number().over(Window.partitionBy("x").orderBy(F.xxhash64("x", "y")))
+        near = near.unionByName(candidates(rows, scratch.save(hubs)).distinct().withColumn("nth", nth).filter(F.col("nth") <= limits.keep).drop("nth"))
+        more = more.unionByName(rows.select("fp", "token"))
+    pairs = scratch.save(near.groupBy("x", "y").agg(F.count("*").alias("met"), *(F.first(c).alias(c) for c in ("xd", "xl", "yd"))))
+    sets = sets_of(pairs)
+    # of each class the partner that it meets most often; the others only if that one does not match
+    likely = pairs.groupBy("x").agg(F.max_by(F.struct("y", "xd", "xl"), F.struct("met", "y")).alias("p")).select("x", "p.*")
+    later = verified(likely, sets)
+    others = pairs.join(later.select(F.col("fp").alias("x")), "x", "left_anti").join(likely.select("x", "y"), ["x", "y"], "left_anti")
+    later = later.unionByName(verified(others.select("x", "y", "xd", "xl"), sets))
+    left = scratch.save(more.distinct().join(later, "fp", "left_anti"))
+    if left.limit(1).count():
+        rows = again(left.select("token").distinct(), True)
+        pairs = scratch.save(candidates(rows.join(left, ["fp", "token"], "left_semi"), rows).distinct())
+        later = later.unionByName(verified(pairs, sets_of(pairs)))
+    gone = found.filter("x is null and token is null").select("xd", "xl").unionByName(later.select("xd", "xl"))
     return gone.groupBy(F.col("xd").alias("doc")).agg(F.array_sort(F.collect_set("xl")).alias("lines"))
 
 
@@ -475,7 +491,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     doc, lines, key, none = (f"{free}{c}" for c in ("doc", "lines", "key", "none"))
     # rows without an id match nothing; they go to many tasks, not to one
     sides = docs.withColumns({key: F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(text_col)), none: F.col(id_col).isNull()})
-    out = sides.join(gone.select(F.col("doc").alias(doc), F.col("lines").alias(lines)), (F.col(key) == F.col(doc)) & ~F.col(none), "left")
+    out = sides.join(if_small(gone, F.size("lines")).select(F.col("doc").alias(doc), F.col("lines").alias(lines)), (F.col(key) == F.col(doc)) & ~F.col(none), "left")
     parts = F.split(F.col(text_col), "\n")
     kept = F.filter(parts, lambda x, i: ~F.array_contains(lines, i))
     text = F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
