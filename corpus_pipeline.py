@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragloom.llm import language_id, line_dedup, ngram_join, packing, quality
-from ragloom.llm.scratch import Scratch
+from ragloom.llm.scratch import Scratch, if_small
 from ragloom.session import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -44,10 +44,14 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     ship(spark)
     docs = docs.select(*COLUMNS).withColumn("key", ngram_join.text_key())
-    kept = ngram_join.representatives(docs, shingle=5, similarity=(8, 10))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("source", "lang", "n_chars"))
-    one = docs.join(kept, ["doc_id", "key"], "left_semi").withColumn("nth", nth).filter("nth = 1").select(*COLUMNS)
-    return one.unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+    marks = ngram_join.redundant(docs, shingle=5, similarity=(8, 10))
+    known, out = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
+    out = out.unionByName(known.join(if_small(marks.select("doc_id", "key")), ["doc_id", "key"], "left_anti").select(*docs.columns))
+    if marks.filter("stays").limit(1).count():
+        nth = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("source", "lang", "n_chars"))
+        repeated = known.join(marks.filter("stays").select("doc_id", "key"), ["doc_id", "key"], "left_semi")
+        out = out.unionByName(repeated.withColumn("nth", nth).filter("nth = 1").select(*docs.columns))
+    return out.select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

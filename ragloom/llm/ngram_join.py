@@ -323,15 +323,18 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
-    """(id, key), distinct, of the rows to keep, with key as of ``text_key``: of each group of linked texts the least, and every text without words.
+def redundant(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
+    """(id, key, stays), key as of ``text_key``: with stays false the rows to leave out, which are linked to a text with a lesser (id, key); with stays true those of which one of several equal rows stays.
 
-    Links are as of ``link_components``, but between texts: of texts that share an id, those that are not linked all stay. Rows without an id are not in the result.
+    Links are as of ``link_components``, but between texts: of texts that share an id, those that are not linked all stay, and so does every text
+    without words. Rows without an id are not in the result. The table is a written one.
     """
     scratch, ident, member = _joined(docs, id_col, text_col, shingle, similarity)
-    rows = ident.filter("id is not null").select("id", "key", "fp", "n")
-    first = rows.filter("n > 0").groupBy("fp").agg(F.min(F.struct("id", "key")).alias("row"))
-    kept = first.join(member, "fp").groupBy("comp").agg(F.min("row").alias("row")).select("row.*")
-    out = scratch.save(kept.unionByName(rows.filter("n = 0").select("id", "key").distinct()))
+    rows = ident.filter("id is not null").groupBy("id", "key", "fp", "n").agg(F.count("*").alias("copies"))
+    grouped = rows.filter("n > 0").join(member.select("fp", "comp"), "fp")
+    least = grouped.groupBy("comp").agg(F.min(F.struct("id", "key")).alias("least"))
+    marked = grouped.join(least, "comp").withColumn("stays", F.struct("id", "key") == F.col("least"))
+    out = marked.unionByName(rows.filter("n = 0").withColumn("stays", F.lit(True)), allowMissingColumns=True).filter("not stays or copies > 1")
+    out = scratch.save(out.select(F.col("id").alias(id_col), "key", "stays"))
     scratch.keep_only(out)
-    return out.withColumnRenamed("id", id_col)
+    return out
