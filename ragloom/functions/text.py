@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,9 +30,9 @@ def strip(x: Column | str) -> Column:
 
 
 def normalized_tokens(x: Column | str) -> Column:
-    """Lower-cased tokens between white space, ASCII punctuation deleted, articles left out."""
+    """Lower-cased tokens between white space, ASCII punctuation deleted, articles between word boundaries made a space."""
     bare = F.translate(F.lower(_c(x)), PUNCTUATION, "")
-    return F.filter(F.split(bare, r"(?U)\s+"), lambda t: ~t.isin("", "a", "an", "the"))
+    return F.filter(F.split(F.regexp_replace(bare, r"(?U)\b(?:a|an|the)\b", " "), r"(?U)\s+"), lambda t: t != "")
 
 
 def normalize_answer(x: Column | str) -> Column:
@@ -43,9 +44,19 @@ def exact_match(prediction: Column | str, gold: Column | str) -> Column:
 
 
 def overlap(p: Column, g: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    count = lambda a, t: F.size(F.filter(a, lambda y: y == t))
-    return F.aggregate(F.array_distinct(p), F.lit(0), lambda acc, t: acc + F.least(count(p, t), count(g, t)))
+    """Size of the multiset intersection of two arrays: one walk over both in order, counting each token's runs."""
+    marked = lambda a, side: F.transform(a, lambda t: F.struct(t.alias("t"), F.lit(side).alias("side")))
+    both = F.array_sort(F.concat(marked(p, 0), marked(g, 1)))
+    zero = F.lit(0)
+    state = lambda t, in_p, in_g, done: F.struct(t.alias("t"), in_p.alias("p"), in_g.alias("g"), done.alias("done"))
+
+    def step(acc: Column, x: Column) -> Column:
+        same = acc["t"].eqNullSafe(x["t"])
+        before = lambda field: F.when(same, acc[field]).otherwise(zero)
+        done = F.when(same, acc["done"]).otherwise(acc["done"] + F.least(acc["p"], acc["g"]))
+        return state(x["t"], before("p") + 1 - x["side"], before("g") + x["side"], done)
+
+    return F.aggregate(both, state(F.lit(None).cast("string"), zero, zero, zero), step, lambda acc: acc["done"] + F.least(acc["p"], acc["g"]))
 
 
 def token_f1(prediction: Column | str, gold: Column | str) -> Column:
@@ -84,21 +95,25 @@ def rouge_tokens(x: Column | str) -> Column:
     return F.filter(F.split(F.lower(_c(x)), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def common_subsequence(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence: one row of the table for each element of a."""
+def _subsequence_lengths(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Longest common subsequences by bits: a zero of ``row`` is a step of the table's row, updated for each token of b at once."""
 
-    def next_row(row: Column, x: Column) -> Column:
-        start = F.struct(F.array(F.lit(0)).alias("row"), F.lit(0).alias("at"))
+    def length(x, y) -> int:
+        places: dict[str, int] = {}
+        for i, t in enumerate(x):
+            places[t] = places.get(t, 0) | 1 << i
+        whole = row = (1 << len(x)) - 1
+        for t in y:
+            met = row & places.get(t, 0)
+            row = ((row + met) | (row - met)) & whole
+        return len(x) - row.bit_count()
 
-        def cell(acc: Column, y: Column) -> Column:
-            i = acc["at"]
-            value = F.when(x == y, F.get(row, i) + 1).otherwise(F.greatest(F.get(row, i + 1), F.get(acc["row"], i)))
-            return F.struct(F.concat(acc["row"], F.array(value)).alias("row"), (i + 1).alias("at"))
+    return pd.Series([0 if x is None or y is None else length(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
-        return F.aggregate(b, start, cell, lambda acc: acc["row"])
 
-    first = F.transform(F.sequence(F.lit(0), F.size(b)), lambda _: F.lit(0))
-    return F.element_at(F.aggregate(a, first, next_row), -1)
+def common_subsequence(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two arrays, 0 if either is null; in Arrow batches, for no built-in can keep a table's row."""
+    return F.pandas_udf(_subsequence_lengths, "int")(a, b)
 
 
 def rouge(prediction: Column | str, gold: Column | str, kind: str = "rouge1", tokens=rouge_tokens) -> dict[str, Column]:
@@ -108,13 +123,15 @@ def rouge(prediction: Column | str, gold: Column | str, kind: str = "rouge1", to
 
     def parts(p: Column, g: Column) -> Column:
         """Hits and the sizes of both sides."""
-        count = common_subsequence if kind == "rougeL" else overlap
-        return F.struct(count(p, g).cast("double").alias("hits"), F.size(p).alias("p"), F.size(g).alias("g"))
+        return F.struct(overlap(p, g).cast("double").alias("hits"), F.size(p).alias("p"), F.size(g).alias("g"))
 
-    if kind == "rouge2":
-        n = once(lambda p, g: once(parts, ngrams(p, 2), ngrams(g, 2)), tokens(prediction), tokens(gold))
+    p, g = tokens(prediction), tokens(gold)
+    if kind == "rougeL":
+        n = {"hits": common_subsequence(p, g).cast("double"), "p": F.size(p), "g": F.size(g)}
+    elif kind == "rouge2":
+        n = once(lambda p, g: once(parts, ngrams(p, 2), ngrams(g, 2)), p, g)
     else:
-        n = once(parts, tokens(prediction), tokens(gold))
+        n = once(parts, p, g)
     zero = F.lit(0.0)
     precision, recall = F.coalesce(F.try_divide(n["hits"], n["p"]), zero), F.coalesce(F.try_divide(n["hits"], n["g"]), zero)
     return {"P": precision, "R": recall, "F": F.coalesce(F.try_divide(2 * precision * recall, precision + recall), zero)}
@@ -144,7 +161,7 @@ def first_query(x: Column | str, start: str, end: str) -> Column:
     x = _c(x)
     rest = F.when(F.contains(x, F.lit(start)), F.substring(x, F.instr(x, start) + len(start), F.char_length(x)))
     bare = F.regexp_replace(F.substring_index(rest, end, 1), "[\"']|\\.\\.\\.", "")
-    return F.nullif(strip(F.regexp_replace(bare, r"\s+", " ")), F.lit(""))
+    return F.nullif(strip(F.regexp_replace(bare, r"(?U)\s+", " ")), F.lit(""))
 
 
 def last_query(x: Column | str, start: str, end: str) -> Column:
@@ -216,7 +233,7 @@ def shortened_steps(steps: Column | str, marks: Sequence[str]) -> Column:
 def first_words(x: Column | str, n: int = 360) -> Column:
     """The first n words joined by a space; a text with no more is unchanged."""
     cut = lambda parts: F.when(F.size(parts) > n, F.array_join(F.slice(parts, 1, n), " "))
-    return F.coalesce(once(cut, F.split(strip(x), r"\s+")), _c(x))
+    return F.coalesce(once(cut, F.split(strip(x), r"(?U)\s+")), _c(x))
 
 
 def as_question(x: Column | str) -> Column:

@@ -59,8 +59,9 @@ class AgenticRAG:
     question: Callable[[Column], Column] = field(default=lambda q: q)
     analysis_template: str | None = None
 
-    def _closed(self, text: Column, tag: str) -> Column:
-        return F.when(F.endswith(X.strip(text), F.lit(tag)), F.lit("")).otherwise(F.lit(tag))
+    def _closed(self, text: Column, start: str, end: str) -> Column:
+        """The end tag, if the last start tag has none after it."""
+        return F.when(F.contains(F.substring_index(text, start, -1), F.lit(end)), F.lit("")).otherwise(F.lit(end))
 
     def _documents(self, asked: DataFrame) -> DataFrame:
         """(qid, _docs) of the queries that find some."""
@@ -91,7 +92,7 @@ class AgenticRAG:
             text = F.col("_said")
             answered = F.contains(text, F.lit(start_answer))
             said = said.withColumn("_query", F.when(~answered, self.search_query(text, *self.search_tags)))
-            told = F.concat(text, F.when(answered, self._closed(text, end_answer)).when(F.col("_query").isNotNull(), self._closed(text, self.search_tags[1])).otherwise(""))
+            told = F.concat(text, F.when(answered, self._closed(text, *self.answer_tags)).when(F.col("_query").isNotNull(), self._closed(text, *self.search_tags)).otherwise(""))
             answer = X.strip(F.regexp_replace(X.after_first(text, start_answer), rf"(?s)\Q{end_answer}\E.*$", ""))
             stepped = cut_lineage(said.select(
                 "qid", "query", "_query", F.concat("context", F.lit("\n\n"), told).alias("context"), F.concat("output", F.lit("\n\n"), told).alias("output"),
@@ -160,6 +161,93 @@ def forced_search(agent: AgenticRAG, tries: int = 1) -> AgenticRAG:
     return replace(agent, search_query=query)
 
 
+# What the loop says in place of results.
+SEARCH_LIMIT_TEXT = "The maximum search limit is exceeded. You are not allowed to search."
+SEARCHED_BEFORE_TEXT = "You have searched this query. Please refer to previous results."
+UNKNOWN_ANSWER = "I don't know."
+
+
+@dataclass
+class SearchO1Loop:
+    """The loop that goes on after a refused search: (qid, query) with unique qids to qid, query, output, qanswer, iteration, all_queries, history, stop_reason.
+
+    A turn whose output ends with the end tag of a query searches, if there were fewer than ``max_searches`` searches and the query is new; else a
+    message stands in place of results and the query goes on. Any other turn ends it. Documents are read by the backend with the reasoning so far, in
+    numbered steps of which the middle ones without tags are left out, and what it extracts is the result. ``history`` has every text and message.
+    """
+
+    retriever: Retriever
+    backend: Backend
+    search_tags: tuple[str, str] = ("<|begin_search_query|>", "<|end_search_query|>")
+    result_tags: tuple[str, str] = ("<|begin_search_result|>", "<|end_search_result|>")
+    prompt_template: str = BOXED_PROMPTS["multi"]
+    analysis_template: str = ANALYSIS_PROMPT
+    top_k: int = 10
+    max_turn: int = 10
+    max_searches: int = 5
+    renderer: Callable[[Column, Column, Column], Column] = field(default=lambda i, title, text: render_block(i, title, X.first_words(text)))
+    forced_first: bool = False
+
+    def _analysed(self, asked: DataFrame) -> DataFrame:
+        """(qid, _result) of rows with a query."""
+        found = cutoff(self.retriever(asked.select("qid", F.col("_query").alias("query"))), self.top_k)
+        steps = F.split(F.regexp_replace("output", "\n\n", "\n"), "\n")
+        reasoning = X.shortened_steps(steps, [self.search_tags[0], self.result_tags[0]])
+        rows = asked.select("qid", F.col("_query").alias("query"), "turn", reasoning.alias("reasoning")).join(rendered(found, self.renderer, "_docs"), "qid", "left")
+        rows = rows.withColumn("prompt", X.template(self.analysis_template, {"docs": "_docs"}))
+        said = generated(rows, self.backend, output_field="_said")
+        return said.select("qid", X.extracted_answer("_said", "infogen").alias("_result"))
+
+    def transform(self, queries: DataFrame) -> DataFrame:
+        require_columns(queries, "qid", "query")
+        texts = F.array().cast("array<string>")
+        state = cut_lineage(queries.select(
+            F.col("qid").cast("string").alias("qid"), "query", X.template(self.prompt_template, {"question": F.col("query")}).alias("context"), F.lit("").alias("output"),
+            texts.alias("searches"), texts.alias("history"), F.lit(0).alias("iteration"), F.lit(False).alias("done"),
+        ))
+        start, end = self.search_tags
+        boxed = lambda text: F.concat(F.lit(f"\n{self.result_tags[0]}\n"), text, F.lit(f"\n{self.result_tags[1]}\n"))
+        for turn in range(self.max_turn):
+            active = state.filter("not done")
+            if not active.limit(1).count():
+                break
+            said = generated(active.withColumns({"turn": F.lit(turn), "prompt": F.col("context")}), self.backend, output_field="_said").drop("prompt")
+            if self.forced_first and turn == 0:
+                # a text without a query is followed by the question as one
+                asks = F.contains("_said", F.lit(start))
+                said = said.withColumn("_said", F.when(asks, F.col("_said")).otherwise(F.concat("_said", F.lit(start), X.strip("query"), F.lit(end))))
+            output = F.concat("output", "_said")
+            query = F.when(F.endswith(X.strip(output), F.lit(end)), X.last_between("_said", start, end))
+            stepped = said.select(
+                "qid", "query", "turn", F.concat("context", "_said").alias("context"), output.alias("output"), "searches", F.concat("history", F.array("_said")).alias("history"),
+                (F.col("iteration") + 1).alias("iteration"), F.nullif(query, F.lit("")).alias("_query"),
+            )
+            over, seen = F.size("searches") >= self.max_searches, F.array_contains("searches", F.col("_query"))
+            told = F.when(F.col("_query").isNotNull() & over, SEARCH_LIMIT_TEXT).when(F.col("_query").isNotNull() & seen, SEARCHED_BEFORE_TEXT)
+            stepped = cut_lineage(stepped.withColumn("_told", told))
+            found = self._analysed(stepped.filter("_query is not null and _told is null"))
+            more = boxed(F.coalesce("_told", "_result", F.lit("")))
+            asked = F.col("_query").isNotNull()
+            done = stepped.join(found, "qid", "left").select(
+                "qid", "query", F.when(asked, F.concat("context", more)).otherwise(F.col("context")).alias("context"), F.when(asked, F.concat("output", more)).otherwise(F.col("output")).alias("output"),
+                F.when(asked & F.col("_told").isNull(), F.concat("searches", F.array("_query"))).otherwise(F.col("searches")).alias("searches"),
+                F.when(asked, F.concat("history", F.array(more))).otherwise(F.col("history")).alias("history"), "iteration", (~asked).alias("done"),
+            )
+            state = cut_lineage(state.filter("done").unionByName(done))
+        return state.select(
+            "qid", "query", "output", X.answer_cascade("output").alias("qanswer"), "iteration", F.transform("searches", lambda q, i: F.struct(i.alias("iteration"), q.alias("query"))).alias("all_queries"),
+            "history", F.when(F.col("done"), "finished").otherwise("many_turns").alias("stop_reason"),
+        )
+
+    __call__ = transform
+
+
+def limited_r1_searcher(retriever: Retriever, backend: Backend, top_k: int = 5, max_searches: int = 9, **changes) -> Callable[[DataFrame], DataFrame]:
+    """The one-query-at-a-time form: at most ``max_searches`` searches, the answer of a query that ends without one is unknown, and stop reasons by name."""
+    agent = r1_searcher(retriever, backend, top_k, max_searches, **({"prompt_type": "v3"} | changes))
+    return lambda queries: standalone(agent.transform(queries), UNKNOWN_ANSWER, reasons=True)
+
+
 def standalone(out: DataFrame, default_answer: str | None = None, reasons: bool = False) -> DataFrame:
     """The other output form: qid, query, output, qanswer, iteration, all_queries [, stop_reason_final]."""
     final = F.when(F.col("stop_reason") == "Got answer", "finished").when(F.col("stop_reason") == "No answer after max turns", "many_retrieve").when(F.col("stop_reason") == "No answer, no search", "query_inst_error").otherwise("shot_down")

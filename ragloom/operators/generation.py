@@ -212,22 +212,84 @@ class HTTPBackend(Backend):
             return list(pool.map(lambda p: self._ask(p, return_logprobs, max_new_tokens, stop_sequences, num_responses), prompts))
 
 
+def _pretrained(backend: LocalModelBackend) -> Callable[..., list[list[tuple]]]:
+    """A causal or sequence-to-sequence model: padded and cut prompts, greedy unless the options say else, the prompt's tokens taken off a causal output."""
+    import torch
+    import transformers
+
+    auto = transformers.AutoModelForSeq2SeqLM if backend.kind == "seq2seq" else transformers.AutoModelForCausalLM
+    tokenizer = transformers.AutoTokenizer.from_pretrained(backend.model_id)
+    if tokenizer.pad_token is None:
+        tokenizer.pad_token = tokenizer.eos_token
+    if backend.kind == "causal":
+        tokenizer.padding_side = "left"
+    model = auto.from_pretrained(backend.model_id, **backend.model_options)
+
+    def run(prompts, new_tokens, logprobs, stops):
+        batch = tokenizer(prompts, return_tensors="pt", padding=True, truncation=True, max_length=backend.max_input_length)
+        with torch.no_grad():
+            out = model.generate(**batch, **({"do_sample": False, "max_new_tokens": new_tokens} | backend.generation_options))
+        if backend.kind == "causal":
+            out = out[:, batch["input_ids"].shape[1] :]
+        return [(t, None) for t in tokenizer.batch_decode(out, skip_special_tokens=True)]
+
+    return run
+
+
+def _served(backend: LocalModelBackend) -> Callable[..., list[list[tuple]]]:
+    """A model of the batch server library, with the log-probabilities of each step's likeliest tokens."""
+    import vllm
+
+    model = vllm.LLM(backend.model_id, **backend.model_options)
+
+    def run(prompts, new_tokens, logprobs, stops):
+        options = {"temperature": 0.0, "max_tokens": new_tokens, "stop": list(stops) or None, "logprobs": backend.logprobs_topk if logprobs else None, "truncate_prompt_tokens": backend.max_input_length} | backend.generation_options
+        given = vllm.SamplingParams(**options)
+        outs = model.chat(prompts, given) if prompts and isinstance(prompts[0], list) else model.generate(prompts, given)
+        steps = lambda o: [{x.decoded_token: float(x.logprob) for x in step.values()} for step in o.logprobs] if logprobs else None
+        return [(o.outputs[0].text, steps(o.outputs[0])) for o in outs]
+
+    return run
+
+
 @dataclass
-class LocalModelBackend(FunctionBackend):
-    """A model of an optional library, made once a worker by ``loader``; ``kind`` is causal, seq2seq or vllm."""
+class LocalModelBackend(Backend):
+    """A model of an optional library, made once a worker; ``kind`` is causal, seq2seq or vllm.
+
+    ``loader`` makes, in place of the library's, a function of (prompts, new tokens, whether log-probabilities are wanted, stops) that
+    gives a pair (text, log-probabilities or None) for each prompt. Texts are cut at the stops. Only vllm has log-probabilities and messages;
+    there is one response a prompt.
+    """
 
     kind: str = "causal"
-    loader: Callable[[], Callable[[list], list[str]]] | None = None
+    loader: Callable[[LocalModelBackend], Callable] | None = None
+    logprobs_topk: int = 20
+    model_options: dict = field(default_factory=dict)
+    generation_options: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        needed = "vllm" if self.kind == "vllm" else "transformers"
-        if self.loader is None and not available(needed):
-            raise ImportError(f"{self.kind} models need {needed}")
-
-    def generate(self, prompts, **options):
-        if self.function is None:
-            self.function = self.loader()
-        return super().generate(prompts, **options)
+        if self.kind not in ("causal", "seq2seq", "vllm"):
+            raise ValueError(f"unknown kind {self.kind!r}")
+        needed = ("vllm",) if self.kind == "vllm" else ("transformers", "torch")
+        if self.loader is None and (missing := [m for m in needed if not available(m)]):
+            raise ImportError(f"{self.kind} models need {' and '.join(missing)}, or a loader")
+        self.supports_logprobs = self.supports_messages = self.kind == "vllm"
+        self._run = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_run": None}
+
+    def generate(self, prompts, *, return_logprobs=False, max_new_tokens=None, stop_sequences=None, num_responses=1):
+        if num_responses != 1:
+            raise ValueError("local models give one response a prompt")
+        if self._run is None:
+            self._run = (self.loader or (_served if self.kind == "vllm" else _pretrained))(self)
+        stops = tuple(stop_sequences or ())
+
+        def cut(text: str) -> str:
+            return text[: min((at for at in (text.find(s) for s in stops) if at >= 0), default=len(text))]
+
+        return [[(cut(text), steps)] for text, steps in self._run(list(prompts), max_new_tokens or self.max_new_tokens, return_logprobs, stops)]
 
 
 def available(module: str) -> bool:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,60 +17,132 @@ from ragloom.plans.pipeline import ranked
 
 #: Between words: anything but letters and digits.
 SEPARATOR = r"[^\p{L}\p{N}]+"
+#: Different query terms that may be broadcast with their frequencies.
+SMALL = 1 << 20
 
 
 def terms(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(F.col(text) if isinstance(text, str) else text), SEPARATOR), lambda t: t != "")
 
 
+def term_counts(text: Column | str) -> Column:
+    """array<struct<term, tf>> of the distinct terms of a text, and first the term '' with the number of all; from the runs of the sorted terms."""
+
+    def counted(t: Column, starts: Column) -> Column:
+        runs = F.transform(starts, lambda at, i: F.struct(F.get(t, at).alias("term"), (F.coalesce(F.get(starts, i + 1), F.size(t)) - at).alias("tf")))
+        return F.concat(F.array(F.struct(F.lit("").alias("term"), F.size(t).alias("tf"))), runs)
+
+    def starts(t: Column) -> Column:
+        places = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        return F.filter(places, lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+
+    return once(lambda t: once(counted, t, starts(t)), F.array_sort(F.coalesce(terms(text), F.array().cast("array<string>"))))
+
+
 def bm25(queries: DataFrame, documents: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(qid, query, docno, score, rank): the k best documents (docno, text) of each query (qid, query).
 
-    Only postings of query terms are shuffled, summed by document and term before that. Scores are rounded to six places,
-    so that ties do not depend on the order of addition, and go to the smaller docno.
+    Documents are read twice: for the document frequencies of the queries' terms with the number and length of documents, counted before
+    the shuffle, and for the scores. Up to ``SMALL`` different terms, they are broadcast with their frequencies, so that no postings are
+    shuffled and a frequent term is no hot key; beyond, postings are joined by term. Scores are rounded to six places, so that ties do not depend on the order of
+    addition, and go to the smaller docno. A null text has no terms.
     """
+    spark = queries.sparkSession
     asked = queries.select("qid", "query", F.explode(F.array_distinct(terms("query"))).alias("term"))
-    cut = documents.select("docno", terms("text").alias("t"))
-    size = cut.select("docno", F.size("t").alias("dl"))
-    whole = size.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
-    postings = (
-        cut.select("docno", F.size("t").alias("dl"), F.explode("t").alias("term"))
-        .join(asked.select("term").distinct(), "term", "left_semi").groupBy("docno", "dl", "term").agg(F.count("*").alias("tf"))
-    )
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    n, avg = whole.select("n_docs").scalar(), whole.select("avg_dl").scalar()
+    wanted = asked.select("term").union(spark.createDataFrame([("",)], "term string")).distinct()
+    few = wanted.limit(SMALL + 1).count() <= SMALL
+    hint = F.broadcast if few else (lambda df: df)
+    postings = documents.select("docno", term_counts("text").alias("t")).select("docno", F.get("t", 0)["tf"].alias("dl"), F.inline("t"))
+    stats = postings.join(hint(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n_terms"))
+    if few:
+        stats = spark.createDataFrame(stats.toArrow(), stats.schema)
+    whole = stats.filter("term = ''").select(F.struct("df", "n_terms").alias("w")).scalar()
+    n, avg = whole["df"], whole["n_terms"] / whole["df"]
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avg))
-    weighted = postings.join(df, "term").select("term", "docno", (idf * weight).alias("w"))
-    scored = weighted.join(asked, "term").groupBy("qid", "query", "docno").agg(F.round(F.sum("w"), 6).alias("score"))
-    return ranked(scored).filter(F.col("rank") < k)
+    by_query = asked.join(stats, "term").select("qid", "query", "term", idf.alias("idf"))
+    scored = postings.join(hint(by_query), "term").groupBy("qid", "query", "docno").agg(F.round(F.sum(F.col("idf") * weight), 6).alias("score"))
+    return ranked(scored, k=k)
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense(queries: DataFrame, documents: DataFrame, k: int = 10, blocks: int = 16) -> DataFrame:
-    """(qid, docno, score, rank): the k documents (docno, doc_vec) with the highest inner product for each query (qid, query_vec).
+def _stacked(column: pa.Array) -> np.ndarray:
+    """Vectors of one size as a matrix."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
+
+
+class _Best:
+    """The k best documents of each query among those seen; equal scores go to the smaller docno."""
+
+    def __init__(self, asked: np.ndarray, k: int):
+        self.asked, self.k = asked, k
+        self.query, self.docno, self.score = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
+
+    def see(self, docno: np.ndarray, vectors: np.ndarray) -> None:
+        step = max(1, (1 << 22) // max(len(docno), 1))
+        for lo in range(0, len(self.asked), step):
+            s = np.round(self.asked[lo : lo + step] @ vectors.T, 6)
+            least = np.partition(s, -self.k, axis=1)[:, -self.k, None] if s.shape[1] > self.k else -np.inf
+            q, d = np.nonzero(s >= least)
+            self.query, self.docno, self.score = np.append(self.query, q + lo), np.append(self.docno, docno[d]), np.append(self.score, s[q, d])
+        name = np.unique(self.docno, return_inverse=True)[1] if len(self.docno) else self.query
+        order = np.lexsort((name, -self.score, self.query))
+        place = self.query[order]
+        order = order[np.arange(len(order)) - np.searchsorted(place, place) < self.k]
+        self.query, self.docno, self.score = self.query[order], self.docno[order], self.score[order]
+
+    def batch(self, qids: pa.Array, kind: pa.DataType) -> pa.RecordBatch:
+        taken = qids.take(pa.array(self.query))
+        taken = taken.combine_chunks() if isinstance(taken, pa.ChunkedArray) else taken
+        return pa.RecordBatch.from_arrays([taken, pa.array(self.docno.tolist(), kind), pa.array(self.score)], ["qid", "docno", "score"])
+
+
+def dense(queries: DataFrame, documents: DataFrame, k: int = 10, most: int = 1 << 22, block: int = 1 << 15) -> DataFrame:
+    """(qid, docno, score, rank): the k documents (docno, doc_vec) with the highest inner product, rounded to six places, for each query (qid, query_vec).
 
-    Queries go to each block of documents, matrices are multiplied there, and k of each block go on.
+    Keys may be strings or numbers; ties go to the smaller docno. Vectors that are null or hold a null take no part, and a query meets the
+    vectors of its own size only; without any it has no rows. If the queries have at most ``most`` components they are broadcast, each task reads its
+    documents in batches and k of each task go on. Beyond that, queries are dealt to blocks and meet blocks of ``block`` documents.
     """
-    import numpy as np
-
-    docs = documents.select("docno", "doc_vec", F.pmod(F.xxhash64("docno"), F.lit(blocks)).alias("block"))
-    asked = queries.select("qid", "query_vec").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-
-    def best(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(d):
-            return pd.DataFrame({"qid": [], "docno": [], "score": []})
-        s = np.round(np.stack(q["query_vec"].to_numpy()).astype(float) @ np.stack(d["doc_vec"].to_numpy()).astype(float).T, 6)
-        names = d["docno"].to_numpy()
-        rows = [(qid, names[j], s[i, j]) for i, qid in enumerate(q["qid"]) for j in np.lexsort((names, -s[i]))[:k]]
-        return pd.DataFrame(rows, columns=["qid", "docno", "score"])
-
-    kind = dict(queries.dtypes)["qid"], dict(documents.dtypes)["docno"]
-    found = asked.groupBy("block").cogroup(docs.groupBy("block")).applyInPandas(best, f"qid {kind[0]}, docno {kind[1]}, score double")
-    return ranked(found).filter(F.col("rank") < k)
+    sized = lambda df, key, vec: df.select(key, F.col(vec).cast("array<double>").alias("v")).filter(F.col("v").isNotNull() & ~F.exists("v", F.isnull)).withColumn("dim", F.size("v"))
+    docs, asked = sized(documents, "docno", "doc_vec"), sized(queries, "qid", "query_vec")
+    schema = f"qid {dict(queries.dtypes)['qid']}, docno {dict(documents.dtypes)['docno']}, score double"
+    components = asked.agg(F.coalesce(F.sum("dim"), F.lit(0))).first()[0]
+    if components <= most:
+        table = asked.toArrow()
+        by_size = {dim: (rows.column("qid"), _stacked(rows.column("v"))) for dim in table.column("dim").unique().to_pylist() for rows in [table.filter(pc.equal(table.column("dim"), dim))]}
+        shared = queries.sparkSession.sparkContext.broadcast(by_size)
+
+        def run(batches):
+            best, kind = {dim: _Best(v, k) for dim, (_, v) in shared.value.items()}, None
+            for b in batches:
+                kind, dims = b.column(0).type, b.column(2).to_numpy(zero_copy_only=False)
+                for dim in set(dims.tolist()) & best.keys():
+                    rows = b.filter(pa.array(dims == dim))
+                    best[dim].see(rows.column(0).to_numpy(zero_copy_only=False).astype(object), _stacked(rows.column(1)))
+            for dim, found in best.items():
+                if len(found.query):
+                    yield found.batch(shared.value[dim][0], kind)
+
+        return ranked(docs.mapInArrow(run, schema), k=k)
+
+    blocks, parts = max(1, math.ceil(documents.count() / block)), math.ceil(components / most)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("docno"), F.lit(blocks))).withColumn("part", each(parts))
+    copies = asked.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts))).withColumn("block", each(blocks))
+
+    def meet(q: pa.Table, d: pa.Table) -> pa.Table:
+        found = _Best(_stacked(q.column("v")), k)
+        if q.num_rows and d.num_rows:
+            found.see(d.column("docno").to_numpy(zero_copy_only=False).astype(object), _stacked(d.column("v")))
+        return pa.Table.from_batches([found.batch(q.column("qid"), d.column("docno").type)])
+
+    keys = ("dim", "block", "part")
+    return ranked(copies.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(meet, schema), k=k)
 
 
 def rescored(results: DataFrame, score: Column | Callable[[pd.Series, pd.Series], pd.Series], query: str = "query", text: str = "text") -> DataFrame:

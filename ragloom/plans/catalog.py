@@ -57,7 +57,9 @@ _SAID = """pairs AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY tur
     said AS (SELECT concat_ws('-', conv_id, turn) AS qid, conv_id, turn, query, text AS qanswer FROM pairs WHERE role = 'assistant' AND query IS NOT NULL)"""
 # tokens of a text, and the measures on two lists p and g
 _PUNCTUATION = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~"  # for str.format
-_TOKENS = f"list_filter(regexp_split_to_array(translate(lower({{0}}), '{_PUNCTUATION}', ''), '\\s+'), lambda t: t NOT IN ('', 'a', 'an', 'the'))"
+# by the definition: runs of word characters and runs of others; a run that is an article is a space; then tokens between white space
+_RUNS = f"regexp_extract_all(translate(lower({{0}}), '{_PUNCTUATION}', ''), '[\\p{{{{L}}}}\\p{{{{N}}}}\\p{{{{M}}}}_]+|[^\\p{{{{L}}}}\\p{{{{N}}}}\\p{{{{M}}}}_]+')"
+_TOKENS = f"list_filter(regexp_split_to_array(array_to_string(list_transform({_RUNS}, lambda r: CASE WHEN r IN ('a', 'an', 'the') THEN ' ' ELSE r END), ''), '[\\s\\p{{{{Z}}}}]+'), lambda t: t != '')"
 _OVERLAP = "COALESCE(list_sum(list_transform(list_distinct({0}), lambda x: least(len(list_filter({0}, lambda y: y = x)), len(list_filter({1}, lambda y: y = x))))), 0)"
 
 
@@ -85,13 +87,13 @@ def bm25_topk(t):
 
 
 @_query("""
-    WITH q AS (SELECT label AS qid, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY label),
-    s AS (SELECT q.qid, e.vec_id AS docno, round(list_sum(list_transform(list_zip(q.v, e.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 6) AS score FROM q, embeddings e)
+    WITH q AS (SELECT 'q' || label AS qid, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY label),
+    s AS (SELECT q.qid, 'd' || e.vec_id AS docno, round(list_sum(list_transform(list_zip(q.v, e.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 6) AS score FROM q, embeddings e)
     SELECT qid, docno, score, CAST(r - 1 AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno) AS r FROM s) WHERE r <= 10""")
 def dense_topk(t):
     e = t("embeddings")
-    q = e.groupBy(F.col("label").alias("qid")).agg(F.min_by("embedding", "vec_id").alias("query_vec"))
-    return retrieval.dense(q, e.select(F.col("vec_id").alias("docno"), F.col("embedding").alias("doc_vec")), 10).select("qid", "docno", "score", "rank")
+    q = e.groupBy(F.concat(F.lit("q"), "label").alias("qid")).agg(F.min_by("embedding", "vec_id").alias("query_vec"))
+    return retrieval.dense(q, e.select(F.concat(F.lit("d"), "vec_id").alias("docno"), F.col("embedding").alias("doc_vec")), 10).select("qid", "docno", "score", "rank")
 
 
 @_query(f"WITH {_FOUND} SELECT qid, docno, score, CAST(rank AS INTEGER) AS rank FROM found WHERE rank < 3")
@@ -106,9 +108,9 @@ def rerank(t):
     return retrieval.rescored(_found(t), spaced).select("qid", "docno", "score", "rank")
 
 
-@_query(f"WITH {_FOUND} SELECT qid, f.docno, d.text FROM (SELECT qid, docno FROM found WHERE rank < 5) f LEFT JOIN (SELECT CAST(doc_id AS VARCHAR) AS docno, text FROM documents) d USING (docno)")
+@_query(f"WITH {_FOUND} SELECT qid, f.docno, d.text FROM found f LEFT JOIN (SELECT CAST(doc_id AS VARCHAR) AS docno, text FROM documents) d USING (docno)")
 def text_loader_join(t):
-    return retrieval.with_texts(cutoff(_found(t), 5).select("qid", "docno"), _docs(t)).select("qid", "docno", "text")
+    return retrieval.with_texts(_found(t).select("qid", "docno"), _docs(t)).select("qid", "docno", "text")
 
 
 @_query("SELECT CAST(item_id AS VARCHAR) AS qid, text AS query_0, list_aggregate(" + _TERMS.format("text") + ", 'string_agg', ' ') AS query FROM benchmark")

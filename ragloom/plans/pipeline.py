@@ -34,11 +34,16 @@ def queries(spark: SparkSession, texts: list[str], qids: list[str] | None = None
     return spark.createDataFrame(list(zip(qids, texts, strict=True)), "qid string, query string")
 
 
-def ranked(df: DataFrame, group: str = "qid", score: str = "score", tie: str = "docno") -> DataFrame:
-    """df with ``rank`` from 0 by score, then by document."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), tie)) - 1)
+def ranked(df: DataFrame, group: str = "qid", score: str = "score", tie: str = "docno", k: int | None = None) -> DataFrame:
+    """df with ``rank`` from 0 by score, then by document; with k only the k best of each group.
+
+    The limit is on the bare row number, which Spark turns into a limit of each partition before the shuffle (for k up to
+    spark.sql.optimizer.windowGroupLimitThreshold), so a group costs a task k rows of each partition.
+    """
+    numbered = df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), tie)))
+    return (numbered if k is None else numbered.filter(F.col("rank") <= k)).withColumn("rank", F.col("rank") - 1)
 
 
 def cutoff(df: DataFrame, k: int) -> DataFrame:
-    """Rows with rank < k; ranks are made where there are none. Spark cuts each partition before the shuffle."""
-    return (df if "rank" in df.columns else ranked(df)).filter(F.col("rank") < k)
+    """Rows with rank < k; ranks are made where there are none."""
+    return df.filter(F.col("rank") < k) if "rank" in df.columns else ranked(df, k=k)

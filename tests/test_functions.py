@@ -1,3 +1,4 @@
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,10 +81,10 @@ def test_triples(spark):
 
 
 def test_concat_budget(spark):
-    pieces = F.array(*map(F.lit, ("aaaa", "bbbb", "cccc")))
-    assert value(spark, concat(pieces, tokenizer="chars", max_length=6, max_per_context=3, truncation_rate=1)) == "a\nb\nc"
-    assert value(spark, concat(pieces, max_elements=2)) == "aaaa\nbbbb"
-    assert value(spark, concat(pieces, tokenizer="chars", max_length=1, max_per_context=3, truncation_rate=1)) == "\n\n"
+    pieces = F.array(*map(F.lit, ("river", "oak", "stones", "fog")))
+    assert value(spark, concat(pieces, tokenizer="chars", max_length=11, max_per_context=4, truncation_rate=1)) == "ri\noa\nst\nfo"
+    assert value(spark, concat(pieces, max_elements=3)) == "river\noak\nstones"
+    assert value(spark, concat(pieces, tokenizer="chars", max_length=2, max_per_context=4, truncation_rate=2)) == "\n\n\n"
 
 
 def test_column_versions(spark):
@@ -100,3 +101,29 @@ def test_column_versions(spark):
     assert C.find_maximum_push(["x"]) == (None, -1)
     with pytest.raises(ValueError):
         C.require_columns(df, "qid")
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("The\u2013cat", "\u2013cat"), ("a\u2019s cat", "\u2019s cat"), ("\u201cThe end\u201d", "\u201c end\u201d"), ("the-an a.theory", "thean atheory"), ("l\u00e0 the \u00e9a", "l\u00e0 \u00e9a"), ("An\u00a0apple,\ta pear", "apple pear")],
+)
+def test_articles_go_at_word_boundaries(spark, text, want):
+    assert value(spark, X.normalize_answer(F.lit(text))) == want
+
+
+def test_overlap_counts_repeats(spark):
+    rows = [(list("abca"), list("aacd"), 3), ([], ["a"], 0), (["a"], [], 0), (["b"] * 5, ["b"] * 3, 3)]
+    df = spark.createDataFrame(rows, "p array<string>, g array<string>, want int")
+    assert all(r["got"] == r["want"] for r in df.withColumn("got", X.overlap(F.col("p"), F.col("g"))).collect())
+
+
+def test_subsequence_of_long_texts(spark):
+    rng = random.Random(4)
+    a, b = ([rng.choice("abcdefgh") for _ in range(n)] for n in (150, 170))
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    long = [f"w{rng.randrange(500)}" for _ in range(3000)]
+    df = spark.createDataFrame([(a, b), (long, long[::2]), ([], b), (None, b)], "a array<string>, b array<string>")
+    assert [r[0] for r in df.select(X.common_subsequence(F.col("a"), F.col("b"))).collect()] == [table[-1][-1], 1500, 0, 0]

@@ -184,3 +184,66 @@ def test_catalogue_imports():
     import __spark_entry__
 
     assert {"flagship", "bm25_topk"} <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_dense_takes_any_key_and_vector(spark):
+    docs = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 2.0]), ("n", None), ("m", [None, 1.0]), ("w", [1.0, 1.0, 1.0])], "docno string, doc_vec array<double>")
+    asked = spark.createDataFrame([("q1", [1.0, 0.0]), ("q2", [0.0, 1.0]), ("q3", None), ("q4", [1.0])], "qid string, query_vec array<double>")
+    want = [("q1", "a", 1.0, 0), ("q1", "b", 1.0, 1), ("q2", "c", 2.0, 0), ("q2", "a", 0.0, 1)]
+    for most in (1 << 20, 1):
+        got = retrieval.dense(asked, docs, k=2, most=most, block=2)
+        assert sorted(map(tuple, got.select("qid", "docno", "score", "rank").collect())) == sorted(want)
+        assert retrieval.dense(asked, docs.limit(0), most=most).count() == retrieval.dense(asked.limit(0), docs, most=most).count() == 0
+
+
+def test_cutoff_limits_each_partition(spark, found):
+    cut = (Transformer(lambda df: df) % 2)(found)
+    assert "WindowGroupLimit" in cut._jdf.queryExecution().executedPlan().toString()
+    assert {r["rank"] for r in cut.collect()} == {0, 1}
+
+
+def test_bm25_null_and_empty_texts(spark):
+    docs = spark.createDataFrame([("1", "red fox"), ("2", None), ("3", ""), ("4", "fox fox")], "docno string, text string")
+    got = retrieval.bm25(queries(spark, ["the fox"]), docs).collect()
+    assert [r["docno"] for r in sorted(got, key=lambda r: r["rank"])] == ["4", "1"]
+
+
+def test_search_loop_limits_and_repeats(spark):
+    """q1 repeats a query, q2 meets the limit, q3 answers at once."""
+    begin, end = "<|begin_search_query|>", "<|end_search_query|>"
+    turns = {
+        "q1": [f"look {begin}sky{end}", f"again {begin}sky{end} \n", "so \\boxed{blue}"],
+        "q2": [f"{begin}one{end}", f"{begin}two{end}", f"{begin}three{end}", "\\boxed{none}"],
+        "q3": ["\\boxed{now}"],
+    }
+    rows = [(q, t, text) for q, texts in turns.items() for t, text in enumerate(texts)]
+
+    class Reads(generation.ScriptedBackend):
+        def apply(self, df, prompt, *rest):
+            if "reasoning" in df.columns:
+                none = F.lit(None).cast(generation.LOGPROBS).alias("logprobs")
+                return df.withColumn("_out", F.array(F.struct(F.concat(F.lit("Final Information: of "), "query").alias("text"), none)))
+            return super().apply(df, prompt, *rest)
+
+    backend = Reads(script=spark.createDataFrame(rows, "qid string, turn int, text string"))
+    docs = spark.createDataFrame([("d", "t", "text", 1.0)], "docno string, title string, text string, score double")
+    loop = agents.SearchO1Loop(lambda q: q.join(docs), backend, max_searches=2)
+    asked = spark.createDataFrame([(q, "why") for q in turns], "qid string, query string")
+    got = {r["qid"]: r for r in loop.transform(asked).collect()}
+    assert {q: r["qanswer"] for q, r in got.items()} == {"q1": "blue", "q2": "none", "q3": "now"}
+    assert [x["query"] for x in got["q1"]["all_queries"]] == ["sky"] and [x["query"] for x in got["q2"]["all_queries"]] == ["one", "two"]
+    assert agents.SEARCHED_BEFORE_TEXT in got["q1"]["history"][3] and agents.SEARCH_LIMIT_TEXT in got["q2"]["output"] and "of sky" in got["q1"]["output"]
+    assert {q: (r["iteration"], r["stop_reason"]) for q, r in got.items()} == {"q1": (3, "finished"), "q2": (4, "finished"), "q3": (1, "finished")}
+    forced = agents.SearchO1Loop(lambda q: q.join(docs), backend, forced_first=True, max_turn=1).transform(asked.filter("qid = 'q3'")).first()
+    assert forced["stop_reason"] == "many_turns" and forced["all_queries"][0]["query"] == "why"
+
+
+def test_local_models_take_a_loader(spark):
+    def loader(backend):
+        return lambda prompts, new, logprobs, stops: [(f"{p} says {new} STOP more", [{"x": -1.0}] if logprobs else None) for p in prompts]
+
+    rows = spark.createDataFrame([("q", "hi")], "qid string, prompt string")
+    backend = generation.LocalModelBackend(kind="causal", loader=loader, max_new_tokens=7)
+    assert generation.generated(rows, backend, stop_sequences=["STOP"]).first()["qanswer"] == "hi says 7 "
+    with pytest.raises(ImportError, match="loader"):
+        generation.get_backend("seq2seq", "m")
