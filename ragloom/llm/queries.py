@@ -55,7 +55,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rules.judged(_read(spark, sf_dir, "documents"))
+    return host_rules.judged(_read(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 6))
 
 
 def op9_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_url_filter, op2_sentencepiece, op3_html_extraction, op4_ngram_join, op5_packing, op6_language_id, op7_line_dedup, op8_host_rules, op9_exact_search, op10_quality_classifier)
 }
 
+# Words of a text as a list, in order; A-Z lower-cased or as they are.
+_WORDS = "list_filter(regexp_split_to_array({0}, '[\\x20\\x09-\\x0D]+'), lambda x: x != '')"
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES: dict[str, str] = {
+    "op4_ngram_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, COALESCE({_WORDS.format(_LOWER.format('text'))}, []) AS w FROM documents),
+        sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+        e AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+        met AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n + y.n AS total, count(*) AS c FROM e x JOIN e y ON x.t = y.t AND x.doc_id < y.doc_id AND 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n) GROUP BY ALL),
+        links AS (SELECT a, b FROM met WHERE 100 * c >= 90 * (total - c)), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT doc_id, doc_id AS r FROM sets UNION SELECT reach.doc_id, both_ways.b FROM reach JOIN both_ways ON reach.r = both_ways.a)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(r) FROM reach WHERE reach.doc_id = sets.doc_id) AS component_id FROM sets
+    """,
+    # lines as sets of words; candidate classes share one of the rarest words that each must share
+    "op7_line_dedup": f"""
+        WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents), nth AS (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i FROM d),
+        l AS (SELECT doc_id, doc_id * 10000000 + i AS place, parts[i] AS line, list_sort(list_distinct({_WORDS.format(_LOWER.format('parts[i]'))})) AS s FROM nth),
+        c AS (SELECT s, len(s) AS n, min(place) AS p FROM l WHERE len(s) > 0 GROUP BY s), t AS (SELECT p, n, unnest(s) AS w FROM c), f AS (SELECT w, count(*) AS k FROM t GROUP BY w),
+        r AS (SELECT p, n, w, row_number() OVER (PARTITION BY p ORDER BY k, w) AS pos FROM t JOIN f USING (w)), x AS (SELECT p, n, w FROM r WHERE pos <= n - (8 * n + 9) // 10 + 1),
+        pairs AS (SELECT DISTINCT a.p AS a, b.p AS b FROM x a JOIN x b ON a.w = b.w AND a.p < b.p AND 10 * least(a.n, b.n) >= 8 * greatest(a.n, b.n)),
+        both_sets AS (SELECT b, ca.n + cb.n AS total, len(list_intersect(ca.s, cb.s)) AS c FROM pairs JOIN c ca ON ca.p = a JOIN c cb ON cb.p = b),
+        gone AS (SELECT l.place FROM l JOIN c ON l.s = c.s WHERE l.place > c.p OR c.p IN (SELECT b FROM both_sets WHERE 10 * c >= 8 * (total - c))),
+        kept AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (g.place IS NOT NULL) AS n_removed, string_agg(line, chr(10) ORDER BY l.place) FILTER (g.place IS NULL) AS text FROM l LEFT JOIN gone g ON l.place = g.place GROUP BY doc_id)
+        SELECT d.doc_id, CAST(COALESCE(n_lines, 0) AS INTEGER) AS n_lines, CAST(COALESCE(n_removed, 0) AS INTEGER) AS n_removed, CASE WHEN d.text IS NOT NULL THEN COALESCE(kept.text, '') END AS text FROM d LEFT JOIN kept USING (doc_id)
+    """,
+    "op8_host_rules": f"""
+        WITH d AS (SELECT doc_id, source AS host, COALESCE(text, '') AS text FROM documents), w AS (SELECT *, {_WORDS.format('text')} AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+        win AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM w), named AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM win),
+        again AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, i + unnest([0, 1, 2]) AS k FROM named WHERE c > 1) GROUP BY doc_id),
+        m AS (SELECT doc_id, host, len(w) AS n_words, CAST(COALESCE(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+            len(lines) - len(list_distinct(lines)) AS n_dup_lines, COALESCE(again.n, 0) AS n_repeat_words FROM w LEFT JOIN again USING (doc_id)),
+        b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m), h AS (SELECT host, count(*) AS n, count(*) FILTER (base_failed) AS f FROM b GROUP BY host),
+        g AS (SELECT sum(f) / sum(n) AS m, sum(f * f / n) / sum(n) AS q, count(*) / sum(n) AS per_doc FROM h), v AS (SELECT m, q - m * m - m * (1 - m) * per_doc AS spread FROM g),
+        prior AS (SELECT m, CASE WHEN spread > 0 THEN greatest(1, least(1e6, m * (1 - m) / spread - 1)) ELSE 1e6 END AS s FROM v), rates AS (SELECT host, (f + m * s) / (n + s) AS rate FROM h, prior)
+        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept, round(rate, 6) AS host_rate
+        FROM b JOIN rates ON b.host IS NOT DISTINCT FROM rates.host
+    """,
     "op9_exact_search": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
