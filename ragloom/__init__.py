@@ -1 +1,29 @@
 """A Spark-native engine for retrieval-augmented generation pipelines."""
+
+from __future__ import annotations
+
+from importlib import import_module
+
+_PUBLIC = {
+    "ragloom.plans.pipeline": ("Transformer", "queries", "ranked", "cutoff", "first_topics"),
+    "ragloom.operators.retrieval": ("bm25", "dense", "rescored", "with_texts", "hashed_vectors", "bare_queries"),
+    "ragloom.operators.context": ("concatenator", "concat", "frame_concat"),
+    "ragloom.operators.generation": (
+        "Backend", "EchoBackend", "ExtractiveBackend", "FunctionBackend", "HTTPBackend", "LocalModelBackend", "ScriptedBackend", "get_backend", "set_default_backend", "default_backend", "generated", "prompts", "reader",
+        "reasoning_extractor", "fusion_inputs", "fusion_reader",
+    ),
+    "ragloom.operators.agents": ("AgenticRAG", "IRCOT", "SearchO1Loop", "search_r1", "search_o1", "r1_searcher", "limited_r1_searcher", "forced_search", "standalone"),
+    "ragloom.operators.aicl": ("AICLContextSelector", "answer_rate"),
+    "ragloom.operators.kg": ("extract_graph", "reasoning_chains", "chain_texts", "chain_documents"),
+    "ragloom.operators.evaluation": ("MEASURES", "by_query", "bertscore", "judged_pointwise", "judged_pairwise", "experiment", "long_form", "against_baseline", "result_stats"),
+    "ragloom.sources.datasets": ("get_dataset", "list_datasets", "register_dataset", "known_datasets"),
+}
+_HOME = {name: module for module, names in _PUBLIC.items() for name in names}
+__all__ = sorted(_HOME)  # noqa: PLE0605
+
+
+def __getattr__(name: str):
+    """Public names, imported when they are first used."""
+    if name in _HOME:
+        return getattr(import_module(_HOME[name]), name)
+    raise AttributeError(name)

@@ -26,6 +26,11 @@ def labels(results: DataFrame, answers: DataFrame, k_max: int = 20, answer_col:
     return rows.select("qid", F.transform(F.sequence(F.lit(1), F.greatest(F.size("_texts"), F.lit(1))), hit).alias("labels"))
 
 
+def answer_rate(labelled: DataFrame) -> DataFrame:
+    """(k, rate): the share of queries of which one of the k best rows has an answer, over the queries with k rows or more; k from 1."""
+    return labelled.select(F.posexplode("labels").alias("k", "label")).groupBy((F.col("k") + 1).alias("k")).agg(F.avg("label").alias("rate"))
+
+
 def features(results: DataFrame, k_max: int = 20) -> DataFrame:
     """(qid, features array<double>, n): mean, population deviation, max, min, range, lead of the first score, min(n, k_max), query words, then k_max scores with zeros."""
     rows = results.groupBy("qid").agg(F.min("query").alias("query"), F.sort_array(F.collect_list(F.col("score").cast("double")), asc=False).alias("s"))
@@ -33,7 +38,7 @@ def features(results: DataFrame, k_max: int = 20) -> DataFrame:
     mean = F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / n
     deviation = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / n)
     lead = F.when(n > 1, F.get("s", 0) - F.get("s", 1)).otherwise(0.0)
-    words = F.size(F.filter(F.split("query", r"\s+"), lambda w: w != "")).cast("double")
+    words = F.size(F.filter(F.split("query", r"(?U)\s+"), lambda w: w != "")).cast("double")
     head = F.array(F.col("mean"), deviation, F.get("s", 0), F.element_at("s", -1), F.get("s", 0) - F.element_at("s", -1), lead, F.least(n, F.lit(k_max)).cast("double"), words)
     return rows.withColumn("mean", mean).select("qid", F.slice(F.concat(head, F.slice("s", 1, k_max), F.array_repeat(F.lit(0.0), k_max)), 1, 8 + k_max).alias("features"), n.alias("n"))
 
@@ -60,7 +65,7 @@ class AICLContextSelector:
         self.means, self.scales = [stats[f"m{i}"] for i in at], [stats[f"s{i}"] or 1.0 for i in at]
         # labels are padded with their last value
         y = labelled.select("qid", F.slice(F.concat("labels", F.array_repeat(F.element_at("labels", -1), self.k_max)), 1, self.k_max).alias("labels"))
-        data = self._standardised(f).join(y, "qid").select("x", "labels").persist()
+        data = self._standardised(f).join(y, "qid").select("x", "labels").coalesce(max(1, stats["n"] // 10000)).persist()
         try:
             ones = data.agg(*(F.sum(F.get("labels", k)).alias(f"k{k}") for k in range(self.k_max)), F.count("*").alias("n")).first()
             self.models = []

@@ -42,12 +42,16 @@ def by_query(run: DataFrame, gold: DataFrame, measures: Sequence[str] | Mapping[
     return rows.select("qid", *(f(F.col("qanswer"), F.col(GOLD)).alias(name) for name, f in chosen.items()))
 
 
-def bertscore(run: DataFrame, qrels: DataFrame, rel: int = 3, part: str = "f1", agg: str = "max", size: int = 32) -> DataFrame:
+def bertscore(run: DataFrame, qrels: DataFrame, rel: int = 3, part: str = "f1", agg: str = "max", scorer: Callable | None = None) -> DataFrame:
     """(qid, value): greedy matching of token vectors between the answer and each reference of relevance ``rel`` or more, max or avg over them.
 
     The vectors are unit vectors by hash of the token's letter pairs, so the measure is deterministic; ``part`` is p, r or f1.
+    ``scorer``, a function from two pandas Series (answers, references) to a Series of numbers, is a model in their place; it runs in Arrow batches.
     """
     refs = qrels.filter(F.col("relevance") >= rel).select("qid", F.col("text").alias("_ref"))
+    if scorer is not None:
+        scored = run.select("qid", "qanswer").join(refs, "qid").select("qid", F.pandas_udf(scorer, "double")("qanswer", "_ref").alias("_v"))
+        return scored.groupBy("qid").agg({"max": F.max, "avg": F.avg}[agg]("_v").alias("value"))
     pairs_of = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))
     grams = lambda x: F.transform(X.rouge_tokens(x), lambda t: F.array_distinct(pairs_of(t)))
     alike = lambda a, b: F.size(F.array_intersect(a, b)) / F.sqrt(F.size(a).cast("double") * F.size(b))
@@ -63,6 +67,16 @@ PAIR_PROMPT = "Which answer is better? End with [[A]], [[B]] or, if neither is,
 AGGREGATES: dict[str, Callable[[str], Column]] = {"max": F.max, "min": F.min, "sum": F.sum, "avg": F.avg, "none": lambda c: F.array_sort(F.collect_list(c))}
 
 
+def result_stats(results: DataFrame) -> DataFrame:
+    """One row: n_queries, mean_docs a query, mean_chars of the texts that are not null, and docs_counts, a map from rows a query to queries."""
+    per_query = results.groupBy("qid").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars"), F.count("text").alias("texts"))
+    by_n = per_query.groupBy("n").agg(F.count("*").alias("queries"), F.sum("chars").alias("chars"), F.sum("texts").alias("texts"))
+    return by_n.agg(
+        F.sum("queries").alias("n_queries"), (F.sum(F.col("n") * F.col("queries")) / F.sum("queries")).alias("mean_docs"), F.try_divide(F.sum("chars"), F.sum("texts")).alias("mean_chars"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("n", "queries")))).alias("docs_counts"),
+    )
+
+
 def judged_pointwise(run: DataFrame, qrels: DataFrame, backend: Backend, rel: int = 3, agg: str = "max", prompt: str = JUDGE_PROMPT) -> DataFrame:
     """(qid, value): a backend's ratings of the answer against each reference of relevance ``rel`` or more, aggregated."""
     if agg not in AGGREGATES:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ragloom.functions import text as X
 from ragloom.operators import agents, aicl, columns, context, evaluation, generation, kg, retrieval
-from ragloom.plans.pipeline import Transformer, cutoff, ranked
+from ragloom.plans.pipeline import Transformer, cutoff, first_topics, ranked
 from ragloom.session import ship
 from ragloom.streaming import streams
 
@@ -247,26 +247,46 @@ def baseline_ttest(t):
     return rows.select("system", "n", "better", "worse", F.round("t", 6).alias("t"))
 
 
-@_query(f"""WITH {_FOUND}, g AS (SELECT qid, list(lower(text) ORDER BY rank) AS texts FROM found WHERE rank < 5 GROUP BY qid), e AS (SELECT qid, texts, unnest(generate_series(1, len(texts))) AS k FROM g)
+@_query(f"""WITH {_FOUND}, g AS (SELECT qid, list(lower(text) ORDER BY rank) AS texts FROM found WHERE rank < 20 GROUP BY qid), e AS (SELECT qid, texts, unnest(generate_series(1, len(texts))) AS k FROM g)
     SELECT qid, CAST(k AS INTEGER) AS k, CAST(contains(array_to_string(list_slice(texts, 1, k), ' '), 'licensed') OR contains(array_to_string(list_slice(texts, 1, k), ' '), 'all rights reserved') AS INTEGER) AS label FROM e""")
 def aicl_labels(t):
-    found = cutoff(_found(t), 5)
+    found = cutoff(_found(t), 20)
     gold = found.select("qid").distinct().withColumn("gold_answer", F.array(F.lit("Licensed"), F.lit("All rights reserved")))
-    return aicl.labels(found, gold, 5).select("qid", F.posexplode("labels").alias("k", "label")).select("qid", (F.col("k") + 1).alias("k"), "label")
+    return aicl.labels(found, gold, 20).select("qid", F.posexplode("labels").alias("k", "label")).select("qid", (F.col("k") + 1).alias("k"), "label")
 
 
-@_query(f"""WITH {_FOUND}, r AS (SELECT * FROM found WHERE rank < 5)
+@_query(f"""WITH {_FOUND}, g AS (SELECT qid, list(lower(text) ORDER BY rank) AS texts FROM found WHERE rank < 20 GROUP BY qid), e AS (SELECT qid, texts, unnest(generate_series(1, len(texts))) AS k FROM g)
+    SELECT CAST(k AS INTEGER) AS k, round(avg(CAST(contains(array_to_string(list_slice(texts, 1, k), ' '), 'licensed') AS INTEGER)), 6) AS rate FROM e GROUP BY k""")
+def answer_in_top_k(t):
+    found = cutoff(_found(t), 20)
+    gold = found.select("qid").distinct().withColumn("gold_answer", F.array(F.lit("Licensed")))
+    return aicl.answer_rate(aicl.labels(found, gold, 20)).select("k", F.round("rate", 6).alias("rate"))
+
+
+@_query("""WITH g AS (SELECT source, count(*) AS n, sum(length(text)) AS chars FROM documents GROUP BY source)
+    SELECT CAST(count(*) AS BIGINT) AS n_queries, round(sum(n) / count(*), 6) AS mean_docs, round(sum(chars) / sum(n), 6) AS mean_chars, CAST(max(n) AS BIGINT) AS most_docs FROM g""")
+def result_stats(t):
+    stats = evaluation.result_stats(_found(t))
+    return stats.select("n_queries", F.round("mean_docs", 6).alias("mean_docs"), F.round("mean_chars", 6).alias("mean_chars"), F.array_max(F.map_keys("docs_counts")).alias("most_docs"))
+
+
+@_query("SELECT CAST(item_id AS VARCHAR) AS qid, text AS query FROM benchmark ORDER BY CAST(item_id AS VARCHAR) LIMIT 10")
+def head_topics(t):
+    return first_topics(_asked(t), 10)
+
+
+@_query(f"""WITH {_FOUND}, r AS (SELECT * FROM found WHERE rank < 20)
     SELECT qid, round(avg(score), 4) AS mean, round(stddev_pop(score), 4) AS deviation, max(score) AS best, min(score) AS least, max(score) - min(score) AS spread, CAST(count(*) AS DOUBLE) AS n, CAST(4 AS DOUBLE) AS words FROM r GROUP BY qid""")
 def aicl_features(t):
-    f = aicl.features(cutoff(_found(t), 5), 5)
+    f = aicl.features(cutoff(_found(t), 20), 20)
     return f.select("qid", F.round(F.get("features", 0), 4).alias("mean"), F.round(F.get("features", 1), 4).alias("deviation"), F.get("features", 2).alias("best"), F.get("features", 3).alias("least"), F.get("features", 4).alias("spread"), F.get("features", 6).alias("n"), F.get("features", 7).alias("words"))
 
 
 @_query()
 def aicl_predict(t):
-    found = cutoff(_found(t), 5)
+    found = cutoff(_found(t), 20)
     gold = found.select("qid").distinct().withColumn("gold_answer", F.array(F.lit("licensed")))
-    return aicl.AICLContextSelector(5, 2).fit(found, aicl.labels(found, gold, 5)).transform(found).select("qid", "docno", "rank")
+    return aicl.AICLContextSelector(20, 2).fit(found, aicl.labels(found, gold, 20)).transform(found).select("qid", "docno", "rank")
 
 
 @_query(f"""WITH {_SAID}, r AS (SELECT conv_id, length(query) % 10 + 1 AS r FROM said)

@@ -34,6 +34,11 @@ def queries(spark: SparkSession, texts: list[str], qids: list[str] | None = None
     return spark.createDataFrame(list(zip(qids, texts, strict=True)), "qid string, query string")
 
 
+def first_topics(df: DataFrame, n: int) -> DataFrame:
+    """The n topics with the least qids."""
+    return df.orderBy("qid").limit(n)
+
+
 def ranked(df: DataFrame, group: str = "qid", score: str = "score", tie: str = "docno", k: int | None = None) -> DataFrame:
     """df with ``rank`` from 0 by score, then by document; with k only the k best of each group.
 

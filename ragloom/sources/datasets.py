@@ -124,6 +124,28 @@ def reading_files(spark: SparkSession, root: str) -> FileDataset:
     return FileDataset(spark, root, names, read_reading_topics, read_reading_answers)
 
 
+def answers_of_qrels(qrels: DataFrame, documents: DataFrame, least: int = 1) -> DataFrame:
+    """(qid, gold_answer) from relevance rows (qid, docno, label): the texts of documents of label ``least`` or more."""
+    return qrels.filter(F.col("label") >= least).join(documents.select("docno", F.col("text").alias("gold_answer")), "docno").select("qid", "gold_answer")
+
+
+# Names of question sets, and of the corpus that some of them use.
+QUESTION_SETS = {"nq": "nq_wiki", "hotpotqa": "hotpotqa_wiki", "triviaqa": None, "musique": None, "web_questions": None, "wow": None, "popqa": None}
+CORPORA = {"nq_wiki": read_wiki_passages, "hotpotqa_wiki": read_wiki_abstracts}
+READING_SETS = ("2wikimultihopqa",)
+
+
+def known_datasets(spark: SparkSession, root: str) -> list[str]:
+    """Register the known names, each a folder of that name under ``root`` in any store that Spark reads; nothing is downloaded. Returns the names."""
+    for name, corpus in QUESTION_SETS.items():
+        register_dataset(name, lambda name=name, corpus=corpus: question_files(spark, f"{root}/{name}", corpus))
+    for name, reader in CORPORA.items():
+        register_dataset(name, lambda name=name, reader=reader: FileDataset(spark, f"{root}/{name}", {"corpus": {"all": "corpus.jsonl*"}}, corpus_reader=reader))
+    for name in READING_SETS:
+        register_dataset(name, lambda name=name: reading_files(spark, f"{root}/{name}"))
+    return [*QUESTION_SETS, *CORPORA, *READING_SETS]
+
+
 _catalog: dict[str, Callable[[], RAGDataset]] = {}
 
 

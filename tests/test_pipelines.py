@@ -247,3 +247,31 @@ def test_local_models_take_a_loader(spark):
     assert generation.generated(rows, backend, stop_sequences=["STOP"]).first()["qanswer"] == "hi says 7 "
     with pytest.raises(ImportError, match="loader"):
         generation.get_backend("seq2seq", "m")
+
+
+def test_public_names_import():
+    import ragloom
+
+    assert all(getattr(ragloom, name) is not None for name in ragloom.__all__)
+    with pytest.raises(AttributeError):
+        ragloom.nothing  # noqa: B018
+
+
+def test_known_datasets(spark, tmp_path):
+    names = datasets.known_datasets(spark, str(tmp_path))
+    assert set(names) <= set(datasets.list_datasets())
+    (tmp_path / "nq").mkdir()
+    (tmp_path / "nq_wiki").mkdir()
+    (tmp_path / "nq" / "dev.jsonl").write_text(json.dumps({"id": "1", "question": "why", "golden_answers": ["so", "thus"]}))
+    (tmp_path / "nq_wiki" / "corpus.jsonl").write_text(json.dumps({"id": "d", "contents": "Title\nBody"}))
+    nq = datasets.get_dataset("nq")
+    assert nq.topics("dev").first()["query"] == "why" and nq.answers("dev").count() == 2 and nq.corpus().first()["text"] == "Body"
+    qrels = spark.createDataFrame([("1", "d", 1), ("1", "e", 0)], "qid string, docno string, label int")
+    assert datasets.answers_of_qrels(qrels, nq.corpus()).collect()[0]["gold_answer"] == "Body"
+
+
+def test_bertscore_takes_a_scorer(spark):
+    run = spark.createDataFrame([("1", "abc")], "qid string, qanswer string")
+    refs = spark.createDataFrame([("1", 3, "ab"), ("1", 3, "abcd"), ("1", 1, "abc")], "qid string, relevance int, text string")
+    scorer = lambda a, r: (a.str.len() - r.str.len()).abs().rsub(2.0)
+    assert evaluation.bertscore(run, refs, scorer=scorer).first()["value"] == 1.0
