@@ -5,10 +5,15 @@ path on which each two adjacent pieces are what the merges make of their joined
 and an incompatible pair minus infinity, and the best path in max-plus algebra is the encoding.
 
 A state at a chunk's border is the piece that ends at or reaches over it. A chunk's transfer matrix says which
-state at its end each state at its start leads to (the entries that are not minus infinity); matrices of a
-document's chunks are applied in order to one set of states, on one task a document, the path is chosen from the end, and each chunk is then
-backtraced for itself between its two states. No piece reaches over the start of a word, so only the first
-and last part of a chunk depend on its states. Texts up to ``CHUNK`` characters are one chunk.
+state at its end each state at its start leads to (the entries that are not minus infinity). Products of
+matrices are associative, so a document's matrices are multiplied in runs of ``FAN``, the products again in runs
+of ``FAN``, and so on until one is left; the states at the ends of each run are then chosen level by level downward,
+and each chunk is backtraced for itself between its two states. A task holds ``FAN`` matrices at once, however
+long a document is.
+
+No piece reaches over the start of a word, so only the first and last part of a chunk depend on its states, and a
+word within a chunk has one path: the merges themselves find it for words up to ``SHORT`` characters, which are kept by
+word, and the lattice for longer ones, as its time grows with the length alone. Texts up to ``CHUNK`` characters are one chunk.
 """
 
 from __future__ import annotations
@@ -19,7 +24,6 @@ from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -28,21 +32,25 @@ from pyspark.sql import functions as F
 from ragloom.llm.scratch import Scratch
 
 CHUNK, CACHE = 1 << 14, 1 << 18
+#: Matrices that one task multiplies at once; characters of the longest word that is merged step by step and kept.
+FAN, SHORT = 64, 48
 SPACE = "▁"
 _PARTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 class WordIds(dict):
-    """Ids by word, at most ``CACHE`` of them."""
+    """Ids by word, at most ``CACHE`` of them and none of long words."""
 
     def __init__(self, ids_of):
         self.ids_of = ids_of
 
     def __missing__(self, word: str) -> list[int]:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = ids = self.ids_of(word)
+        ids = self.ids_of(word)
+        if len(word) <= SHORT:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = ids
         return ids
 
 
@@ -65,8 +73,7 @@ class PieceModel:
         self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         self.words_apart = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.fits = lru_cache(CACHE)(self._fits)
-        self.word = lru_cache(CACHE)(self._word)
-        self.word_ids = WordIds(lambda word: self.to_ids(self._word(word)))
+        self.word_ids = WordIds(lambda word: self.to_ids(self.word(word)))
 
     def _merged(self, text: str) -> list[str]:
         parts, none = list(text), float("inf")
@@ -99,19 +106,25 @@ class PieceModel:
                         last.setdefault(j, []).append((i, p))
         return last
 
-    def path(self, last: dict, start: int, end: int, piece: str | None = None) -> list[str] | None:
-        """The pieces from start to end, the last being ``piece`` if given; None if no path leads there."""
+    def path(self, last: dict, start: int, end: int, piece: str | None = None) -> list[str]:
+        """The pieces from start to end, the last being ``piece`` if given; an error if no path leads there."""
         out, at, right = [], end, None
         while at > start:
             step = next(((i, p) for i, p in last.get(at, ()) if (right is None and piece in (None, p) or right is not None and self.fits(p, right)) and i >= start), None)
             if step is None:
-                return None
+                break
             out.append(step[1])
             at, right = step
-        return out[::-1] if at == start else None
+        if at != start:
+            raise ValueError("no path of pieces between two states")
+        return out[::-1]
 
-    def _word(self, text: str) -> tuple[str, ...]:
-        return tuple(self.path(self.reached(text, 0, "", len(text)), 0, len(text)) or text)
+    def lattice(self, text: str) -> list[str]:
+        """The pieces of a whole text by its lattice."""
+        return self.path(self.reached(text, 0, "", len(text)), 0, len(text))
+
+    def word(self, text: str) -> list[str]:
+        return self._merged(text) if len(text) <= SHORT else self.lattice(text)
 
     def cuts(self, text: str, start: int, end: int) -> list[int]:
         """Word starts in [start, end]: where a space mark follows another character."""
@@ -142,15 +155,17 @@ class PieceModel:
         after = exits(self.reached(text, cuts[-1], "", end)) if cuts[-1] < end else [(end, "")]
         return [(*g, *x) for g in good for x in after]
 
-    def between(self, text: str, entry: tuple[int, str], end: int, leave: tuple[int, str]) -> list[str]:
-        """Pieces of one chunk from its entry state to its exit state, by backtracing."""
+    def between(self, text: str, entry: tuple[int, str], end: int, leave: tuple[int, str]) -> list[int]:
+        """Ids of one chunk from its entry state to its exit state, by backtracing."""
         cuts = self.cuts(text, entry[0], end)
         if not cuts:
-            return self.path(self.reached(text, *entry, end), entry[0], leave[0], leave[1]) or [] if leave[0] > entry[0] else []
-        head = self.path(self.reached(text[: cuts[0]], *entry, cuts[0]), entry[0], cuts[0]) or []
-        body = [p for a, z in zip(cuts, cuts[1:], strict=False) for p in self.word(text[a:z])]
-        tail = self.path(self.reached(text, cuts[-1], "", end), cuts[-1], leave[0], leave[1] or None) if leave[0] > cuts[-1] else []
-        return [*head, *body, *(tail or [])]
+            return self.to_ids(self.path(self.reached(text, *entry, end), entry[0], leave[0], leave[1])) if leave[0] > entry[0] else []
+        out = self.to_ids(self.path(self.reached(text[: cuts[0]], *entry, cuts[0]), entry[0], cuts[0]))
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            out += self.word_ids[text[a:z]]
+        if leave[0] > cuts[-1]:
+            out += self.to_ids(self.path(self.reached(text, cuts[-1], "", end), cuts[-1], leave[0], leave[1] or None))
+        return out
 
     def to_ids(self, pieces: Iterable[str]) -> list[int]:
         """Ids; a character without a piece is its bytes, or the unknown id without byte pieces."""
@@ -181,6 +196,95 @@ def model_of(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+_MATRIX = "array<struct<a:int,p:string,b:int,q:string>>"
+_ENTRIES = pa.list_(pa.struct([("a", pa.int32()), ("p", pa.string()), ("b", pa.int32()), ("q", pa.string())]))
+
+
+class Transfer:
+    """The finite entries of a matrix: the states at its end that each state at its start leads to."""
+
+    def __init__(self, entries: list[dict]):
+        self.exits: dict[tuple, set[tuple]] = {}
+        self.at: dict[int, list[tuple]] = {}
+        for x in entries:
+            start = (x["a"], x["p"])
+            if start not in self.exits:
+                self.exits[start] = set()
+                self.at.setdefault(x["a"], []).append(start)
+            self.exits[start].add((x["b"], x["q"]))
+
+    def starts(self, state: tuple) -> list[tuple]:
+        """Where a state at the end of the matrix before goes on; a state without a piece stands for any that ends at a word's start."""
+        return self.at.get(state[0], []) if state[1] == "" else [state] if state in self.exits else []
+
+    def after(self, states: Iterable[tuple]) -> set[tuple]:
+        return {start for s in states for start in self.starts(s)}
+
+    def leaves(self, starts: Iterable[tuple]) -> set[tuple]:
+        return set().union(*(self.exits[s] for s in starts))
+
+
+def product(ms: list[Transfer]) -> list[dict]:
+    """The entries of the max-plus product of adjacent matrices."""
+    found = ms[0].exits
+    for m in ms[1:]:
+        step = {s: m.leaves(m.starts(s)) for s in set().union(*found.values())}
+        found = {start: ends for start, states in found.items() if (ends := set().union(*(step[s] for s in states)))}
+    return [{"a": a, "p": p, "b": b, "q": q} for (a, p), ends in found.items() for b, q in ends]
+
+
+def choose(ms: list[Transfer], entry: tuple, leave: tuple) -> list[tuple[tuple, tuple]]:
+    """Entry and exit state of each of adjacent matrices on the path from entry to leave; an error if there is none."""
+    alive = [{entry} & ms[0].exits.keys()]
+    for before, m in zip(ms, ms[1:], strict=False):
+        alive.append(m.after(before.leaves(alive[-1])))
+    out, now = [], leave
+    for k in range(len(ms) - 1, -1, -1):
+        start = min((s for s in alive[k] if now in ms[k].exits[s]), default=None)
+        if start is None:
+            raise ValueError("no path of pieces through a document's chunks")
+        out.append((start, now))
+        if k:
+            now = start if start in ms[k - 1].leaves(alive[k - 1]) else (start[0], "")
+    return out[::-1]
+
+
+def _scan(table: DataFrame, scratch: Scratch) -> DataFrame:
+    """(row, part, a, p, b, q): the states at both ends of each part of a row's path, of matrices (row, part, m).
+
+    Upward, runs of ``FAN`` matrices become their product, until a row has one; downward, the states of a run's ends give those within.
+    """
+    up = F.shiftright("part", FAN.bit_length() - 1)
+    levels = [scratch.save(table)]
+    most = levels[0].agg(F.max("part")).first()[0] or 0
+
+    def multiplied(run: pa.Table) -> pa.Table:
+        rows = sorted(run.to_pylist(), key=lambda r: r["part"])
+        out = product([Transfer(r["m"]) for r in rows])
+        return pa.table({"row": [rows[0]["row"]], "part": pa.array([rows[0]["up"]], pa.int32()), "m": pa.array([out], _ENTRIES)})
+
+    while most:
+        levels.append(scratch.save(levels[-1].withColumn("up", up).groupBy("row", "up").applyInArrow(multiplied, f"row bigint, part int, m {_MATRIX}")))
+        most //= FAN
+
+    # a row begins at a word's start and ends with a piece that ends with it
+    whole = F.get(F.filter("m", lambda x: (x["a"] == 0) & (x["p"] == "") & (x["b"] == 0)), 0)
+    ends = levels[-1].withColumn("x", whole).select("row", "part", F.lit(0).alias("a"), F.lit("").alias("p"), F.lit(0).alias("b"), F.col("x.q").alias("q"))
+
+    def told(run: pa.Table) -> pa.Table:
+        rows = sorted(run.to_pylist(), key=lambda r: r["part"])
+        r = rows[0]
+        path = choose([Transfer(x["m"]) for x in rows], (r["a"], r["p"]), (r["b"], r["q"]))
+        (a, p), (b, q) = (zip(*states, strict=True) for states in zip(*path, strict=True))
+        ints = lambda values: pa.array(values, pa.int32())
+        return pa.table({"row": [x["row"] for x in rows], "part": ints([x["part"] for x in rows]), "a": ints(a), "p": pa.array(p, pa.string()), "b": ints(b), "q": pa.array(q, pa.string())})
+
+    for level in reversed(levels[:-1]):
+        run = level.withColumn("up", up).join(ends.withColumnRenamed("part", "up"), ["row", "up"])
+        ends = run.groupBy("row", "up").applyInArrow(told, "row bigint, part int, a int, p string, b int, q string")
+    return ends
+
+
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL, chunk: int = CHUNK) -> DataFrame:
     """(id, row, part, ids array<int>): the piece ids of every whole text in parts by number; a text up to ``chunk`` characters is part 0.
 
@@ -204,8 +308,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     marked = rows.filter(F.char_length("text") > chunk).select("id", F.monotonically_increasing_id().alias("row"), F.concat(F.lit(SPACE), F.replace("text", F.lit(" "), F.lit(SPACE))).alias("t"))
     size = F.char_length("t")
     parts = marked.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((size - 1) / chunk).cast("int")))).select(
-        "id", "row", "part", F.least(F.col("part") * chunk, F.lit(2 * longest)).alias("start"),
-        F.least(F.lit(chunk), size - F.col("part") * chunk).alias("length"), (F.col("part") * chunk + chunk >= size).alias("ends"),
+        "id", "row", "part", F.least(F.col("part") * chunk, F.lit(2 * longest)).alias("start"), F.least(F.lit(chunk), size - F.col("part") * chunk).alias("length"),
         F.substring("t", F.greatest(F.col("part") * chunk - 2 * longest, F.lit(0)) + 1, F.lit(chunk + 4 * longest)).alias("t"),
     )
     parts = scratch.save(parts)
@@ -217,34 +320,17 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
             for t, start, length in zip(*(b.column(c).to_pylist() for c in ("t", "start", "length")), strict=True):
                 # states by their end relative to the border, so that neighbours name them alike
                 out.append([{"a": e - start, "p": p, "b": x - start - length, "q": q} for e, p, x, q in m.transfer(t, start, start + length)])
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("part"), b.column("ends"), pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("p", pa.string()), ("b", pa.int32()), ("q", pa.string())])))], ["row", "part", "ends", "m"])
-
-    table = parts.mapInArrow(matrices, "row bigint, part int, ends boolean, m array<struct<a:int,p:string,b:int,q:string>>")
-
-    def states(group: pd.DataFrame) -> pd.DataFrame:
-        """The path through a document's matrices: products from the left, then choices from the right."""
-        group = group.sort_values("part")
-        ms = [[((x["a"], x["p"]), (x["b"], x["q"])) for x in m] for m in group["m"]]
-        alive, seen = [{(0, "")}], {(0, "")}
-        for m in ms:
-            seen = {x for e, x in m if any(_same(e, s) for s in seen)}
-            alive.append(seen)
-        now = next((s for s in alive[-1] if s[0] == 0), (0, ""))
-        rows = []
-        for k in range(len(ms) - 1, -1, -1):
-            e = next((e for e, x in ms[k] if x == now and any(_same(e, s) for s in alive[k])), (0, ""))
-            rows.append((group["row"].iloc[0], int(group["part"].iloc[k]), e[0], e[1], now[0], now[1]))
-            now = next((s for s in alive[k] if _same(e, s)), e)
-        return pd.DataFrame(rows, columns=["row", "part", "a", "p", "b", "q"])
-
-    chosen = table.groupBy("row").applyInPandas(states, "row bigint, part int, a int, p string, b int, q string")
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("part"), pa.array(out, _ENTRIES)], ["row", "part", "m"])
+
+    table = parts.mapInArrow(matrices, f"row bigint, part int, m {_MATRIX}")
+    chosen = _scan(table, scratch)
     both = parts.join(chosen, ["row", "part"]).select("id", "row", "part", "t", "start", "length", "a", "p", "b", "q")
 
     def backtraced(batches):
         m = model_of(model)
         for b in batches:
             ids = [
-                m.to_ids(m.between(r["t"], (r["start"] + r["a"], r["p"]), r["start"] + r["length"], (r["start"] + r["length"] + r["b"], r["q"])))
+                m.between(r["t"], (r["start"] + r["a"], r["p"]), r["start"] + r["length"], (r["start"] + r["length"] + r["b"], r["q"]))
                 for r in b.select(["t", "start", "length", "a", "p", "b", "q"]).to_pylist()
             ]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), b.column("part"), pa.array(ids, pa.list_(pa.int32()))], ["id", "row", "part", "ids"])
@@ -291,8 +377,3 @@ def _text(raw: bytes, before: bytes, ends: bool | None) -> str:
         decoder.decode(before[max(0, len(before) - 3) :])
     text = decoder.decode(raw, bool(ends)).replace(SPACE, " ")
     return text[1:] if not before and text.startswith(" ") else text
-
-
-def _same(entry: tuple[int, str], state: tuple[int, str]) -> bool:
-    """A state without a piece stands for any that ends at a word's start."""
-    return entry == state or (state[1] == "" and entry[0] == state[0])

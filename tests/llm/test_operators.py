@@ -215,9 +215,11 @@ def test_language_and_quality_held_out(spark):
     assert quality.scores(df.limit(0), fitted).count() == 0
 
 
-def test_sentencepiece_equals_the_library(spark):
+@pytest.mark.parametrize("fan", [2, 64])
+def test_sentencepiece_equals_the_library(spark, monkeypatch, fan):
     import sentencepiece
 
+    monkeypatch.setattr(sentencepiece_scan, "FAN", fan)
     sp, rng = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_scan.DEFAULT_MODEL), random.Random(4)
     texts = ["", None, "a  b", "é日本\U0001f600 x", "".join(rng.choice("abcthe") for _ in range(400)), " ".join("".join(rng.choice("thoughtsé") for _ in range(rng.randint(1, 9))) for _ in range(80)), "a" * 300, "a" * 300]
     parts = sentencepiece_scan.encoded(documents(spark, texts), chunk=48).collect()
@@ -229,6 +231,27 @@ def test_sentencepiece_equals_the_library(spark):
     assert all(m.decode(got[i]) == (t or "") for i, t in enumerate(texts))
 
 
+def test_sentencepiece_paths():
+    m, rng = sentencepiece_scan.model_of(sentencepiece_scan.DEFAULT_MODEL), random.Random(6)
+    for _ in range(300):
+        word = "▁" + "".join(rng.choice("thequicknsé日") for _ in range(rng.randint(1, 30)))
+        assert m._merged(word) == m.lattice(word)
+    # products of runs are the product of all, and an impossible path is an error
+    text = "▁" + "".join(rng.choice("abcthe") for _ in range(200))
+    chunks = [m.transfer(text, at, min(len(text), at + 20)) for at in range(0, len(text), 20)]
+    ms = [sentencepiece_scan.Transfer([{"a": a - at, "p": p, "b": b - min(len(text), at + 20), "q": q} for a, p, b, q in c]) for at, c in zip(range(0, len(text), 20), chunks)]
+    key = lambda x: tuple(x.values())
+    pairs = [sentencepiece_scan.Transfer(sentencepiece_scan.product(ms[k : k + 3])) for k in range(0, len(ms), 3)]
+    assert sorted(sentencepiece_scan.product(ms), key=key) == sorted(sentencepiece_scan.product(pairs), key=key)
+    with pytest.raises(ValueError):
+        sentencepiece_scan.choose(ms, (0, ""), (0, "zz"))
+
+
+def test_sentencepiece_empty_table(spark):
+    parts = sentencepiece_scan.encoded(documents(spark, []).limit(0))
+    assert parts.count() == 0 and sentencepiece_scan.decoded(parts).count() == 0
+
+
 ARTICLE = '<article class="post"><h1>A title</h1><p>The text of the article is here, and it is long enough.</p>{}</article><footer class="footer">me</footer>'
 MAIN_TEXT = "A title\nThe text of the article is here, and it is long enough."
 
