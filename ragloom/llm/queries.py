@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragloom.llm import exact_search, host_rules, html_content, language_id, line_dedup, ngram_join, packing, quality, sentencepiece_scan, url_filter
-from ragloom.llm.scratch import Scratch
 from ragloom.session import ship
 
 
@@ -25,8 +24,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = Scratch(spark).save(sentencepiece_scan.encoded(_read(spark, sf_dir, "documents")))
-    texts = sentencepiece_scan.decoded(parts)
+    texts = sentencepiece_scan.decoded(sentencepiece_scan.encoded(_read(spark, sf_dir, "documents")))
     digest = (F.char_length("text").cast("bigint").alias("n_chars"), F.xxhash64("text").alias("text_hash"))
     return texts.select(F.col("id").alias("doc_id"), "part", F.size("ids").cast("bigint").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), *digest)
 

@@ -29,9 +29,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragloom.llm.scratch import Scratch
+from ragloom.llm.scratch import Scratch, if_small
 
-CHUNK, CACHE = 1 << 14, 1 << 18
+#: Characters of a chunk; words and pairs of pieces that a worker keeps (some 150 and 20 MB).
+CHUNK, CACHE, PAIRS = 1 << 14, 1 << 19, 1 << 16
 #: Matrices that one task multiplies at once; characters of the longest word that is merged step by step and kept.
 FAN, SHORT = 64, 48
 SPACE = "▁"
@@ -45,8 +46,8 @@ class WordIds(dict):
     def __init__(self, ids_of):
         self.ids_of = ids_of
 
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.ids_of(word)
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = tuple(self.ids_of(word))
         if len(word) <= SHORT:
             if len(self) >= CACHE:
                 self.clear()
@@ -72,7 +73,7 @@ class PieceModel:
         self.longest = max(map(len, self.ids))
         self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         self.words_apart = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.fits = lru_cache(CACHE)(self._fits)
+        self.fits = lru_cache(PAIRS)(self._fits)
         self.word_ids = WordIds(lambda word: self.to_ids(self.word(word)))
 
     def _merged(self, text: str) -> list[str]:
@@ -288,7 +289,7 @@ def _scan(table: DataFrame, scratch: Scratch) -> DataFrame:
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL, chunk: int = CHUNK) -> DataFrame:
     """(id, row, part, ids array<int>): the piece ids of every whole text in parts by number; a text up to ``chunk`` characters is part 0.
 
-    row names the text that a part is of, and is null for texts of one part.
+    row names the text that a part is of, and is null for texts of one part. Parts of longer texts are a written table.
 
     Null and empty texts have part 0 with no ids. Repeated rows come back as often. A text with a space mark of its own is encoded
     as if it were a space. The model file must be at that path on the executors.
@@ -324,7 +325,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
 
     table = parts.mapInArrow(matrices, f"row bigint, part int, m {_MATRIX}")
     chosen = _scan(table, scratch)
-    both = parts.join(chosen, ["row", "part"]).select("id", "row", "part", "t", "start", "length", "a", "p", "b", "q")
+    both = parts.join(if_small(scratch.save(chosen)), ["row", "part"]).select("id", "row", "part", "t", "start", "length", "a", "p", "b", "q")
 
     def backtraced(batches):
         m = model_of(model)
@@ -335,11 +336,13 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
             ]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), b.column("part"), pa.array(ids, pa.list_(pa.int32()))], ["id", "row", "part", "ids"])
 
-    return out.unionByName(both.mapInArrow(backtraced, f"id {kind}, row bigint, part int, ids array<int>"))
+    linked = scratch.save(both.mapInArrow(backtraced, f"id {kind}, row bigint, part int, ids array<int>"))
+    scratch.keep_only(linked)
+    return out.unionByName(linked)
 
 
 def decoded(parts: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
-    """(id, row, part, ids, text) of parts (id, row, part, ids), which are read twice: the texts of a row's parts, joined by number, are the text of all its ids.
+    """(id, row, part, ids, text) of parts (id, row, part, ids), of which those with a row are read twice: the texts of a row's parts, joined by number, are the text of all its ids.
 
     A part is decoded for itself. Bytes that end a part amid a character go to the next part with ids, and only a row's first part
     with ids loses a leading space. A part with a null row is a whole text.
@@ -350,6 +353,7 @@ def decoded(parts: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     # a character has four bytes, so three before a part decide on what it begins with
     tails = parts.filter("row is not null and size(ids) > 0").select("row", "part", F.slice("ids", F.greatest(F.size("ids") - 2, F.lit(1)), 3).alias("tail"))
     borders = tails.select("row", "part", F.flatten(F.collect_list("tail").over(order.rowsBetween(-3, -1))).alias("before"), F.lead("part").over(order).isNull().alias("ends"))
+    borders = if_small(Scratch(parts.sparkSession).save(borders), F.size("before"))
     single = parts.filter("row is null").withColumn("before", F.array().cast("array<int>")).withColumn("ends", F.lit(True))
     linked = parts.filter("row is not null").join(borders, ["row", "part"], "left").select("id", "row", "part", "ids", "before", "ends")
 
