@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from ragloom.llm.scratch import Scratch, if_small
 
-#: Characters of a chunk; words and pairs of pieces that a worker keeps (some 150 and 20 MB).
-CHUNK, CACHE, PAIRS = 1 << 14, 1 << 19, 1 << 16
+#: Characters of a chunk; words and pairs of pieces that a worker keeps (some 75 and 20 MB).
+CHUNK, CACHE, PAIRS = 1 << 14, 1 << 18, 1 << 16
 #: Matrices that one task multiplies at once; characters of the longest word that is merged step by step and kept.
 FAN, SHORT = 64, 48
 SPACE = "▁"
@@ -41,15 +41,18 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 class WordIds(dict):
-    """Ids by word, at most ``CACHE`` of them and none of long words."""
+    """Ids by word, at most ``CACHE`` of them and none of long words; words not met among the last ones go."""
 
     def __init__(self, ids_of):
-        self.ids_of = ids_of
+        self.ids_of, self.older = ids_of, {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = tuple(self.ids_of(word))
+        ids = self.older.get(word)
+        if ids is None:
+            ids = tuple(self.ids_of(word))
         if len(word) <= SHORT:
-            if len(self) >= CACHE:
+            if len(self) >= CACHE // 2:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
