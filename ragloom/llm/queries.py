@@ -53,7 +53,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rules.judged(_read(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 6))
+    out = host_rules.judged(_read(spark, sf_dir, "documents"))
+    return out.select(*(F.round(c, 6).alias(c) if c.startswith("rate_") else c for c in out.columns))
 
 
 def op9_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,12 +106,18 @@ ORACLES: dict[str, str] = {
         win AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM w), named AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM win),
         again AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, i + unnest([0, 1, 2]) AS k FROM named WHERE c > 1) GROUP BY doc_id),
         m AS (SELECT doc_id, host, len(w) AS n_words, CAST(COALESCE(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-            len(lines) - len(list_distinct(lines)) AS n_dup_lines, COALESCE(again.n, 0) AS n_repeat_words FROM w LEFT JOIN again USING (doc_id)),
-        b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m), h AS (SELECT host, count(*) AS n, count(*) FILTER (base_failed) AS f FROM b GROUP BY host),
-        g AS (SELECT sum(f) / sum(n) AS m, sum(f * f / n) / sum(n) AS q, count(*) / sum(n) AS per_doc FROM h), v AS (SELECT m, q - m * m - m * (1 - m) * per_doc AS spread FROM g),
-        prior AS (SELECT m, CASE WHEN spread > 0 THEN greatest(1, least(1e6, m * (1 - m) / spread - 1)) ELSE 1e6 END AS s FROM v), rates AS (SELECT host, (f + m * s) / (n + s) AS rate FROM h, prior)
-        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept, round(rate, 6) AS host_rate
-        FROM b JOIN rates ON b.host IS NOT DISTINCT FROM rates.host
+            len(lines) - len(list_distinct(lines)) AS n_dup_lines, COALESCE(again.n, 0) AS n_repeat_words, len(lines) AS n_lines FROM w LEFT JOIN again USING (doc_id)),
+        b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+        tried AS (SELECT host, unnest(['base', 'symbols', 'lines']) AS rule, unnest([base_failed, 10 * n_symbols > word_chars, 10 * n_dup_lines > 3 * n_lines]) AS bad FROM b),
+        h AS (SELECT host, rule, count(*) AS n, count(*) FILTER (bad) AS f FROM tried GROUP BY host, rule),
+        g AS (SELECT rule, sum(f) / sum(n) AS m, sum(f * f / n) / sum(n) AS q, count(*) / sum(n) AS per_doc FROM h GROUP BY rule), v AS (SELECT rule, m, q - m * m - m * (1 - m) * per_doc AS spread FROM g),
+        prior AS (SELECT rule, m, greatest(0.2, least(3 * m, (1 + m) / 2)) AS most, CASE WHEN spread > 0 THEN greatest(1, least(1e6, m * (1 - m) / spread - 1)) ELSE 1e6 END AS s FROM v),
+        rates AS (SELECT host, rule, most, (f + m * s) / (n + s) AS rate FROM h JOIN prior USING (rule)),
+        hosts AS (SELECT host, bool_or(rate > most) AS host_failed, max(rate) FILTER (rule = 'base') AS rate_base, max(rate) FILTER (rule = 'symbols') AS rate_symbols,
+            max(rate) FILTER (rule = 'lines') AS rate_lines FROM rates GROUP BY host)
+        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, NOT base_failed AND NOT host_failed AS kept, host_failed,
+            round(rate_base, 6) AS rate_base, round(rate_symbols, 6) AS rate_symbols, round(rate_lines, 6) AS rate_lines
+        FROM b JOIN hosts ON b.host IS NOT DISTINCT FROM hosts.host
     """,
     "op9_exact_search": """
         WITH v AS (
