@@ -11,9 +11,9 @@ Counts are exact: a written table has each n-gram of ORDER + 1 characters of the
 both classes, and grows with the input; the counts of shorter n-grams and of contexts are sums of its rows.
 All that a URL's character adds to its score depends on its n-gram, so URLs' n-grams are joined to a table
 of these terms. N-grams with more than one in ``HOT`` of all characters are dealt to ``SALTS`` parts.
-Labels are weak ones: a URL whose host has one of ``REJECT_TERMS`` is a
-rejected example, any other URL with a host is an accepted one. Every labelled URL is counted, those
-whose hash is 0 modulo 5 for the calibration and the others for the models.
+Examples are labelled URLs that the caller gives, or else the URLs that the rules decide: blocked ones are rejected
+examples, allowed ones accepted. Every labelled URL is counted, those whose hash is 0 modulo 5 for the calibration and
+the others for the models. The models see the whole URL, its scheme, query and fragment included.
 """
 
 from __future__ import annotations
@@ -26,8 +26,6 @@ from ragloom.llm.scratch import Scratch
 ORDER, STRENGTH, ALPHABET = 3, 4.0, 64.0
 HOT, SALTS = 100, 64
 BINS, SPAN = 400, 4.0
-#: Words of hosts that serve as examples of what to reject.
-REJECT_TERMS = ("spam", "casino", "pills", "bets", "ads", "porn", "xxx", "viagra", "poker", "track")
 #: (verdict, host, path): the host and its subdomains, paths that start so.
 RULES = (
     ("block", "com", "/en/"),
@@ -97,10 +95,22 @@ def _scored(urls: DataFrame, model: DataFrame) -> DataFrame:
     return salted.join(terms, ["gram", "salt"]).groupBy("row").agg(F.avg("term").alias("score"))
 
 
-def examples(urls: DataFrame, terms=REJECT_TERMS) -> DataFrame:
-    """urls with good and held, which are null for URLs without host; a host is rejected if a part of it between dots and hyphens is one of ``terms``."""
-    bad, told = F.arrays_overlap(F.split("host", r"[.\-]"), F.array(*map(F.lit, terms))), F.col("host") != ""
-    return urls.withColumn("good", F.when(told, ~bad)).withColumn("held", F.when(told, F.pmod(F.xxhash64("key"), F.lit(5)) == 0))
+def examples(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, labelled: DataFrame | None = None) -> DataFrame:
+    """(_id, mine, key, host, path, rule, ruled, good, held): the URLs to judge (mine) with what the rules say, and the examples, where good tells their label and held whether they calibrate.
+
+    labelled has (url, good); those rows are then the only examples. Without it URLs that a rule decides are. A null url has an empty key.
+    """
+    parts = ["_id", "mine", "key", "good"]
+    urls = pages.select(F.col(id_col).alias("_id"), F.lit(True).alias("mine"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("key"), F.lit(None).cast("boolean").alias("good"))
+    if labelled is not None:
+        more = labelled.filter("url is not null").select(F.lit(False).alias("mine"), F.col("url").cast("string").alias("key"), F.col("good").cast("boolean").alias("good"))
+        urls = urls.unionByName(more, allowMissingColumns=True).select(parts)
+    host, path = host_and_path(F.col("key"))
+    rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
+    told = urls.withColumns({"host": host, "path": path}).withColumns({"rule": rule, "ruled": verdict})
+    if labelled is None:
+        told = told.withColumn("good", F.col("ruled") == "allow")
+    return told.withColumn("held", F.when(F.col("good").isNotNull(), F.pmod(F.xxhash64("key"), F.lit(5)) == 0))
 
 
 def threshold(scored: DataFrame) -> DataFrame:
@@ -120,21 +130,19 @@ def threshold(scored: DataFrame) -> DataFrame:
     return best.select((middle * (2.0 * SPAN / BINS) - SPAN).alias("cut")).groupBy().agg(F.coalesce(F.max("cut"), F.lit(float("-inf"))).alias("cut"))
 
 
-def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, terms=REJECT_TERMS) -> DataFrame:
-    """(id, host, path, rule, verdict, score) of every row; verdict is allow or block: the longest fitting rule's, else the models'.
+def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, labelled: DataFrame | None = None) -> DataFrame:
+    """(id, host, path, rule, verdict, score, model_verdict) of every row; verdict is allow or block: the longest fitting rule's, else the models' (model_verdict).
 
-    A null or empty url, or one without ``://``, has empty host and path and no rule; like any URL without host it is no example,
-    and is allowed. Repeated rows are judged alike. score is null where there is no host.
+    A null or empty url is allowed, with a null score. One without ``://`` has empty host and path and no rule, and is scored
+    like any other. Repeated rows are judged alike. Without examples of both classes the models block nothing.
+    labelled (url, good) replaces the rules' own verdicts as examples.
     """
     scratch = Scratch(pages.sparkSession)
-    host, path = host_and_path(F.col(url_col).cast("string"))
-    urls = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path")).withColumn("key", F.concat("host", "path"))
-    rows = scratch.save(examples(urls, terms).withColumn("row", F.monotonically_increasing_id()))
+    rows = scratch.save(examples(pages, id_col, url_col, rules, labelled).withColumn("row", F.monotonically_increasing_id()))
     model = scratch.save(_model(rows))
     scored = scratch.save(_scored(rows, model))
     cut = scratch.save(threshold(rows.filter("held").join(scored, "row").select("good", "score")))
-    rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    score = F.when(F.col("host") != "", F.col("score"))
-    out = rows.join(scored, "row", "left").select(F.col("_id").alias(id_col), "host", "path", rule.alias("rule"), verdict.alias("ruled"), score.alias("score"))
+    score = F.when(F.col("key") != "", F.col("score"))
+    out = rows.filter("mine").join(scored, "row", "left").withColumn("score", score)
     by_model = F.when(F.coalesce(F.col("score") < cut.scalar(), F.lit(False)), "block").otherwise("allow")
-    return out.select(id_col, "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"), "score")
+    return out.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"), "score", by_model.alias("model_verdict"))

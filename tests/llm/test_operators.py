@@ -106,7 +106,7 @@ def test_quality_rules(spark, corpus):
         for k in range(len(w) - 2):
             hit |= {k, k + 1, k + 2} if grams[tuple(w[k : k + 3])] > 1 else set()
         lines = [x for x in (t or "").split("\n") if words(x)]
-        assert tuple(rows[i][m] for m in host_rules.MEASURES) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(hit))
+        assert tuple(rows[i][m] for m in host_rules.MEASURES) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(hit), len(lines))
         assert not (rows[i]["kept"] and rows[i]["base_failed"])
 
 
@@ -118,6 +118,23 @@ def test_bad_hosts_lose_good_documents(spark):
     assert host_rules.judged(df.limit(0)).count() == 0
 
 
+def test_hosts_worse_than_the_rest(spark):
+    good = lambda i: " ".join(f"word{i}x{k}" for k in range(80))
+    shorts = {"a": 4, "b": 5, "c": 6, "d": 3, "worse": 40}
+    rows = [(h, "short" if i < n else good(i)) for h, n in shorts.items() for i in range(100)]
+    rows += [("marks", " ".join(f"w{i}x{k} #" for k in range(80))) for i in range(100)]
+    df = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], "doc_id bigint, text string, source string")
+    # by hand: rates of base by host, their prior, and the limit
+    f, n = np.array([*shorts.values(), 0]), np.full(6, 100)
+    m, q = f.sum() / n.sum(), (f * f / n).sum() / n.sum()
+    strength = m * (1 - m) / (q - m * m - m * (1 - m) * 6 / 600) - 1
+    want = dict(zip([*shorts, "marks"], (f + m * strength) / (n + strength), strict=True))
+    out = host_rules.judged(df).join(df.select("doc_id", "source"), "doc_id").collect()
+    assert all(abs(r["rate_base"] - want[r["source"]]) < 1e-9 for r in out)
+    assert {r["source"] for r in out if r["host_failed"]} == {"worse", "marks"} and want["worse"] > 3 * m
+    assert all(r["kept"] == (not r["base_failed"] and r["source"] in "abcd") for r in out)
+
+
 def test_exact_search(spark):
     rng = np.random.default_rng(1)
     m = rng.normal(size=(300, 8)).astype(np.float32)
@@ -161,20 +178,35 @@ def test_packing_covers_texts(spark, corpus):
 
 
 def test_url_filter(spark):
-    urls = ["http://A.example.com/en/7x?q", "https://example.com/en/1", "http://x.net/de/1", "http://y.example.net/de/8", None, "nothing", "http://host", "http://notcom/en/"]
-    urls += [f"http://good{i}.example.org/fr/{i}" for i in range(300)] + [f"http://casino-win{i}.example.org/fr/{i}" for i in range(100)]
-    rows = url_filter.judged(spark.createDataFrame(list(enumerate([*urls, urls[0]])), "page_id bigint, url string")).collect()
+    urls = ["http://A.example.com/en/7x?q", "https://example.com/en/1", "http://x.net/de/1", "http://y.example.net/de/8", None, "nothing", "http://host", "http://notcom/en/", ""]
+    bad = lambda i: f"http://good{i}.example.org/fr/{i}?to=casino-win"
+    fine = lambda i: f"http://good{i}.example.org/fr/{i}?to=garden"
+    urls += [fine(i) for i in range(300)] + [bad(i) for i in range(100)]
+    table = spark.createDataFrame(list(enumerate([*urls, urls[0]])), "page_id bigint, url string")
+    given = [(fine(i), True) for i in range(1000, 1300)] + [(bad(i), False) for i in range(1000, 1100)] + [(None, True), (fine(1), None)]
+    rows = url_filter.judged(table, labelled=spark.createDataFrame(given, "url string, good boolean")).collect()
     by = {r["page_id"]: r for r in rows}
     assert len(rows) == len(urls) + 1
-    assert [(by[i]["host"], by[i]["path"], by[i]["rule"], by[i]["verdict"]) for i in range(6)] == [
+    assert [(by[i]["host"], by[i]["path"], by[i]["rule"], by[i]["verdict"]) for i in range(5)] == [
         ("a.example.com", "/en/7x", "example.com/en/7", "allow"), ("example.com", "/en/1", "com/en/", "block"), ("x.net", "/de/1", "net/de/", "allow"),
-        ("y.example.net", "/de/8", "example.net/de/8", "block"), ("", "", None, "allow"), ("", "", None, "allow")]
-    assert by[7]["rule"] is None
-    verdicts = Counter((by[i]["host"].startswith("casino"), by[i]["verdict"]) for i in range(8, 408))
+        ("y.example.net", "/de/8", "example.net/de/8", "block"), ("", "", None, "allow")]
+    assert (by[5]["host"], by[5]["path"], by[5]["rule"]) == ("", "", None) and by[7]["rule"] is None
+    assert by[4]["score"] is None and by[8]["score"] is None and by[5]["score"] is not None
+    verdicts = Counter((urls[i].endswith("win"), by[i]["verdict"]) for i in range(9, 409))
     assert verdicts[(True, "block")] >= 95 and verdicts[(False, "allow")] >= 295
     assert url_filter.judged(spark.createDataFrame([], "page_id bigint, url string")).count() == 0
 
 
+def test_url_filter_learns_from_its_rules(spark):
+    rng = random.Random(6)
+    urls = [f"http://h{rng.randrange(50)}.example.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['en', 'de', 'es', 'fr'])}/{rng.randrange(1000)}" for _ in range(800)]
+    rows = url_filter.judged(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")).collect()
+    ruled = [r for r in rows if r["rule"]]
+    assert len(ruled) > 150 and sum(r["verdict"] == r["model_verdict"] for r in ruled) > 0.9 * len(ruled)
+    only = url_filter.judged(spark.createDataFrame([(1, "http://a.com/en/"), (2, "http://b.fr/")], "page_id bigint, url string")).collect()
+    assert {r["page_id"]: r["verdict"] for r in only} == {1: "block", 2: "allow"}
+
+
 def test_html(spark):
     page = '<html><body><nav><a href="/">Menu</a></nav><article><h1>A  title</h1><p>One &amp; two<br>three</p><p><b>Four five.<script>x="</p>"</script></article><div class="comments"><p>I agree</p></div><footer>&copy; me</footer>'
     rows = html_content.extracted(spark.createDataFrame([(1, "u", page), (2, "u", None), (3, None, ""), (4, "u", "<p" * 1000 + "a<b" * 500)], "page_id bigint, url string, html string")).collect()
@@ -282,8 +314,8 @@ def test_html_formulas_are_text():
 
 
 def test_url_model_counts_are_exact(spark):
-    urls = [f"http://h{i}.example.org/{chr(0x4E00 + 7 * i)}{chr(0x5E00 + 11 * i)}/{i * 7919}" for i in range(1500)] + [f"http://casino-{i}.example.org/{chr(0x6E00 + 3 * i)}/{i}" for i in range(500)]
-    rows = url_filter.examples(spark.createDataFrame([(u.split("/")[2], "/" + u.split("/", 3)[3], u.split("//")[1]) for u in urls], "host string, path string, key string"))
+    urls = [f"http://h{i}.net/de/{chr(0x4E00 + 7 * i)}{chr(0x5E00 + 11 * i)}/{i * 7919}" for i in range(1500)] + [f"http://h{i}.example.com/en/{chr(0x6E00 + 3 * i)}/{i}" for i in range(500)]
+    rows = url_filter.examples(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")).withColumn("row", F.monotonically_increasing_id())
     counts = {k: Counter() for k in (True, False)}
     seen, examples = set(), rows.collect()
     for r in examples:
@@ -303,6 +335,11 @@ def test_url_model_counts_are_exact(spark):
     got = {r["gram"]: r["term"] for r in url_filter._model(rows).collect()}
     assert got.keys() == seen and len(seen) > 8000
     assert all(abs(got[g] - np.log(p(True, g) / p(False, g))) < 1e-9 for g in seen)
+    texts = {r["row"]: "^^^" + r["key"] + "\n" for r in rows.collect()}
+    for r in url_filter._scored(rows, url_filter._model(rows)).collect():
+        t = texts.pop(r["row"])
+        assert abs(r["score"] - np.mean([np.log(p(True, t[i - 3 : i + 1]) / p(False, t[i - 3 : i + 1])) for i in range(3, len(t))])) < 1e-9
+    assert not texts
 
 
 def test_sentencepiece_decodes_parts(spark, tmp_path):
