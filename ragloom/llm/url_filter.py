@@ -11,8 +11,8 @@ Counts are exact: a written table has each n-gram of ORDER + 1 characters of the
 both classes, and grows with the input; the counts of shorter n-grams and of contexts are sums of its rows.
 All that a URL's character adds to its score depends on its n-gram, so URLs' n-grams are joined to a table
 of these terms. N-grams with more than one in ``HOT`` of all characters are dealt to ``SALTS`` parts.
-Examples are labelled URLs that the caller gives, or else the URLs that the rules decide: blocked ones are rejected
-examples, allowed ones accepted. Every labelled URL is counted, those whose hash is 0 modulo 5 for the calibration and
+Examples are labelled URLs that the caller gives, or else what the rules make of the URLs with a host: blocked ones are
+rejected examples, allowed ones and those that pass every rule accepted. Every labelled URL is counted, those whose hash is 0 modulo 5 for the calibration and
 the others for the models. The models see the whole URL, its scheme, query and fragment included.
 """
 
@@ -98,7 +98,7 @@ def _scored(urls: DataFrame, model: DataFrame) -> DataFrame:
 def examples(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, labelled: DataFrame | None = None) -> DataFrame:
     """(_id, mine, key, host, path, rule, ruled, good, held): the URLs to judge (mine) with what the rules say, and the examples, where good tells their label and held whether they calibrate.
 
-    labelled has (url, good); those rows are then the only examples. Without it URLs that a rule decides are. A null url has an empty key.
+    labelled has (url, good); those rows are then the only examples. Without it URLs with a host are, those that no rule blocks as good ones. A null url has an empty key.
     """
     parts = ["_id", "mine", "key", "good"]
     urls = pages.select(F.col(id_col).alias("_id"), F.lit(True).alias("mine"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("key"), F.lit(None).cast("boolean").alias("good"))
@@ -109,25 +109,22 @@ def examples(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ru
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     told = urls.withColumns({"host": host, "path": path}).withColumns({"rule": rule, "ruled": verdict})
     if labelled is None:
-        told = told.withColumn("good", F.col("ruled") == "allow")
+        told = told.withColumn("good", F.when(F.col("host") != "", F.coalesce("ruled", F.lit("allow")) == "allow"))
     return told.withColumn("held", F.when(F.col("good").isNotNull(), F.pmod(F.xxhash64("key"), F.lit(5)) == 0))
 
 
 def threshold(scored: DataFrame) -> DataFrame:
     """One row ``cut``: of the bin edges on scored (good, score) rows, the one with the least sum of the share of good rows below and the share of bad rows not below.
 
-    Edges that are equally good count by their middle. Without rows of both classes it is minus infinity.
+    Of equally good edges the lowest counts, which rejects least. Without rows of both classes it is minus infinity.
     """
     at = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("score") + SPAN) * BINS / (2 * SPAN)))).cast("int")
     seen = scored.select("good", at.alias("bin")).groupBy("bin").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
     hist = seen.groupBy().agg(F.collect_list(F.struct("bin", "g", "b")).alias("bins"), F.sum("g").alias("g"), F.sum("b").alias("b"))
     below = lambda field, edge: F.aggregate(F.filter("bins", lambda x: x["bin"] < edge), F.lit(0).cast("bigint"), lambda a, x: a + x[field])
     loss = F.transform(F.sequence(F.lit(0), F.lit(BINS)), lambda e: F.round(below("g", e) / F.col("g") + 1 - below("b", e) / F.col("b"), 9))
-    best = hist.filter("g > 0 and b > 0").select(loss.alias("loss")).select(
-        F.filter(F.transform("loss", lambda x, i: F.when(x == F.array_min("loss"), i)), lambda i: i.isNotNull()).alias("edges")
-    )
-    middle = F.get("edges", F.floor((F.size("edges") - 1) / 2).cast("int"))
-    return best.select((middle * (2.0 * SPAN / BINS) - SPAN).alias("cut")).groupBy().agg(F.coalesce(F.max("cut"), F.lit(float("-inf"))).alias("cut"))
+    best = hist.filter("g > 0 and b > 0").select(loss.alias("loss")).select((F.array_position("loss", F.array_min("loss")) - 1).alias("edge"))
+    return best.select((F.col("edge") * (2.0 * SPAN / BINS) - SPAN).alias("cut")).groupBy().agg(F.coalesce(F.max("cut"), F.lit(float("-inf"))).alias("cut"))
 
 
 def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, labelled: DataFrame | None = None) -> DataFrame:
