@@ -15,8 +15,8 @@ _PUBLIC = {
     "ragloom.operators.agents": ("AgenticRAG", "IRCOT", "SearchO1Loop", "search_r1", "search_o1", "r1_searcher", "limited_r1_searcher", "forced_search", "standalone"),
     "ragloom.operators.aicl": ("AICLContextSelector", "answer_rate"),
     "ragloom.operators.kg": ("extract_graph", "reasoning_chains", "chain_texts", "chain_documents"),
-    "ragloom.operators.evaluation": ("MEASURES", "by_query", "bertscore", "judged_pointwise", "judged_pairwise", "experiment", "long_form", "against_baseline", "result_stats"),
-    "ragloom.sources.datasets": ("get_dataset", "list_datasets", "register_dataset", "known_datasets"),
+    "ragloom.operators.evaluation": ("MEASURES", "by_query", "bertscore", "judged_pointwise", "judged_pairwise", "experiment", "compared", "long_form", "against_baseline", "result_stats"),
+    "ragloom.sources.datasets": ("get_dataset", "list_datasets", "register_dataset", "known_datasets", "members", "members_listed", "unpacked"),
 }
 _HOME = {name: module for module, names in _PUBLIC.items() for name in names}
 __all__ = sorted(_HOME)  # noqa: PLE0605

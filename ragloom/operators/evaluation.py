@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,7 +117,38 @@ def against_baseline(values: DataFrame, baseline: str) -> DataFrame:
         F.count("d").alias("n"), F.count_if(F.col("d") > 0).alias("better"), F.count_if(F.col("d") < 0).alias("worse"),
         F.try_divide(F.avg("d"), F.stddev_samp("d") / F.sqrt(F.count("d"))).alias("t"),
     )
-    return stats.withColumn("p", F.udf(lambda t, n: two_sided_p(t, n), "double")("t", "n"))  # one row a system and measure
+    return stats.withColumn("p", F.udf(lambda t, n: two_sided_p(t, n), "double", useArrow=True)("t", "n"))  # one row a system and measure
+
+
+def compared(systems: Sequence[Callable[[DataFrame], DataFrame]], topics: DataFrame, gold: DataFrame, measures: Sequence[str] = ("EM", "F1"), names: Sequence[str] | None = None, baseline: int | None = None, timed: bool = False) -> DataFrame:
+    """(name, one mean a measure) of systems that answer topics, in one table.
+
+    names default to the systems' places. With a baseline (a system's place) each measure gets m_better, m_worse and m_p, null for the baseline
+    itself. With timed, mrt is the milliseconds a query took: each system's answers are then made once, kept on the executors' disks
+    (and made again where an executor is lost), and what a run shares with another is timed in both.
+    """
+    names = [str(k) for k in range(len(systems))] if names is None else list(names)
+    if len(names) != len(systems) or len(set(names)) != len(names):
+        raise ValueError("each system needs a name of its own")
+    n, runs, spent = topics.count() if timed else 0, {}, []
+    for name, system in zip(names, systems, strict=True):
+        run = system(topics)
+        if timed:
+            began = time.perf_counter()
+            run = run.persist(StorageLevel.DISK_ONLY)
+            run.count()
+            spent.append((name, 1000 * (time.perf_counter() - began) / n if n else None))
+        runs[name] = run
+    values = long_form(runs, gold, measures)
+    out = experiment(values, measures)
+    if timed:
+        out = out.join(F.broadcast(topics.sparkSession.createDataFrame(spent, "system string, mrt double")), "system")
+    if baseline is not None:
+        pairs = against_baseline(values, names[baseline]).groupBy("system").agg(
+            *(F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{m}_{c}") for m in measures for c in ("better", "worse", "p"))
+        )
+        out = out.join(pairs, "system", "left")
+    return out.withColumnRenamed("system", "name")
 
 
 def two_sided_p(t: float | None, n: int) -> float | None:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -11,13 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
+ARCHIVE_SUFFIX = r"\.(tar|tar\.gz|tgz|tar\.bz2|tbz2|tar\.xz|zip)$"
+
+
 class RAGDataset(Protocol):
     def topics(self, variant: str) -> DataFrame: ...
     def answers(self, variant: str) -> DataFrame: ...
     def corpus(self) -> DataFrame: ...
 
 
-def _json(spark: SparkSession, path: str, schema: str, bad_share: float = 0.1) -> DataFrame:
+def _json(spark: SparkSession, path: str | list[str], schema: str, bad_share: float = 0.1) -> DataFrame:
     """JSON lines (also .gz and .bz2); lines that are no JSON are left out, and an error if they are above ``bad_share`` of a file's lines."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     lines = spark.read.text(path).filter(F.trim("value") != "").withColumn("_file", F.col("_metadata.file_path"))
@@ -63,9 +67,29 @@ def read_reading_answers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("_id string, type string, answer string").option("multiLine", True).json(path).select(F.col("_id").alias("qid"), "type", F.col("answer").alias("gold_answer"))
 
 
+def members(archive: str, names: Iterable[str]) -> dict[str, str]:
+    """The spec ``archive#member`` of each member of an archive, by name; empty names and repeats are left out."""
+    return {n: f"{archive}#{n}" for n in map(str.strip, names) if n}
+
+
+def members_listed(spark: SparkSession, path: str, archive: str) -> dict[str, str]:
+    """``members`` of a text file with a name a line, in any store that Spark reads. The driver holds the names, so the list must fit there."""
+    return members(archive, (r["value"] for r in spark.read.text(path).toLocalIterator()))
+
+
+def unpacked(spec: str) -> str:
+    """Where a spec's file is: a member of an archive is in a folder of the archive's name without its suffix, as archives are unpacked before; of an address the last part counts."""
+    archive, _, member = spec.partition("#")
+    if "://" in archive:
+        archive = archive.split("?", 1)[0].rstrip("/").rsplit("/", 1)[-1]
+    if not member:
+        return archive
+    return f"{re.sub(ARCHIVE_SUFFIX, '', archive)}/{member}"
+
+
 @dataclass
 class FileDataset:
-    """Files by kind and variant under a root; the corpus may be another dataset's, by name."""
+    """Files by kind and variant under a root; the corpus may be another dataset's, by name. A file may be given as ``archive#member`` or by an address, see ``unpacked``."""
 
     spark: SparkSession
     root: str
@@ -78,7 +102,7 @@ class FileDataset:
     def _path(self, kind: str, variant: str | None) -> str:
         if variant not in self.files.get(kind, {}):
             raise ValueError(f"{kind} have no variant {variant!r}; there are {sorted(self.files.get(kind, {}))}")
-        return f"{self.root}/{self.files[kind][variant]}"
+        return f"{self.root}/{unpacked(self.files[kind][variant])}"
 
     def topics(self, variant: str | None = None) -> DataFrame:
         return self.topics_reader(self.spark, self._path("topics", variant))
@@ -88,7 +112,8 @@ class FileDataset:
 
     def corpus(self) -> DataFrame:
         if "corpus" in self.files:
-            return self.corpus_reader(self.spark, f"{self.root}/{next(iter(self.files['corpus'].values()))}")
+            paths = [f"{self.root}/{unpacked(f)}" for f in self.files["corpus"].values()]
+            return self.corpus_reader(self.spark, paths if len(paths) > 1 else paths[0])
         if self.corpus_name is None:
             raise NotImplementedError("this dataset names no corpus")
         return get_dataset(self.corpus_name).corpus()

@@ -32,6 +32,34 @@ def test_reader_and_experiment(spark, found):
     assert generation.prompts(context.concatenator(found.limit(0))).count() == 0
 
 
+def test_compared_systems(spark):
+    topics = spark.createDataFrame([(f"q{i}", f"what {i}") for i in range(6)], "qid string, query string")
+    gold = topics.select("qid", F.array("query").alias("gold_answer"))
+    right = lambda t: t.select("qid", F.col("query").alias("qanswer"))
+    half = lambda t: t.select("qid", F.when(F.col("qid") < "q3", F.col("query")).otherwise("no").alias("qanswer"))
+    out = evaluation.compared([right, half], topics, gold, ("EM", "F1"), names=["right", "half"], baseline=0, timed=True)
+    rows = {r["name"]: r for r in out.collect()}
+    assert (rows["right"]["EM"], rows["half"]["EM"], rows["right"]["EM_p"]) == (1.0, 0.5, None)
+    assert (rows["half"]["EM_better"], rows["half"]["EM_worse"]) == (0, 3) and 0 < rows["half"]["EM_p"] < 1
+    assert all(r["mrt"] > 0 for r in rows.values())
+    assert evaluation.compared([right], topics, gold, ("EM",)).columns == ["name", "EM"]
+    with pytest.raises(ValueError):
+        evaluation.compared([right, half], topics, gold, names=["a", "a"])
+
+
+def test_archive_specs(spark, tmp_path):
+    (tmp_path / "names.txt").write_text("AA/one.jsonl\n\n AB/two.jsonl \n")
+    specs = datasets.members_listed(spark, str(tmp_path / "names.txt"), "https://x.example/files/abstracts.tar.bz2?dl=1")
+    assert specs == {n: f"https://x.example/files/abstracts.tar.bz2?dl=1#{n}" for n in ("AA/one.jsonl", "AB/two.jsonl")}
+    assert [datasets.unpacked(s) for s in (*specs.values(), "a.jsonl", "b.tgz#c")] == ["abstracts/AA/one.jsonl", "abstracts/AB/two.jsonl", "a.jsonl", "b/c"]
+    for k, spec in enumerate(specs.values()):
+        file = tmp_path / datasets.unpacked(spec)
+        file.parent.mkdir(parents=True)
+        file.write_text(json.dumps({"id": str(k), "contents": f"T{k}\nbody"}) + "\n")
+    d = datasets.FileDataset(spark, str(tmp_path), {"corpus": specs})
+    assert {(r["docno"], r["title"], r["text"]) for r in d.corpus().collect()} == {("0", "T0", "body"), ("1", "T1", "body")}
+
+
 def test_p_value():
     assert evaluation.two_sided_p(2.262, 10) == pytest.approx(0.05, abs=1e-3)
 
