@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm import exact_search, host_rules, html_content, language_id, line_dedup, ngram_join, packing, quality, sentencepiece_scan, url_filter
+from ragloom.llm import exact_search, filter_audit, host_rules, html_content, language_id, line_dedup, merkle, ngram_join, packing, quality, sentencepiece_scan, url_filter
 from ragloom.session import ship
 
 
@@ -69,15 +69,33 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_read(spark, sf_dir, "documents"), merkle.without_line_breaks(F.col("text"), F.col("doc_id")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filter, op2_sentencepiece, op3_html_extraction, op4_ngram_join, op5_packing, op6_language_id, op7_line_dedup, op8_host_rules, op9_exact_search, op10_quality_classifier)
+    for f in (
+        op1_url_filter, op2_sentencepiece, op3_html_extraction, op4_ngram_join, op5_packing, op6_language_id, op7_line_dedup, op8_host_rules, op9_exact_search,
+        op10_quality_classifier, op11_filter_audit, op12_merkle_manifest,
+    )
 }
 
 # Words of a text as a list, in order; A-Z lower-cased or as they are.
 _WORDS = "list_filter(regexp_split_to_array({0}, '[\\x20\\x09-\\x0D]+'), lambda x: x != '')"
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+# The low bit of a decimal id's crc32: bytes and then bits are worked off from the left.
+_CRC = "list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, y: CASE WHEN y >= 0 THEN xor(c, y) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)"
+_EVEN_CRC = f"{_CRC} % 2 = 1"
+_LEAF = " || ".join(f"COALESCE(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", "{0}"))
+_UP = "list_transform(range(0, (len(nodes) + 2) // 3), lambda k: sha256(array_to_string(nodes[3 * k + 1:3 * k + 3], '')))"
+_STEP = "array_to_string(nodes[3 * (p // 3) + 1:p], '') || '|' || array_to_string(nodes[p + 2:3 * (p // 3) + 3], '')"
+
 ORACLES: dict[str, str] = {
     "op4_ngram_join": f"""
         WITH RECURSIVE w AS (SELECT doc_id, COALESCE({_WORDS.format(_LOWER.format('text'))}, []) AS w FROM documents),
@@ -129,4 +147,34 @@ ORACLES: dict[str, str] = {
         ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op11_filter_audit": f"""
+        WITH d AS (SELECT doc_id, COALESCE(lang, '') AS part, COALESCE(text, '') AS text FROM documents), w AS (SELECT *, {_WORDS.format('text')} AS w, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+        l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+        m AS (SELECT w.doc_id, part, COALESCE(good, 0) AS good, COALESCE(toxic, 0) AS toxic, CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+            || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN w.doc_id > least THEN 'E' ELSE '' END AS fails FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+        h AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, fails),
+        x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f), o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+        s AS (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM o),
+        r AS (SELECT part, filter_order, step, filter_order[step] AS f, n, good, toxic, fails, contains(fails, filter_order[step]) AS hit, step > 1 AND len(translate(filter_order[1:step - 1], fails, '')) < step - 1 AS gone FROM s, h),
+        t AS (SELECT part, filter_order, step, f, COALESCE(sum(n) FILTER (NOT hit AND NOT gone), 0) AS kept, COALESCE(sum(n) FILTER (hit AND NOT gone), 0) AS removed, COALESCE(sum(n) FILTER (hit AND gone), 0) AS redundant,
+            COALESCE(sum(n) FILTER (fails = f), 0) AS unique_fails, COALESCE(sum(good) FILTER (hit AND NOT gone), 0) AS good_lost, COALESCE(sum(toxic) FILTER (hit AND NOT gone), 0) AS toxic_lost FROM r GROUP BY part, filter_order, step, f)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+            CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM t
+    """,
+    # crc32 bit by bit; the trees as a list of digests a level, halted where one is left
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE d AS (SELECT *, CASE WHEN {_EVEN_CRC} THEN replace(text, chr(10), '') ELSE text END AS other FROM documents),
+        a AS (SELECT doc_id, source, sha256({_LEAF.format('text')}) AS leaf, sha256({_LEAF.format('other')}) AS tampered FROM d),
+        b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM a),
+        up AS (SELECT source, 0 AS level, list(leaf ORDER BY i) AS nodes FROM b GROUP BY source UNION ALL SELECT source, level + 1, {_UP} FROM up WHERE len(nodes) > 1),
+        sub AS (SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS j FROM up WHERE len(nodes) = 1),
+        top AS (SELECT 0 AS level, list(subroot ORDER BY j) AS nodes FROM sub UNION ALL SELECT level + 1, {_UP} FROM top WHERE len(nodes) > 1),
+        low AS (SELECT source, i, level, nodes, CAST(floor(i / pow(3, level)) AS BIGINT) AS p FROM b JOIN up USING (source) WHERE len(nodes) > 1 UNION ALL SELECT b.source, i, level, nodes, CAST(floor(i / pow(3, level)) AS BIGINT) FROM b JOIN up ON b.source IS NULL AND up.source IS NULL WHERE len(nodes) > 1),
+        high AS (SELECT source, level, nodes, CAST(floor(j / pow(3, level)) AS BIGINT) AS p FROM sub, top WHERE len(nodes) > 1),
+        low_steps AS (SELECT source, i, list({_STEP} ORDER BY level) AS steps FROM low GROUP BY source, i), high_steps AS (SELECT source, list({_STEP} ORDER BY level) AS steps FROM high GROUP BY source),
+        ways AS (SELECT b.*, subroot, (SELECT nodes[1] FROM top WHERE len(nodes) = 1) AS root, list_concat(COALESCE(l.steps, []), COALESCE(h.steps, [])) AS steps FROM b
+            JOIN sub ON b.source IS NOT DISTINCT FROM sub.source LEFT JOIN low_steps l ON b.source IS NOT DISTINCT FROM l.source AND b.i = l.i LEFT JOIN high_steps h ON b.source IS NOT DISTINCT FROM h.source),
+        walked AS (SELECT *, sha256(replace(array_to_string(steps, ''), '|', '')) AS proof_sha256, list_reduce(list_prepend(tampered, steps), lambda x, y: sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) AS folded_root FROM ways)
+        SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM walked
+    """,
 }
