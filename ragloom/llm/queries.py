@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm import exact_search, filter_audit, host_rules, html_content, language_id, line_dedup, merkle, ngram_join, packing, quality, sentencepiece_scan, url_filter
+from ragloom.llm import exact_search, filter_audit, host_rules, html_content, language_id, line_dedup, merkle, ngram_join, packing, quality, sentencepiece_scan, substring_dedup, url_filter
 from ragloom.session import ship
 
 
@@ -77,11 +77,17 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_read(spark, sf_dir, "documents"), merkle.without_line_breaks(F.col("text"), F.col("doc_id")))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.deduplicated(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+    return out.select("doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.octet_length("_kept")).alias("n_removed"), F.size("_spans").cast("bigint").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_sentencepiece, op3_html_extraction, op4_ngram_join, op5_packing, op6_language_id, op7_line_dedup, op8_host_rules, op9_exact_search,
-        op10_quality_classifier, op11_filter_audit, op12_merkle_manifest,
+        op10_quality_classifier, op11_filter_audit, op12_merkle_manifest, op13_suffix_dedup,
     )
 }
 

@@ -36,7 +36,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least n of each."""
     if len(_tables.get("pow", ())) < n:
         size = max(n, 2 * SLICE_BYTES)
@@ -92,7 +92,7 @@ def _hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         if stop == at + 1 and b - a > LONG_WORD:
             out[at] = xxhash.xxh3_64_intdigest(data[a:b].tobytes())
         else:
-            power, inverse = _powers(int(b - a) + 1)
+            power, inverse = powers(int(b - a) + 1)
             sums = np.zeros(int(b - a) + 1, np.uint64)
             np.cumsum((data[a:b].astype(np.uint64) + _U(1)) * power[: b - a], out=sums[1:])
             s, e = start[at:stop] - a, end[at:stop] - a
