@@ -57,29 +57,22 @@ def _lines(w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(new) - 1, rows[new], no[new]
 
 
-def _token_sets(word: np.ndarray, line: np.ndarray, order: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct tokens by line, and where each line's begin. With ``order`` (8-bit rarity by bucket) a token is rarity and 44 bits of hash, ascending; else the hash, in no useful order."""
+def _token_sets(word: np.ndarray, line: np.ndarray, order: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words by line as tokens, where each line's begin, and their whole hashes. With ``order`` (8-bit rarity by bucket) a token is rarity and 44 bits of hash, ascending, words of one token by hash; else the hash, in no useful order."""
     n_lines = int(line[-1]) + 1 if len(line) else 0
     if order is None:
-        at = np.lexsort((word, line))
-        t, ln = word[at], line[at]
+        t, at = word, np.lexsort((word, line))
     else:
         t = (order[(word >> _U(44)).astype(np.int64)].astype(np.uint64) << _U(44)) | (word & _HASH)
         cuts = np.searchsorted(line, np.arange(0, n_lines + LINES, LINES))
-        parts = [np.sort(((line[a:z] & (LINES - 1)).astype(np.uint64) << _U(52)) | t[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-        keys = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        base = np.repeat(np.arange(len(parts)) * LINES, [len(p) for p in parts]) if parts else np.zeros(0, np.int64)
-        t, ln = keys & _U((1 << 52) - 1), (keys >> _U(52)).astype(np.int64) + base
+        parts = [a + np.argsort(((line[a:z] & (LINES - 1)).astype(np.uint64) << _U(52)) | t[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+        at = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        if ((t[at[1:]] == t[at[:-1]]) & (line[at[1:]] == line[at[:-1]]) & (word[at[1:]] != word[at[:-1]])).any():
+            at = np.lexsort((word, t, line))
+    t, line, word = t[at], line[at], word[at]
     new = np.ones(len(t), bool)
-    new[1:] = (t[1:] != t[:-1]) | (ln[1:] != ln[:-1])
-    t, ln = t[new], ln[new]
-    return t, np.searchsorted(ln, np.arange(n_lines + 1))
-
-
-def _fingerprints(t: np.ndarray, first: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(t) + 1, np.uint64)
-    np.cumsum(K.mix((t & _HASH) ^ _U(0x5DEECE66D1CE4E5B)), out=sums[1:])
-    return K.mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64)
+    new[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])
+    return t[new], np.searchsorted(line[new], np.arange(n_lines + 1)), word[new]
 
 
 def _count(batches):
@@ -111,28 +104,30 @@ def _rarity(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _classes(b: pa.RecordBatch, order: np.ndarray):
-    """Of a batch of (id, text): its lines (doc, no, class), tokens by line, where each line's begin, and for each line the line that is the first of its class here."""
-    tokens, sizes, docs, numbers = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    """Of a batch of (id, text): its lines (doc, no, two fingerprints of the class), tokens by line, where each line's begin, and for each line the line that is the first of its class here."""
+    tokens, hashes, sizes, docs, numbers = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     ids = b.column(0).to_numpy(zero_copy_only=False)
     for w in K.words(b.column(1)):
         line, row, no = _lines(w)
-        t, first = _token_sets(w.hash, line, order)
+        t, first, h = _token_sets(w.hash, line, order)
         tokens.append(t)
+        hashes.append(h)
         sizes.append(np.diff(first))
         docs.append(ids[row + w.lo])
         numbers.append(no)
-    t, n, doc, no = (np.concatenate(x) for x in (tokens, sizes, docs, numbers))
+    t, h, n, doc, no = (np.concatenate(x) for x in (tokens, hashes, sizes, docs, numbers))
     first = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
-    fp = _fingerprints(t, first)
-    by_place = np.lexsort((no, doc))
-    _, head, which = np.unique(fp[by_place], return_index=True, return_inverse=True)
+    fp, other = K.set_hashes(h, first)
+    by_class = np.lexsort((no, doc, other, fp))
+    new = np.ones(len(fp), bool)
+    new[1:] = (fp[by_class[1:]] != fp[by_class[:-1]]) | (other[by_class[1:]] != other[by_class[:-1]])
     heads = np.zeros(len(fp), np.int64)
-    heads[by_place] = by_place[head][which]
-    return doc, no, fp, t, first, heads
+    heads[by_class] = by_class[new][np.cumsum(new) - 1]
+    return doc, no, fp, other, t, first, heads
 
 
 def _bucket_rows(fp, t, first, heads, num: int, den: int):
-    """Own line, position, token, sizes and sketches of the bucket rows of a batch."""
+    """Own line, position, token, sizes and sketches of the bucket rows of a batch; sketches and buckets tell words apart by 44 bits, which lets more pairs through, never fewer."""
     n = np.diff(first)
     lines = np.unique(heads)
     lines = lines[den * n[lines] >= num * (n[lines] + 1)]  # a smaller set matches none but its equals
@@ -150,7 +145,8 @@ def _bucket_rows(fp, t, first, heads, num: int, den: int):
 
 
 _FIELDS = ((np.uint64, 8), (np.int64, 8), (np.uint64, 8), (np.uint64, 8), (np.int64, 8), (np.int32, 4), (np.int32, 4), (np.int32, 4))  # token, class, sketches, doc, line, size, position
-_CLASS = ((np.int64, 8), (np.int64, 8), (np.int32, 4))  # class, doc, line
+_CLASS = ((np.int64, 8), (np.int64, 8), (np.int64, 8), (np.int32, 4))  # class by two fingerprints, doc, line
+_PLACE = ((np.int64, 8), (np.int64, 8), (np.int32, 4))  # any number, doc, line
 ROWS, CLASSES, REMOVED = 0, 1, 2
 _PACKED = "part int, kind int, packed binary"
 
@@ -188,9 +184,9 @@ def _dealt(order, num: int, den: int, parts: int):
                     rows.clear()
 
         for b in batches:
-            doc, no, fp, t, first, heads = _classes(b, order.value)
+            doc, no, fp, other, t, first, heads = _classes(b, order.value)
             line, own = no.astype(np.int32), np.unique(heads)
-            held[CLASSES].append([fp[own], doc[own], line[own]])
+            held[CLASSES].append([fp[own], other[own], doc[own], line[own]])
             later = (doc > doc[heads]) | ((doc == doc[heads]) & (no > no[heads]))
             held[REMOVED].append([fp[later] + doc[later], doc[later], line[later]])
             if (rows := _bucket_rows(fp, t, first, heads, num, den)) is not None:
@@ -222,17 +218,17 @@ def _found(x, y, xd, xl, yd, token) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([col(x, pa.int64()), col(y, pa.int64()), col(xd, pa.int64()), col(xl, pa.int32()), col(yd, pa.int64()), col(token, pa.int64())], ["x", "y", "xd", "xl", "yd", "token"])
 
 
-def _least_places(key: np.ndarray, doc: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the first place of each different key, and whether a row is later than its key's first place."""
+def _least_places(key: np.ndarray, other: np.ndarray, doc: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the first place of each different (key, other), and whether a row is later than that of its own."""
     order = np.argsort(key, kind="stable")
     k = key[order]
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]
     if new.all():
         return np.sort(order), np.zeros(len(key), bool)
-    order = np.lexsort((line, doc, key))
-    k = key[order]
-    new[1:] = k[1:] != k[:-1]
+    order = np.lexsort((line, doc, other, key))
+    k, o = key[order], other[order]
+    new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
     heads = order[new]
     head = np.empty(len(key), np.int64)
     head[order] = heads[np.cumsum(new) - 1]
@@ -256,8 +252,8 @@ class _Buckets:
     def rows(self) -> list[np.ndarray]:
         """One row of each class and bucket, its first place, by bucket and size."""
         cols = [np.concatenate(c) for c in zip(*self.blobs, strict=True)]
-        token, fp, _, _, doc, line, n, _ = cols
-        heads, _ = _least_places(K.mix(token) + fp.view(np.uint64), doc, line)
+        token, fp, sketch, _, doc, line, n, _ = cols
+        heads, _ = _least_places(K.mix(token) + fp.view(np.uint64), sketch, doc, line)
         heads = heads[np.lexsort((n[heads], token[heads]))]
         return [c[heads] for c in cols]
 
@@ -286,13 +282,11 @@ class _Buckets:
         swap = (doc[i] < doc[j]) | ((doc[i] == doc[j]) & (line[i] < line[j]))
         return np.where(swap, j, i), np.where(swap, i, j)
 
-    def pairs(self, cols, x, y):
-        """The earliest partners of each row, and rows that have more."""
+    def told(self, cols, x, y):
+        """The earliest partners of each row, and rows that have more, of pairs ordered by the later row and then the earlier one's place."""
         token, fp, _, _, doc, line, _, _ = cols
-        order = np.lexsort((line[y], doc[y], x))
-        x, y = x[order], y[order]
         nth = np.arange(len(x)) - np.searchsorted(x, x)
-        more = np.unique(x[nth >= self.limits.keep])
+        more = x[nth == self.limits.keep]
         x, y = x[nth < self.limits.keep], y[nth < self.limits.keep]
         if len(x):
             yield _found(fp[x], fp[y], doc[x], line[x], doc[y], None)
@@ -300,24 +294,30 @@ class _Buckets:
             yield _found(fp[more], None, doc[more], line[more], None, token[more].view(np.int64))
 
     def end(self):
+        """Pairs by buckets, some at a time; of a bucket that is not at its end, each row waits with one partner more than it may keep."""
         if not self.blobs:
             return
         yield from self.thin()
         cols = self.blobs[0]
-        token, n = cols[0], cols[6].astype(np.int64)
+        token, doc, line, n = cols[0], cols[4], cols[5], cols[6].astype(np.int64)
         run = np.cumsum(np.concatenate([[0], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
         key = run * (1 << 32) + n
         width = np.arange(len(token)) - np.searchsorted(key, run * (1 << 32) + -(-n * self.num // self.den))
-        total, begin, xs, ys = np.cumsum(width), 0, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        total, begin = np.cumsum(width), 0
+        x = y = np.zeros(0, np.int64)
         while begin < len(token):
             stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + CHUNK, side="right")))
             i = np.repeat(np.arange(begin, stop), width[begin:stop])
             j = np.arange(len(i)) - np.repeat(np.cumsum(width[begin:stop]) - width[begin:stop], width[begin:stop]) + i - np.repeat(width[begin:stop], width[begin:stop])
-            x, y = self.filtered(cols, i, j)
-            xs.append(x)
-            ys.append(y)
+            x, y = (np.concatenate(z) for z in zip((x, y), self.filtered(cols, i, j)))
+            order = np.lexsort((line[y], doc[y], x))
+            x, y = x[order], y[order]
+            few = np.arange(len(x)) - np.searchsorted(x, x) <= self.limits.keep
+            x, y = x[few], y[few]
             begin = stop
-        yield from self.pairs(cols, np.concatenate(xs), np.concatenate(ys))
+            whole = run[x] < run[stop] if stop < len(token) else np.ones(len(x), bool)
+            yield from self.told(cols, x[whole], y[whole])
+            x, y = x[~whole], y[~whole]
 
 
 def _partners(num: int, den: int, limits: Limits):
@@ -329,7 +329,7 @@ def _partners(num: int, den: int, limits: Limits):
         def least():
             cols = [np.concatenate(c) for c in zip(*classes, strict=True)]
             heads, later = _least_places(*cols)
-            yield _found(None, None, cols[1][later], cols[2][later], None, None)
+            yield _found(None, None, cols[2][later], cols[3][later], None, None)
             classes[:] = [[c[heads] for c in cols]]
 
         limit = limits.held
@@ -338,7 +338,7 @@ def _partners(num: int, den: int, limits: Limits):
                 if kind == ROWS:
                     yield from buckets.add(blob)
                 elif kind == REMOVED:
-                    _, doc, line = _unpack(blob, _CLASS)
+                    _, doc, line = _unpack(blob, _PLACE)
                     yield _found(None, None, doc, line, None, None)
                 else:
                     classes.append(_unpack(blob, _CLASS))
@@ -359,7 +359,7 @@ def _rows_again(order, num: int, den: int, tokens, split: bool):
 
     def run(batches):
         for b in batches:
-            doc, no, fp, t, first, heads = _classes(b, order.value)
+            doc, no, fp, _, t, first, heads = _classes(b, order.value)
             rows = _bucket_rows(fp, t, first, heads, num, den)
             if rows is None:
                 continue
@@ -384,21 +384,27 @@ def _rows_again(order, num: int, den: int, tokens, split: bool):
 _AGAIN = "key bigint, token bigint, doc bigint, line int, fp bigint, s1 bigint, s2 bigint, n int, at int"
 
 
+def _where(fp, doc):
+    """A number for a class in a document; of arrays or columns."""
+    return fp ^ (doc << 21) if isinstance(fp, np.ndarray) else fp.bitwiseXOR(F.shiftleft(doc, 21))
+
+
 def _wanted_sets(order, wanted_docs, wanted_lines):
     def run(batches):
         for b in batches:
             b = pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["id", "text"]).filter(pa.array(wanted_docs.has(b.column(0).to_numpy(zero_copy_only=False))))
+            ids = b.column(0).to_numpy(zero_copy_only=False)
             for w in K.words(b.column(1)):
-                line, _, _ = _lines(w)
+                line, row, _ = _lines(w)
                 if not len(line):
                     continue
-                fp = _fingerprints(*_token_sets(w.hash, line, order.value))
-                keep = wanted_lines.has(fp)
-                at = keep[line]
-                number = np.cumsum(keep) - 1
-                t, first = _token_sets(w.hash[at], number[line[at]], None)
-                h = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(t.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(fp[keep]), h], ["fp", "h"])
+                _, first, h = _token_sets(w.hash, line, None)
+                fp, _ = K.set_hashes(h, first)
+                doc = ids[row + w.lo]
+                keep = wanted_lines.has(_where(fp, doc))
+                size = np.diff(first)
+                sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size[keep])]), pa.int32()), pa.array(h[np.repeat(keep, size)].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(fp[keep]), pa.array(doc[keep]), sets], ["fp", "doc", "h"])
 
     return run
 
@@ -417,22 +423,23 @@ def removed_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     scratch.free_shuffles()
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        used = pairs.select(F.explode(F.array("x", "y")).alias("fp")).distinct()
-        home = pairs.select(F.explode(F.array("xd", "yd")).alias("id")).distinct()
-        wanted, lines = KeySet(home), KeySet(used)
-        return scratch.save(wanted.narrowed(texts, "id").mapInArrow(_wanted_sets(order, wanted, lines), "fp bigint, h array<bigint>").dropDuplicates(["fp"]))
+        ends = pairs.select(F.explode(F.array(F.struct(F.col("x").alias("fp"), F.col("xd").alias("id")), F.struct(F.col("y").alias("fp"), F.col("yd").alias("id")))).alias("end")).select("end.*")
+        wanted, lines = KeySet(ends.select("id").distinct()), KeySet(ends.select(_where(F.col("fp"), F.col("id")).alias("at")).distinct())
+        return scratch.save(wanted.narrowed(texts, "id").mapInArrow(_wanted_sets(order, wanted, lines), "fp bigint, doc bigint, h array<bigint>").dropDuplicates(["fp", "doc"]))
 
     def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Of pairs, the later classes of those that match and their first places."""
-        whole = pairs.join(sets.select(F.col("fp").alias("x"), F.col("h").alias("xh")), "x").join(sets.select(F.col("fp").alias("y"), F.col("h").alias("yh")), "y")
+        """Of pairs, the later classes of those that match and their first places. A set is known by its fingerprint and document."""
+        whole = pairs
+        for end in "xy":
+            whole = whole.join(sets.select(F.col("fp").alias(end), F.col("doc").alias(f"{end}d"), F.col("h").alias(f"{end}h")), [end, f"{end}d"])
         inter = F.size(F.array_intersect("xh", "yh"))
         hits = whole.filter(den * inter >= num * (F.size("xh") + F.size("yh") - inter))
-        return scratch.save(hits.select(F.col("x").alias("fp"), "xd", "xl").distinct())
+        return scratch.save(hits.select("x", "xd", "xl").distinct())
 
     def again(tokens: DataFrame, split: bool) -> DataFrame:
         """One row, with its first place, of each class and bucket of the tokens."""
         made = texts.mapInArrow(_rows_again(order, num, den, KeySet(tokens), split), _AGAIN).join(tokens, "token", "left_semi")
-        return scratch.save(made.groupBy("key", "token", "fp").agg(F.min(F.struct("doc", "line")).alias("place"), *(F.first(c).alias(c) for c in ("s1", "s2", "n", "at"))))
+        return scratch.save(made.groupBy("key", "token", "fp", "s1", "s2", "n").agg(F.min(F.struct("doc", "line")).alias("place"), F.first("at").alias("at")))
 
     def candidates(x: DataFrame, y: DataFrame) -> DataFrame:
         """Pairs of a row of x and an earlier one of y in one bucket that the filters leave."""
@@ -447,8 +454,9 @@ def removed_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
         )
         return x.join(y, "key").filter(possible).select(F.col("x_fp").alias("x"), F.col("y_fp").alias("y"), F.col("x_place.doc").alias("xd"), F.col("x_place.line").alias("xl"), F.col("y_place.doc").alias("yd"))
 
+    later_row = ["x", "xd", "xl"]  # a class by a fingerprint and its first place
     near = found.filter("y is not null").select("x", "y", "xd", "xl", "yd")
-    more = found.filter("x is not null and token is not null").select(F.col("x").alias("fp"), "token")
+    more = found.filter("x is not null and token is not null").select("x", "xd", "xl", "token")
     hot = scratch.save(found.filter("x is null and token is not null").select("token").distinct())
     if hot.limit(1).count():
         rows = again(hot, False)
@@ -456,20 +464,21 @@ def removed_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
         hubs = rows
         for by in (("token", salt), ("token",)):
             hubs = hubs.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("place"))).filter(F.col("nth") <= limits.hubs).drop("nth")
-        nth = F.row_number().over(Window.partitionBy("x").orderBy(F.xxhash64("x", "y")))
+        nth = F.row_number().over(Window.partitionBy(*later_row).orderBy(F.xxhash64("x", "y")))
         near = near.unionByName(candidates(rows, scratch.save(hubs)).distinct().withColumn("nth", nth).filter(F.col("nth") <= limits.keep).drop("nth"))
-        more = more.unionByName(rows.select("fp", "token"))
-    pairs = scratch.save(near.groupBy("x", "y").agg(F.count("*").alias("met"), *(F.first(c).alias(c) for c in ("xd", "xl", "yd"))))
+        more = more.unionByName(rows.select(F.col("fp").alias("x"), F.col("place.doc").alias("xd"), F.col("place.line").alias("xl"), "token"))
+    pairs = scratch.save(near.groupBy(*later_row, "y", "yd").agg(F.count("*").alias("met")))
     sets = sets_of(pairs)
     # of each class the partner that it meets most often; the others only if that one does not match
-    likely = pairs.groupBy("x").agg(F.max_by(F.struct("y", "xd", "xl"), F.struct("met", "y")).alias("p")).select("x", "p.*")
+    likely = pairs.groupBy(*later_row).agg(F.max_by(F.struct("y", "yd"), F.struct("met", "y", "yd")).alias("p")).select(*later_row, "p.*")
     later = verified(likely, sets)
-    others = pairs.join(later.select(F.col("fp").alias("x")), "x", "left_anti").join(likely.select("x", "y"), ["x", "y"], "left_anti")
-    later = later.unionByName(verified(others.select("x", "y", "xd", "xl"), sets))
-    left = scratch.save(more.distinct().join(later, "fp", "left_anti"))
+    others = pairs.join(later, later_row, "left_anti").join(likely, [*later_row, "y", "yd"], "left_anti")
+    later = later.unionByName(verified(others.drop("met"), sets))
+    left = scratch.save(more.distinct().join(later, later_row, "left_anti"))
     if left.limit(1).count():
         rows = again(left.select("token").distinct(), True)
-        pairs = scratch.save(candidates(rows.join(left, ["fp", "token"], "left_semi"), rows).distinct())
+        mine = rows.join(left.withColumnRenamed("x", "fp").withColumn("place", F.struct(F.col("xd").alias("doc"), F.col("xl").alias("line"))), ["fp", "token", "place"], "left_semi")
+        pairs = scratch.save(candidates(mine, rows).distinct())
         later = later.unionByName(verified(pairs, sets_of(pairs)))
     gone = found.filter("x is null and token is null").select("xd", "xl").unionByName(later.select("xd", "xl"))
     return gone.groupBy(F.col("xd").alias("doc")).agg(F.array_sort(F.collect_set("xl")).alias("lines"))

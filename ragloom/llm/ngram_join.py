@@ -11,7 +11,7 @@ up to ``TINY`` for which at most ``slack`` of its groups have one. Of two linked
 one of the ``slack + 1`` agreeing groups has no signature under t in its set, so the one that they share there
 has t features or more and both keep it.
 
-Equal sets are one node. Nodes that share a signature are candidates, in steps, so that a large group
+Equal sets, by two fingerprints of 64 bits, are one node. Nodes that share a signature are candidates, in steps, so that a large group
 of near copies gives a few pairs a node: for a few rounds each node against the first node of its
 buckets that is still in another component (the one it meets so most often, in an order that changes each
 round); at last, of each bucket, all pairs that are still in different components. Buckets
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ragloom.llm import textkit as K
-from ragloom.llm.scratch import KeySet, Scratch, components
+from ragloom.llm.scratch import SMALL, KeySet, Scratch, components
 
 TINY = 3
 SKETCH_WORDS = 16
@@ -68,10 +68,19 @@ def _sets(w: K.Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sh, row, np.searchsorted(row, np.arange(len(bound)))
 
 
-def _fingerprints(sh: np.ndarray, first: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(sh) + 1, np.uint64)
-    np.cumsum(K.mix(sh ^ np.uint64(0xA5A5B1C3D7E9F123)), out=sums[1:])
-    return K.mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64)
+class Nodes:
+    """Names sets by 64-bit fingerprints; where two different sets share one, as their second fingerprints tell, all sets with it go by the second."""
+
+    def __init__(self, bits: int = 64, shared: np.ndarray | None = None):
+        self.drop, self.shared = np.int64(64 - bits), shared
+
+    def both(self, sh: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        fp, other = K.set_hashes(sh, first)
+        return fp >> self.drop, other
+
+    def names(self, sh: np.ndarray, first: np.ndarray) -> np.ndarray:
+        fp, other = self.both(sh, first)
+        return fp if self.shared is None or not len(self.shared) else np.where(np.isin(fp, self.shared), other, fp)
 
 
 def _signatures(sh: np.ndarray, row: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,27 +125,27 @@ def _signatures(sh: np.ndarray, row: np.ndarray, first: np.ndarray, num: int, de
 SKETCH = [f"p{i}" for i in range(SKETCH_WORDS)]
 
 
-def _ident(n: int):
+def _ident(n: int, nodes: Nodes):
     def run(batches):
         for b in batches:
-            fp, size, sketch = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, SKETCH_WORDS), np.int64)
+            (fp, other, size), sketch = np.zeros((3, b.num_rows), np.int64), np.zeros((b.num_rows, SKETCH_WORDS), np.int64)
             for w in K.words(b.column(1)):
                 sh, _, first = _sets(w, n)
-                fp[w.lo : w.hi], size[w.lo : w.hi] = _fingerprints(sh, first), np.diff(first)
+                (fp[w.lo : w.hi], other[w.lo : w.hi]), size[w.lo : w.hi] = nodes.both(sh, first), np.diff(first)
                 for k, (a, z) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
                     sketch[w.lo + k] = K.parity(sh[a:z], SKETCH_WORDS * 64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp), pa.array(size), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)], ["id", "key", "fp", "n", *SKETCH])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp), pa.array(other), pa.array(size), *(pa.array(np.ascontiguousarray(c)) for c in sketch.T)], ["id", "key", "fp", "other", "n", *SKETCH])
 
     return run
 
 
-def _signed(n: int, num: int, den: int):
+def _signed(n: int, num: int, den: int, nodes: Nodes):
     def run(batches):
         for b in batches:
             done: set[int] = set()  # equal sets of a batch are signed once
             for w in K.words(b.column(1)):
                 sh, row, first = _sets(w, n)
-                fp = _fingerprints(sh, first)
+                fp = nodes.names(sh, first)
                 new = np.zeros(len(fp), bool)
                 for r, f in enumerate(fp.tolist()):
                     if f not in done:
@@ -156,7 +165,7 @@ def _wide_bits(n: int) -> int:
     return 1 << max(10, (4 * n - 1).bit_length())
 
 
-def _wanted_sets(n: int, wanted):
+def _wanted_sets(n: int, wanted: KeySet, nodes: Nodes):
     def run(batches):
         for b in batches:
             b = pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["id", "text"]).filter(pa.array(wanted.has(b.column(0).to_numpy(zero_copy_only=False))))
@@ -164,7 +173,7 @@ def _wanted_sets(n: int, wanted):
                 sh, _, first = _sets(w, n)
                 h = pa.LargeListArray.from_arrays(pa.array(first, pa.int64()), pa.array(sh.view(np.int64))).cast(pa.list_(pa.int64()))
                 wide = pa.array([K.parity(sh[a:z], _wide_bits(int(z - a))) for a, z in zip(first[:-1], first[1:], strict=True)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(_fingerprints(sh, first)), wide, h], ["fp", "wide", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes.names(sh, first)), wide, h], ["fp", "wide", "h"])
 
     return run
 
@@ -252,16 +261,30 @@ def text_key(text_col: str = "text") -> Column:
     return F.xxhash64(F.col(text_col).cast("string"))
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: tuple[int, int]) -> tuple[Scratch, DataFrame, DataFrame]:
+def _named(scratch: Scratch, keyed: DataFrame, shingle: int, bits: int) -> tuple[Nodes, DataFrame]:
+    """Names of sets, and (id, key, fp, n, sketches) of every row of (id, text, key)."""
+    ident = scratch.save(keyed.mapInArrow(_ident(shingle, Nodes(bits)), "id bigint, key bigint, fp bigint, other bigint, n bigint, " + ", ".join(f"{p} bigint" for p in SKETCH)))
+    # of a million million sets some tens of thousands share a fingerprint
+    twice = scratch.save(ident.filter("n > 0").groupBy("fp").agg(F.min("other").alias("a"), F.max("other").alias("b")).filter("a != b").select("fp"))
+    n = twice.count()
+    if n > SMALL:
+        raise ValueError(f"{n} fingerprints are shared")
+    if n:
+        ident = ident.join(F.broadcast(twice.withColumnRenamed("fp", "shared")), F.col("fp") == F.col("shared"), "left")
+        ident = scratch.save(ident.withColumn("fp", F.when(F.col("shared").isNull(), F.col("fp")).otherwise(F.col("other"))).drop("shared"))
+    return Nodes(bits, np.sort(twice.toPandas()["fp"].to_numpy(np.int64))), ident.drop("other")
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: tuple[int, int], bits: int = 64) -> tuple[Scratch, DataFrame, DataFrame]:
     """Scratch, (id, key, fp, n, ...) of every row, and (fp, comp) of every set of a row with an id: its component by sets."""
     num, den = similarity
     scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     keyed = texts.withColumn("key", text_key())
-    ident = scratch.save(keyed.mapInArrow(_ident(shingle), "id bigint, key bigint, fp bigint, n bigint, " + ", ".join(f"{p} bigint" for p in SKETCH)))
+    names, ident = _named(scratch, keyed, shingle, bits)
     known = texts.filter("id is not null and text is not null")
 
-    signed = known.mapInArrow(_signed(shingle, num, den), "sig bigint, fp bigint")
+    signed = known.mapInArrow(_signed(shingle, num, den, names), "sig bigint, fp bigint")
     by_sig = Window.partitionBy("sig")
     met = scratch.save(
         signed.withColumns({"least": F.min("fp").over(by_sig), "most": F.max("fp").over(by_sig)})
@@ -276,7 +299,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarit
     nodes = scratch.save(shared.select("fp").distinct())
     sketches = scratch.save(rep.join(nodes, "fp", "left_semi"))
     wanted = KeySet(sketches.select("rep"))
-    sets = scratch.save(wanted.narrowed(known, "id").mapInArrow(_wanted_sets(shingle, wanted), "fp bigint, wide array<bigint>, h array<bigint>").join(nodes, "fp", "left_semi").dropDuplicates(["fp"]))
+    sets = scratch.save(wanted.narrowed(known, "id").mapInArrow(_wanted_sets(shingle, wanted, names), "fp bigint, wide array<bigint>, h array<bigint>").join(nodes, "fp", "left_semi").dropDuplicates(["fp"]))
     scratch.drop(met)
     comp = nodes.select(F.col("fp").alias("node"), F.col("fp").alias("comp"))
     open_ = shared
@@ -305,15 +328,15 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarit
     return scratch, ident, member
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: tuple[int, int] = (8, 10), bits: int = 64) -> DataFrame:
     """(id, n_shingles, component_id) of every row: documents with Jaccard similarity of at least num/den on word shingles are linked.
 
     A text of fewer than ``shingle`` words is one shingle of all of them; a null or empty text has none
     and is alone. component_id is the least id that links reach, the row's own included; a null id
     takes no part in links and has a null component. Repeated rows all come back. Other columns are not read.
-    Words are lower-cased A-Z only.
+    Words are lower-cased A-Z only. ``bits`` of a first fingerprint name a set; results do not depend on it.
     """
-    scratch, ident, member = _joined(docs, id_col, text_col, shingle, similarity)
+    scratch, ident, member = _joined(docs, id_col, text_col, shingle, similarity, bits)
     least = member.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = scratch.save(member.join(least, "comp").select("fp", "component_id"))
     scratch.keep_only(ident, named)

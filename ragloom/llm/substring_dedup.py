@@ -35,6 +35,20 @@ _U = np.uint64
 _TOP = _U(0xFFFFFFFFFFFFFFFF)
 
 
+_BASE = 0x9E3779B97F4A7C55
+_tables: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, at least n of each. Hashes by them choose where texts are cut, not what is equal."""
+    if len(_tables.get("power", ())) < n:
+        for key, base in (("power", _BASE), ("inverse", pow(_BASE, -1, 1 << 64))):
+            table = np.full(max(n, 2 * textkit.SLICE_BYTES), base, np.uint64)
+            table[0] = 1
+            _tables[key] = np.multiply.accumulate(table)
+    return _tables["power"], _tables["inverse"]
+
+
 def _sliding(values: np.ndarray, width: int, pick: np.ufunc, rest: np.uint64) -> np.ndarray:
     """pick.reduce of values[i : i + width] for each i, with ``rest`` past the end: from the running picks of blocks, forward and backward."""
     n = len(values)
@@ -65,7 +79,7 @@ class Cutter:
     def keys(self, own: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash of each anchor string, key of each window start, and whether a window lies in one text."""
         n, k = len(own), self.anchor
-        power, inverse = textkit.powers(n + 1)
+        power, inverse = _powers(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((own.astype(np.uint64) + _U(1)) * power[:n], out=sums[1:])
         h = textkit.mix((sums[k:] - sums[:-k]) * inverse[: n - k + 1])

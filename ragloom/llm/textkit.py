@@ -15,11 +15,9 @@ import pyarrow as pa
 import xxhash
 
 SLICE_BYTES = 1 << 19
-#: Words above this length are hashed by xxhash; the rule depends on the word alone.
-LONG_WORD = 1 << 14
+#: Words above this length are hashed by xxhash, others as a sum over a table of places and bytes; a word's hash depends on the word alone.
+LONG_WORD = 64
 
-_BASE = 0x9E3779B97F4A7C55
-_MASK = (1 << 64) - 1
 _U = np.uint64
 _tables: dict[str, np.ndarray] = {}
 
@@ -36,15 +34,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    if len(_tables.get("pow", ())) < n:
-        size = max(n, 2 * SLICE_BYTES)
-        for key, base in (("pow", _BASE), ("inv", pow(_BASE, -1, 1 << 64))):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _tables[key] = np.multiply.accumulate(table)
-    return _tables["pow"], _tables["inv"]
+def _places() -> np.ndarray:
+    """A random 64-bit value for each place in a word and byte there: two different words of one length differ in a term of their sums at least."""
+    if "places" not in _tables:
+        _tables["places"] = mix(mix(np.arange(1, LONG_WORD * 256 + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)))
+    return _tables["places"]
 
 
 @dataclass
@@ -83,22 +77,20 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     out = np.zeros(len(start), np.uint64)
-    if not len(start):
-        return out
-    at = 0
+    long = end - start > LONG_WORD
+    at, table = 0, _places()
     while at < len(start):
         stop = max(at + 1, int(np.searchsorted(end, start[at] + SLICE_BYTES, side="right")))
         a, b = start[at], end[stop - 1]
-        if stop == at + 1 and b - a > LONG_WORD:
-            out[at] = xxhash.xxh3_64_intdigest(data[a:b].tobytes())
-        else:
-            power, inverse = powers(int(b - a) + 1)
-            sums = np.zeros(int(b - a) + 1, np.uint64)
-            np.cumsum((data[a:b].astype(np.uint64) + _U(1)) * power[: b - a], out=sums[1:])
+        if stop > at + 1 or not long[at]:
             s, e = start[at:stop] - a, end[at:stop] - a
-            out[at:stop] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
+            # the place of each byte counts from the last start; those between words are in no sum
+            place = np.arange(b - a) - np.repeat(s, np.diff(np.append(s, b - a)))
+            sums = np.zeros(int(b - a) + 1, np.uint64)
+            np.cumsum(table[np.minimum(place, LONG_WORD - 1) * 256 + data[a:b]], out=sums[1:])
+            out[at:stop] = mix(sums[e] - sums[s] + (e - s).astype(np.uint64))
         at = stop
-    for k in np.flatnonzero(end - start > LONG_WORD):
+    for k in np.flatnonzero(long):
         out[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].tobytes())
     return out
 
@@ -157,11 +149,14 @@ def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out, bound
 
 
-def set_hash(h: np.ndarray) -> int:
-    """A signed 64-bit fingerprint of a set of distinct hashes, whatever their order."""
-    with np.errstate(over="ignore"):
-        total = np.add.reduce(mix(h ^ _U(0xA5A5B1C3D7E9F123)), dtype=np.uint64)
-        return int(mix(np.array([total + _U(len(h))], np.uint64)).view(np.int64)[0])
+def set_hashes(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two signed 64-bit fingerprints of each set of distinct hashes h[first[k] : first[k + 1]], whatever their order."""
+    out = []
+    for seed in (_U(0xA5A5B1C3D7E9F123), _U(0x3C79AC492BA7B653)):
+        sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(mix(h ^ seed), out=sums[1:])
+        out.append(mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64))
+    return out[0], out[1]
 
 
 def parity(h: np.ndarray, bits: int) -> np.ndarray:

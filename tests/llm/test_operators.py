@@ -368,3 +368,53 @@ def test_sentencepiece_decodes_parts(spark, tmp_path):
     want = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
     assert all(r["text_hash"] == want[r["doc_id"]] for r in rows if r["doc_id"] < len(texts))
     assert sum(r["n_chars"] for r in rows if r["doc_id"] == len(texts)) == 35000
+
+
+def thue_morse(n, flip=False):
+    return "".join("ba"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    for n in (63, 64, 65, 1024, 4096):
+        a, b = thue_morse(n), thue_morse(n, True)
+        df = documents(spark, [a, b, f"{a} {b}", a.upper()])
+        assert {r["doc_id"]: r["component_id"] for r in ngram_join.link_components(df).collect()} == {0: 0, 1: 1, 2: 2, 3: 0}
+        assert {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(df).collect()} == {0: a, 1: b, 2: f"{a} {b}", 3: ""}
+
+
+def test_sets_that_share_a_fingerprint(spark, corpus):
+    df = documents(spark, corpus)
+    want = sorted(map(tuple, ngram_join.link_components(df).collect()))
+    for bits in (1, 6, 12):
+        assert sorted(map(tuple, ngram_join.link_components(df, bits=bits).collect())) == want
+
+
+def test_words_that_share_a_token():
+    rng = np.random.default_rng(4)
+    low = rng.integers(0, 1 << 44, 5).astype(np.uint64)
+    word = low[rng.integers(0, 5, 400)] | (rng.integers(0, 3, 400).astype(np.uint64) << np.uint64(44))
+    line = np.sort(rng.integers(0, 30, 400))
+    t, first, h = line_dedup._token_sets(word, line, np.zeros(line_dedup.BUCKETS, np.uint8))
+    for k in range(line[-1] + 1):
+        own = set(word[line == k].tolist())
+        assert set(h[first[k] : first[k + 1]].tolist()) == own and first[k + 1] - first[k] == len(own)
+        assert (np.diff(t[first[k] : first[k + 1]].astype(np.int64)) >= 0).all()
+
+
+def test_pairs_of_a_large_bucket_in_bounded_memory():
+    import tracemalloc
+
+    k = 1 << 14
+    one = lambda v, kind: np.full(k, v, kind)
+    cols = [one(1 << 45, np.uint64), np.arange(k), one(0, np.uint64), one(0, np.uint64), np.arange(k), one(0, np.int32), one(20, np.int32), one(0, np.int32)]
+    buckets = line_dedup._Buckets(8, 10, line_dedup.Limits())
+    buckets.blobs, buckets.held = [cols], k
+    tracemalloc.start()
+    found = more = 0
+    for b in buckets.end():
+        pairs = b.column("y").is_valid().to_numpy(zero_copy_only=False)
+        found, more = found + pairs.sum(), more + (~pairs).sum()
+        assert (b.column("yd").to_numpy(zero_copy_only=False)[pairs] < 8).all()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == sum(min(i, 8) for i in range(k)) and more == k - 9 and peak < 400 << 20
