@@ -223,6 +223,22 @@ def repeated_anchors(texts: DataFrame, cut: Cutter) -> DataFrame:
     return texts.mapInArrow(counted, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
 
 
+def tallies(texts: DataFrame, cut: Cutter, wanted: KeySet) -> DataFrame:
+    """(anchor, digest, windows, n): how often each piece with a wanted key occurs, by digest."""
+
+    def each(batches):
+        for b in batches:
+            n: dict[tuple[int, bytes, int], int] = {}
+            for _, _, windows, key, piece in cut.pieces(b.column(0), wanted):
+                k = key, _digest(piece), windows
+                n[k] = n.get(k, 0) + 1
+            anchor, digest, windows = zip(*n) if n else ((), (), ())
+            yield _batch(anchor=pa.array(anchor, pa.int64()), digest=pa.array(digest, pa.binary()), windows=pa.array(windows, pa.int32()), n=pa.array(list(n.values()), pa.int64()))
+
+    rows = wanted.narrowed(texts.mapInArrow(each, "anchor bigint, digest binary, windows int, n bigint"), "anchor")
+    return rows.groupBy("anchor", "digest", "windows").agg(F.sum("n").alias("n"))
+
+
 def pieces_of(texts: DataFrame, cut: Cutter, wanted: KeySet) -> DataFrame:
     """(anchor, piece, n): the different pieces with a wanted key and how often each occurs."""
 
@@ -266,49 +282,29 @@ def _marks(rows: list[tuple[bytes, np.ndarray]]) -> pa.RecordBatch:
     return _batch(digest=pa.array([_digest(p) for p, _ in rows], pa.binary()), windows=pa.array([len(f) for _, f in rows], pa.int32()), mask=pa.array([_packed(f) for _, f in rows], pa.binary()))
 
 
-def sorted_marks(pieces: DataFrame, window: int) -> DataFrame:
-    """(digest, windows, mask) of the pieces with a repeated window, from the sorted suffixes of collections of whole keys.
-
-    A piece that occurs twice is repeated as a whole; if that holds for all pieces of a key, they are not sorted.
-    """
+def sorted_marks(pieces: DataFrame, window: int, partitions: int) -> DataFrame:
+    """(digest, windows, mask) of the pieces that occur once and have a repeated window, from the sorted suffixes of collections of whole keys."""
 
-    def collection(groups: list[list[tuple[bytes, int]]]) -> pa.RecordBatch:
-        rows = [(p, n) for g in groups for p, n in g]
+    def collection(rows: list[tuple[bytes, int]]) -> pa.RecordBatch:
         length = np.array([len(p) for p, _ in rows], np.int64)
         start = np.cumsum(length) - length
         flags = shared_starts(np.frombuffer(b"".join(p for p, _ in rows), np.uint8), start, length, window) if rows else None
-        return _marks([(p, flags[s : s + m - window + 1] | (n > 1)) for (p, n), s, m in zip(rows, start.tolist(), length.tolist())])
+        return _marks([(p, flags[s : s + m - window + 1]) for (p, n), s, m in zip(rows, start.tolist(), length.tolist()) if n == 1])
 
     def each(batches):
-        key, group, waiting, held = None, [], [], 0
-
-        def ended():
-            nonlocal held
-            if group and all(n > 1 for _, n in group):
-                return _marks([(p, np.ones(len(p) - window + 1, bool)) for p, _ in group])
-            waiting.append(group)
-            held += len(group)
-            return None
-
+        key, group, waiting = None, [], []
         for b in batches:
             for k, p, n in zip(*(c.to_pylist() for c in b.columns)):
                 if k != key:
-                    done = ended()
-                    if done is not None:
-                        yield done
-                    if held >= COLLECTION:
+                    waiting += group
+                    if len(waiting) >= COLLECTION:
                         yield collection(waiting)
-                        waiting, held = [], 0
+                        waiting = []
                     key, group = k, []
                 group.append((p, n))
-        done = ended()
-        if done is not None:
-            yield done
-        yield collection(waiting)
+        yield collection(waiting + group)
 
-    spark = pieces.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + pieces.count() // (1 << 15))
-    return pieces.select("anchor", "piece", "n").repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(each, _MARKS)
+    return pieces.select("anchor", "piece", "n").repartition(partitions, "anchor").sortWithinPartitions("anchor").mapInArrow(each, _MARKS)
 
 
 def counted_marks(pieces: DataFrame, window: int) -> DataFrame:
@@ -336,14 +332,28 @@ def counted_marks(pieces: DataFrame, window: int) -> DataFrame:
     return windows.join(again, "string").groupBy("digest", "windows").agg(F.collect_set("nth").alias("nth")).mapInArrow(packed, _MARKS)
 
 
-def marked(scratch: Scratch, pieces: DataFrame, window: int, most: int = MOST) -> DataFrame:
-    """Marks of all pieces; keys of over ``most`` different pieces, of which one task need not hold the whole, are counted window by window."""
-    hot = scratch.save(pieces.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("anchor"))
-    if not hot.limit(1).count():
-        return scratch.save(sorted_marks(pieces, window))
+def marked(scratch: Scratch, texts: DataFrame, cut: Cutter, wanted: KeySet, most: int = MOST) -> DataFrame:
+    """(digest, windows, mask) of the pieces with a repeated window; without a mask all are.
+
+    Pieces that occur twice are repeated as a whole, so only keys with a piece that occurs once are sorted. Keys of over ``most``
+    different pieces, of which one task need not hold the whole, are counted window by window.
+    """
+    found = scratch.save(tallies(texts, cut, wanted))
+    keys = scratch.save(found.groupBy("anchor").agg(F.count("*").alias("k"), F.min("n").alias("least")).filter("least = 1").select("anchor", "k"))
+    twice = found.filter("n > 1").select("digest", "windows", F.lit(None).cast("binary").alias("mask"))
+    hot = keys.filter(F.col("k") > most).select("anchor")
+    cold = keys.filter(F.col("k") <= most)
+    n_pieces, n_hot = cold.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0], hot.count()
+    partitions = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + n_pieces // (1 << 15))
+    pieces = pieces_of(texts, cut, KeySet(cold.select("anchor")))
     few = if_small(hot)
-    cold = sorted_marks(pieces.join(few, "anchor", "left_anti"), window)
-    return scratch.save(cold.unionByName(counted_marks(pieces.join(few, "anchor", "left_semi"), window)))
+    marks = twice.unionByName(sorted_marks(pieces.join(few, "anchor", "left_anti") if n_hot else pieces, cut.window, partitions))
+    if n_hot:
+        many = pieces_of(texts, cut, KeySet(hot)).join(few, "anchor", "left_semi").filter("anchor is not null")
+        marks = marks.unionByName(counted_marks(many, cut.window))
+    marks = scratch.save(marks.dropDuplicates(["digest"]) if n_hot else marks)
+    scratch.drop(found, keys)
+    return marks
 
 
 def deduplicated(docs: DataFrame, text: str = "text", window: int = WINDOW, anchor: int = ANCHOR, most: int = MOST) -> DataFrame:
@@ -354,18 +364,30 @@ def deduplicated(docs: DataFrame, text: str = "text", window: int = WINDOW, anch
     named ``_spans`` or ``_kept`` are left out of the result.
     """
     cut, scratch = Cutter(window, anchor), Scratch(docs.sparkSession)
-    texts = docs.select(F.coalesce(text, F.lit("")).alias("text"))
-    long_texts = texts.filter(F.octet_length("text") >= window)
-    wanted = KeySet(scratch.save(repeated_anchors(long_texts, cut)))
-    pieces = scratch.save(pieces_of(long_texts, cut, wanted))
-    marks = marked(scratch, pieces, window, most)
-    scratch.drop(pieces)
-    found = places_of(long_texts, cut, wanted).join(if_small(marks), "digest").groupBy("text_digest").agg(F.collect_set(F.struct("start", "windows", "mask")).alias("_marks"))
+    text_col = F.coalesce(text, F.lit(""))
+    texts = docs.select(text_col.alias("text")).filter(F.octet_length("text") >= window)
+    anchors = scratch.save(repeated_anchors(texts, cut))
+    wanted = KeySet(anchors)
+    marks = marked(scratch, texts, cut, wanted, most)
+    found = places_of(texts, cut, wanted).join(marks, "digest").groupBy("text_digest").agg(F.collect_set(F.struct("start", "windows", "mask")).alias("_marks"))
     found = scratch.save(found)
+    scratch.drop(anchors, marks)
     kept = [c for c in docs.columns if c not in ("_spans", "_kept")]
-    rows = docs.select(F.struct(*kept).alias("_row"), F.coalesce(text, F.lit("")).alias("_text"))
-    rows = rows.withColumn("text_digest", F.substring(F.unhex(F.sha2(F.col("_text").cast("binary"), 256)), 1, 16))
-    joined = rows.join(if_small(found, F.size("_marks")), "text_digest", "left").select("_row", "_text", "_marks")
+    rows = docs.select(F.struct(*kept).alias("_row"), text_col.alias("_text"), F.substring(F.unhex(F.sha2(text_col.cast("binary"), 256)), 1, 16).alias("text_digest"))
+    row_type = rows.schema["_row"].dataType.simpleString()
+    # only texts that may have marks are shuffled
+    some = KeySet(found.select(F.conv(F.hex(F.substring("text_digest", 1, 8)), 16, -10).cast("bigint").alias("start")))
+
+    def side(inside: bool) -> DataFrame:
+        def chosen(batches):
+            for b in batches:
+                digests = b"".join(b.column(2).to_pylist())
+                has = some.has(np.frombuffer(digests, ">i8")[::2].astype(np.int64))
+                yield b.filter(pa.array(has == inside))
+
+        return rows.mapInArrow(chosen, f"_row {row_type}, _text string, text_digest binary")
+
+    joined = side(True).join(found, "text_digest", "left").select("_row", "_text", "_marks")
 
     def removed(batches):
         for b in batches:
@@ -374,9 +396,14 @@ def deduplicated(docs: DataFrame, text: str = "text", window: int = WINDOW, anch
                 own = np.frombuffer(t.as_buffer(), np.uint8) if len(t.as_buffer()) else np.zeros(0, np.uint8)
                 change = np.zeros(len(own) + 1, np.int64)
                 for m in marks_ or ():
-                    at = m["start"] + np.flatnonzero(np.unpackbits(np.frombuffer(m["mask"], np.uint8), bitorder="little")[: m["windows"]])
-                    change[at] += 1
-                    change[at + window] -= 1
+                    if m["mask"] is None:
+                        lo, hi = m["start"], m["start"] + m["windows"] + window - 1
+                        change[lo] += 1
+                        change[hi] -= 1
+                    else:
+                        at = m["start"] + np.flatnonzero(np.unpackbits(np.frombuffer(m["mask"], np.uint8), bitorder="little")[: m["windows"]])
+                        change[at] += 1
+                        change[at + window] -= 1
                 gone = np.cumsum(change[:-1]) > 0
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
                 spans.append([{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2])])
@@ -384,5 +411,7 @@ def deduplicated(docs: DataFrame, text: str = "text", window: int = WINDOW, anch
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield _batch(_row=b.column(0), _spans=pa.array(spans, kind), _kept=pa.array(left, pa.binary()))
 
-    row_type = rows.schema["_row"].dataType.simpleString()
-    return joined.mapInArrow(removed, f"_row {row_type}, _spans array<struct<start: bigint, end: bigint>>, _kept binary").select("_row.*", "_spans", "_kept")
+    spans_type = "array<struct<start: bigint, end: bigint>>"
+    changed = joined.mapInArrow(removed, f"_row {row_type}, _spans {spans_type}, _kept binary")
+    whole = side(False).select("_row", F.array().cast(spans_type).alias("_spans"), F.col("_text").cast("binary").alias("_kept"))
+    return changed.unionByName(whole).select("_row.*", "_spans", "_kept")
