@@ -23,9 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A tag by the HTML tokenizer: a quote begins a value only after "="; one that is never closed is part of an unquoted value.
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>\s++|/(?!>)|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?)*+)(/?)>|<[!?/][^>]*>""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: What may start a token, and a plain tag: attributes have quoted values or none. Neither goes past the next "<", so all tries together are linear.
+_OPENS = re.compile(r"<(?=[!?/a-zA-Z])")
+_PLAIN = re.compile(r"""<(/?)([a-zA-Z][^\s/><]*+)((?:\s++(?:[^\s<>"'=/]++(?:=(?:"[^"<>]*+"|'[^'<>]*+'))?)?)*+)(/?)>""")
+_NAME_END, _SPACES = re.compile(r"[\s/>]"), re.compile(r"\s*")
+_NAME_OR_EQUALS, _UNQUOTED_END = re.compile(r"[\s/>=]"), re.compile(r"[\s>]")
+_ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _MARK = re.compile(r"\bdata-(main|noise)\b")
 _NAME = re.compile(r"[a-z]+")
 #: Elements whose source is text up to their end tag, which is never shown.
@@ -146,6 +149,87 @@ class Page:
         del self._stack[k:]
 
 
+class _Tokens:
+    """Tags, comments and declarations of a page, each place read a fixed number of times.
+
+    A tag by the HTML tokenizer: a quote begins a value only after "="; one that is never closed is part of an unquoted value. A walk over
+    attributes that finds no end of its tag leaves its places behind, and one that comes to such a place has none either.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.end = source, len(source)
+        self.last = {c: source.rfind(c) for c in ">\"'"}
+        self.lost: set[int] = set()
+        self.runs: dict[re.Pattern, tuple[int, int]] = {}
+
+    def next(self, at: int) -> tuple[int, int, str | None, str | None, str, str] | None:
+        """(start, stop, slash, name, attributes, slash at the end) of the first token from a place on; the name is None for what is no tag."""
+        while m := _OPENS.search(self.source, at):
+            start = m.start()
+            found = self._token(start)
+            if found:
+                return start, *found
+            at = start + 1
+        return None
+
+    def _token(self, start: int):
+        source = self.source
+        if source.startswith("<!--", start):
+            stop = source.find("-->", start + 4)
+            return self.end if stop < 0 else stop + 3, None, None, "", ""
+        if m := _PLAIN.match(source, start):
+            return m.end(), m[1], m[2], m[3], m[4]
+        name = start + 1 + (source[start + 1] == "/")
+        if name < self.end and source[name].isascii() and source[name].isalpha() and (found := self._walk(start, name)):
+            return found
+        if source[start + 1] in "!?/" and start < self.last[">"]:
+            return source.find(">", start) + 1, None, None, "", ""
+        return None
+
+    def _first(self, pattern: re.Pattern, at: int) -> int:
+        """Where a pattern is first found from a place on; searches that begin within the last one's way end where it did."""
+        low, high = self.runs.get(pattern, (0, -1))
+        if not low <= at <= high:
+            m = pattern.search(self.source, at)
+            high = m.start() if m else self.end
+            self.runs[pattern] = at, high
+        return high
+
+    def _walk(self, start: int, name: int):
+        if start >= self.last[">"]:
+            return None
+        high = self._first(_NAME_END, name)
+        at, source, seen = high, self.source, []
+        while at < self.end:
+            if at in self.lost:
+                break
+            seen.append(at)
+            c = source[at]
+            if c == ">":
+                return at + 1, source[start + 1 : name], source[name:high], source[high:at], ""
+            if c == "/":
+                if source.startswith(">", at + 1):
+                    return at + 2, source[start + 1 : name], source[name:high], source[high:at], "/"
+                at += 1
+            elif c.isspace():
+                at = _SPACES.match(source, at).end()
+            else:
+                at = self._value(self._first(_NAME_OR_EQUALS, at + 1))
+        self.lost.update(seen)
+        return None
+
+    def _value(self, at: int) -> int:
+        """Where an attribute ends whose name ends at a place."""
+        equals = _SPACES.match(self.source, at).end()
+        if not self.source.startswith("=", equals):
+            return at
+        value = _SPACES.match(self.source, equals + 1).end()
+        quote = self.source[value : value + 1]
+        if quote in ("'", '"') and value < self.last[quote]:
+            return self.source.find(quote, value + 1) + 1
+        return self._first(_UNQUOTED_END, value)
+
+
 def _tags(source: str) -> list[tuple[int, int, bool, str | None, str]]:
     """(start, stop, whether it closes, name, attributes) of the tags of a page; name is None for comments and the like.
 
@@ -159,30 +243,31 @@ def _tags(source: str) -> list[tuple[int, int, bool, str | None, str]]:
     def hide(k: int, stop: int) -> None:
         out[k] = (out[k][0], stop, *out[k][2:])
 
-    while m := _TOKEN.search(source, at):
-        at = m.end()
-        if m[2] is None:
-            out.append((m.start(), at, False, None, ""))
+    tokens = _Tokens(source)
+    while token := tokens.next(at):
+        start, at, slash, name, attributes, empty = token
+        if name is None:
+            out.append((start, at, False, None, ""))
             continue
-        name, closes = m[2].lower(), bool(m[1])
+        name, closes = name.lower(), bool(slash)
         if name in _BLOCK and (opened.get("svg") or opened.get("math")) and not any(map(opened.get, _HTML_IN_FOREIGN)):
             for f in _FOREIGN:
                 for k in opened.pop(f, ()):
                     if f in _HIDDEN:
-                        hide(k, m.start())
+                        hide(k, start)
         foreign = bool(opened.get("svg") or opened.get("math"))
-        out.append((m.start(), at, closes, name, m[3]))
+        out.append((start, at, closes, name, attributes))
         if closes:
             if opened.get(name):
                 k = opened[name].pop()
                 if name in _HIDDEN:
-                    hide(k, m.start())
+                    hide(k, start)
                 if name in _FOREIGN:
                     opened.pop("foreignobject", None)
         elif name in _HIDDEN or name in _FOREIGN or name in _HTML_IN_FOREIGN:
-            if not m[4]:
+            if not empty:
                 opened.setdefault(name, []).append(len(out) - 1)
-        elif name in _RAW and not (foreign and m[4]):
+        elif name in _RAW and not (foreign and empty):
             low = low or source.lower()
             low = low if len(low) == end else _ascii_lower(source)
             stop = _end_tag(low, name, at)

@@ -418,3 +418,24 @@ def test_pairs_of_a_large_bucket_in_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found == sum(min(i, 8) for i in range(k)) and more == k - 9 and peak < 400 << 20
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a b="', "<!-", "<a", '<a b=">" ', "<a/b=x", "</", '="<a ', "<p>", "<!", "<a b='\"", "&lt"])
+def test_long_pages_of_unclosed_tags(piece):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        html_content._tags(piece * (n // len(piece)))
+        return time.process_time() - began
+
+    # 1 MB, on a machine that may be several times as slow as usual
+    assert took(1_000_000) < 5
+
+
+def test_tags_by_hand():
+    page = '<a href=x/>1<b c="a>b" d>2</b><br/><!-- <i> -->3<i x="unclosed y>4<p data-id="5" id=main>'
+    got = [(page[a:b], closes, name, attributes) for a, b, closes, name, attributes in html_content._tags(page)]
+    assert [(x[0], x[2]) for x in got] == [("<a href=x/>", "a"), ('<b c="a>b" d>', "b"), ("</b>", "b"), ("<br/>", "br"), ("<!-- <i> -->", None), ('<i x="unclosed y>4<p data-id="5" id=main>', "i")]
+    words = html_content.Page('<p data-id="five" data-class="six" id=main>x').features
+    assert ("t:p", "c:main") in words
