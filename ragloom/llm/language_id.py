@@ -187,7 +187,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             return
         got = pa.Table.from_batches(got)
         lang = got.column("lang").to_pylist()
-        order = np.lexsort((np.array([number[v] for v in lang]), got.column("id").to_numpy()))
+        order = np.lexsort((np.array([number[v] for v in lang]), np.unique(np.array(got.column("id").to_pylist()), return_inverse=True)[1]))
         at, x = got.column("at").combine_chunks(), got.column("x").combine_chunks()
         bound, flat, values = at.offsets.to_numpy(), at.values.to_numpy(), x.values.to_numpy()
         rows = [(flat[bound[i] : bound[i + 1]].astype(np.int64), values[bound[i] : bound[i + 1]]) for i in order if bound[i + 1] > bound[i]]
@@ -200,7 +200,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         t = temperature(np.array([(w[rows[i][0]] * rows[i][1][:, None]).sum(0) + bias for i in check]), y[check])
         yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()]), pa.array([bias.tobytes()]), pa.array([t])], ["w", "bias", "t"])
 
-    fitted = texts.mapInArrow(features, "id bigint, lang string, at array<int>, x array<float>").repartition(1).mapInArrow(one, "w binary, bias binary, t double").collect()
+    fitted = texts.mapInArrow(features, f"id {dict(texts.dtypes)['id']}, lang string, at array<int>, x array<float>").repartition(1).mapInArrow(one, "w binary, bias binary, t double").collect()
     if not fitted:
         return LanguageModel([], idf, np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
     return LanguageModel(langs, idf, np.frombuffer(fitted[0]["w"], np.float32).reshape(BUCKETS, -1), np.frombuffer(fitted[0]["bias"]), fitted[0]["t"])

@@ -161,14 +161,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
     # one row of a repeated id, so that the fitting task holds no more than the sample
     texts = texts.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("id", "text", "y")
-    rows = texts.mapInArrow(_features, "id bigint, y int, at array<int>")
+    rows = texts.mapInArrow(_features, f"id {dict(texts.dtypes)['id']}, y int, at array<int>")
     share = by_class[1] / total
 
     def one(batches):
         got = pa.Table.from_batches(list(batches), schema=None) if (batches := list(batches)) else None
         if got is None or not got.num_rows:
             return
-        order = np.lexsort((got.column("y").to_numpy(), got.column("id").to_numpy()))
+        order = np.lexsort((got.column("y").to_numpy(), np.unique(np.array(got.column("id").to_pylist()), return_inverse=True)[1]))
         at, y = got.column("at").combine_chunks(), got.column("y").to_numpy()
         bound, flat = at.offsets.to_numpy(), at.values.to_numpy()
         y = y[order]

@@ -439,3 +439,63 @@ def test_tags_by_hand():
     assert [(x[0], x[2]) for x in got] == [("<a href=x/>", "a"), ('<b c="a>b" d>', "b"), ("</b>", "b"), ("<br/>", "br"), ("<!-- <i> -->", None), ('<i x="unclosed y>4<p data-id="5" id=main>', "i")]
     words = html_content.Page('<p data-id="five" data-class="six" id=main>x').features
     assert ("t:p", "c:main") in words
+
+
+def test_models_of_string_ids_repeated_rows_and_long_texts(spark):
+    rng = random.Random(9)
+    made = lambda lang: " ".join("".join(rng.choice({"aa": ["ka", "ro"], "bb": ["shu", "mel"]}[lang]) for _ in range(3)) + ("!!" if lang == "bb" else "") for _ in range(30))
+    rows = [(f"d{i}", made(lang), lang) for i, lang in enumerate(["aa", "bb"] * 40)]
+    df = spark.createDataFrame([*rows, *rows[:10], ("long", "karoka " * 100_000, "aa"), (None, "shumel", "bb"), ("none", None, "aa")], "doc_id string, text string, lang string")
+    told = {r["doc_id"]: r["lang_pred"] for r in language_id.languages(df, language_id.train(df)).collect()}
+    assert all(told[i] == lang for i, _, lang in rows) and told["long"] == "aa" and told["none"] == "und"
+    labels = spark.createDataFrame([(i, int(lang == "aa")) for i, _, lang in rows], "doc_id string, quality int")
+    scored = [(r["doc_id"], r["score"]) for r in quality.scores(df, quality.train(df, labels)).collect()]
+    assert len(scored) == df.count() and all((s >= 0.5) == (lang == "aa") for i, _, lang in rows for j, s in scored if i == j)
+
+
+def naive_best_fit(sizes, lengths):
+    """Pieces in order of falling size, each into the fullest open bin that holds it; used to hold the operator's fill against."""
+    room: list[int] = []
+    for s in sorted(sizes, reverse=True):
+        fits = [k for k, r in enumerate(room) if r >= s]
+        if fits:
+            room[min(fits, key=lambda k: room[k])] -= s
+        else:
+            room.append(max(lengths) - s)
+    return sum(min(x for x in lengths if x >= max(lengths) - r) for r in room)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_best_fit_is_no_worse_than_a_naive_one(seed):
+    rng = random.Random(seed)
+    lengths = (16, 32, 64)
+    sizes = [rng.choice([rng.randint(1, 64), rng.randint(1, 12)]) for _ in range(200)]
+    _, _, used = packing.best_fit(sizes, lengths)
+    assert sum(sizes) <= sum(used) <= 1.02 * naive_best_fit(sizes, lengths) + min(lengths)
+
+
+def test_packing_of_null_and_repeated_ids(spark):
+    df = spark.createDataFrame([(None, "a b c"), (None, None), (5, "d e"), (5, "d e"), (6, "")], "doc_id bigint, text string")
+    total = Counter()
+    for r in packing.packed_texts(df, lengths=(16,)).collect():
+        total[r["doc_id"]] += r["length"]
+    assert total == Counter({None: 3, 5: 4, 6: 0})
+
+
+def test_url_rules_against_plain_python(spark):
+    rng = random.Random(11)
+    urls = [rng.choice(["http://", "https://", "", "a://b://"]) + rng.choice(["EXAMPLE.com", "x.example.com", "net", "a.net", "notnet", "example.net", "b.org", ""]) + rng.choice(["", "/", "/en/", "/en/7", "/de/8", "/de/9?x=/en/", "/es/#a", "?q=/en/", "#/de/"]) for _ in range(400)] + [None, "long://host.net/de/" + "x" * 50_000]
+
+    def by_hand(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.split("[/?#]", rest, maxsplit=1)[0]
+        path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+        fits = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return host, path, *(max(fits)[1:] if fits else (None, None))
+
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id bigint, url string")
+    host, path = url_filter.host_and_path(F.col("url"))
+    rule, verdict = url_filter.matching_rule(F.col("host"), F.col("path"))
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["ruled"]) for r in df.withColumns({"host": host, "path": path}).withColumns({"rule": rule, "ruled": verdict}).collect()}
+    assert got == {i: by_hand(u) for i, u in enumerate(urls)}
