@@ -17,12 +17,12 @@ from ragloom.plans.pipeline import ranked
 
 #: Between words: anything but letters and digits.
 SEPARATOR = r"[^\p{L}\p{N}]+"
-#: Different query terms that may be broadcast with their frequencies.
+#: Pairs of a query and a term that may be broadcast with the terms' frequencies, counted first.
 SMALL = 1 << 20
 
 
 def terms(text: Column | str) -> Column:
-    return F.filter(F.split(F.lower(F.col(text) if isinstance(text, str) else text), SEPARATOR), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.col(text) if isinstance(text, str) else text), SEPARATOR), "")
 
 
 def term_counts(text: Column | str) -> Column:
@@ -39,30 +39,110 @@ def term_counts(text: Column | str) -> Column:
     return once(lambda t: once(counted, t, starts(t)), F.array_sort(F.coalesce(terms(text), F.array().cast("array<string>"))))
 
 
-def bm25(queries: DataFrame, documents: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(queries: DataFrame, documents: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, small: int = SMALL) -> DataFrame:
     """(qid, query, docno, score, rank): the k best documents (docno, text) of each query (qid, query).
 
-    Documents are read twice: for the document frequencies of the queries' terms with the number and length of documents, counted before
-    the shuffle, and for the scores. Up to ``SMALL`` different terms, they are broadcast with their frequencies, so that no postings are
-    shuffled and a frequent term is no hot key; beyond, postings are joined by term. Scores are rounded to six places, so that ties do not depend on the order of
-    addition, and go to the smaller docno. A null text has no terms.
+    Documents are read twice: for the document frequencies of the queries' terms with the number and length of documents, and for the scores. With up
+    to ``small`` pairs of a query and a term these are broadcast: a task counts a document's terms and sums its scores in place, and only the k best of each query and task
+    are shuffled. With more, postings and queries are joined by term. Scores are rounded to six places, so that ties do not depend on the order of addition, and go to the
+    smaller docno. A null text has no terms. A qid names one query; of several texts the least is shown, and all terms count.
     """
-    spark = queries.sparkSession
-    asked = queries.select("qid", "query", F.explode(F.array_distinct(terms("query"))).alias("term"))
+    asked = queries.filter("qid is not null").select("qid", F.explode(F.array_distinct(terms("query"))).alias("term"))
+    few = asked.limit(small + 1).count() <= small
+    scored = (_scored_in_place if few else _scored_by_join)(asked.distinct(), documents, k, k1, b)
+    named = queries.groupBy("qid").agg(F.min("query").alias("query"))
+    return ranked(scored, k=k).join(named, "qid").select("qid", "query", "docno", "score", "rank")
+
+
+def idf(n: int | Column, df: np.ndarray | Column):
+    return (np.log if isinstance(df, np.ndarray) else F.log)(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def saturated(tf, length, mean, k1: float, b: float):
+    """The weight of a term that occurs tf times in a document of a length, of arrays or columns."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+
+
+def _scored_by_join(asked: DataFrame, documents: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """(qid, docno, score) of all documents with a term of a query."""
+    spark = asked.sparkSession
     wanted = asked.select("term").union(spark.createDataFrame([("",)], "term string")).distinct()
-    few = wanted.limit(SMALL + 1).count() <= SMALL
-    hint = F.broadcast if few else (lambda df: df)
-    postings = documents.select("docno", term_counts("text").alias("t")).select("docno", F.get("t", 0)["tf"].alias("dl"), F.inline("t"))
-    stats = postings.join(hint(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n_terms"))
-    if few:
-        stats = spark.createDataFrame(stats.toArrow(), stats.schema)
+    # an inner explode would be filtered by its size below the projection, which makes the terms once more
+    postings = documents.select("docno", term_counts("text").alias("t")).select("docno", F.get("t", 0)["tf"].alias("dl"), F.inline_outer("t"))
+    stats = postings.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n_terms"))
     whole = stats.filter("term = ''").select(F.struct("df", "n_terms").alias("w")).scalar()
-    n, avg = whole["df"], whole["n_terms"] / whole["df"]
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avg))
-    by_query = asked.join(stats, "term").select("qid", "query", "term", idf.alias("idf"))
-    scored = postings.join(hint(by_query), "term").groupBy("qid", "query", "docno").agg(F.round(F.sum(F.col("idf") * weight), 6).alias("score"))
-    return ranked(scored, k=k)
+    n, mean = whole["df"], whole["n_terms"] / whole["df"]
+    by_query = asked.join(stats, "term").select("qid", "term", idf(n, F.col("df")).alias("idf"))
+    score = F.round(F.sum(F.col("idf") * saturated(F.col("tf"), F.col("dl"), mean, k1, b)), 6)
+    return postings.join(by_query, "term").groupBy("qid", "docno").agg(score.alias("score"))
+
+
+class _Asked:
+    """The queries' different terms, and the queries of each term; held by every task."""
+
+    def __init__(self, asked: pa.Table):
+        self.terms = pc.unique(asked.column("term"))
+        self.terms = self.terms.combine_chunks() if isinstance(self.terms, pa.ChunkedArray) else self.terms
+        self.qids = pc.unique(asked.column("qid"))
+        self.qids = self.qids.combine_chunks() if isinstance(self.qids, pa.ChunkedArray) else self.qids
+        term = pc.index_in(asked.column("term"), value_set=self.terms).to_numpy()
+        order = np.argsort(term, kind="stable")
+        self.query = pc.index_in(asked.column("qid"), value_set=self.qids).to_numpy()[order].astype(np.int64)
+        self.first = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+
+    def counted(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Document, term and count of the asked terms of lists of terms, and the length of each list."""
+        size = np.diff(lists.offsets.to_numpy())
+        at = pc.index_in(lists.flatten(), value_set=self.terms).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = np.repeat(np.arange(len(size)), size)[at >= 0]
+        pair, tf = np.unique(doc * len(self.terms) + at[at >= 0], return_counts=True)
+        return pair // len(self.terms), pair % len(self.terms), tf, size
+
+
+def _scored_in_place(asked: DataFrame, documents: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """(qid, docno, score) of the k best documents of each query and task."""
+    types = dict(asked.dtypes) | dict(documents.dtypes)
+    schema = f"qid {types['qid']}, docno {types['docno']}, score double"
+    sc = asked.sparkSession.sparkContext
+    table = _Asked(asked.toArrow())
+    shared = sc.broadcast(table)
+    lists = documents.select("docno", F.coalesce(terms("text"), F.array().cast("array<string>")).alias("t"))
+    if not len(table.terms):
+        return asked.sparkSession.createDataFrame([], schema)
+
+    def frequencies(batches):
+        n, length, df = 0, 0, np.zeros(len(shared.value.terms), np.int64)
+        for batch in batches:
+            _, term, _, size = shared.value.counted(batch.column(0))
+            n, length = n + len(size), length + int(size.sum())
+            df += np.bincount(term, minlength=len(df))
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *at.tolist()], pa.int64()), pa.array([n, length, *df[at].tolist()], pa.int64())], ["at", "n"])
+
+    sums = {r["at"]: r["n"] for r in lists.select("t").mapInArrow(frequencies, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    n, length = sums.pop(-2, 0), sums.pop(-1, 0)
+    df = np.zeros(len(table.terms), np.int64)
+    df[list(sums)] = list(sums.values())
+    weights = sc.broadcast((idf(n, df), length / n if length else 1.0))
+
+    def best(batches):
+        own, kind = shared.value, None
+        value, mean = weights.value
+        found = _Best(k)
+        for batch in batches:
+            kind = batch.column(0).type
+            doc, term, tf, size = own.counted(batch.column(1))
+            score = value[term] * saturated(tf, size[doc], mean, k1, b)
+            n_queries = np.diff(own.first)[term]
+            row = np.repeat(np.arange(len(term)), n_queries)
+            query = own.query[own.first[term[row]] + np.arange(len(row)) - np.repeat(np.cumsum(n_queries) - n_queries, n_queries)]
+            pair, which = np.unique(query * len(size) + doc[row], return_inverse=True)
+            total = np.round(np.bincount(which, score[row], len(pair)), 6)
+            found.add(pair // max(len(size), 1), batch.column(0).to_numpy(zero_copy_only=False).astype(object), pair % max(len(size), 1), total)
+        if kind is not None and len(found.query):
+            yield found.batch(own.qids, kind)
+
+    return lists.mapInArrow(best, schema)
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -78,22 +158,33 @@ def _stacked(column: pa.Array) -> np.ndarray:
 class _Best:
     """The k best documents of each query among those seen; equal scores go to the smaller docno."""
 
-    def __init__(self, asked: np.ndarray, k: int):
-        self.asked, self.k = asked, k
+    def __init__(self, k: int):
+        self.k = k
         self.query, self.docno, self.score = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
 
-    def see(self, docno: np.ndarray, vectors: np.ndarray) -> None:
+    def see(self, asked: np.ndarray, docno: np.ndarray, vectors: np.ndarray) -> None:
+        """Score all vectors for all queries, some at a time."""
         step = max(1, (1 << 22) // max(len(docno), 1))
-        for lo in range(0, len(self.asked), step):
-            s = np.round(self.asked[lo : lo + step] @ vectors.T, 6)
+        for lo in range(0, len(asked), step):
+            s = np.round(asked[lo : lo + step] @ vectors.T, 6)
             least = np.partition(s, -self.k, axis=1)[:, -self.k, None] if s.shape[1] > self.k else -np.inf
             q, d = np.nonzero(s >= least)
-            self.query, self.docno, self.score = np.append(self.query, q + lo), np.append(self.docno, docno[d]), np.append(self.score, s[q, d])
-        name = np.unique(self.docno, return_inverse=True)[1] if len(self.docno) else self.query
-        order = np.lexsort((name, -self.score, self.query))
-        place = self.query[order]
-        order = order[np.arange(len(order)) - np.searchsorted(place, place) < self.k]
-        self.query, self.docno, self.score = self.query[order], self.docno[order], self.score[order]
+            self.add(q + lo, docno, d, s[q, d])
+
+    def add(self, query: np.ndarray, docno: np.ndarray, at: np.ndarray, score: np.ndarray) -> None:
+        """Scores of documents docno[at]; names are compared only among those that the k-th score leaves."""
+        q, s = np.append(self.query, query), np.append(self.score, score)
+        source = np.append(np.arange(len(self.query)), len(self.query) + at)
+        names = np.append(self.docno, docno)
+        order = np.lexsort((-s, q))
+        first = np.searchsorted(q[order], q[order])
+        last = np.minimum(first + self.k - 1, np.searchsorted(q[order], q[order], side="right") - 1)
+        order = order[s[order] >= s[order][last]]
+        names, q, s = names[source[order]], q[order], s[order]
+        place = np.unique(names, return_inverse=True)[1] if len(names) else q
+        order = np.lexsort((place, -s, q))
+        order = order[np.arange(len(order)) - np.searchsorted(q[order], q[order]) < self.k]
+        self.query, self.docno, self.score = q[order], names[order], s[order]
 
     def batch(self, qids: pa.Array, kind: pa.DataType) -> pa.RecordBatch:
         taken = qids.take(pa.array(self.query))
@@ -104,12 +195,12 @@ class _Best:
 def dense(queries: DataFrame, documents: DataFrame, k: int = 10, most: int = 1 << 22, block: int = 1 << 15) -> DataFrame:
     """(qid, docno, score, rank): the k documents (docno, doc_vec) with the highest inner product, rounded to six places, for each query (qid, query_vec).
 
-    Keys may be strings or numbers; ties go to the smaller docno. Vectors that are null or hold a null take no part, and a query meets the
+    Keys may be strings or numbers; ties go to the smaller docno. Vectors that are null or hold a null, and rows without a key, take no part, and a query meets the
     vectors of its own size only; without any it has no rows. If the queries have at most ``most`` components they are broadcast, each task reads its
     documents in batches and k of each task go on. Beyond that, queries are dealt to blocks and meet blocks of ``block`` documents.
     """
     sized = lambda df, key, vec: df.select(key, F.col(vec).cast("array<double>").alias("v")).filter(F.col("v").isNotNull() & ~F.exists("v", F.isnull)).withColumn("dim", F.size("v"))
-    docs, asked = sized(documents, "docno", "doc_vec"), sized(queries, "qid", "query_vec")
+    docs, asked = sized(documents.filter("docno is not null"), "docno", "doc_vec"), sized(queries.filter("qid is not null"), "qid", "query_vec")
     schema = f"qid {dict(queries.dtypes)['qid']}, docno {dict(documents.dtypes)['docno']}, score double"
     components = asked.agg(F.coalesce(F.sum("dim"), F.lit(0))).first()[0]
     if components <= most:
@@ -118,12 +209,12 @@ def dense(queries: DataFrame, documents: DataFrame, k: int = 10, most: int = 1 <
         shared = queries.sparkSession.sparkContext.broadcast(by_size)
 
         def run(batches):
-            best, kind = {dim: _Best(v, k) for dim, (_, v) in shared.value.items()}, None
+            best, kind = {dim: _Best(k) for dim in shared.value}, None
             for b in batches:
                 kind, dims = b.column(0).type, b.column(2).to_numpy(zero_copy_only=False)
                 for dim in set(dims.tolist()) & best.keys():
                     rows = b.filter(pa.array(dims == dim))
-                    best[dim].see(rows.column(0).to_numpy(zero_copy_only=False).astype(object), _stacked(rows.column(1)))
+                    best[dim].see(shared.value[dim][1], rows.column(0).to_numpy(zero_copy_only=False).astype(object), _stacked(rows.column(1)))
             for dim, found in best.items():
                 if len(found.query):
                     yield found.batch(shared.value[dim][0], kind)
@@ -136,9 +227,9 @@ def dense(queries: DataFrame, documents: DataFrame, k: int = 10, most: int = 1 <
     copies = asked.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(parts))).withColumn("block", each(blocks))
 
     def meet(q: pa.Table, d: pa.Table) -> pa.Table:
-        found = _Best(_stacked(q.column("v")), k)
+        found = _Best(k)
         if q.num_rows and d.num_rows:
-            found.see(d.column("docno").to_numpy(zero_copy_only=False).astype(object), _stacked(d.column("v")))
+            found.see(_stacked(q.column("v")), d.column("docno").to_numpy(zero_copy_only=False).astype(object), _stacked(d.column("v")))
         return pa.Table.from_batches([found.batch(q.column("qid"), d.column("docno").type)])
 
     keys = ("dim", "block", "part")

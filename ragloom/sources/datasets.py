@@ -7,10 +7,14 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
+from ragloom.sources.archives import archive_lines, archive_texts
+
+#: A line up to this number, from 0, must be JSON; later ones that are not are left out.
+EARLY = 10
 
 ARCHIVE_SUFFIX = r"\.(tar|tar\.gz|tgz|tar\.bz2|tbz2|tar\.xz|zip)$"
 
@@ -21,13 +25,64 @@ class RAGDataset(Protocol):
     def corpus(self) -> DataFrame: ...
 
 
-def _json(spark: SparkSession, path: str | list[str], schema: str, bad_share: float = 0.1) -> DataFrame:
-    """JSON lines (also .gz and .bz2); lines that are no JSON are left out, and an error if they are above ``bad_share`` of a file's lines."""
+def _by_archive(paths: str | list[str]) -> tuple[list[str], dict[str, list[str]]]:
+    """Plain paths, and the members by archive of those that are ``archive#member``."""
+    plain, packed = [], {}
+    for p in [paths] if isinstance(paths, str) else paths:
+        archive, _, member = p.partition("#")
+        if member:
+            packed.setdefault(archive, []).append(member)
+        else:
+            plain.append(p)
+    return plain, packed
+
+
+def numbered_lines(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Lines (file, part, nth, value) of files and members of archives, and (file, part, first): a line's number in its file, from 0, is first + nth.
+
+    A file's splits are its parts. They are counted by split, and a split begins where the lines of the splits before it end.
+    """
+    plain, packed = _by_archive(paths)
+    lines = None
+    if plain:
+        rows = spark.read.text(plain).withColumns({"_file": F.col("_metadata.file_path"), "_part": F.col("_metadata.file_block_start"), "_nth": F.monotonically_increasing_id()})
+        lines = rows.select(F.col("_file").alias("file"), F.col("_part").alias("part"), F.col("_nth").alias("nth"), "value")
+    for archive, names in packed.items():
+        rows = archive_lines(spark, archive, names).select(F.concat_ws("#", "archive", "member").alias("file"), F.lit(0).cast("bigint").alias("part"), F.col("no").alias("nth"), "value")
+        lines = rows if lines is None else lines.unionByName(rows)
+    parts = lines.groupBy("file", "part").agg(F.count("*").alias("n"), F.min("nth").alias("least"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    return lines, parts.select("file", "part", (F.coalesce(before, F.lit(0)) - F.col("least")).alias("first"))
+
+
+def _parsed(lines: DataFrame, schema: str) -> DataFrame:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    lines = spark.read.text(path).filter(F.trim("value") != "").withColumn("_file", F.col("_metadata.file_path"))
-    rows = lines.select("_file", F.from_json("value", schema + ", _bad string", options).alias("_r")).select("_file", "_r.*")
-    share = rows.groupBy("_file").agg((F.count("_bad") / F.count("*")).alias("share")).agg(F.coalesce(F.max("share"), F.lit(0.0)).alias("share")).scalar()
-    return rows.filter(F.col("_bad").isNull() & F.assert_true(share <= bad_share, F.lit("too many malformed lines")).isNull()).drop("_bad", "_file")
+    return lines.filter(F.trim("value") != "").select("file", "part", "nth", F.from_json("value", schema + ", _bad string", options).alias("_r")).select("file", "part", "nth", "_r.*")
+
+
+def malformed_lines(spark: SparkSession, paths: str | list[str], schema: str = "id string") -> DataFrame:
+    """(file, no, value) of the lines that are no JSON object, numbered from 0; blank lines count as lines and are left out."""
+    lines, parts = numbered_lines(spark, paths)
+    bad = _parsed(lines, schema).filter(F.col("_bad").isNotNull())
+    return bad.join(parts, ["file", "part"]).select("file", (F.col("first") + F.col("nth")).alias("no"), F.col("_bad").alias("value"))
+
+
+def _json(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """JSON lines of files (also .gz and .bz2) and members of archives (``archive#member``). A line that is no JSON object is an error up to number ``EARLY`` of its file, which is then hardly of this kind; later ones are left out, and listed by ``malformed_lines``."""
+    early = malformed_lines(spark, path, schema).filter(F.col("no") <= EARLY).agg(F.count("*").alias("n")).scalar()
+    rows = _parsed(numbered_lines(spark, path)[0], schema)
+    return rows.filter(F.col("_bad").isNull() & F.assert_true(early == 0, F.lit(f"a malformed line among the first {EARLY + 1} of a file")).isNull()).drop("_bad", "file", "part", "nth")
+
+
+def _json_array(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """Objects of files and members of archives that are one JSON array each."""
+    plain, packed = _by_archive(path)
+    parts = [spark.read.schema(schema).option("multiLine", True).json(plain)] if plain else []
+    parts += [archive_texts(spark, a, names).select(F.inline(F.from_json("value", f"array<struct<{schema}>>"))) for a, names in packed.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def read_topics(spark: SparkSession, path: str) -> DataFrame:
@@ -55,7 +110,7 @@ def read_wiki_abstracts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_reading_topics(spark: SparkSession, path: str) -> DataFrame:
     """(qid, query, docno, title, text) from a JSON array of questions whose context is a list of [title, [sentences]]."""
-    rows = spark.read.schema("_id string, question string, context string").option("multiLine", True).json(path)
+    rows = _json_array(spark, path, "_id string, question string, context string")
     items = F.posexplode(F.from_json("context", "array<string>")).alias("_at", "_item")
     rows = rows.select(F.col("_id").alias("qid"), F.col("question").alias("query"), items)
     pair = F.parse_json("_item")
@@ -64,7 +119,7 @@ def read_reading_topics(spark: SparkSession, path: str) -> DataFrame:
 
 def read_reading_answers(spark: SparkSession, path: str) -> DataFrame:
     """(qid, type, gold_answer)."""
-    return spark.read.schema("_id string, type string, answer string").option("multiLine", True).json(path).select(F.col("_id").alias("qid"), "type", F.col("answer").alias("gold_answer"))
+    return _json_array(spark, path, "_id string, type string, answer string").select(F.col("_id").alias("qid"), "type", F.col("answer").alias("gold_answer"))
 
 
 def members(archive: str, names: Iterable[str]) -> dict[str, str]:
@@ -77,19 +132,31 @@ def members_listed(spark: SparkSession, path: str, archive: str) -> dict[str, st
     return members(archive, (r["value"] for r in spark.read.text(path).toLocalIterator()))
 
 
+def _local_name(archive: str) -> str:
+    """Of an address the last part."""
+    return archive.split("?", 1)[0].rstrip("/").rsplit("/", 1)[-1] if "://" in archive else archive
+
+
 def unpacked(spec: str) -> str:
-    """Where a spec's file is: a member of an archive is in a folder of the archive's name without its suffix, as archives are unpacked before; of an address the last part counts."""
+    """Where a spec's file is if archives are unpacked: a member is in a folder of the archive's name without its suffix; of an address the last part counts."""
     archive, _, member = spec.partition("#")
-    if "://" in archive:
-        archive = archive.split("?", 1)[0].rstrip("/").rsplit("/", 1)[-1]
-    if not member:
-        return archive
-    return f"{re.sub(ARCHIVE_SUFFIX, '', archive)}/{member}"
+    archive = _local_name(archive)
+    return f"{re.sub(ARCHIVE_SUFFIX, '', archive)}/{member}" if member else archive
+
+
+def located(spark: SparkSession, root: str, spec: str) -> str:
+    """The path of a spec under a root, in any store that Spark reads: ``archive#member`` if the archive is there, else the unpacked file."""
+    archive, _, member = spec.partition("#")
+    whole = f"{root}/{_local_name(archive)}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(whole)
+    if member and path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return f"{whole}#{member}"
+    return f"{root}/{unpacked(spec)}"
 
 
 @dataclass
 class FileDataset:
-    """Files by kind and variant under a root; the corpus may be another dataset's, by name. A file may be given as ``archive#member`` or by an address, see ``unpacked``."""
+    """Files by kind and variant under a root; the corpus may be another dataset's, by name. A file may be given as ``archive#member`` or by an address; archives are read where they are, or from where they were unpacked to."""
 
     spark: SparkSession
     root: str
@@ -102,7 +169,7 @@ class FileDataset:
     def _path(self, kind: str, variant: str | None) -> str:
         if variant not in self.files.get(kind, {}):
             raise ValueError(f"{kind} have no variant {variant!r}; there are {sorted(self.files.get(kind, {}))}")
-        return f"{self.root}/{unpacked(self.files[kind][variant])}"
+        return located(self.spark, self.root, self.files[kind][variant])
 
     def topics(self, variant: str | None = None) -> DataFrame:
         return self.topics_reader(self.spark, self._path("topics", variant))
@@ -112,7 +179,7 @@ class FileDataset:
 
     def corpus(self) -> DataFrame:
         if "corpus" in self.files:
-            paths = [f"{self.root}/{unpacked(f)}" for f in self.files["corpus"].values()]
+            paths = [located(self.spark, self.root, f) for f in self.files["corpus"].values()]
             return self.corpus_reader(self.spark, paths if len(paths) > 1 else paths[0])
         if self.corpus_name is None:
             raise NotImplementedError("this dataset names no corpus")
@@ -189,7 +256,12 @@ def list_datasets() -> list[str]:
 
 
 class QuestionSource(DataSource):
-    """``spark.read.format("rag_questions").load(path)``: (qid, query, gold_answer) of a folder's *.jsonl, one partition a file. Register it with ``spark.dataSource.register``."""
+    """``spark.read.format("rag_questions").load(path)``: (qid, query, gold_answer) of a folder's *.jsonl. Register it with ``spark.dataSource.register``.
+
+    The folder is in any store that Arrow opens by its address (files, hdfs, s3, gs). Files are read in ranges of ``range_bytes`` (64 MB), a partition each.
+    With option ``push_filters`` (which needs the session's spark.sql.python.filterPushdown.enabled), filters that a qid equals or is one of some values leave rows out as they are read. Option ``bad_lines`` says what a line is that is no JSON object with an id:
+    ``fail`` (an error, the default) or ``skip``. Blank lines are left out.
+    """
 
     @classmethod
     def name(cls):
@@ -199,22 +271,68 @@ class QuestionSource(DataSource):
         return "qid string, query string, gold_answer array<string>"
 
     def reader(self, schema):
-        return _QuestionReader(self.options["path"])
+        reader = _FilteringReader if self.options.get("push_filters", "false") == "true" else _QuestionReader
+        return reader(self.options["path"], int(self.options.get("range_bytes", 1 << 26)), self.options.get("bad_lines", "fail"))
+
+
+class _Range(InputPartition):
+    def __init__(self, path: str, start: int, stop: int):
+        super().__init__(path)
+        self.path, self.start, self.stop = path, start, stop
+
+
+def _store(path: str):
+    from pyarrow import fs
+
+    if "://" not in path:
+        return fs.LocalFileSystem(), path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path)
 
 
 class _QuestionReader(DataSourceReader):
-    def __init__(self, path):
-        self.path = path.removeprefix("file:")
+    def __init__(self, path: str, range_bytes: int, bad_lines: str):
+        if bad_lines not in ("fail", "skip"):
+            raise ValueError(f"bad_lines is {bad_lines!r}")
+        self.path, self.range_bytes, self.bad_lines, self.qids = path, max(1, range_bytes), bad_lines, None
 
     def partitions(self):
-        from pathlib import Path
+        from pyarrow import fs
 
-        return [InputPartition(str(p)) for p in sorted(Path(self.path).glob("*.jsonl"))]
+        store, path = _store(self.path)
+        found = sorted((f.path, f.size) for f in store.get_file_info(fs.FileSelector(path)) if f.is_file and f.path.endswith(".jsonl"))
+        return [_Range(p, at, min(at + self.range_bytes, size)) for p, size in found for at in range(0, size, self.range_bytes)]
 
     def read(self, partition):
+        import io
         import json
 
-        with open(partition.value, encoding="utf-8") as lines:
-            for line in lines:
-                r = json.loads(line)
-                yield r["id"], r["question"], r.get("golden_answers")
+        store, _ = _store(self.path)
+        with store.open_input_file(partition.path) as file, io.BufferedReader(file, 1 << 16) as raw:
+            # a line belongs to the range that it starts in
+            at = max(0, partition.start - 1)
+            raw.seek(at)
+            if partition.start:
+                at += len(raw.readline())
+            while at < partition.stop and (line := raw.readline()):
+                at += len(line)
+                if not line.strip():
+                    continue
+                try:
+                    r = json.loads(line.decode("utf-8", "replace"))
+                    row = r["id"], r.get("question"), r.get("golden_answers")
+                except (ValueError, TypeError, KeyError, AttributeError) as e:
+                    if self.bad_lines == "fail":
+                        raise ValueError(f"{partition.path}: no JSON object with an id before byte {at}") from e
+                    continue
+                if self.qids is None or row[0] in self.qids:
+                    yield row
+
+
+class _FilteringReader(_QuestionReader):
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and f.attribute == ("qid",):
+                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.qids = values if self.qids is None else self.qids & values
+            else:
+                yield f
