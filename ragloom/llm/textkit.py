@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
+#: Bytes whose words are hashed at once, few enough for arrays that stay in a core's cache.
+HASHED = 1 << 16
 #: Words above this length are hashed by xxhash, others as a sum over a table of places and bytes; a word's hash depends on the word alone.
 LONG_WORD = 64
 
@@ -80,14 +82,18 @@ def _hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     long = end - start > LONG_WORD
     at, table = 0, _places()
     while at < len(start):
-        stop = max(at + 1, int(np.searchsorted(end, start[at] + SLICE_BYTES, side="right")))
+        stop = max(at + 1, int(np.searchsorted(end, start[at] + HASHED, side="right")))
         a, b = start[at], end[stop - 1]
         if stop > at + 1 or not long[at]:
-            s, e = start[at:stop] - a, end[at:stop] - a
+            s, e, n = start[at:stop] - a, end[at:stop] - a, int(b - a)
             # the place of each byte counts from the last start; those between words are in no sum
-            place = np.arange(b - a) - np.repeat(s, np.diff(np.append(s, b - a)))
-            sums = np.zeros(int(b - a) + 1, np.uint64)
-            np.cumsum(table[np.minimum(place, LONG_WORD - 1) * 256 + data[a:b]], out=sums[1:])
+            place = np.arange(n, dtype=np.int32)
+            place -= np.repeat(s.astype(np.int32), np.diff(np.append(s, n)))
+            np.minimum(place, LONG_WORD - 1, out=place)
+            place <<= 8
+            place |= data[a:b]
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(table[place], out=sums[1:])
             out[at:stop] = mix(sums[e] - sums[s] + (e - s).astype(np.uint64))
         at = stop
     for k in np.flatnonzero(long):
