@@ -17,6 +17,7 @@ from ragloom.operators.columns import require_columns
 from ragloom.operators.context import render_block, render_doc, render_numbered, rendered
 from ragloom.operators.generation import Backend, generated
 from ragloom.plans.pipeline import cutoff
+from ragloom.tables import shared_folder
 
 Retriever = Callable[[DataFrame], DataFrame]
 
@@ -24,15 +25,9 @@ Retriever = Callable[[DataFrame], DataFrame]
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint in the session's folder; one of its own only where none is set and the session is local."""
     sc = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            import tempfile
-
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir")
-            named = tempfile.mkdtemp(prefix="ragloom-")
-        sc.setCheckpointDir(named)
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 

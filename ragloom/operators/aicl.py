@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragloom.operators.context import ordered
+from ragloom.operators.context import first_rows, ordered
 from ragloom.plans.pipeline import ranked
 
 
@@ -16,14 +16,15 @@ def labels(results: DataFrame, answers: DataFrame, k_max: int = 20, answer_col:
     """
     gold = answers if dict(answers.dtypes)[answer_col].startswith("array") else answers.groupBy("qid").agg(F.collect_list(answer_col).alias(answer_col))
     gold = gold.select("qid", F.transform(answer_col, F.lower).alias("_gold"))
-    rows = results.withColumn("_t", F.lower(F.coalesce("text", F.lit("")))).groupBy("qid").agg(ordered(["_t"], [-F.col("score"), F.col("docno")]).alias("_p"))
-    rows = rows.join(gold, "qid", "left").withColumn("_texts", F.transform(F.slice("_p", 1, k_max), lambda x: x["_t"]))
-    # labels grow with k, so the first k that has an answer gives them all
-    def hit(k):
-        joined = F.array_join(F.slice("_texts", F.lit(1), k), " ")
-        return F.coalesce(F.exists("_gold", lambda g: F.contains(joined, g)), F.lit(False)).cast("int")
-
-    return rows.select("qid", F.transform(F.sequence(F.lit(1), F.greatest(F.size("_texts"), F.lit(1))), hit).alias("labels"))
+    by = [-F.col("score"), F.col("docno"), F.col("_t")]
+    rows = first_rows(results.withColumn("_t", F.lower(F.coalesce("text", F.lit("")))), "qid", by, k_max).groupBy("qid").agg(ordered(["_t"], by).alias("_p"))
+    rows = rows.join(gold, "qid", "left").withColumn("_texts", F.transform("_p", lambda x: x["_t"])).withColumn("_joined", F.array_join("_texts", " "))
+    # the joined texts of k rows begin those of all rows, so an answer is in them if its first place in all ends within their length
+    ends = F.transform(F.filter("_gold", lambda g: F.contains("_joined", g)), lambda g: F.instr(F.col("_joined"), g) + F.char_length(g) - 1)
+    lengths = F.aggregate("_texts", F.array().cast("array<int>"), lambda a, t: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)) + 1, F.lit(0)) + F.char_length(t))))
+    rows = rows.select("qid", F.array_min(ends).alias("_end"), lengths.alias("_lengths"))
+    hits = F.transform("_lengths", lambda n: F.coalesce(n >= F.col("_end"), F.lit(False)).cast("int"))
+    return rows.select("qid", hits.alias("labels"))
 
 
 def answer_rate(labelled: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions.text import once
@@ -18,6 +18,11 @@ def ordered(fields: Sequence[str], by: Sequence[Column]) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(*keys, F.struct(*fields).alias("_v")))), lambda x: x["_v"])
 
 
+def first_rows(df: DataFrame, group: str, by: Sequence[Column], k: int) -> DataFrame:
+    """The first k rows of each group; Spark cuts each partition before the shuffle."""
+    return df.withColumn("_nth", F.row_number().over(Window.partitionBy(group).orderBy(*by))).filter(F.col("_nth") <= k).drop("_nth")
+
+
 def cap_for(sizes: Column, max_length: int, cap: int, step: int, separator: int = 1) -> Column:
     """The first of cap, cap - step, ... 0 at which pieces cut to it fit into max_length, separators counted; 0 if none does."""
     tries = F.transform(F.sequence(F.lit(0), F.lit(-(-cap // step))), lambda i: F.greatest(F.lit(cap) - i * step, F.lit(0)))
@@ -76,19 +81,49 @@ def concatenator(
     by = list(ordering or [*([-F.col("score")] if "score" in results.columns else []), *([F.col("docno")] if "docno" in results.columns else [])])
     text = formatter(*map(F.col, in_fields)) if formatter else F.concat_ws(" ", *in_fields)
     # equal keys go by text, so that the order is total
-    groups = results.withColumn("_text", F.coalesce(text, F.lit(""))).groupBy("qid").agg(F.min("query").alias("query"), ordered(["_text"], [*by, F.col("_text")]).alias("_p"))
+    results = results.withColumn("_text", F.coalesce(text, F.lit("")))
+    if aggregate is None and limits.get("max_elements", -1) > 0:
+        results = first_rows(results, "qid", [*by, F.col("_text")], limits["max_elements"])
+    groups = results.groupBy("qid").agg(F.min("query").alias("query"), ordered(["_text"], [*by, F.col("_text")]).alias("_p"))
     pieces = F.transform("_p", lambda x: x["_text"])
     return groups.select((aggregate(pieces) if aggregate else concat(pieces, **limits)).alias(out_field), "qid", "query")
 
 
 def frame_concat(df: DataFrame, fields: Sequence[str] = ("text",), by_query: bool = False, order: Sequence[Column] = (), truncation_rate: int = 25, **limits) -> DataFrame:
-    """One row of all rows' texts (qcontext), or one for each qid with its query. The whole frame as one text is meant for small frames: it is one group."""
+    """One row of all rows' texts (qcontext), or one for each qid with its query; rows without ``order`` are in the frame's.
+
+    Of a whole frame under a limit only what is inside it meets in one task: the first max_elements rows, and of a limit of ``chars`` or ``words`` the pieces cut
+    to the length at which all fit, which the sums of the rows' sizes tell. Without a limit, or with a tokenizer of one's own, all texts meet.
+    """
     df = df.withColumn("_text", F.concat_ws(" ", *fields))
-    agg = [ordered(["_text"], [*order, F.col("_text")] if order else [F.monotonically_increasing_id()]).alias("_p")]
+    by = [*order, F.col("_text")] if order else [F.monotonically_increasing_id()]
+    if not by_query and limits.get("max_elements", -1) > 0:
+        df = df.withColumns({f"_o{i}": c for i, c in enumerate(by)})
+        by = [F.col(f"_o{i}") for i in range(len(by))]
+        df = df.orderBy(*by).limit(limits.pop("max_elements"))
+    if not by_query and limits.get("tokenizer") in ("chars", "words") and limits.get("max_length", -1) > 0:
+        return _fitted(df, by, truncation_rate, **limits)
+    agg = [ordered(["_text"], by).alias("_p")]
     groups = df.groupBy("qid").agg(F.min("query").alias("query"), *agg) if by_query else df.groupBy().agg(*agg)
     return groups.select(*(["qid", "query"] if by_query else []), concat(F.transform("_p", lambda x: x["_text"]), truncation_rate=truncation_rate, **limits).alias("qcontext"))
 
 
+def _fitted(df: DataFrame, by: Sequence[Column], step: int, tokenizer: str, max_length: int, max_per_context: int = 512, joiner: str = "\n") -> DataFrame:
+    """``concat`` of a whole frame: the cap is the first at which the sum of the sizes cut to it fits, from one row of sums."""
+    words = F.filter(F.split("_text", r"\s+"), lambda w: w != "")
+    size, separator = (F.char_length("_text"), 1) if tokenizer == "chars" else (F.size(words), 0)
+    tries = list(range(max_per_context, 0, -step))
+    sums = df.agg(F.count("*").alias("n"), *(F.sum(F.least(size, F.lit(c)).cast("bigint")).alias(f"c{c}") for c in tries))
+    cap = F.coalesce(*(F.when(F.col(f"c{c}") + (F.col("n") - 1) * separator <= max_length, c) for c in tries), F.lit(0))
+    fits = sums.select("n", cap.alias("cap"))
+    cut = F.substring("_text", F.lit(1), F.col("cap")) if tokenizer == "chars" else F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("cap"), F.lit(1))), " ")
+    kept = df.withColumns({f"_b{i}": c for i, c in enumerate(by)}).crossJoin(F.broadcast(fits)).filter("cap > 0").withColumn("_text", cut)
+    text = kept.groupBy().agg(F.array_join(F.transform(ordered(["_text"], [F.col(f"_b{i}") for i in range(len(by))]), lambda x: x["_text"]), joiner).alias("_t"))
+    # where no length fits, all pieces are empty
+    bare = F.repeat(F.lit(joiner), F.greatest(F.col("n") - 1, F.lit(0)).cast("int"))
+    return text.crossJoin(F.broadcast(fits)).select(F.when(F.col("cap") > 0, F.col("_t")).otherwise(bare).alias("qcontext"))
+
+
 # Renderers of a retrieved document; i is its place from 1.
 def render_doc(i: Column, title: Column, text: Column) -> Column:
     return F.concat(F.lit("Doc "), i.cast("string"), F.lit("(Title: "), F.coalesce(title, F.lit("")), F.lit(") "), F.coalesce(text, F.lit("")), F.lit("\n"))

@@ -10,6 +10,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ragloom.plans.pipeline import shared_runs
+from ragloom.tables import Tables
 from ragloom.functions import text as X
 from ragloom.functions.stem import stemmed
 from ragloom.operators.generation import Backend, generated
@@ -120,19 +122,23 @@ def against_baseline(values: DataFrame, baseline: str) -> DataFrame:
     return stats.withColumn("p", F.udf(lambda t, n: two_sided_p(t, n), "double", useArrow=True)("t", "n"))  # one row a system and measure
 
 
-def compared(systems: Sequence[Callable[[DataFrame], DataFrame]], topics: DataFrame, gold: DataFrame, measures: Sequence[str] = ("EM", "F1"), names: Sequence[str] | None = None, baseline: int | None = None, timed: bool = False) -> DataFrame:
+def compared(systems: Sequence[Callable[[DataFrame], DataFrame]], topics: DataFrame, gold: DataFrame, measures: Sequence[str] = ("EM", "F1"), names: Sequence[str] | None = None, baseline: int | None = None, timed: bool = False, share: bool = False) -> DataFrame:
     """(name, one mean a measure) of systems that answer topics, in one table.
 
     names default to the systems' places. With a baseline (a system's place) each measure gets m_better, m_worse and m_p, null for the baseline
     itself. With timed, mrt is the milliseconds a query took: each system's answers are then made once, kept on the executors' disks
-    (and made again where an executor is lost), and what a run shares with another is timed in both.
+    (and made again where an executor is lost), and what a run shares with another is timed in both. With share, steps that systems begin
+    with in common run once, see ``shared_runs``: measures are then made at once and written, and the shared tables deleted.
     """
+    if share and timed:
+        raise ValueError("shared steps have no time of their own")
     names = [str(k) for k in range(len(systems))] if names is None else list(names)
     if len(names) != len(systems) or len(set(names)) != len(names):
         raise ValueError("each system needs a name of its own")
     n, runs, spent = topics.count() if timed else 0, {}, []
-    for name, system in zip(names, systems, strict=True):
-        run = system(topics)
+    tables = Tables(topics.sparkSession)
+    made = shared_runs(systems, topics, tables) if share else [system(topics) for system in systems]
+    for name, run in zip(names, made, strict=True):
         if timed:
             began = time.perf_counter()
             run = run.persist(StorageLevel.DISK_ONLY)
@@ -140,6 +146,9 @@ def compared(systems: Sequence[Callable[[DataFrame], DataFrame]], topics: DataFr
             spent.append((name, 1000 * (time.perf_counter() - began) / n if n else None))
         runs[name] = run
     values = long_form(runs, gold, measures)
+    if share:
+        values = Tables(topics.sparkSession).save(values)
+        tables.drop()
     out = experiment(values, measures)
     if timed:
         out = out.join(F.broadcast(topics.sparkSession.createDataFrame(spent, "system string, mrt double")), "system")

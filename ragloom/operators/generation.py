@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import time
+import threading
 import re
 import urllib.error
 import urllib.request
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ragloom.functions import text as X
 from ragloom.operators.columns import require_columns
-from ragloom.operators.context import ordered
+from ragloom.operators.context import first_rows, ordered
 
 LOGPROBS = "array<map<string,double>>"
 MESSAGES = "array<struct<role:string,content:string>>"
@@ -148,11 +150,35 @@ class FunctionBackend(Backend):
         return [[(t, None)] * num_responses for t in self.function(prompts)]
 
 
+def word_pieces(text: str) -> list[str]:
+    """Words with the white space before them."""
+    return re.findall(r"\s*\S+|\s+$", text)
+
+
+class Turns:
+    """Lets a task's threads go on one after the other, a fixed time apart; the time of the last turn outlives a batch."""
+
+    lock, due = threading.Lock(), 0.0
+
+    def __init__(self, per_second: float):
+        self.gap = 1 / per_second
+
+    def __call__(self) -> None:
+        with Turns.lock:
+            now = time.monotonic()
+            wait = max(0.0, Turns.due - now)
+            Turns.due = max(now, Turns.due) + self.gap
+        time.sleep(wait)
+
+
 @dataclass
 class HTTPBackend(Backend):
     """A service with the chat or completions protocol. Requests run on executors, ``parallel`` at once a task; errors become ``ERROR::`` texts.
 
-    The key is the argument's, else of the environment variable; the number of partitions bounds the load on the service.
+    The key is the argument's, else of the environment variable; the number of partitions bounds the load on the service, and a task sends
+    at most ``requests_per_second``. After an answer that may be another one later (408, 409, 429, 5xx or none at all) a request is sent again, up to ``max_retries`` times in all,
+    after the pause that the service names (Retry-After, in seconds) or else one that doubles from ``pause`` on, ``longest_pause`` at most. Other errors are final. Of a prompt the first
+    ``max_input_length`` tokens are sent, of messages those of the last one that the others leave; ``tokenizer`` gives pieces that join to the text.
     """
 
     base_url: str = "http://localhost:8000/v1"
@@ -163,6 +189,10 @@ class HTTPBackend(Backend):
     timeout: float = 30.0
     parallel: int = 4
     logprobs_topk: int = 20
+    pause: float = 0.5
+    longest_pause: float = 60.0
+    requests_per_second: float | None = None
+    tokenizer: Callable[[str], list[str]] = field(default=word_pieces)
     supports_logprobs: bool = True
     supports_messages: bool = True
     supports_num_responses: bool = True
@@ -179,15 +209,26 @@ class HTTPBackend(Backend):
         with urllib.request.urlopen(request, timeout=self.timeout) as answer:
             return json.load(answer)
 
-    def _ask(self, prompt, return_logprobs, max_new_tokens, stop_sequences, n):
-        chat = self.api.startswith("chat")
+    def cut(self, prompt):
+        """The prompt within ``max_input_length`` tokens."""
+        if isinstance(prompt, list):
+            room = self.max_input_length - sum(len(self.tokenizer(m["content"] or "")) for m in prompt[:-1])
+            return [*prompt[:-1], *({**m, "content": "".join(self.tokenizer(m["content"] or "")[: max(0, room)])} for m in prompt[-1:])]
+        return "".join(self.tokenizer(prompt)[: self.max_input_length]) if prompt else prompt
+
+    def _ask(self, prompt, return_logprobs, max_new_tokens, stop_sequences, n, turn=lambda: None):
+        chat, prompt = self.api.startswith("chat"), self.cut(prompt)
         body = {"model": self.model_id, "max_tokens": max_new_tokens, "n": n} | ({"stop": stop_sequences} if stop_sequences else {})
         if chat:
             body |= {"messages": prompt if isinstance(prompt, list) else [{"role": "user", "content": prompt}]} | ({"logprobs": True, "top_logprobs": self.logprobs_topk} if return_logprobs else {})
         else:
             body |= {"prompt": prompt} | ({"logprobs": self.logprobs_topk} if return_logprobs else {})
-        error = "ERROR::other"
-        for _ in range(max(1, self.max_retries)):
+        error, pause = "ERROR::other", self.pause
+        for attempt in range(max(1, self.max_retries)):
+            if attempt:
+                time.sleep(min(pause, self.longest_pause))
+                pause = max(pause, self.pause) * 2
+            turn()
             try:
                 out = []
                 for c in self._post(body)["choices"]:
@@ -201,15 +242,18 @@ class HTTPBackend(Backend):
             except urllib.error.HTTPError as e:
                 said = e.read().decode(errors="replace").lower()
                 error = "ERROR::reduce_length" if "length" in said else "ERROR::response_filtered" if "filter" in said else "ERROR::other"
-                if error != "ERROR::other":
+                if error != "ERROR::other" or not (e.code >= 500 or e.code in (408, 409, 429)):
                     break
+                named = (e.headers or {}).get("Retry-After") or ""
+                pause = float(named) if named.replace(".", "", 1).isdigit() else pause
             except (OSError, KeyError, ValueError):
                 error = "ERROR::other"
         return [(error, None)] * n
 
     def generate(self, prompts, *, return_logprobs=False, max_new_tokens=None, stop_sequences=None, num_responses=1):
+        turn = Turns(self.requests_per_second) if self.requests_per_second else lambda: None
         with ThreadPoolExecutor(self.parallel) as pool:
-            return list(pool.map(lambda p: self._ask(p, return_logprobs, max_new_tokens, stop_sequences, num_responses), prompts))
+            return list(pool.map(lambda p: self._ask(p, return_logprobs, max_new_tokens, stop_sequences, num_responses, turn), prompts))
 
 
 def _pretrained(backend: LocalModelBackend) -> Callable[..., list[list[tuple]]]:
@@ -402,9 +446,13 @@ def fusion_inputs(results: DataFrame, num_context: int | str = "auto", text_fiel
     title = [F.when(F.col("title").isNotNull(), F.concat(F.lit("title: "), F.col("title")))] if "title" in results.columns else []
     text = F.concat_ws(" ", F.concat(F.lit("question: "), F.col("query")), *title, F.when(F.col(text_field).isNotNull(), F.concat(F.lit("context: "), F.col(text_field))))
     order = [-F.col("score")] if "score" in results.columns else []
-    rows = results.withColumn("_in", text).groupBy("qid").agg(F.min("query").alias("query"), ordered(["_in"], [*order, *([F.col("docno")] if "docno" in results.columns else []), F.col("_in")]).alias("_p"))
+    by = [*order, *([F.col("docno")] if "docno" in results.columns else []), F.col("_in")]
+    results = results.withColumn("_in", text)
+    if num_context != "auto":
+        results = first_rows(results, "qid", by, num_context)
+    rows = results.groupBy("qid").agg(F.min("query").alias("query"), ordered(["_in"], by).alias("_p"))
     inputs = F.transform("_p", lambda x: x["_in"])
-    return rows.select("qid", "query", (F.slice(inputs, 1, num_context) if num_context != "auto" else inputs).alias("inputs"))
+    return rows.select("qid", "query", inputs.alias("inputs"))
 
 
 def fusion_reader(results: DataFrame, answer: Column | Callable[[pd.Series], pd.Series], num_context: int | str = "auto", text_field: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,13 +18,40 @@ KG_PROMPT = "List the facts of the text, each as <head; relation; tail>.{{ exemp
 CHAIN_PROMPT = "{{ demos }}Question: {{ query }}\nKnown: {{ known }}\nWhich fact comes next?\n{{ choices }}\nLetter:"
 
 
+#: Characters of an example table that every task may hold.
+MOST_EXAMPLE_CHARS = 1 << 26
+
+
+def permuted_places(key: Column, size: int, n: int) -> Column:
+    """The first n places of a permutation of 0 to size - 1 that depends on the key: multiples of a step modulo the next prime, without those past the size."""
+    prime = next(p for p in range(max(size, 2), 2 * size + 3) if all(p % d for d in range(2, math.isqrt(p) + 1)))
+    step, first = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(prime - 1)) + 1, F.pmod(F.xxhash64(key, F.lit(2)), F.lit(prime))
+    turns = F.sequence(F.lit(0).cast("bigint"), F.lit(min(n + prime - size, prime) - 1).cast("bigint"))
+    return F.slice(F.filter(F.transform(turns, lambda j: (first + step * j) % prime), lambda p: p < size), 1, min(n, size))
+
+
 def exemplars(documents: DataFrame, table: DataFrame, n: int, max_chars: int = 4000) -> DataFrame:
-    """(docno, exemplars): n examples (id, text) for each document in an order by hash, from the front only as many as fit."""
-    every = table.agg(F.collect_list(F.struct("id", "text")).alias("_all")).scalar()
-    rows = documents.select("docno").distinct().select("docno", F.inline(every))
-    order = Window.partitionBy("docno").orderBy(F.xxhash64("docno", "id"), "id")
-    chosen = rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n).withColumn("_size", F.sum(F.char_length("text") + 1).over(order))
-    return chosen.filter(F.col("_size") <= max_chars).groupBy("docno").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "text"))), lambda x: F.concat(F.lit("\n"), x["text"])), "").alias("exemplars"))
+    """(docno, exemplars): n examples (id, text) for each document in an order by its number, from the front only as many as fit into max_chars.
+
+    Examples are few: their texts, ``MOST_EXAMPLE_CHARS`` at most, are held by every task, and a document's are found in its own row.
+    """
+    size = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("chars")).first()
+    if size["chars"] > MOST_EXAMPLE_CHARS:
+        raise ValueError(f"examples have {size['chars']} characters")
+    docs = documents.select("docno").distinct()
+    if not size["n"] or n < 1:
+        return docs.select("docno", F.lit("").alias("exemplars"))
+    every = table.agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("_all"))
+    places = permuted_places(F.col("docno"), size["n"], n)
+    texts = F.transform(places, lambda p: F.concat(F.lit("\n"), F.coalesce(F.get("_all", p.cast("int"))["text"], F.lit(""))))
+    start = F.struct(F.lit("").alias("text"), F.lit(True).alias("open"))
+
+    def more(a: Column, t: Column) -> Column:
+        fits = a["open"] & (F.char_length(a["text"]) + F.char_length(t) <= max_chars)
+        return F.struct(F.when(fits, F.concat(a["text"], t)).otherwise(a["text"]).alias("text"), fits.alias("open"))
+
+    chosen = F.aggregate(texts, start, more, lambda a: a["text"])
+    return docs.crossJoin(F.broadcast(every)).select("docno", chosen.alias("exemplars"))
 
 
 def extract_graph(documents: DataFrame, backend: Backend, examples: DataFrame | None = None, prompt: str = KG_PROMPT, cache: str | None = None) -> DataFrame:

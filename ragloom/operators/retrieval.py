@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ragloom.functions.text import once
 from ragloom.plans.pipeline import ranked
+from ragloom.tables import Tables
 
 #: Between words: anything but letters and digits.
 SEPARATOR = r"[^\p{L}\p{N}]+"
@@ -69,9 +70,9 @@ def _scored_by_join(asked: DataFrame, documents: DataFrame, k: int, k1: float, b
     wanted = asked.select("term").union(spark.createDataFrame([("",)], "term string")).distinct()
     # an inner explode would be filtered by its size below the projection, which makes the terms once more
     postings = documents.select("docno", term_counts("text").alias("t")).select("docno", F.get("t", 0)["tf"].alias("dl"), F.inline_outer("t"))
-    stats = postings.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n_terms"))
-    whole = stats.filter("term = ''").select(F.struct("df", "n_terms").alias("w")).scalar()
-    n, mean = whole["df"], whole["n_terms"] / whole["df"]
+    stats = Tables(spark).save(postings.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n_terms")))
+    whole = stats.filter("term = ''").first()
+    n, mean = (whole["df"], whole["n_terms"] / whole["df"]) if whole else (0, 1.0)
     by_query = asked.join(stats, "term").select("qid", "term", idf(n, F.col("df")).alias("idf"))
     score = F.round(F.sum(F.col("idf") * saturated(F.col("tf"), F.col("dl"), mean, k1, b)), 6)
     return postings.join(by_query, "term").groupBy("qid", "docno").agg(score.alias("score"))
