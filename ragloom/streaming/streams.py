@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ragloom.operators.generation import Backend, generated
 
@@ -41,30 +41,55 @@ def sessions(stream: DataFrame, by: str, ts: str = "ts", gap: str = "30 minutes"
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
 
 
-def agent_turns(events: DataFrame, max_turn: int = 10, start: str = "<answer>", timeout_ms: int = 600_000) -> DataFrame:
-    """(qid, turns, qanswer, stop_reason) from a stream of (qid, text): one row when an answer comes, the turns are used up or no text comes in time."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        turns = state.get[0] if state.exists else 0
-        out = lambda answer, why: pd.DataFrame({"qid": [key[0]], "turns": [turns], "qanswer": [answer], "stop_reason": [why]})
-        if state.hasTimedOut:
-            state.remove()
-            yield out(None, "No answer after max turns")
-            return
-        for frame in frames:
-            for text in frame["text"]:
-                turns += 1
-                if start in text:
-                    if state.exists:
-                        state.remove()
-                    yield out(text.split(start, 1)[1].split("</", 1)[0].strip(), "Got answer")
-                    return
-                if turns >= max_turn:
-                    if state.exists:
-                        state.remove()
-                    yield out(None, "No answer after max turns")
-                    return
-        state.update((turns,))
-        state.setTimeoutDuration(timeout_ms)
-
-    return events.groupBy("qid").applyInPandasWithState(step, "qid string, turns int, qanswer string, stop_reason string", "turns int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+#: Fixed value: the state store that keeps state by key with timers.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+TURNS = "qid string, turns int, qanswer string, stop_reason string"
+
+
+class _Turns(StatefulProcessor):
+    """The turns of a query so far, and a timer that a new text sets anew. A query that has ended begins again with its next text."""
+
+    def __init__(self, max_turn: int, start: str, timeout_ms: int):
+        self.max_turn, self.start, self.timeout_ms = max_turn, start, timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.turns = handle, handle.getValueState("turns", "n int")
+
+    def _ended(self, key, turns: int, answer: str | None, why: str) -> pd.DataFrame:
+        self.turns.clear()
+        return pd.DataFrame({"qid": [key[0]], "turns": [turns], "qanswer": [answer], "stop_reason": [why]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        turns = self.turns.get()[0] if self.turns.exists() else 0
+        for due in list(self.handle.listTimers()):
+            self.handle.deleteTimer(due)
+        seen = pd.concat(list(rows)).sort_values("at", kind="stable")
+        for text in seen["text"]:
+            turns += 1
+            if text is not None and self.start in text:
+                yield self._ended(key, turns, text.split(self.start, 1)[1].split("</", 1)[0].strip(), "Got answer")
+                turns = 0
+            elif turns >= self.max_turn:
+                yield self._ended(key, turns, None, "No answer after max turns")
+                turns = 0
+        if turns:
+            self.turns.update((turns,))
+            self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs(), int(seen["at"].iloc[-1])) + self.timeout_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        turns = self.turns.get()[0] if self.turns.exists() else 0
+        if turns:
+            yield self._ended(key, turns, None, "No text in time")
+
+    def close(self) -> None:
+        pass
+
+
+def agent_turns(events: DataFrame, max_turn: int = 10, start: str = "<answer>", timeout_ms: int = 600_000, late: str = "1 minute") -> DataFrame:
+    """(qid, turns, qanswer, stop_reason) from a stream of (qid, ts, text): one row when an answer comes, the turns are used up, or the watermark passes a query's last text by the timeout.
+
+    The state of a query is the number of its turns, kept over micro-batches and restarts. Texts of one micro-batch count in the order of ts. The session gets the state store with timers.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    rows = events.select("qid", "ts", F.unix_millis("ts").alias("at"), "text").withWatermark("ts", late)
+    return rows.groupBy("qid").transformWithStateInPandas(_Turns(max_turn, start, timeout_ms), TURNS, "append", "EventTime")
