@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ragloom.operators import retrieval
 from ragloom.operators.index import TermIndex
+from ragloom.operators.vector_index import VectorIndex
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +61,28 @@ def test_blocks_are_skipped_by_their_bounds(spark, tmp_path):
     kept = index._kept(asked.select("qid", F.explode(F.array(F.lit("needle"), F.lit("all"))).alias("term")), 2, 1.2, 0.75).count()
     assert kept < every
     assert found(index.bm25(asked, k=2)) == found(retrieval.bm25(asked, docs, k=2))
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 16)) * 3
+    x = np.round(centres[rng.integers(0, 12, 1200)] + rng.normal(size=(1200, 16)), 3)
+    x[5] = x[6]
+    rows = [(f"d{i:04}", v.tolist()) for i, v in enumerate(x)] + [("null", None), ("hole", [None] * 16), (None, [0.0] * 16)]
+    asked = [(f"q{i}", (x[i * 31] + rng.normal(size=16) * 0.3).tolist()) for i in range(30)] + [("q_null", None)]
+    return spark.createDataFrame(rows, "docno string, doc_vec array<double>"), spark.createDataFrame(asked, "qid string, query_vec array<double>")
+
+
+def test_vector_index_recall_and_exact_mode(spark, vectors, tmp_path):
+    docs, asked = vectors
+    want = {(r["qid"], r["docno"], r["score"], r["rank"]) for r in retrieval.dense(asked, docs.filter("docno is not null"), k=10).collect()}
+    index = VectorIndex(spark, str(tmp_path / "v"), part=50)
+    index.build(docs.filter("docno < 'd0800' or docno is null"), lists=24, sample=400)
+    assert index.add(docs.filter("docno >= 'd0800'")) == 1
+    get = lambda **more: {(r["qid"], r["docno"], r["score"], r["rank"]) for r in index.search(asked, k=10, **more).collect()}
+    assert get(probe=2, exact=True) == want and len(want) == 300
+    recall = len({x[:2] for x in get(probe=4)} & {x[:2] for x in want}) / len(want)
+    assert recall >= 0.9
+    with pytest.raises(ValueError, match="one size"):
+        VectorIndex(spark, str(tmp_path / "w")).build(spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0])], "docno string, doc_vec array<double>"))
