@@ -39,6 +39,11 @@ def collected_gold(rows: DataFrame, answer: str = GOLD) -> DataFrame:
     return rows.groupBy("qid").agg(F.array_sort(F.collect_list(answer)).alias(GOLD))
 
 
+def exploded_gold(rows: DataFrame, answers: str = GOLD) -> DataFrame:
+    """One row an answer from arrays of answers (also of structs), other columns kept; no answers give one null."""
+    return rows.select(*(c for c in rows.columns if c != answers), F.explode_outer(answers).alias(answers))
+
+
 def by_query(run: DataFrame, gold: DataFrame, measures: Sequence[str] | Mapping[str, Callable] = ("EM", "F1")) -> DataFrame:
     """(qid, one column a measure) of every run row; a query without gold has null EM, F1 and ROUGE."""
     chosen = {m: MEASURES[m] for m in measures} if not isinstance(measures, Mapping) else measures

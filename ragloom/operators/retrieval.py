@@ -248,6 +248,16 @@ def with_texts(results: DataFrame, documents: DataFrame, *fields: str) -> DataFr
     return results.join(documents.select("docno", *(fields or ("text",))), "docno", "left")
 
 
+def only_for(rows: DataFrame, keys: DataFrame, on: str = "qid") -> DataFrame:
+    """Rows whose key is among another table's; neither repeated by it nor joined with its columns. A null key is among none."""
+    return rows.join(keys.select(on), on, "left_semi")
+
+
+def distinct_documents(documents: DataFrame, by: str = "text", docno: str = "docno") -> DataFrame:
+    """(by, docno): one document of each text, the one with the least number; texts are counted together before the shuffle, and a null text is one of its own."""
+    return documents.groupBy(by).agg(F.min(docno).alias(docno))
+
+
 def hashed_vectors(df: DataFrame, text: str, out: str, size: int = 64) -> DataFrame:
     """A deterministic encoder: counts of terms by hash, scaled to length 1; zeros for a text without terms."""
     at = F.transform(terms(text), lambda t: F.pmod(F.xxhash64(t), F.lit(size)).cast("int"))

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from ragloom.functions import text as X
 from ragloom.operators import agents, aicl, columns, context, evaluation, generation, kg, retrieval
+from ragloom.operators.index import TermIndex
+from ragloom.operators.vector_index import VectorIndex
 from ragloom.plans.pipeline import Transformer, cutoff, first_topics, ranked
 from ragloom.session import ship
 from ragloom.streaming import streams
+from ragloom.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -185,7 +188,7 @@ def gold_collect(t):
 @_query(f"WITH {_SAID} SELECT conv_id, turn, qanswer AS gold_answer FROM said")
 def gold_explode(t):
     rows = _said(t).groupBy("conv_id").agg(F.collect_list(F.struct("turn", "qanswer")).alias("g"))
-    return rows.select("conv_id", F.explode_outer("g").alias("g")).select("conv_id", "g.turn", F.col("g.qanswer").alias("gold_answer"))
+    return evaluation.exploded_gold(rows, "g").select("conv_id", "g.turn", F.col("g.qanswer").alias("gold_answer"))
 
 
 @_query(f"SELECT conv_id, turn, array_to_string({_TOKENS.format('text')}, ' ') AS normalized FROM conversations")
@@ -240,11 +243,19 @@ def experiment_pivot(t):
     return evaluation.experiment(_values(t), ("AnswerLen", "AnswerZeroLen")).select("system", F.round("AnswerLen", 6).alias("answer_len"), F.col("AnswerZeroLen").alias("answer_zero_len"))
 
 
-@_query(f"""WITH {_SYSTEMS}, d AS (SELECT a.qid, a.value - b.value AS d FROM v a JOIN v b ON a.qid = b.qid AND a.system = 'short' AND b.system = 'full')
-    SELECT 'short' AS system, count(*) AS n, count(*) FILTER (d > 0) AS better, count(*) FILTER (d < 0) AS worse, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS t FROM d""")
+# P(|T| > x) with v degrees of freedom, by the finite series in cos and sin of atan(x / sqrt(v))
+_PRODUCT = "exp(COALESCE(list_sum(list_transform(range(1, k + 1), lambda j: ln({0}))), 0))"
+_SUM = "COALESCE(list_sum(list_transform(range(0, CAST({0} AS BIGINT)), lambda k: {1} * pow(c2, k))), 0)"
+_EVEN, _ODD = _SUM.format("v // 2", _PRODUCT.format("(2 * j - 1) / (2.0 * j)")), _SUM.format("(v - 1) // 2", _PRODUCT.format("2 * j / (2.0 * j + 1)"))
+_P = f"1 - CASE WHEN v % 2 = 0 THEN s * {_EVEN} ELSE 2 / pi() * (angle + s * sqrt(c2) * {_ODD}) END"
+
+@_query(f"""WITH {_SYSTEMS}, d AS (SELECT a.qid, a.value - b.value AS d FROM v a JOIN v b ON a.qid = b.qid AND a.system = 'short' AND b.system = 'full'),
+    r AS (SELECT count(*) AS n, count(*) FILTER (d > 0) AS better, count(*) FILTER (d < 0) AS worse, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM d),
+    a AS (SELECT *, n - 1 AS v, atan(abs(t) / sqrt(n - 1)) AS angle FROM r), b AS (SELECT *, sin(angle) AS s, cos(angle) * cos(angle) AS c2 FROM a)
+    SELECT 'short' AS system, n, better, worse, round(t, 6) AS t, round(abs({_P}), 6) AS p FROM b""")
 def baseline_ttest(t):
     rows = evaluation.against_baseline(_values(t), "full").filter("measure = 'AnswerLen'")
-    return rows.select("system", "n", "better", "worse", F.round("t", 6).alias("t"))
+    return rows.select("system", "n", "better", "worse", F.round("t", 6).alias("t"), F.round("p", 6).alias("p"))
 
 
 @_query(f"""WITH {_FOUND}, g AS (SELECT qid, list(lower(text) ORDER BY rank) AS texts FROM found WHERE rank < 20 GROUP BY qid), e AS (SELECT qid, texts, unnest(generate_series(1, len(texts))) AS k FROM g)
@@ -302,10 +313,16 @@ def judge_agg(t):
     return out.select("qid", F.col("best").cast("bigint").alias("best"), F.col("least").cast("bigint").alias("least"), "total", F.round("mean", 6).alias("mean"))
 
 
-@_query()
+_LETTER_PAIRS = "list_transform({0}, lambda w: list_distinct(list_transform(range(1, greatest(length(w), 2)), lambda i: substr(w, i, 2))))"
+_MEAN_BEST = "COALESCE(list_sum(list_transform({0}, lambda x: COALESCE(list_max(list_transform({1}, lambda y: len(list_intersect(x, y)) / sqrt(CAST(len(x) * len(y) AS DOUBLE)))), 0))) / nullif(len({0}), 0), 0)"
+
+
+@_query(f"""WITH {_SAID}, g AS (SELECT qid, {_LETTER_PAIRS.format(_ROUGE_TOKENS.format('qanswer'))} AS a, {_LETTER_PAIRS.format(_ROUGE_TOKENS.format('query'))} AS b FROM said),
+    m AS (SELECT qid, {_MEAN_BEST.format('a', 'b')} AS p, {_MEAN_BEST.format('b', 'a')} AS r FROM g) SELECT qid, round(COALESCE(2 * p * r / nullif(p + r, 0), 0), 6) AS value FROM m""")
 def bertscore_hash(t):
     said = _said(t)
-    return evaluation.bertscore(said.select("qid", "qanswer"), said.select("qid", F.lit(3).alias("relevance"), F.col("query").alias("text")))
+    rows = evaluation.bertscore(said.select("qid", "qanswer"), said.select("qid", F.lit(3).alias("relevance"), F.col("query").alias("text")))
+    return rows.select("qid", F.round("value", 6).alias("value"))
 
 
 @_query(f"""WITH {_SAID} SELECT qid, trim(regexp_replace(regexp_replace(query, '["'']|\\.\\.\\.', '', 'g'), '\\s+', ' ', 'g')) AS first_query, trim(qanswer, ' ' || chr(9) || chr(10) || chr(13)) AS last_query FROM said""")
@@ -414,12 +431,12 @@ def ircot_merge(t):
 
 @_query("SELECT doc_id, source FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1)")
 def semi_join_filter(t):
-    return t("documents").join(t("labels").filter("quality = 1"), "doc_id", "left_semi").select("doc_id", "source")
+    return retrieval.only_for(t("documents"), t("labels").filter("quality = 1"), "doc_id").select("doc_id", "source")
 
 
 @_query("SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text")
 def dedup_docno(t):
-    return t("documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    return retrieval.distinct_documents(t("documents"), "text", "doc_id")
 
 
 @_query(f"WITH {_SAID} SELECT qid, regexp_replace(qanswer, '[?].*$', '', 's') AS qanswer FROM (SELECT qid, reverse(regexp_replace(reverse(qanswer), '^[^.]*[.]', '', 's')) AS qanswer, contains(qanswer, '.') AS cut FROM said)")
@@ -438,6 +455,47 @@ def tumbling_window(t):
     return streams.windowed(t("events"), by=("event_type",)).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"))
 
 
+def index_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The retrieval of ``bm25_topk`` from a written index, made of the documents in two batches."""
+    t = lambda name: ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    index, docs = TermIndex(spark, Tables(spark).root), _docs(t)
+    for k in (0, 1):
+        index.add(docs.filter(F.pmod(F.xxhash64("docno"), F.lit(2)) == k))
+    return index.bm25(_asked(t), 10)
+
+
+def index_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of ``dense_topk`` from a written index of vectors, in exact mode."""
+    t = lambda name: ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    index, e = VectorIndex(spark, Tables(spark).root), t("embeddings")
+    q = e.groupBy(F.concat(F.lit("q"), "label").alias("qid")).agg(F.min_by("embedding", "vec_id").alias("query_vec"))
+    index.build(e.select(F.concat(F.lit("d"), "vec_id").alias("docno"), F.col("embedding").alias("doc_vec")), lists=32)
+    return index.search(q, 10, probe=4, exact=True).select("qid", "docno", "score", "rank")
+
+
+QUERIES |= {"index_bm25": index_bm25, "index_dense": index_dense}
+ORACLES |= {"index_bm25": ORACLES["bm25_topk"], "index_dense": ORACLES["dense_topk"]}
+
+
+# the cap is the first of 512, 487, ... at which all texts fit into the limit
+@_query("""WITH r AS (SELECT text, doc_id, length(text) AS n FROM documents), c AS (SELECT unnest(range(512, 0, -25)) AS c),
+    s AS (SELECT c, sum(least(n, c)) + count(*) - 1 AS total FROM r, c GROUP BY c), cap AS (SELECT COALESCE(max(c) FILTER (total <= 200000), 0) AS cap FROM s)
+    SELECT md5(string_agg(substr(text, 1, cap), chr(10) ORDER BY doc_id)) AS digest, CAST(length(string_agg(substr(text, 1, cap), chr(10) ORDER BY doc_id)) AS INTEGER) AS n_chars FROM r, cap""")
+def frame_budget(t):
+    out = context.frame_concat(t("documents"), order=[F.col("doc_id")], tokenizer="chars", max_length=200_000, max_per_context=512)
+    return out.select(F.md5(F.col("qcontext").cast("binary")).alias("digest"), F.char_length("qcontext").alias("n_chars"))
+
+
+@_query(f"""WITH {_FOUND}, f AS (SELECT qid, query, docno FROM found WHERE rank < 3), s AS (SELECT unnest(['base', 'short', 'same']) AS name)
+    SELECT name, CAST(CASE WHEN name = 'short' THEN (SELECT avg(CAST(length(substr(docno, 1, 1)) AS DOUBLE)) FROM f) ELSE (SELECT avg(CAST(length(docno) AS DOUBLE)) FROM f) END AS DOUBLE) AS answer_len FROM s""")
+def shared_steps(t):
+    found = Transformer(lambda topics: retrieval.only_for(_found(t), topics), "found") % 3
+    whole, short = (Transformer(lambda df, c=c: df.select("qid", c.alias("qanswer"))) for c in (F.col("docno"), F.substring("docno", 1, 1)))
+    topics = _found(t).select("qid", "query").distinct()
+    out = evaluation.compared([found >> whole, found >> short, found >> whole], topics, topics.select("qid", F.array("query").alias("gold_answer")), ("AnswerLen",), names=["base", "short", "same"], share=True)
+    return out.select("name", F.col("AnswerLen").alias("answer_len"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions to documents, context, prompt, an extractive answer and its measures against the question."""
     t = lambda name: ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
