@@ -208,6 +208,13 @@ def _steps(x: Column) -> Column:
     return F.aggregate(spans, F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<string>")), lambda m, s: F.map_concat(F.map_filter(m, lambda k, _: k != number(s)), F.create_map(number(s), body(s))))
 
 
+def cut_behind(x: Column | str, stops: Sequence[str]) -> Column:
+    """The text up to the first of the stops and with it; all of it where there is none."""
+    any_of = "|".join(re.escape(s) for s in stops)
+    head = F.regexp_extract(_c(x), f"(?s)^(.*?(?:{any_of}))", 1)
+    return F.when(head != "", head).otherwise(_c(x))
+
+
 def replaced_steps(origin: Column | str, change: Column | str) -> Column:
     """Steps of ``origin`` with those of ``change`` written over them; a step changed to ``DELETE THIS STEP`` goes. By number, blank lines between."""
     old, new = _steps(_c(origin)), _steps(_c(change))

@@ -169,6 +169,9 @@ class SearchO1Loop:
     A turn whose output ends with the end tag of a query searches, if there were fewer than ``max_searches`` searches and the query is new; else a
     message stands in place of results and the query goes on. Any other turn ends it. Documents are read by the backend with the reasoning so far, in
     numbered steps of which the middle ones without tags are left out, and what it extracts is the result. ``history`` has every text and message.
+
+    With ``forced_first`` the first turn is made to search: up to three short texts are generated, each up to a blank line or the end of a query (turns -3 to -1 of a scripted backend). If they
+    ask or end nothing, the first (after an opened thought the first two) and the start tag of a query are followed by a text that is generated up to its end tag.
     """
 
     retriever: Retriever
@@ -193,6 +196,22 @@ class SearchO1Loop:
         said = generated(rows, self.backend, output_field="_said")
         return said.select("qid", X.extracted_answer("_said", "infogen").alias("_result"))
 
+    def _forced(self, active: DataFrame) -> DataFrame:
+        """Rows with ``_begun``, the beginning of the first turn."""
+        start, end = self.search_tags
+        rows = active.withColumn("_steps", F.array().cast("array<string>"))
+        for part in range(-3, 0):
+            said = generated(rows.withColumns({"turn": F.lit(part), "prompt": F.concat("context", F.array_join("_steps", ""))}), self.backend, output_field="_said")
+            rows = cut_lineage(said.select(*active.columns, F.concat("_steps", F.array(X.cut_behind("_said", ["\n\n", end]))).alias("_steps")))
+        steps = F.filter("_steps", lambda s: F.lower(X.strip(s)) != "</think>")
+        rows = rows.withColumn("_steps", F.when(F.size(steps) > 0, steps).otherwise(F.array(F.lit(""))))
+        heads = F.transform(F.sequence(F.lit(1), F.size("_steps")), lambda k: F.array_join(F.slice("_steps", F.lit(1), k), ""))
+        asking = F.get(F.filter(heads, lambda h: F.endswith(F.rtrim(F.regexp_replace(h, r"\s+$", "")), F.lit(end))), F.lit(0))
+        whole = F.array_join("_steps", "")
+        ends = F.contains(whole, F.lit("\\boxed")) | F.contains(whole, F.lit("</think>"))
+        few = F.when(F.contains(F.get("_steps", F.lit(0)), F.lit("<think>")), F.array_join(F.slice("_steps", 1, 2), "")).otherwise(F.get("_steps", F.lit(0)))
+        return rows.withColumn("_begun", F.coalesce(asking, F.when(ends, whole), F.concat(few, F.lit(start)))).drop("_steps")
+
     def transform(self, queries: DataFrame) -> DataFrame:
         require_columns(queries, "qid", "query")
         texts = F.array().cast("array<string>")
@@ -201,16 +220,21 @@ class SearchO1Loop:
             texts.alias("searches"), texts.alias("history"), F.lit(0).alias("iteration"), F.lit(False).alias("done"),
         ))
         start, end = self.search_tags
-        boxed = lambda text: F.concat(F.lit(f"\n{self.result_tags[0]}\n"), text, F.lit(f"\n{self.result_tags[1]}\n"))
+        told_box = lambda text: F.concat(F.lit(f"\n{self.result_tags[0]}\n"), text, F.lit(f"\n{self.result_tags[1]}\n"))
+        result_box = lambda text: F.concat(F.lit(f"\n\n{self.result_tags[0]}"), text, F.lit(f"{self.result_tags[1]}\n\n"))
         for turn in range(self.max_turn):
             active = state.filter("not done")
             if not active.limit(1).count():
                 break
-            said = generated(active.withColumns({"turn": F.lit(turn), "prompt": F.col("context")}), self.backend, output_field="_said").drop("prompt")
+            first = self._forced(active) if self.forced_first and turn == 0 else active.withColumn("_begun", F.lit(""))
+            # a text that is begun and ends with a query or an answer needs no more
+            more = ~F.endswith(X.strip("_begun"), F.lit(end)) if self.forced_first and turn == 0 else F.lit(True)
+            asked = first.withColumns({"turn": F.lit(turn), "prompt": F.concat("context", "_begun")})
+            said = generated(asked.filter(more), self.backend, output_field="_said").drop("prompt")
             if self.forced_first and turn == 0:
-                # a text without a query is followed by the question as one
-                asks = F.contains("_said", F.lit(start))
-                said = said.withColumn("_said", F.when(asks, F.col("_said")).otherwise(F.concat("_said", F.lit(start), X.strip("query"), F.lit(end))))
+                said = said.withColumn("_said", F.concat("_begun", X.cut_behind("_said", [end])))
+                said = said.unionByName(asked.filter(~more).withColumn("_said", F.col("_begun")).drop("prompt"), allowMissingColumns=True)
+            said = said.drop("_begun")
             output = F.concat("output", "_said")
             query = F.when(F.endswith(X.strip(output), F.lit(end)), X.last_between("_said", start, end))
             stepped = said.select(
@@ -221,7 +245,7 @@ class SearchO1Loop:
             told = F.when(F.col("_query").isNotNull() & over, SEARCH_LIMIT_TEXT).when(F.col("_query").isNotNull() & seen, SEARCHED_BEFORE_TEXT)
             stepped = cut_lineage(stepped.withColumn("_told", told))
             found = self._analysed(stepped.filter("_query is not null and _told is null"))
-            more = boxed(F.coalesce("_told", "_result", F.lit("")))
+            more = F.when(F.col("_told").isNotNull(), told_box(F.col("_told"))).otherwise(result_box(F.coalesce("_result", F.lit(""))))
             asked = F.col("_query").isNotNull()
             done = stepped.join(found, "qid", "left").select(
                 "qid", "query", F.when(asked, F.concat("context", more)).otherwise(F.col("context")).alias("context"), F.when(asked, F.concat("output", more)).otherwise(F.col("output")).alias("output"),

@@ -262,8 +262,34 @@ def test_search_loop_limits_and_repeats(spark):
     assert [x["query"] for x in got["q1"]["all_queries"]] == ["sky"] and [x["query"] for x in got["q2"]["all_queries"]] == ["one", "two"]
     assert agents.SEARCHED_BEFORE_TEXT in got["q1"]["history"][3] and agents.SEARCH_LIMIT_TEXT in got["q2"]["output"] and "of sky" in got["q1"]["output"]
     assert {q: (r["iteration"], r["stop_reason"]) for q, r in got.items()} == {"q1": (3, "finished"), "q2": (4, "finished"), "q3": (1, "finished")}
-    forced = agents.SearchO1Loop(lambda q: q.join(docs), backend, forced_first=True, max_turn=1).transform(asked.filter("qid = 'q3'")).first()
-    assert forced["stop_reason"] == "many_turns" and forced["all_queries"][0]["query"] == "why"
+    assert got["q1"]["history"][1] == "\n\n<|begin_search_result|>of sky<|end_search_result|>\n\n" and got["q1"]["history"][3] == f"\n<|begin_search_result|>\n{agents.SEARCHED_BEFORE_TEXT}\n<|end_search_result|>\n"
+
+
+def test_forced_first_search(spark):
+    """q1 asks in its second step, q2 never asks and is made to, q3 opens a thought, q4 answers, q5 closes its thought at once."""
+    begin, end = "<|begin_search_query|>", "<|end_search_query|>"
+    turns = {
+        "q1": {-3: "step\n\nignored", -2: f"look {begin}sky{end} and on", -1: "unused"},
+        "q2": {-3: "well\n\n", -2: "so\n\n", -1: "hm", 0: f"sea{end} tail"},
+        "q3": {-3: "<think>\n\n", -2: "deep\n\n", -1: "x", 0: f"air{end}"},
+        "q4": {-3: "it is \\boxed{now}", 0: ""},
+        "q5": {-3: "</think>\n\n", -2: "fine", -1: "", 0: f"fire{end}"},
+    }
+    rows = [(q, t, text) for q, texts in turns.items() for t, text in texts.items()]
+
+    class Reads(generation.ScriptedBackend):
+        def apply(self, df, prompt, *rest):
+            if "reasoning" in df.columns:
+                none = F.lit(None).cast(generation.LOGPROBS).alias("logprobs")
+                return df.withColumn("_out", F.array(F.struct(F.concat(F.lit("Final Information: of "), "query").alias("text"), none)))
+            return super().apply(df, prompt, *rest)
+
+    docs = spark.createDataFrame([("d", "t", "text", 1.0)], "docno string, title string, text string, score double")
+    loop = agents.SearchO1Loop(lambda q: q.join(docs), Reads(script=spark.createDataFrame(rows, "qid string, turn int, text string")), forced_first=True, max_turn=1)
+    got = {r["qid"]: r for r in loop.transform(spark.createDataFrame([(q, "why") for q in turns], "qid string, query string")).collect()}
+    assert {q: [x["query"] for x in r["all_queries"]] for q, r in got.items()} == {"q1": ["sky"], "q2": ["sea"], "q3": ["air"], "q4": [], "q5": ["fire"]}
+    assert got["q1"]["history"][0] == f"step\n\nlook {begin}sky{end}" and got["q2"]["history"][0] == f"well\n\n{begin}sea{end}" and got["q3"]["history"][0] == f"<think>\n\ndeep\n\n{begin}air{end}"
+    assert got["q4"]["qanswer"] == "now" and got["q4"]["stop_reason"] == "finished" and got["q5"]["history"][0] == f"fine{begin}fire{end}"
 
 
 def test_local_models_take_a_loader(spark):
