@@ -12,7 +12,7 @@ _PUBLIC = {
     "ragloom.operators.context": ("concatenator", "concat", "frame_concat"),
     "ragloom.operators.generation": (
         "Backend", "EchoBackend", "ExtractiveBackend", "FunctionBackend", "HTTPBackend", "LocalModelBackend", "ScriptedBackend", "get_backend", "set_default_backend", "default_backend", "generated", "prompts", "reader",
-        "reasoning_extractor", "fusion_inputs", "fusion_reader",
+        "reasoning_extractor", "fusion_inputs", "fusion_reader", "ranked_tokens",
     ),
     "ragloom.operators.agents": ("AgenticRAG", "IRCOT", "SearchO1Loop", "search_r1", "search_o1", "r1_searcher", "limited_r1_searcher", "forced_search", "standalone"),
     "ragloom.operators.aicl": ("AICLContextSelector", "answer_rate"),

@@ -423,6 +423,13 @@ def prompts(
     return first.select(body.alias(output_field), "qid", F.col("_f.query").alias("query_0"))
 
 
+def ranked_tokens(logprobs: Column | str) -> Column:
+    """Of log-probabilities (a map for each position): for each position its tokens from the likeliest, as structs of token, logprob and rank from 1; equal ones by token."""
+    lp = F.col(logprobs) if isinstance(logprobs, str) else logprobs
+    ordered_by = lambda m: F.array_sort(F.transform(F.map_entries(m), lambda e: F.struct((-e["value"]).alias("k"), e["key"].alias("token"))))
+    return F.transform(lp, lambda m: F.transform(ordered_by(m), lambda x, i: F.struct(x["token"].alias("token"), (-x["k"]).alias("logprob"), (i + 1).alias("rank"))))
+
+
 def reader(df: DataFrame, backend: Backend, instruction: str | Callable[..., Column] = QA_PROMPT, answer: Callable[[Column], Column] | None = None, output_field: str = "qanswer", logprobs: bool = False, system_message: str | None = None, **options) -> DataFrame:
     """Prompt, generate, extract: (prompt, qid, query_0, qanswer). The prompt is messages where the backend takes them and a system message is given."""
     asked = prompts(df, instruction, system_message, "chat" if backend.supports_messages and system_message else None, **options)

@@ -169,3 +169,17 @@ def test_requests_under_a_limit(spark, service):
     assert len(times) == 8 and times[-1] - times[0] >= 6 / 5
     chat = make().cut([{"role": "system", "content": "a b"}, {"role": "user", "content": "c d " * 600}])
     assert chat[0]["content"] == "a b" and len(chat[1]["content"].split()) == 510
+
+
+def test_tokens_by_rank(spark):
+    df = spark.createDataFrame([("1", [{"b": -1.0, "a": -0.5, "c": -1.0}, {}]), ("2", None)], "qid string, lp array<map<string,double>>")
+    got = {r["qid"]: r["t"] for r in df.select("qid", generation.ranked_tokens("lp").alias("t")).collect()}
+    assert [[tuple(x) for x in at] for at in got["1"]] == [[("a", -0.5, 1), ("b", -1.0, 2), ("c", -1.0, 3)], []] and got["2"] is None
+
+
+def test_pairs_are_judged(spark):
+    asked = spark.createDataFrame([("1", "why"), ("2", "how"), ("3", "who"), ("4", "when")], "qid string, query string")
+    a, b = (asked.select("qid", F.concat(F.lit(x), "query").alias("qanswer")) for x in "AB")
+    backend = generation.ColumnBackend(function=lambda p: F.when(F.contains(p, F.lit("Question: why\nA: Awhy\nB: Bwhy")), "first [[B]] then [[A]]").when(F.contains(p, F.lit("how")), "[[C]]").when(F.contains(p, F.lit("who")), "no").otherwise("[[B]]"))
+    got = {r["qid"]: r["verdict"] for r in evaluation.judged_pairwise(a, b.filter("qid != '4'"), asked, backend).collect()}
+    assert set(got) == {"1", "2", "3"} and got["2"] == "C" and got["3"] is None and got["1"] in ("A", "B")
