@@ -183,4 +183,16 @@ ORACLES: dict[str, str] = {
         walked AS (SELECT *, sha256(replace(array_to_string(steps, ''), '|', '')) AS proof_sha256, list_reduce(list_prepend(tampered, steps), lambda x, y: sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) AS folded_root FROM ways)
         SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM walked
     """,
+    # every string of 200 bytes by itself; removed runs are islands of their starts
+    "op13_suffix_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(COALESCE(text, '')) AS b FROM documents),
+        g AS (SELECT r, i, b[i:i + 199] AS s FROM (SELECT r, b, unnest(range(1, CAST(octet_length(b) AS BIGINT) - 198)) AS i FROM d)),
+        again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY s) AS n FROM g) WHERE n > 1),
+        turns AS (SELECT r, i, CASE WHEN i > 200 + lag(i, 1, -200) OVER (PARTITION BY r ORDER BY i) THEN 1 ELSE 0 END AS turn FROM again),
+        spans AS (SELECT r, min(i) AS lo, max(i) + 200 AS hi FROM (SELECT r, i, sum(turn) OVER (PARTITION BY r ORDER BY i) AS k FROM turns) GROUP BY r, k),
+        gaps AS (SELECT r, lag(hi, 1, 1) OVER (PARTITION BY r ORDER BY lo) AS a, lo AS z FROM spans UNION ALL SELECT d.r, COALESCE(max(hi), 1), octet_length(any_value(b)) + 1 FROM d LEFT JOIN spans USING (r) GROUP BY d.r),
+        kept AS (SELECT r, string_agg(hex(b[a:z - 1]), '' ORDER BY a) AS h FROM gaps JOIN d USING (r) GROUP BY r)
+        SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(COALESCE(s.n, 0) AS BIGINT) AS n_removed, COALESCE(s.k, 0) AS n_spans, sha256(unhex(COALESCE(h, ''))) AS kept_sha256
+        FROM d LEFT JOIN kept USING (r) LEFT JOIN (SELECT r, sum(hi - lo) AS n, count(*) AS k FROM spans GROUP BY r) s USING (r)
+    """,
 }
