@@ -24,9 +24,13 @@ def once(f, *args: Column) -> Column:
     return F.get(F.transform(F.array(row), lambda s: f(*(s[f"_{i}"] for i in range(len(args))))), F.lit(0))
 
 
+#: The characters with Unicode's White_Space property.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(x: Column | str) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(_c(x), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_c(x), F.lit(WHITE_SPACE))
 
 
 def normalized_tokens(x: Column | str) -> Column:
@@ -251,9 +255,10 @@ def as_question(x: Column | str) -> Column:
 
 def triples(x: Column | str) -> Column:
     """array<struct<head, relation, tail>> of ``<head; relation; tail>`` spans; semicolons beyond two belong to the head, spans with fewer are left out."""
-    part = lambda s, k: strip(F.regexp_extract(s, r"(?s)^(.*);([^;]*);([^;]*)$", k))
-    good = F.filter(F.regexp_extract_all(_c(x), F.lit("<([^>]*)>"), 1), lambda s: F.rlike(s, F.lit(r"(?s)^.*;[^;]*;[^;]*$")))
-    return F.transform(good, lambda s: F.struct(part(s, 1).alias("head"), part(s, 2).alias("relation"), part(s, 3).alias("tail")))
+    parts = F.transform(F.regexp_extract_all(_c(x), F.lit("<([^>]*)>"), 1), lambda s: F.split(s, ";"))
+    good = F.filter(parts, lambda p: F.size(p) > 2)
+    head = lambda p: F.when(F.size(p) == 3, F.get(p, 0)).otherwise(F.array_join(F.slice(p, F.lit(1), F.size(p) - 2), ";"))
+    return F.transform(good, lambda p: F.struct(strip(head(p)).alias("head"), strip(F.element_at(p, -2)).alias("relation"), strip(F.element_at(p, -1)).alias("tail")))
 
 
 def repaired_heads(found: Column, title: Column | str, text: Column | str) -> Column:
