@@ -12,10 +12,9 @@ one of the ``slack + 1`` agreeing groups has no signature under t in its set, so
 has t features or more and both keep it.
 
 Equal sets, by two fingerprints of 64 bits, are one node. Nodes that share a signature are candidates, in steps, so that a large group
-of near copies gives a few pairs a node: for a few rounds each node against the first node of its
-buckets that is still in another component (the one it meets so most often, in an order that changes each
-round); at last, of each bucket, all pairs that are still in different components. Buckets
-with the same members count once.
+of near copies gives a few pairs a node: for a few rounds each node against the first node of each of its
+buckets, in an order that changes each round, if it is in another component, and the first node then leaves the bucket; at last, of each bucket, all pairs that are
+still in different components. Buckets with the same members count once.
 A pair whose size or parity sketch (a lower bound of the Hamming distance) rules the link out is not
 verified; all others are, on their whole sets.
 """
@@ -35,7 +34,7 @@ from ragloom.llm.scratch import SMALL, KeySet, Scratch, components
 
 TINY = 3
 SKETCH_WORDS = 16
-HUB_ROUNDS = 2
+HUB_ROUNDS = 3
 
 
 @lru_cache(maxsize=8)
@@ -236,16 +235,15 @@ def _open_buckets(shared: DataFrame, comp: DataFrame) -> DataFrame:
     return placed.join(members.groupBy("k", "x", "y").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi")
 
 
-def _hub_pairs(open_: DataFrame, turn: int) -> DataFrame:
-    """(a, b), a < b: each node with the first node of another component in a bucket, the one it meets so most often; the order is by a hash that differs each turn."""
+def _hub_pairs(open_: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b), a < b: each node with the first node of another component in each of its buckets; and (sig, fp) of the buckets without their first nodes, which have then met all others. The order is by a hash that differs each turn."""
     order = F.xxhash64("fp", F.lit(turn))
     head = open_.groupBy("sig").agg(F.min(F.struct(order.alias("order"), "fp", "comp")).alias("head"))
     seen = open_.join(head, "sig")
     other = seen.filter(F.col("comp") != F.col("head.comp")).groupBy("sig").agg(F.min_by("fp", order).alias("other"))
     hub = F.when(F.col("comp") != F.col("head.comp"), F.col("head.fp")).otherwise(F.col("other"))
-    met = seen.join(other, "sig").select("fp", hub.alias("hub")).groupBy("fp", "hub").count()
-    best = met.groupBy("fp").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
-    return best.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
+    met = seen.join(other, "sig").select(F.least("fp", hub).alias("a"), F.greatest("fp", hub).alias("b")).distinct()
+    return met, seen.filter(F.col("fp") != F.col("head.fp")).select("sig", "fp")
 
 
 def _merged(scratch: Scratch, comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -305,10 +303,10 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarit
     open_ = shared
     for turn in range(HUB_ROUNDS):
         open_ = scratch.save(_open_buckets(open_, comp))
-        late = scratch.save(_verified(_near(_hub_pairs(open_, turn), sketches, sets, num, den), sets, num, den))
-        if not late.limit(1).count():
-            break
-        comp = _merged(scratch, comp, late)
+        met, open_ = _hub_pairs(open_, turn)
+        late = scratch.save(_verified(_near(met, sketches, sets, num, den), sets, num, den))
+        if late.limit(1).count():
+            comp = _merged(scratch, comp, late)
     open_ = scratch.save(_open_buckets(open_, comp).join(sketches, "fp"))
     a, b = _paired(open_, "a", "comp", "n", *SKETCH), _paired(open_, "b", "comp", "n", *SKETCH)
     more = a.join(b, (F.col("a_sig") == F.col("b_sig")) & (F.col("a_comp") < F.col("b_comp")) & _possible(num, den)).select("a", "b").distinct()
