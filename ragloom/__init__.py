@@ -9,7 +9,7 @@ _PUBLIC = {
     "ragloom.operators.retrieval": ("bm25", "dense", "rescored", "with_texts", "hashed_vectors", "bare_queries", "only_for", "distinct_documents"),
     "ragloom.operators.index": ("TermIndex",),
     "ragloom.operators.vector_index": ("VectorIndex",),
-    "ragloom.operators.context": ("concatenator", "concat", "frame_concat"),
+    "ragloom.operators.context": ("concatenator", "concat", "concat_items", "format_item", "frame_concat"),
     "ragloom.operators.generation": (
         "Backend", "EchoBackend", "ExtractiveBackend", "FunctionBackend", "HTTPBackend", "LocalModelBackend", "ScriptedBackend", "get_backend", "set_default_backend", "default_backend", "generated", "prompts", "reader",
         "reasoning_extractor", "fusion_inputs", "fusion_reader", "ranked_tokens",

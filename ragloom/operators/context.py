@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from inspect import signature
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from ragloom.functions.text import once
 from ragloom.operators.columns import require_columns
@@ -64,6 +66,25 @@ def concat(pieces: Column | str, max_elements: int = -1, max_length: int = -1, m
     return by_tokens(pieces)
 
 
+def format_item(item: Column, kind: DataType, formatter: Callable[..., Column] | None = None) -> Column:
+    """An item as text. A formatter takes a struct's fields by name, an array's elements in order (as many as it has parameters), or the item; without one a struct is its ``text`` or empty, anything else its string."""
+    if formatter is None:
+        if isinstance(kind, StructType):
+            return F.coalesce(item["text"].cast("string"), F.lit("")) if "text" in kind.names else F.lit("")
+        return item.cast("string")
+    if isinstance(kind, StructType):
+        return formatter(**{f.name: item[f.name] for f in kind.fields})
+    if isinstance(kind, ArrayType):
+        return formatter(*(F.get(item, F.lit(k)) for k in range(len(signature(formatter).parameters))))
+    return formatter(item)
+
+
+def concat_items(df: DataFrame, field: str, out: str, formatter: Callable[..., Column] | None = None, **limits) -> DataFrame:
+    """df with ``out``, the items of an array column formatted by ``format_item`` and joined by ``concat``."""
+    kind = df.schema[field].dataType.elementType
+    return df.withColumn(out, concat(F.transform(field, lambda x: format_item(x, kind, formatter).cast("string")), **limits))
+
+
 def concatenator(
     results: DataFrame, in_fields: Sequence[str] = ("text",), out_field: str = "qcontext", formatter: Callable[..., Column] | None = None, documents: DataFrame | None = None,
     ordering: Sequence[Column] | None = None, aggregate: Callable[[Column], Column] | None = None, **limits,

@@ -183,3 +183,12 @@ def test_pairs_are_judged(spark):
     backend = generation.ColumnBackend(function=lambda p: F.when(F.contains(p, F.lit("Question: why\nA: Awhy\nB: Bwhy")), "first [[B]] then [[A]]").when(F.contains(p, F.lit("how")), "[[C]]").when(F.contains(p, F.lit("who")), "no").otherwise("[[B]]"))
     got = {r["qid"]: r["verdict"] for r in evaluation.judged_pairwise(a, b.filter("qid != '4'"), asked, backend).collect()}
     assert set(got) == {"1", "2", "3"} and got["2"] == "C" and got["3"] is None and got["1"] in ("A", "B")
+
+
+def test_items_of_any_kind(spark):
+    df = spark.sql("select array(1, 2, 3, 4) as n, array(named_struct('text', 'a', 'i', 1), named_struct('text', null, 'i', 2)) as s, array(named_struct('x', 1)) as bare, array(array('p', 'q'), array('r')) as pairs")
+    one = lambda field, formatter=None, **limits: context.concat_items(df, field, "t", formatter, **limits).first()["t"]
+    assert one("n") == "1\n2\n3\n4" and one("n", lambda x: x * 10, max_elements=2) == "10\n20"
+    assert one("s") == "a\n" and one("bare") == ""
+    assert one("s", lambda text, i: F.concat(i.cast("string"), F.coalesce(text, F.lit("-")))) == "1a\n2-"
+    assert one("pairs", lambda a, b: F.concat_ws("+", b, a)) == "q+p\nr"
