@@ -73,11 +73,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages on the documents table, each written and read again."""
+    """The stages on the documents table, each written and read again; a stage's table goes when the next one is written."""
     scratch = Scratch(ship(spark))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = scratch.save(docs)
+            if k:
+                scratch.drop(before)
     return docs
