@@ -64,9 +64,7 @@ class AICLContextSelector:
         at = range(8 + self.k_max)
         stats = f.agg(F.count("*").alias("n"), *(F.avg(F.get("features", i)).alias(f"m{i}") for i in at), *(F.stddev_pop(F.get("features", i)).alias(f"s{i}") for i in at)).first()
         self.means, self.scales = [stats[f"m{i}"] for i in at], [stats[f"s{i}"] or 1.0 for i in at]
-        # labels are padded with their last value
-        y = labelled.select("qid", F.slice(F.concat("labels", F.array_repeat(F.element_at("labels", -1), self.k_max)), 1, self.k_max).alias("labels"))
-        data = self._standardised(f).join(y, "qid").select("x", "labels").coalesce(max(1, stats["n"] // 10000)).persist()
+        data = self._examples(f, labelled, max(1, stats["n"] // 10000)).persist()
         try:
             ones = data.agg(*(F.sum(F.get("labels", k)).alias(f"k{k}") for k in range(self.k_max)), F.count("*").alias("n")).first()
             self.models = []
@@ -80,6 +78,12 @@ class AICLContextSelector:
             data.unpersist()
         return self
 
+    def _examples(self, f: DataFrame, labelled: DataFrame, parts: int) -> DataFrame:
+        """(x, labels) in ``parts`` partitions. Only these rows are shuffled to them: a coalesce would sort the texts of all queries in as many tasks, which keep every partition's pages to their end."""
+        # labels are padded with their last value
+        y = labelled.select("qid", F.slice(F.concat("labels", F.array_repeat(F.element_at("labels", -1), self.k_max)), 1, self.k_max).alias("labels"))
+        return self._standardised(f).join(y, "qid").select("qid", "x", "labels").repartition(parts, "qid").select("x", "labels")
+
     def predict_k(self, results: DataFrame) -> DataFrame:
         """(qid, k): at most the number of the query's rows; the fallback where no k is predicted."""
         if self.models is None:

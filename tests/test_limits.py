@@ -192,3 +192,14 @@ def test_items_of_any_kind(spark):
     assert one("s") == "a\n" and one("bare") == ""
     assert one("s", lambda text, i: F.concat(i.cast("string"), F.coalesce(text, F.lit("-")))) == "1a\n2-"
     assert one("pairs", lambda a, b: F.concat_ws("+", b, a)) == "q+p\nr"
+
+
+def test_aicl_fit_keeps_the_tasks_of_its_examples(spark):
+    rows = [(f"q{i}", "a b", f"d{j}", float(i % 7 * 10 - j), f"text {j}") for i in range(40) for j in range(4)]
+    found = spark.createDataFrame(rows, "qid string, query string, docno string, score double, text string")
+    labelled = aicl.labels(found, found.select("qid", F.lit("text 1").alias("gold_answer")).distinct(), 3)
+    made = aicl.AICLContextSelector(3)
+    made.fit(found, labelled)
+    examples = made._examples(aicl.features(found, 3), labelled, 1)
+    assert made.models and examples.count() == 40 and examples.rdd.getNumPartitions() == 1
+    assert "Coalesce" not in plan(examples) and "REPARTITION_BY_NUM" in plan(examples)
