@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ragloom.operators import retrieval
-from ragloom.operators.index import TermIndex
+from ragloom.operators.index import TermIndex, _packed, _unpacked
 from ragloom.operators.vector_index import VectorIndex
 
 
@@ -63,6 +63,25 @@ def test_blocks_are_skipped_by_their_bounds(spark, tmp_path):
     assert found(index.bm25(asked, k=2)) == found(retrieval.bm25(asked, docs, k=2))
 
 
+def test_a_segment_sends_its_best_documents_only(spark, corpus, tmp_path):
+    """Scores are summed within a segment: k rows of each query and segment go on, whatever number of documents has its terms."""
+    index = TermIndex(spark, str(tmp_path / "i"))
+    index.add(corpus)
+    asked = spark.createDataFrame([("q", "c1 c2 c3 r7"), ("p", "c4")], "qid string, query string")
+    out = index.bm25(asked, k=3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "arrays_zip" not in plan
+    assert found(out) == found(retrieval.bm25(asked, corpus, k=3))
+
+
+def test_postings_are_packed_and_unpacked():
+    doc, tf, length = np.array([0, 3, 70000, 2, 5]), np.array([1, 300, 2, 1, 1]), np.array([9, 70000, 4, 1, 255])
+    packed = _packed(doc, tf, length, np.array([3, 0, 2]))
+    for a, got in ((0, _unpacked(packed)), (3, _unpacked(packed.slice(1)))):
+        assert [x.tolist() for x in got[:3]] == [x[a:].tolist() for x in (doc, tf, length)] and got[3].tolist() == ([3, 0, 2] if not a else [0, 2])
+    assert [len(x) for x in _unpacked(packed[:0])] == [0, 0, 0, 0]
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(7)
