@@ -6,6 +6,8 @@ import math
 import time
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from ragloom.tables import Tables
 from ragloom.functions import text as X
 from ragloom.functions.stem import stemmed
 from ragloom.operators.generation import Backend, generated
+from ragloom.operators.retrieval import ranges
 
 GOLD = "gold_answer"
 
@@ -51,6 +54,68 @@ def by_query(run: DataFrame, gold: DataFrame, measures: Sequence[str] | Mapping[
     return rows.select("qid", *(f(F.col("qanswer"), F.col(GOLD)).alias(name) for name, f in chosen.items()))
 
 
+#: Codes of a letter pair of tokens of a-z and 0-9: two characters, or one and none.
+_LETTERS = 37
+#: Token pairs with a letter pair in common that are held at once.
+_HELD = 1 << 20
+
+
+def _letter_pairs(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct letter pairs of each token, one after the other, and where each token's begin; a token of one letter has itself."""
+    tokens = tokens.cast(pa.large_string())
+    ends = np.frombuffer(tokens.buffers()[1], np.int64)[tokens.offset : tokens.offset + len(tokens) + 1]
+    data = np.frombuffer(tokens.buffers()[2], np.uint8)[ends[0] : ends[-1]].astype(np.int64)
+    letter = np.append(np.where(data >= 97, data - 97, data - 48 + 26), _LETTERS - 1)
+    n = np.diff(ends)
+    own = np.repeat(np.arange(len(n)), np.maximum(n - 1, 1))
+    at = np.arange(len(own)) + np.repeat(ends[:-1] - ends[0] - np.append(0, np.cumsum(np.maximum(n - 1, 1)))[:-1], np.maximum(n - 1, 1))
+    second = np.where(n[own] > 1, letter[at + 1], _LETTERS - 1)
+    pairs = np.unique((own * _LETTERS + letter[at]) * _LETTERS + second)
+    return pairs % _LETTERS**2, np.searchsorted(pairs // _LETTERS**2, np.arange(len(n) + 1))
+
+
+def _matched(a: pa.Array, b: pa.Array) -> pa.Array:
+    """For lists of tokens, none null, the mean over a's tokens of the best similarity to one of b's (p), and the other way (r).
+
+    Only different tokens of a row that share a letter pair are compared: pairs of tokens are made from equal letter pairs, a number of a's tokens at a time.
+    """
+    n, sides = len(a), []
+    words = pa.concat_arrays([x.flatten().cast(pa.string()) for x in (a, b)]).dictionary_encode()
+    codes, first = _letter_pairs(words.dictionary)
+    at = 0
+    for x in (a, b):
+        row = np.repeat(np.arange(n), np.diff(x.offsets.to_numpy()))
+        token = words.indices.to_numpy()[at : at + len(row)].astype(np.int64)
+        at += len(row)
+        own, place = np.unique(row * max(len(words.dictionary), 1) + token, return_inverse=True)
+        sides.append((row, place, own // max(len(words.dictionary), 1), own % max(len(words.dictionary), 1)))
+    (_, _, row_a, token_a), (_, _, row_b, token_b) = sides
+    size = np.diff(first)
+    pairs, own_b = ranges(first[token_b], size[token_b])
+    key_b = row_b[own_b] * _LETTERS**2 + codes[pairs]
+    order = np.argsort(key_b, kind="stable")
+    key_b, own_b = key_b[order], own_b[order]
+    pairs, own_a = ranges(first[token_a], size[token_a])
+    key_a = row_a[own_a] * _LETTERS**2 + codes[pairs]
+    lo = np.searchsorted(key_b, key_a)
+    met = np.searchsorted(key_b, key_a, side="right") - lo
+    best = [np.zeros(len(token_a)), np.zeros(len(token_b))]
+    starts, total = np.append(0, np.cumsum(size[token_a])), np.append(0, np.cumsum(met))
+    begin = 0
+    while begin < len(token_a):
+        stop = max(begin + 1, int(np.searchsorted(total[starts], total[starts[begin]] + _HELD, side="right")) - 1)
+        part = slice(starts[begin], starts[stop])
+        at, which = ranges(lo[part], met[part])
+        both, alike = np.unique(own_a[part][which] * len(token_b) + own_b[at], return_counts=True)
+        x, y = both // max(len(token_b), 1), both % max(len(token_b), 1)
+        value = alike / np.sqrt(size[token_a[x]].astype(np.float64) * size[token_b[y]])
+        np.maximum.at(best[0], x, value)
+        np.maximum.at(best[1], y, value)
+        begin = stop
+    means = [np.bincount(row, top[place], n) / np.maximum(np.bincount(row, minlength=n), 1) for (row, place, _, _), top in zip(sides, best, strict=True)]
+    return pa.StructArray.from_arrays([pa.array(m) for m in means], ["p", "r"])
+
+
 def bertscore(run: DataFrame, qrels: DataFrame, rel: int = 3, part: str = "f1", agg: str = "max", scorer: Callable | None = None) -> DataFrame:
     """(qid, value): greedy matching of token vectors between the answer and each reference of relevance ``rel`` or more, max or avg over them.
 
@@ -61,12 +126,9 @@ def bertscore(run: DataFrame, qrels: DataFrame, rel: int = 3, part: str = "f1",
     if scorer is not None:
         scored = run.select("qid", "qanswer").join(refs, "qid").select("qid", F.pandas_udf(scorer, "double")("qanswer", "_ref").alias("_v"))
         return scored.groupBy("qid").agg({"max": F.max, "avg": F.avg}[agg]("_v").alias("value"))
-    pairs_of = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))
-    grams = lambda x: F.transform(X.rouge_tokens(x), lambda t: F.array_distinct(pairs_of(t)))
-    alike = lambda a, b: F.size(F.array_intersect(a, b)) / F.sqrt(F.size(a).cast("double") * F.size(b))
-    mean_best = lambda a, b: F.coalesce(F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + F.coalesce(F.array_max(F.transform(b, lambda y: alike(x, y))), F.lit(0.0))), F.size(a)), F.lit(0.0))
-    rows = run.select("qid", grams("qanswer").alias("_a"), ).join(refs.select("qid", grams("_ref").alias("_b")), "qid")
-    rows = rows.select("qid", mean_best(F.col("_a"), F.col("_b")).alias("p"), mean_best(F.col("_b"), F.col("_a")).alias("r"))
+    matched = F.arrow_udf(_matched, "struct<p double, r double>")
+    tokens = lambda c: F.coalesce(X.rouge_tokens(c), F.array().cast("array<string>"))
+    rows = run.select("qid", "qanswer").join(refs, "qid").select("qid", matched(tokens("qanswer"), tokens("_ref")).alias("_m")).select("qid", "_m.p", "_m.r")
     value = F.coalesce(F.try_divide(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), F.lit(0.0)) if part == "f1" else F.col(part)
     return rows.groupBy("qid").agg({"max": F.max, "avg": F.avg}[agg](value).alias("value"))
 

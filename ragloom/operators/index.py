@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ragloom.operators.retrieval import SMALL, idf, saturated, terms
+from ragloom.operators.retrieval import SMALL, idf, ranges, saturated, terms
 from ragloom.plans.pipeline import ranked
 
 #: Terms of the documents of a segment, and documents of a block.
@@ -145,11 +145,11 @@ def _scored(k: int, mean: float, k1: float, b: float):
         cuts = np.append(np.flatnonzero(np.diff(query[order], prepend=-1)), len(order))
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             own = order[lo:hi]
-            block, pair = _ranges(first[term[own]], first[term[own] + 1] - first[term[own]])
+            block, pair = ranges(first[term[own]], first[term[own] + 1] - first[term[own]])
             block, pair = by_term[block], own[pair]
             keep = _reaches(value[pair], bound[block], others[pair], least[pair])
             block, pair = block[keep], pair[keep]
-            at, which = _ranges(begin[block], size[block])
+            at, which = ranges(begin[block], size[block])
             sums = np.bincount(doc[at], value[pair[which]] * weight[at], len(docnos))
             hit = np.flatnonzero(sums)
             score = np.round(sums[hit], 6)
@@ -169,12 +169,6 @@ def _flat(column: pa.ChunkedArray, kind: pa.DataType) -> pa.Array:
     return pa.concat_arrays([c.cast(kind) for c in column.chunks]) if column.num_chunks else pa.array([], kind)
 
 
-def _ranges(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of some ranges one after the other, and the range of each."""
-    which = np.repeat(np.arange(len(size)), size)
-    return np.arange(len(which)) + np.repeat(begin - (np.cumsum(size) - size), size), which
-
-
 class TermIndex:
     """An index in a folder of any store that Spark writes; ``add`` makes or extends it.
 

@@ -78,6 +78,12 @@ def _scored_by_join(asked: DataFrame, documents: DataFrame, k: int, k1: float, b
     return postings.join(by_query, "term").groupBy("qid", "docno").agg(score.alias("score"))
 
 
+def ranges(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of some ranges one after the other, and the range of each."""
+    which = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(which)) + np.repeat(begin - (np.cumsum(size) - size), size), which
+
+
 class _Asked:
     """The queries' different terms, and the queries of each term; held by every task."""
 

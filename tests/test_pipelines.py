@@ -1,5 +1,8 @@
 import json
+import random
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -324,6 +327,31 @@ def test_known_datasets(spark, tmp_path):
     assert datasets.answers_of_qrels(qrels, nq.corpus()).collect()[0]["gold_answer"] == "Body"
 
 
+def test_bertscore_equals_all_pairs(spark, monkeypatch):
+    """Against every pair of tokens in plain Python, with few pairs held at once; the lists of letter pairs are not shuffled."""
+    rng = random.Random(5)
+    letters = lambda t: {t[i : i + 2] for i in range(max(len(t) - 1, 1))}
+    tokens = lambda s: [t for t in re.split("[^a-z0-9]+", (s or "").lower()) if t]
+    text = lambda: " ".join("".join(rng.choice("abcd9") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(0, 30)))
+    rows = [(str(i), text(), text()) for i in range(60)] + [("null", None, "a b"), ("none", "A, b", None), ("both", "", "..."), ("é", "é a ab", "AB z"), ("zz", "zzzz9", "z 9")]
+
+    def mean(x, y):
+        return sum(max((len(letters(s) & letters(t)) / (len(letters(s)) * len(letters(t))) ** 0.5 for t in y), default=0.0) for s in x) / len(x) if x else 0.0
+
+    df = spark.createDataFrame(rows, "qid string, qanswer string, text string").withColumn("relevance", F.lit(3))
+    for part in ("p", "r", "f1"):
+        got = evaluation.bertscore(df, df, part=part)
+        assert "array_intersect" not in got._jdf.queryExecution().toString()
+        got = {r["qid"]: r["value"] for r in got.collect()}
+        for q, a, b in rows:
+            p, r = mean(tokens(a), tokens(b)), mean(tokens(b), tokens(a))
+            assert abs(got[q] - {"p": p, "r": r, "f1": 2 * p * r / (p + r) if p + r else 0.0}[part]) < 1e-12
+    lists = [pa.array([tokens(x[k]) for x in rows], pa.list_(pa.string())) for k in (1, 2)]
+    whole = evaluation._matched(*lists)
+    monkeypatch.setattr(evaluation, "_HELD", 7)
+    assert evaluation._matched(*lists).equals(whole) and len(evaluation._matched(lists[0][:0], lists[1][:0])) == 0
+
+
 def test_bertscore_takes_a_scorer(spark):
     run = spark.createDataFrame([("1", "abc")], "qid string, qanswer string")
     refs = spark.createDataFrame([("1", 3, "ab"), ("1", 3, "abcd"), ("1", 1, "abc")], "qid string, relevance int, text string")
