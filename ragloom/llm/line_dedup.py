@@ -30,6 +30,8 @@ from ragloom.llm.scratch import KeySet, Scratch, if_small
 
 BUCKETS, BLOCKS = 1 << 20, 64
 LINES, CHUNK = 1 << 12, 1 << 20
+#: Words that are counted at once.
+COUNTED = 1 << 21
 #: Packed rows that a task gathers before it sends them.
 GATHER = 1 << 18
 #: Bytes of bucket rows that a partition is to hold, and parts of the token domain for each partition.
@@ -49,26 +51,25 @@ class Limits(NamedTuple):
 
 def _lines(w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The line of each word as a number from 0 over lines that have words; row and line number of each."""
-    feeds = np.concatenate([[0], np.cumsum(w.data == 10)])
+    feeds = np.flatnonzero(w.data == 10)
     rows = w.rows
-    no = feeds[w.start] - feeds[w.bounds[rows]] if len(rows) else np.zeros(0, np.int64)
+    # feeds lie between words: they are counted by the word that follows
+    before = np.cumsum(np.bincount(np.searchsorted(w.start, feeds), minlength=len(rows) + 1)[: len(rows)])
+    no = before - np.repeat(np.searchsorted(feeds, w.bounds[:-1]), np.diff(w.first))
     new = np.ones(len(rows), bool)
     new[1:] = (rows[1:] != rows[:-1]) | (no[1:] != no[:-1])
     return np.cumsum(new) - 1, rows[new], no[new]
 
 
 def _token_sets(word: np.ndarray, line: np.ndarray, order: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words by line as tokens, where each line's begin, and their whole hashes. With ``order`` (8-bit rarity by bucket) a token is rarity and 44 bits of hash, ascending, words of one token by hash; else the hash, in no useful order."""
+    """Distinct words by line as tokens, where each line's begin, and their whole hashes. With ``order`` (8-bit rarity by bucket) a token is rarity and 44 bits of hash, else 52 bits of hash; ascending, words of one token by hash."""
     n_lines = int(line[-1]) + 1 if len(line) else 0
-    if order is None:
-        t, at = word, np.lexsort((word, line))
-    else:
-        t = (order[(word >> _U(44)).astype(np.int64)].astype(np.uint64) << _U(44)) | (word & _HASH)
-        cuts = np.searchsorted(line, np.arange(0, n_lines + LINES, LINES))
-        parts = [a + np.argsort(((line[a:z] & (LINES - 1)).astype(np.uint64) << _U(52)) | t[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-        at = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        if ((t[at[1:]] == t[at[:-1]]) & (line[at[1:]] == line[at[:-1]]) & (word[at[1:]] != word[at[:-1]])).any():
-            at = np.lexsort((word, t, line))
+    t = word >> _U(12) if order is None else (order[(word >> _U(44)).astype(np.int64)].astype(np.uint64) << _U(44)) | (word & _HASH)
+    cuts = np.searchsorted(line, np.arange(0, n_lines + LINES, LINES))
+    parts = [a + np.argsort(((line[a:z] & (LINES - 1)).astype(np.uint64) << _U(52)) | t[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+    at = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    if ((t[at[1:]] == t[at[:-1]]) & (line[at[1:]] == line[at[:-1]]) & (word[at[1:]] != word[at[:-1]])).any():
+        at = np.lexsort((word, t, line))
     t, line, word = t[at], line[at], word[at]
     new = np.ones(len(t), bool)
     new[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])
@@ -77,10 +78,16 @@ def _token_sets(word: np.ndarray, line: np.ndarray, order: np.ndarray | None) ->
 
 def _count(batches):
     """The task's word counts."""
-    counts = np.zeros(BUCKETS, np.int64)
+    counts, held, size = np.zeros(BUCKETS, np.int64), [], 0
     for b in batches:
         for w in K.words(b.column(1)):
-            counts += np.bincount((w.hash >> _U(44)).astype(np.int64), minlength=BUCKETS)
+            held.append((w.hash >> _U(44)).astype(np.int32))
+            size += len(held[-1])
+            if size > COUNTED:
+                counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                held, size = [], 0
+    if held:
+        counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
     parts = [(k, p.tobytes()) for k, p in enumerate(counts.astype(np.uint32).reshape(BLOCKS, -1)) if p.any()]
     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], ["block", "counts"])
 
@@ -153,9 +160,9 @@ _PACKED = "part int, kind int, packed binary"
 
 def _pack(kind: int, cols: list[np.ndarray], parts: int) -> pa.RecordBatch:
     """Rows dealt to parts by their first column; for each part column by column, and by bytes of the same place, so that bytes that are all zero compress."""
-    part = (K.mix(cols[0].view(np.uint64)) % _U(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    part, cols = part[order], [c[order] for c in cols]
+    part = K.mix(cols[0].view(np.uint64)) % _U(parts)
+    order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.int64), kind="stable")
+    part, cols = part[order].astype(np.int64), [c[order] for c in cols]
     edge = np.flatnonzero(np.diff(part, prepend=-1))
     ends = np.append(edge[1:], len(part))[: len(edge)]
     places = lambda c: np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes()
@@ -220,19 +227,24 @@ def _found(x, y, xd, xl, yd, token) -> pa.RecordBatch:
 
 def _least_places(key: np.ndarray, other: np.ndarray, doc: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of the first place of each different (key, other), and whether a row is later than that of its own."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     k = key[order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    if new.all():
-        return np.sort(order), np.zeros(len(key), bool)
-    order = np.lexsort((line, doc, other, key))
-    k, o = key[order], other[order]
-    new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
-    heads = order[new]
-    head = np.empty(len(key), np.int64)
-    head[order] = heads[np.cumsum(new) - 1]
-    return np.sort(heads), (doc > doc[head]) | ((doc == doc[head]) & (line > line[head]))
+    same = k[1:] == k[:-1]
+    head, later = np.ones(len(key), bool), np.zeros(len(key), bool)
+    if same.any():
+        # rows that share a key with another one are put in order, others are alone
+        shared = np.zeros(len(key), bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        order = np.sort(order[shared])
+        order = order[np.lexsort((line[order], doc[order], other[order], key[order]))]
+        k, o = key[order], other[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
+        first = order[new][np.cumsum(new) - 1]
+        head[order] = new
+        later[order] = (doc[order] > doc[first]) | ((doc[order] == doc[first]) & (line[order] > line[first]))
+    return np.flatnonzero(head), later
 
 
 class _Buckets:
@@ -254,7 +266,10 @@ class _Buckets:
         cols = [np.concatenate(c) for c in zip(*self.blobs, strict=True)]
         token, fp, sketch, _, doc, line, n, _ = cols
         heads, _ = _least_places(K.mix(token) + fp.view(np.uint64), sketch, doc, line)
-        heads = heads[np.lexsort((n[heads], token[heads]))]
+        if len(heads) and int(n[heads].max()) < 1 << 12:  # a token has 52 bits
+            heads = heads[np.argsort((token[heads] << _U(12)) | n[heads].astype(np.uint64), kind="stable")]
+        else:
+            heads = heads[np.lexsort((n[heads], token[heads]))]
         return [c[heads] for c in cols]
 
     def thin(self):

@@ -116,7 +116,8 @@ def words(texts: pa.Array, lower: bool = True, limit: int = SLICE_BYTES) -> Iter
     for lo, hi in slices(bounds, limit):
         own, edge = raw[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo]
         inside = np.zeros(len(own) + 2, bool)
-        inside[1:-1] = ~_SPACE[own]
+        np.greater((own - np.uint8(9)), 4, out=inside[1:-1])
+        inside[1:-1] &= own != 32
         change = inside[1:] != inside[:-1]
         # a word also ends where its text ends
         cut = edge[1:-1]
@@ -127,7 +128,7 @@ def words(texts: pa.Array, lower: bool = True, limit: int = SLICE_BYTES) -> Iter
             twice = np.repeat(cut, 2)
             at = np.insert(at, np.searchsorted(at, twice), twice)
         start, end = at[0::2], at[1::2]
-        h = _hash_words(_LOWER[own] if lower else own, start, end)
+        h = _hash_words(own + (((own - np.uint8(65)) < 26).view(np.uint8) << 5) if lower else own, start, end)
         yield Words(lo, hi, own, edge, start, end, h, np.searchsorted(start, edge), valid[lo:hi])
     pa.default_memory_pool().release_unused()
 

@@ -3,10 +3,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ragloom.llm import exact_search, host_rules, html_content, language_id, line_dedup, ngram_join, packing, quality, sentencepiece_scan, url_filter
+from ragloom.llm import exact_search, host_rules, html_content, language_id, line_dedup, ngram_join, packing, quality, sentencepiece_scan, textkit, url_filter
 
 DOCS = "doc_id bigint, text string, source string, lang string, score string"
 
@@ -499,3 +500,36 @@ def test_url_rules_against_plain_python(spark):
     rule, verdict = url_filter.matching_rule(F.col("host"), F.col("path"))
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["ruled"]) for r in df.withColumns({"host": host, "path": path}).withColumns({"rule": rule, "ruled": verdict}).collect()}
     assert got == {i: by_hand(u) for i, u in enumerate(urls)}
+
+
+def test_line_counts_are_added_many_words_at_a_time(monkeypatch):
+    """Counting the words of many slices makes few arrays of all counters; the counts are those of every word."""
+    texts = [f"w{i} common w{i % 7}\n" * 6000 for i in range(12)]
+    calls, whole = [], np.bincount
+    monkeypatch.setattr(line_dedup.np, "bincount", lambda x, *a, **k: calls.append(len(x)) or whole(x, *a, **k))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    out = next(iter(line_dedup._count([batch])))
+    assert sum(calls) == 12 * 18000 and len(calls) == 1
+    got = np.zeros((line_dedup.BLOCKS, line_dedup.BUCKETS // line_dedup.BLOCKS), np.int64)
+    for k, v in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
+        got[k] = np.frombuffer(v, np.uint32)
+    want = np.concatenate([w.hash >> np.uint64(44) for w in textkit.words(batch.column(1))]).astype(np.int64)
+    assert (got.reshape(-1) == whole(want, minlength=line_dedup.BUCKETS)).all()
+
+
+def test_line_numbers_and_first_places():
+    """Numbers of lines and first places against plain Python, with empty lines, empty texts and texts that end in a word."""
+    rng = np.random.default_rng(4)
+    texts = ["", "\n\na b\n\nc", "x", None, "\n", " \n y\tz\x0b\nq\n", "end\n\n"] + ["".join(rng.choice(list("ab \n\r"), 40)) for _ in range(50)]
+    for w in textkit.words(pa.array(texts)):
+        _, row, no = line_dedup._lines(w)
+        assert list(zip((row + w.lo).tolist(), no.tolist(), strict=True)) == [(i, k) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)]
+    key, other = rng.integers(0, 9, 300).astype(np.uint64), rng.integers(0, 2, 300)
+    doc, line = rng.integers(0, 20, 300), np.arange(300)[rng.permutation(300)]
+    heads, later = line_dedup._least_places(key, other, doc, line)
+    least = {}
+    for i in range(300):
+        least[key[i], other[i]] = min(least.get((key[i], other[i]), (99, 0, 0)), (doc[i], line[i], i))
+    assert heads.tolist() == sorted(x[2] for x in least.values())
+    assert later.tolist() == [(doc[i], line[i]) > least[key[i], other[i]][:2] for i in range(300)]
+    assert [len(x) for x in line_dedup._least_places(key[:0], other[:0], doc[:0], line[:0])] == [0, 0]
